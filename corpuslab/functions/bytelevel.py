@@ -25,8 +25,12 @@ def byte_pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
 
 
-def byte_symbols(piece: Column) -> Column:
-    """The stand-in characters of a piece's UTF-8 bytes, as an array."""
-    table = F.array(*[F.lit(c) for c in printable_bytes()])
+def byte_values(piece: Column, table: Column) -> Column:
+    """For each UTF-8 byte of a piece, the entry of a 256-entry array, as an array."""
     pairs = F.regexp_extract_all(F.hex(F.encode(piece, "UTF-8")), F.lit("(..)"), F.lit(1))
     return F.transform(pairs, lambda h: F.get(table, F.conv(h, 16, 10).cast("int")))
+
+
+def byte_symbols(piece: Column) -> Column:
+    """The stand-in characters of a piece's UTF-8 bytes, as an array."""
+    return byte_values(piece, F.array(*[F.lit(c) for c in printable_bytes()]))

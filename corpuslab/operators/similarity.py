@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.functions.distance import edit_distance
 from corpuslab.operators.lookup import fits_broadcast
 from corpuslab.session import cut_lineage
 
@@ -40,8 +41,9 @@ def _closest(generated: DataFrame, originals: DataFrame, small: bool) -> DataFra
         salt = F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")
         joined = originals.withColumn("salt", salt).join(salted, ["band", "salt"])
     close = F.abs(F.length("gen") - F.length("text")) <= F.col("bound")
-    distance = F.expr("levenshtein(gen, text, bound)")
-    scored = joined.filter(close).withColumn("distance", distance).filter("distance >= 0")
+    distance = edit_distance(F.col("gen"), F.col("text"), F.col("bound"))
+    scored = joined.filter(close).withColumn("distance", distance)
+    scored = scored.filter("distance between 0 and bound")
     return scored.groupBy("gen").agg(F.min(F.struct("distance", "key", "text")).alias("best"))
 
 

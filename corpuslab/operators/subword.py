@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.functions.bytelevel import byte_pieces, byte_symbols, printable_bytes
+from corpuslab.functions.bytelevel import byte_pieces, byte_symbols, byte_values, printable_bytes
 from corpuslab.functions.tokens import CONTINUED
 from corpuslab.operators.lookup import lookup
 from corpuslab.session import cut_lineage
@@ -21,7 +21,7 @@ from corpuslab.session import cut_lineage
 END_OF_TEXT = "<|endoftext|>"
 UNKNOWN_WORD = "[UNK]"
 
-OPEN, CLOSE = "\x01", "\x02"  # around each symbol of a word in training
+FIRST_SIGN = 0x10000  # code point that stands for symbol 0 in training
 CANDIDATES = 64  # best pairs looked at per round
 ROUNDS_PER_WRITE = 8
 MAX_VOCAB = 200_000  # a subword vocabulary is sent to every task
@@ -34,18 +34,16 @@ def piece_counts(lines: DataFrame) -> DataFrame:
 
 
 def _pairs(words: DataFrame) -> DataFrame:
-    inner = F.col("word").substr(F.lit(2), F.length("word") - 2)
-    symbols = words.select(F.split(inner, CLOSE + OPEN).alias("s"), "freq")
-    n = F.size("s") - 1
-    pairs = F.arrays_zip(F.slice("s", 1, n).alias("left"), F.slice("s", 2, n).alias("right"))
+    at = F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("at")
     return (
-        symbols.select(F.explode(pairs).alias("p"), "freq")
-        .groupBy("p.left", "p.right")
+        words.filter(F.length("word") > 1)
+        .select("word", "freq", at)
+        .groupBy(F.substr("word", "at", F.lit(2)).alias("pair"))
         .agg(F.sum("freq").alias("count"))
     )
 
 
-def _independent(ranked: list, ids: dict[str, int], whole: bool) -> list:
+def _independent(ranked: list, texts: list[str], ids: dict[str, int], whole: bool) -> list:
     """The leading pairs that can be merged in one round without changing the result.
 
     Merging a pair changes only counts of pairs that share a symbol with it, and
@@ -56,22 +54,30 @@ def _independent(ranked: list, ids: dict[str, int], whole: bool) -> list:
     """
     used, made, batch = set(), set(), []
     stop = None
-    for pair in ranked:
-        text = pair.left + pair.right
-        alone = pair.left == pair.right or text in ids or text in made
-        if alone or pair.left in used or pair.right in used:
-            stop = pair
+    for row in ranked:
+        left, right = row.pair
+        text = _text(left, texts) + _text(right, texts)
+        if left == right or text in ids or text in made or used & {left, right}:
+            stop = row
             break
-        used |= {pair.left, pair.right}
+        used |= {left, right}
         made.add(text)
-        batch.append(pair)
+        batch.append(row)
     if stop is None and not whole:
         stop = batch.pop()
     if stop is not None:
-        batch = [pair for pair in batch if pair["count"] > stop["count"]]
+        batch = [row for row in batch if row["count"] > stop["count"]]
     return batch or ranked[:1]
 
 
+def _sign(index: int) -> str:
+    return chr(FIRST_SIGN + index)
+
+
+def _text(sign: str, texts: list[str]) -> str:
+    return texts[ord(sign) - FIRST_SIGN]
+
+
 def train_bpe(
     pieces: DataFrame,
     vocab_size: int = 10_000,
@@ -80,48 +86,48 @@ def train_bpe(
 ) -> tuple[DataFrame, DataFrame]:
     """Learn merges from piece counts: ``(rank, left, right)`` and ``(token, idx)``.
 
-    Pairs are taken by frequency, ties by the ids of their symbols. Each round
-    counts all pairs in one job, brings a fixed number of leading pairs to the
-    driver, and rewrites the words with plain string replacement: symbols carry
-    their own delimiters, so replacing from the left is merging from the left.
+    Pairs are taken by frequency, ties by the ids of their symbols. A word is kept
+    as a string with one character per symbol, whose code point is the symbol's id,
+    so that replacing two characters by one from the left is a merge and the order
+    of strings is the order of ids. Each round counts all pairs in one job, brings
+    a fixed number of leading pairs to the driver, and rewrites the words.
     """
     spark = pieces.sparkSession
-    ids = {t: i for i, t in enumerate([*specials, *sorted(printable_bytes())])}
-    word = F.concat(F.lit(OPEN), F.array_join(byte_symbols(F.col("piece")), CLOSE + OPEN), F.lit(CLOSE))
-    has_pair = F.contains(F.col("word"), F.lit(CLOSE + OPEN))
-    words = cut_lineage(pieces.select(word.alias("word"), "freq").filter(has_pair))
+    texts = [*specials, *sorted(printable_bytes())]
+    ids = {t: i for i, t in enumerate(texts)}
+    if vocab_size > MAX_VOCAB:
+        raise ValueError(f"a subword vocabulary may have {MAX_VOCAB} entries at most")
+    signs = F.array(*[F.lit(_sign(ids[c])) for c in printable_bytes()])
+    word = F.array_join(byte_values(F.col("piece"), signs), "")
+    words = cut_lineage(pieces.select(word.alias("word"), "freq").filter(F.length("word") > 1))
     merges: list[tuple[int, str, str]] = []
     rounds = 0
-    while len(ids) < vocab_size:
-        known = F.broadcast(spark.createDataFrame(list(ids.items()), "symbol string, id long"))
-        left = known.select(F.col("symbol").alias("left"), F.col("id").alias("left_id"))
-        right = known.select(F.col("symbol").alias("right"), F.col("id").alias("right_id"))
+    while len(texts) < vocab_size:
         ranked = (
             _pairs(words)
             .filter(F.col("count") >= min_frequency)
-            .join(left, "left")
-            .join(right, "right")
-            .orderBy(F.desc("count"), "left_id", "right_id")
+            .orderBy(F.desc("count"), "pair")
             .limit(CANDIDATES)
             .collect()
         )
         if not ranked:
             break
-        for pair in _independent(ranked, ids, len(ranked) < CANDIDATES):
-            if len(ids) == vocab_size:
+        for row in _independent(ranked, texts, ids, len(ranked) < CANDIDATES):
+            if len(texts) == vocab_size:
                 break
-            joined = pair.left + pair.right
-            ids.setdefault(joined, len(ids))
-            merges.append((len(merges), pair.left, pair.right))
-            old = f"{OPEN}{pair.left}{CLOSE}{OPEN}{pair.right}{CLOSE}"
-            new = F.replace("word", F.lit(old), F.lit(f"{OPEN}{joined}{CLOSE}"))
-            words = words.withColumn("word", new)
+            left, right = (_text(sign, texts) for sign in row.pair)
+            if left + right not in ids:
+                ids[left + right] = len(texts)
+                texts.append(left + right)
+            merges.append((len(merges), left, right))
+            new = _sign(ids[left + right])
+            words = words.withColumn("word", F.replace("word", F.lit(row.pair), F.lit(new)))
         rounds += 1
         if rounds % ROUNDS_PER_WRITE == 0:
-            words = cut_lineage(words.filter(has_pair))
+            words = cut_lineage(words.filter(F.length("word") > 1))
     return (
         spark.createDataFrame(merges, "rank long, left string, right string"),
-        spark.createDataFrame(list(ids.items()), "token string, idx long"),
+        spark.createDataFrame(list(enumerate(texts)), "idx long, token string"),
     )
 
 

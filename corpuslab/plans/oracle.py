@@ -548,3 +548,72 @@ ORACLE: dict[str, str] = {
         recursive=True,
     ),
 }
+
+# levenshtein() counts bytes here, so each accented letter of the tables is given a
+# control character of its own; any other character beyond ASCII gets the last one.
+ACCENTED = "éèêíçñóüöäßÉÈÊÍÇÑÓÜÖÄ"
+CONTROLS = " || ".join(f"chr({code})" for code in [*range(1, 10), *range(11, 23)])
+
+
+def _one_byte(text: str) -> str:
+    return (
+        f"regexp_replace(translate({text}, '{ACCENTED}', {CONTROLS}), '[^\\x00-\\x7F]', chr(23), 'g')"
+    )
+
+
+NEAREST = f"""
+    originals AS (
+        SELECT text, min(struct_pack(doc_id := doc_id, line_no := line_no)) AS key,
+               {_one_byte('text')} AS b
+        FROM lines GROUP BY text),
+    generated AS ({_lines('benchmark', 'item_id')}),
+    nearest AS (
+        SELECT g.text AS generated,
+               min(struct_pack(distance := levenshtein(g.b, o.b), key := o.key,
+                               original := o.text)) AS best
+        FROM (SELECT DISTINCT text, {_one_byte('text')} AS b FROM generated) g, originals o
+        GROUP BY g.text)"""
+
+ORACLE["nearest_original"] = _with(
+    LINES, NEAREST,
+    select="""SELECT generated, best.distance AS distance, best.key.doc_id AS doc_id,
+                     best.key.line_no AS line_no, best.original AS original FROM nearest""",
+)
+ORACLE["similarity_by_run"] = _with(
+    LINES, NEAREST,
+    select="""SELECT item_id, count(*) AS n_texts, round(avg(best.distance), 6) AS mean_distance
+              FROM generated JOIN nearest ON text = nearest.generated GROUP BY item_id""",
+)
+ORACLE["subword_longest_match"] = _with(
+    LINES,
+    f"words AS (SELECT doc_id, line_no, {_words('lower(text)')} AS toks FROM lines)",
+    """tokens AS (SELECT doc_id, line_no, unnest(toks) AS word, generate_subscripts(toks, 1) AS pos
+                  FROM words)""",
+    "types AS (SELECT word, count(*) AS freq FROM tokens GROUP BY word)",
+    """entries AS (
+        SELECT word AS entry FROM (SELECT word FROM types ORDER BY freq DESC, word LIMIT 3000)
+        UNION SELECT unnest(string_split(word, '')) FROM types)""",
+    """vocab AS (SELECT entry FROM entries UNION SELECT '##' || entry FROM entries)""",
+    "places AS (SELECT word, unnest(range(length(word))) AS spot FROM types WHERE length(word) <= 100)",
+    "cuts AS (SELECT word, spot, unnest(range(1, length(word) - spot + 1)) AS size FROM places)",
+    """longest AS (
+        SELECT word, spot, max(size) AS size
+        FROM cuts JOIN vocab
+          ON entry = CASE WHEN spot > 0 THEN '##' ELSE '' END || substr(word, spot + 1, size)
+        GROUP BY word, spot)""",
+    """walk AS (
+        SELECT word, CAST(0 AS BIGINT) AS spot, CAST([] AS VARCHAR[]) AS parts FROM types
+        UNION ALL
+        SELECT walk.word, walk.spot + size,
+               list_append(parts, CASE WHEN walk.spot > 0 THEN '##' ELSE '' END
+                                  || substr(walk.word, walk.spot + 1, size))
+        FROM walk JOIN longest ON walk.word = longest.word AND walk.spot = longest.spot)""",
+    "done AS (SELECT word, parts FROM walk WHERE spot = length(word))",
+    """coded AS (
+        SELECT doc_id, line_no, flatten(list(coalesce(parts, ['[UNK]']) ORDER BY pos)) AS parts
+        FROM tokens LEFT JOIN done USING (word) GROUP BY doc_id, line_no)""",
+    select="""SELECT doc_id, line_no, len(parts) AS n_tokens,
+                     array_to_string(parts, ' ') AS tokens_text,
+                     replace(array_to_string(parts, ' '), ' ##', '') AS text FROM coded""",
+    recursive=True,
+)

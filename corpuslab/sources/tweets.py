@@ -6,11 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The columns of a yearly tweet file, in order.
-TWEET_SCHEMA = T.StructType.fromDDL(
-    """
+TWEET_SCHEMA = """
     row int, id long, conversation_id long, created_at double, date timestamp,
     timezone string, place string, tweet string, language string, hashtags string,
     cashtags string, user_id long, user_id_str long, username string, name string,
@@ -19,22 +17,21 @@ TWEET_SCHEMA = T.StructType.fromDDL(
     quote_url string, search string, near string, geo string, source string,
     user_rt_id string, user_rt string, retweet_id string, reply_to string,
     retweet_date string, translate string, trans_src string, trans_dest string
-    """
-)
+"""
 
 # Quoted fields may hold line breaks and doubled quotes.
 CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
 
 
 def read_tweets(
-    spark: SparkSession, path: str | list[str], schema: T.StructType = TWEET_SCHEMA
+    spark: SparkSession, path: str | list[str], schema: str = TWEET_SCHEMA
 ) -> DataFrame:
     """All tweet files of one layout as one table, with the file each row is from."""
     reader = spark.read.schema(schema).options(**CSV)
     return reader.csv(path).withColumn("file", F.col("_metadata.file_name"))
 
 
-def read_tweet_groups(spark: SparkSession, groups: list[tuple[str, T.StructType]]) -> DataFrame:
+def read_tweet_groups(spark: SparkSession, groups: list[tuple[str, str]]) -> DataFrame:
     """Tweet files of several layouts, matched by column name; absent columns are null."""
     tables = [read_tweets(spark, path, schema) for path, schema in groups]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
