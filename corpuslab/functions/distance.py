@@ -78,11 +78,36 @@ def _batch(patterns: list[str], texts: list[str], words: int) -> np.ndarray:
     return score
 
 
-def batch_distances(left: pd.Series, right: pd.Series) -> np.ndarray:
-    """Edit distances, in characters, of two columns of texts."""
+def lower_bounds(left: list[str], right: list[str]) -> np.ndarray:
+    """Per pair, the characters of either text that cannot be matched in the other."""
+    counts = []
+    symbols = np.unique(np.concatenate([_code_points(left)[0], _code_points(right)[0]]))
+    for texts in (left, right):
+        codes, rows, _ = _code_points(texts)
+        cells = rows * len(symbols) + np.searchsorted(symbols, codes)
+        counted = np.bincount(cells, minlength=len(texts) * len(symbols))
+        counts.append(counted.reshape(len(texts), len(symbols)))
+    extra = counts[0] - counts[1]
+    return np.maximum(extra.clip(min=0).sum(axis=1), (-extra).clip(min=0).sum(axis=1))
+
+
+def batch_distances(left: pd.Series, right: pd.Series, bound: pd.Series | None = None) -> np.ndarray:
+    """Edit distances, in characters, of two columns of texts.
+
+    A pair whose character counts alone put it beyond its bound keeps that lower
+    bound instead of the distance.
+    """
     result = np.zeros(len(left), dtype=np.int64)
+    far = np.zeros(len(left), dtype=bool)
+    if bound is not None:
+        for at in range(0, len(left), BATCH_PAIRS):
+            part = slice(at, at + BATCH_PAIRS)
+            result[part] = lower_bounds(list(left[part]), list(right[part]))
+        far = result > bound.to_numpy()
     groups: dict[int, list[tuple[int, str, str]]] = {}
     for i, (a, b) in enumerate(zip(left, right)):
+        if far[i]:
+            continue
         pattern, text = (a, b) if len(a) <= len(b) else (b, a)
         if pattern:
             groups.setdefault(-(-len(pattern) // WORD), []).append((i, pattern, text))
@@ -99,9 +124,10 @@ def batch_distances(left: pd.Series, right: pd.Series) -> np.ndarray:
 
 
 @F.pandas_udf(T.IntegerType())
-def _distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for left, right in batches:
-        yield pd.Series(batch_distances(left.fillna(""), right.fillna("")), dtype="int32")
+def _distance(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    for left, right, bound in batches:
+        found = batch_distances(left.fillna(""), right.fillna(""), bound)
+        yield pd.Series(found, dtype="int32")
 
 
 def edit_distance(left: Column, right: Column, bound: Column) -> Column:
@@ -110,5 +136,5 @@ def edit_distance(left: Column, right: Column, bound: Column) -> Column:
     Pairs of very long texts do better one at a time, in the JVM.
     """
     short = F.least(F.length(left), F.length(right)) <= LONGEST
-    batched = _distance(F.when(short, left), F.when(short, right))
+    batched = _distance(F.when(short, left), F.when(short, right), bound)
     return F.when(short, batched).otherwise(F.call_function("levenshtein", left, right, bound))

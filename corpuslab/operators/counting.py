@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.functions.rows import item_rows, list_rows
 from corpuslab.functions.tokens import first_word, space_tokens, word_tokens
 from corpuslab.operators.lookup import lookup
 from corpuslab.session import cut_lineage
@@ -79,7 +80,7 @@ def check_prompts(found: DataFrame, vocab: DataFrame) -> DataFrame:
     is recorded otherwise.
     """
     listed = cut_lineage(found.withColumn("tokens", word_tokens(F.col("prompt"))))
-    flat = listed.select("prompt", F.posexplode("tokens").alias("pos", "token"))
+    flat = list_rows(listed, ["prompt"], "tokens", "token")
     known = lookup(flat, vocab, ["token"], "freq")
     unknown = known.groupBy("prompt").agg(
         F.count_if(F.col("idx").isNull()).alias("n_unknown"),
@@ -106,9 +107,9 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     Tokens are counted per type first, so distinct tokens need no second pass
     over the occurrences.
     """
-    lines = docs.select(F.explode("lines").alias("text"))
+    lines = item_rows(docs, [], "lines", "text")
     types = (
-        lines.select(F.explode(word_tokens(F.col("text"))).alias("token"))
+        item_rows(lines, [], word_tokens(F.col("text")), "token")
         .groupBy("token")
         .agg(F.count("*").alias("freq"))
         .agg(

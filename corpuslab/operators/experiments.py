@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.functions.rows import item_rows
 from corpuslab.functions.tokens import get_tokenizer, wrap
 from corpuslab.operators.evaluate import perplexity_of
 from corpuslab.operators.lookup import lookup
+from corpuslab.operators.sequences import next_token_pairs
 from corpuslab.session import cut_lineage
 
 
@@ -51,12 +53,10 @@ def compare_models(
             for t in tokenizers
         ]
     )
-    wrapped = lines.select("split", F.inline(tokens))
-    n = F.size("w") - 1
-    pairs = F.arrays_zip(F.slice("w", 1, n).alias("prev"), F.slice("w", 2, n).alias("next"))
-    flat = wrapped.select("split", "tokenizer", F.explode(pairs).alias("p"))
+    wrapped = item_rows(lines, ["split"], tokens, "t")
+    flat = next_token_pairs(wrapped.select("split", "t.tokenizer", F.col("t.w").alias("tokens")))
     counts = cut_lineage(
-        flat.groupBy("tokenizer", "p.prev", "p.next").agg(
+        flat.groupBy("tokenizer", "prev", "next").agg(
             F.count_if(F.col("split") == "train").alias("n"),
             F.count_if(F.col("split") == "val").alias("m"),
         )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.functions.rows import list_rows
 from corpuslab.session import cut_lineage
 
 BUCKET_BITS = 16
@@ -128,9 +129,7 @@ def positional_split(lines: DataFrame, parity: bool = True) -> DataFrame:
     placed, total = place(lines, "doc_id", F.size("lines"))
     half, three_quarters = total // 2, total * 3 // 4
     others = [c for c in lines.columns if c not in ("doc_id", "lines")]
-    rows = placed.select(
-        "doc_id", *others, "start", F.posexplode("lines").alias("line_no", "text")
-    ).withColumn("line_no", F.col("line_no").cast("long"))
+    rows = list_rows(placed, ["doc_id", *others, "start"], "lines", "text", "line_no")
     at = F.col("start") + F.col("line_no")
     gap = 1 if parity else 0
     split = (

@@ -7,49 +7,55 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.functions.rows import list_rows
 from corpuslab.functions.tokens import PAD
 from corpuslab.operators.ordinal import hash_rank, place, running_offsets
 
 IGNORED = -100  # label of positions that do not count
 BLOCK = 32  # tokens kept per training line
+SYMBOLS = 256  # largest vocabulary that is encoded in place
+FIRST_SIGN = 0x100000  # private code points, in no text, that stand for indices
 
 
 def next_token_pairs(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Each token with the one after it in its list; nothing is shuffled."""
     others = [c for c in rows.columns if c != tokens]
-    n = F.size(tokens)
-    x, y = F.slice(tokens, 1, n - 1).alias("x"), F.slice(tokens, 2, n - 1).alias("y")
-    pairs = rows.filter(n > 1).select(*others, F.posexplode(F.arrays_zip(x, y)).alias("pos", "p"))
-    return pairs.select(
-        *others, F.col("pos").cast("long").alias("pos"), F.col("p.x").alias("prev"),
-        F.col("p.y").alias("next"),
-    )
+    n = F.greatest(F.size(tokens) - 1, F.lit(0))
+    x, y = F.slice(tokens, 1, n).alias("x"), F.slice(tokens, 2, n).alias("y")
+    pairs = list_rows(rows, others, F.arrays_zip(x, y), "p")
+    return pairs.select(*others, "pos", F.col("p.x").alias("prev"), F.col("p.y").alias("next"))
 
 
-def code_small(tokens: Column, vocab: DataFrame, unknown: int = 0) -> Column:
-    """Encode a token list in place with a vocabulary of a few dozen symbols.
+def code_characters(text: Column, vocab: DataFrame, unknown: int = 0) -> Column:
+    """Encode the characters of a text in place, given a vocabulary of a few dozen.
 
-    Meant for letters-only characters: 26 letters, the space and the markers. A
-    larger vocabulary is refused and belongs to ``vocab.encode``.
+    Meant for letters-only text: 26 letters, the space and the markers. A larger
+    vocabulary is refused and belongs to ``vocab.encode``. Each character is first
+    replaced by one whose code point holds its index.
     """
-    entries = vocab.orderBy("idx").select("token", "idx").limit(257).collect()
-    if len(entries) > 256:
+    entries = vocab.orderBy("idx").select("token", "idx").limit(SYMBOLS + 1).collect()
+    if len(entries) > SYMBOLS:
         raise ValueError("too many symbols to encode in place")
-    table = F.create_map(*[F.lit(v) for row in entries for v in (row.token, row.idx)])
-    return F.transform(tokens, lambda t: F.coalesce(table[t], F.lit(unknown)).cast("long"))
+    coded = [(row.token, row.idx) for row in entries if len(row.token) == 1]
+    signs = "".join(chr(FIRST_SIGN + idx) for _, idx in coded)
+    chars = F.split(F.translate(text, "".join(token for token, _ in coded), signs), "")
+    code = lambda c: F.ascii(c).cast("long") - FIRST_SIGN
+    ids = F.transform(chars, lambda c: F.when(code(c) >= 0, code(c)).otherwise(unknown))
+    return F.when(text == "", F.array().cast("array<bigint>")).otherwise(ids)
 
 
 def slice_stream(stream: DataFrame, key: str, start: float, end: float, relative: bool) -> DataFrame:
     """The part of a token stream between two bounds, as one piece per row of ``stream``.
 
+    A stream has an integer ``key``, a list ``ids`` and its size ``n`` per row.
     Bounds are positions, or shares of the stream if ``relative``. A negative
     position counts from the end, and the end is not included.
     """
-    placed, total = place(stream, key, F.size("ids"))
+    placed, total = place(stream, key, F.col("n"))
     if relative:
         start, end = int(start * total), int(end * total)
     first, last, _ = slice(int(start), int(end)).indices(total)
-    low, high = F.col("start"), F.col("start") + F.size("ids")
+    low, high = F.col("start"), F.col("start") + F.col("n")
     begin, stop = F.greatest(low, F.lit(first)), F.least(high, F.lit(last))
     return placed.filter(begin < stop).select(
         key,
@@ -66,10 +72,10 @@ def _segments(placed: DataFrame, keys: Sequence[str], first: Column, step: int,
     the next one. Rows send whole pieces, not single tokens, to their segments.
     """
     width = step + 1
-    low, high = F.col("start"), F.col("start") + F.size("ids")
+    low, high = F.col("start"), F.col("start") + F.col("n")
     since = F.greatest(F.ceil((low - first - step) / step), F.lit(0)).cast("long")
     until = F.least(F.floor((high - 1 - first) / step), F.lit(count - 1)).cast("long")
-    hit = placed.filter((F.size("ids") > 0) & (since <= until))
+    hit = placed.filter((F.col("n") > 0) & (since <= until))
     hit = hit.select("*", F.explode(F.sequence(since, until)).alias("k"))
     begin = F.greatest(low, first + F.col("k") * step)
     stop = F.least(high, first + F.col("k") * step + width)
@@ -94,7 +100,7 @@ def random_subsequences(
     ``offset`` leading tokens are dropped; so are subsequences that do not fill a
     batch. The result is ``(batch, row, x, y)``.
     """
-    placed, total = place(stream, key, F.size("ids"))
+    placed, total = place(stream, key, F.col("n"))
     count = max((total - offset - 1) // num_steps, 0)
     wanted = count // batch_size * batch_size
     ranks = hash_rank(stream.sparkSession.range(count).withColumnRenamed("id", "k"), "k", seed)
@@ -111,12 +117,12 @@ def sequential_batches(
     stream: DataFrame, key: str, batch_size: int, num_steps: int, offset: int
 ) -> DataFrame:
     """The stream cut to ``batch_size`` long rows, walked in steps of ``num_steps``."""
-    placed, total = place(stream, key, F.size("ids"))
+    placed, total = place(stream, key, F.col("n"))
     length = max((total - offset - 1) // batch_size, 0)
     count = length // num_steps
     if count == 0:
         placed, length = placed.limit(0), 1
-    high = F.col("start") + F.size("ids")
+    high = F.col("start") + F.col("n")
     top = F.floor((F.col("start") - offset - num_steps) / length).cast("long")
     bottom = F.floor((high - 1 - offset) / length).cast("long")
     top, bottom = F.greatest(top, F.lit(0)), F.least(bottom, F.lit(batch_size - 1))

@@ -66,8 +66,8 @@ def nearest_original(
     1. texts that also are originals are settled by an equality join;
     2. the others get an upper bound from originals of about their length, or,
        where there are none, from the shortest original;
-    3. an original nearer than the bound differs in length by no more than it, so
-       only those length bands are compared, with the bound as cut-off.
+    3. an original within the bound differs in length by no more than it, so of the
+       other lengths only those are compared.
 
     With ``append_newline`` originals are compared with a line end after them, as
     lines of a file are if nothing strips them.
@@ -90,17 +90,19 @@ def nearest_original(
         return _result(settled, append_newline)
     size = F.length("gen")
     far = F.greatest(size, F.lit(shortest))
-    near = open_.select(
-        "gen", far.alias("bound"), _bands(size - BAND * NEAR // 2, size + BAND * NEAR // 2).alias("bands")
+    near = _bands(size - BAND * NEAR // 2, size + BAND * NEAR // 2)
+    first = _closest(open_.select("gen", far.alias("bound"), near.alias("bands")), known, small)
+    first = cut_lineage(
+        open_.join(first, "gen", "left").select(
+            "gen", "best", F.coalesce("best.distance", far).cast("int").alias("bound")
+        )
     )
-    first = _closest(near, known, small)
-    bounded = open_.join(first, "gen", "left").select(
-        "gen", F.coalesce("best.distance", far).cast("int").alias("bound")
-    )
-    bounded = cut_lineage(bounded).withColumn(
-        "bands", _bands(size - F.col("bound"), size + F.col("bound"))
-    )
-    return _result(settled.unionByName(_closest(bounded, known, small)), append_newline)
+    wide = _bands(size - F.col("bound"), size + F.col("bound"))
+    rest = first.select("gen", "bound", F.array_except(wide, near).alias("bands"))
+    found = first.filter("best is not null").select("gen", "best")
+    found = found.unionByName(_closest(rest, known, small))
+    best = found.groupBy("gen").agg(F.min("best").alias("best"))
+    return _result(settled.unionByName(best), append_newline)
 
 
 def _result(found: DataFrame, append_newline: bool) -> DataFrame:

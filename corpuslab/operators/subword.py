@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.functions.bytelevel import byte_pieces, byte_symbols, byte_values, printable_bytes
+from corpuslab.functions.rows import item_rows, list_rows
 from corpuslab.functions.tokens import CONTINUED
 from corpuslab.operators.lookup import lookup
 from corpuslab.session import cut_lineage
@@ -29,7 +30,7 @@ MAX_VOCAB = 200_000  # a subword vocabulary is sent to every task
 
 def piece_counts(lines: DataFrame) -> DataFrame:
     """Distinct byte-level pieces of the lines' ``text``, with counts."""
-    pieces = lines.select(F.explode(byte_pieces(F.col("text"))).alias("piece"))
+    pieces = item_rows(lines, [], byte_pieces(F.col("text")), "piece")
     return pieces.groupBy("piece").agg(F.count("*").alias("freq"))
 
 
@@ -171,7 +172,7 @@ def encode_pieces(pieces: DataFrame, merges: DataFrame) -> DataFrame:
 
 def encode_bpe(lines: DataFrame, keys: Sequence[str], merges: DataFrame) -> DataFrame:
     """The byte-level subwords of each line, as ``tokens``."""
-    flat = lines.select(*keys, F.posexplode(byte_pieces(F.col("text"))).alias("pos", "piece"))
+    flat = list_rows(lines, keys, byte_pieces(F.col("text")), "piece")
     table = cut_lineage(encode_pieces(piece_counts(lines), merges))
     coded = lookup(flat, table, ["piece"], "freq")
     return _regroup(coded, keys)
@@ -212,7 +213,7 @@ def encode_longest_match(
         for batch in batches:
             yield pd.Series([_longest_match(w, entries, max_chars) for w in batch])
 
-    flat = rows.select(*keys, F.posexplode("tokens").alias("pos", "word"))
+    flat = list_rows(rows, keys, "tokens", "word")
     types = flat.groupBy("word").agg(F.count("*").alias("freq"))
     table = cut_lineage(types.withColumn("parts", split("word")))
     return _regroup(lookup(flat, table, ["word"], "freq"), keys)

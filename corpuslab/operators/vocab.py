@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.functions.rows import item_rows, list_rows
 from corpuslab.functions.tokens import UNK
 from corpuslab.operators.lookup import lookup
 from corpuslab.operators.ordinal import global_rank
@@ -15,14 +16,12 @@ from corpuslab.operators.ordinal import global_rank
 def explode_tokens(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
     """One row per token, with its place ``pos`` in its list."""
     others = [c for c in rows.columns if c != tokens]
-    return rows.select(*others, F.posexplode(tokens).alias("pos", "token")).withColumn(
-        "pos", F.col("pos").cast("long")
-    )
+    return list_rows(rows, others, tokens, "token")
 
 
 def count_tokens(rows: DataFrame, tokens: str = "tokens", by: Sequence[str] = ()) -> DataFrame:
     """How often each token occurs, per ``by`` group, as ``freq``."""
-    flat = rows.select(*by, F.explode(tokens).alias("token"))
+    flat = item_rows(rows, by, tokens, "token")
     return flat.groupBy(*by, "token").agg(F.count("*").alias("freq"))
 
 

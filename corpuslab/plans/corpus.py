@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.functions import cleaning, tokens
+from corpuslab.functions.rows import item_rows
 from corpuslab.operators import counting, experiments, ordinal, vocab
 from corpuslab.session import cut_lineage
 from corpuslab.sources.corpus import load_table, split_lines, to_lines
@@ -148,10 +149,10 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
         found = tokens.get_tokenizer(kind)(F.col("text"))
         return F.transform(found, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token")))
 
-    both = document_lines(spark, folder).select(
-        F.inline(F.concat(tagged("char"), tagged("word")))
+    both = item_rows(
+        document_lines(spark, folder), [], F.concat(tagged("char"), tagged("word")), "t"
     )
-    return both.groupBy("kind", "token").agg(F.count("*").alias("freq"))
+    return both.groupBy("t.kind", "t.token").agg(F.count("*").alias("freq"))
 
 
 def _source_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -219,8 +220,8 @@ def run_grid(spark: SparkSession, folder: str) -> DataFrame:
             for name in tokens.TOKENIZERS
         ]
     )
-    found = lines.select("source", F.inline(sizes)).filter("n > 0")
-    found = found.groupBy("source", "tokenizer").agg(F.sum("n").alias("n_tokens"))
+    found = item_rows(lines, ["source"], sizes, "t").groupBy("source", "t.tokenizer")
+    found = found.agg(F.sum("t.n").alias("n_tokens"))
     sources = load_table(spark, folder, "documents", ["source"])
     grid = experiments.run_grid(sources, list(tokens.TOKENIZERS), "tokenizer")
     return grid.join(found, ["source", "tokenizer"], "left").select(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import cleaning, tokens
+from corpuslab.functions.rows import item_rows
 from corpuslab.operators import (
     counting, evaluate, experiments, ngrams, sequences, similarity, subword, vocab,
 )
@@ -63,9 +64,13 @@ def _letter_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as character ids of their letters-only text."""
     arrays = document_arrays(spark, folder)
     letters = F.array_join(F.transform("lines", cleaning.clean_letters), "")
-    rows = arrays.select("doc_id", tokens.char_tokens(letters).alias("tokens"))
-    known = vocab.build_vocab(vocab.count_tokens(rows))
-    return rows.select("doc_id", sequences.code_small(F.col("tokens"), known).alias("ids"))
+    rows = arrays.select("doc_id", letters.alias("letters"))
+    chars = rows.select(tokens.char_tokens(F.col("letters")).alias("tokens"))
+    known = vocab.build_vocab(vocab.count_tokens(chars))
+    return rows.select(
+        "doc_id", F.length("letters").alias("n"),
+        sequences.code_characters(F.col("letters"), known).alias("ids"),
+    )
 
 
 def slice_corpus(spark: SparkSession, folder: str) -> DataFrame:
@@ -268,9 +273,7 @@ def subword_longest_match(spark: SparkSession, folder: str) -> DataFrame:
     lines = document_lines(spark, folder)
     words = lines.select("doc_id", "line_no", tokens.word_tokens(F.lower("text")).alias("tokens"))
     top = counting.top_k(vocab.count_tokens(words), LONGEST_WORDS).select("token")
-    letters = words.select(F.explode("tokens").alias("w")).select(
-        F.explode(tokens.char_tokens(F.col("w"))).alias("token")
-    )
+    letters = item_rows(words, [], tokens.char_tokens(F.array_join("tokens", "")), "token")
     whole = cut_lineage(top.unionByName(letters.distinct()).distinct())
     table = whole.unionByName(
         whole.select(F.concat(F.lit(tokens.CONTINUED), "token").alias("token"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuslab.functions.rows import list_rows
+
 
 def load_table(spark: SparkSession, folder: str, name: str, columns: list[str]) -> DataFrame:
     """Read the wanted columns of a parquet table, spread over the cores.
@@ -30,9 +32,7 @@ def split_lines(text):
 def to_lines(texts: DataFrame, text: str = "text") -> DataFrame:
     """One row per line: the other columns, ``line_no`` from 0, and ``text``."""
     others = [c for c in texts.columns if c != text]
-    return texts.select(
-        *others, F.posexplode(split_lines(F.col(text))).alias("line_no", "text")
-    ).withColumn("line_no", F.col("line_no").cast("long"))
+    return list_rows(texts, others, split_lines(F.col(text)), "text", "line_no")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -14,7 +14,7 @@ def stream(spark, n, pieces=None, seed=0):
         size = rng.choice(pieces or [0, 1, 2, 5, 30])
         rows.append((len(rows) * 3, list(range(100 + at, 100 + min(at + size, n)))))
         at += size
-    return spark.createDataFrame(rows, "doc_id long, ids array<long>")
+    return spark.createDataFrame(rows, "doc_id long, ids array<long>").withColumn("n", F.size("ids"))
 
 
 def in_batches(found):
@@ -118,10 +118,11 @@ def test_labels_and_truncation(spark):
     assert row[1] == list(range(32))
 
 
-def test_code_small_refuses_large_vocabularies(spark):
+def test_code_characters(spark):
     big = spark.range(300).select(F.col("id").cast("string").alias("token"), F.col("id").alias("idx"))
     with pytest.raises(ValueError):
-        seq.code_small(F.array(F.lit("1")), big)
-    small = big.filter("idx < 9")
-    row = spark.range(1).select(seq.code_small(F.array(F.lit("3"), F.lit("x")), small)).first()
-    assert row[0] == [3, 0]
+        seq.code_characters(F.lit("1"), big)
+    small = big.filter("idx < 15").orderBy(F.desc("idx"))
+    texts = spark.createDataFrame([("3x0",), ("",), ("99",)], "text string")
+    got = [r[0] for r in texts.select(seq.code_characters(F.col("text"), small, 77)).collect()]
+    assert got == [[3, 77, 0], [], [9, 9]]

@@ -25,7 +25,12 @@ def test_batch_distances():
     left = [text("abcé😀") for _ in range(200)]
     right = [text("abcéz") for _ in range(200)]
     got = batch_distances(pd.Series(left), pd.Series(right))
-    assert list(got) == [plain_distance(a, b) for a, b in zip(left, right)]
+    want = [plain_distance(a, b) for a, b in zip(left, right)]
+    assert list(got) == want
+    bound = pd.Series([rng.randint(0, 120) for _ in left])
+    cut = batch_distances(pd.Series(left), pd.Series(right), bound)
+    for c, w, b in zip(cut, want, bound):
+        assert c == w if w <= b else c > b
 
 
 def test_edit_distance_of_long_texts(spark):
