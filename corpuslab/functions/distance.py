@@ -1,72 +1,101 @@
-"""Edit distance of text pairs, a batch at a time."""
+"""Edit distances of one text to blocks of texts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 WORD = 64  # bits per machine word
-LONGEST = 1_024  # characters of the shorter text handled in batches
-BATCH_PAIRS = 2_048
-TABLE_CELLS = 1 << 22  # entries of a match table held at a time
 
 _ONE = np.uint64(1)
 
 
-def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All characters of the texts, with the row and the place of each."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
-    sizes = np.array([len(t) for t in texts])
-    rows = np.repeat(np.arange(len(texts)), sizes)
-    places = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return codes, rows, places
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
 
 
-def _batch(patterns: list[str], texts: list[str], words: int) -> np.ndarray:
-    """Distances of pairs whose patterns take the same number of machine words.
+@dataclass
+class Block:
+    """Texts of similar length, as columns of symbol numbers in an alphabet."""
 
-    One text character of all pairs is handled per step, a column of the distance
-    matrix being kept as bits of vertical differences (Myers 1999, Hyyrö 2003).
-    Pairs come sorted by falling text length, so finished ones drop off the end.
-    """
-    pairs = len(patterns)
-    codes, rows, places = _code_points(patterns)
-    alphabet, symbols = np.unique(codes, return_inverse=True)
+    rows: np.ndarray  # where the texts were, longest text first
+    sizes: np.ndarray
+    cells: np.ndarray
+    counts: np.ndarray  # per text, how often it has each symbol
+
+
+def make_block(texts: list[str], rows: np.ndarray, alphabet: np.ndarray) -> Block:
+    """``rows`` picks the texts, longest first; characters not in the alphabet are alike."""
+    sizes = np.array([len(texts[r]) for r in rows])
+    codes = code_points("".join(texts[r] for r in rows))
+    columns = np.repeat(np.arange(len(rows)), sizes)
+    places = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.searchsorted(alphabet, codes).clip(max=len(alphabet) - 1)
+    symbols = np.where(alphabet[at] == codes, at, len(alphabet))
+    cells = np.full((sizes[0], len(rows)), len(alphabet), dtype=np.int32)
+    cells[places, columns] = symbols
     width = len(alphabet) + 1
-    table = np.zeros((words, pairs * width), dtype=np.uint64)
-    bits = _ONE << (places % WORD).astype(np.uint64)
+    counts = np.bincount(columns * width + symbols, minlength=len(rows) * width)
+    return Block(rows, sizes, cells, counts.reshape(len(rows), width).astype(np.int32))
+
+
+@dataclass
+class Pattern:
+    """A text prepared for comparing: where it has which symbol, as bits."""
+
+    size: int
+    masks: np.ndarray
+    counts: np.ndarray
+
+
+def make_pattern(text: str, alphabet: np.ndarray) -> Pattern:
+    symbols = np.searchsorted(alphabet, code_points(text))
+    places = np.arange(len(symbols))
+    masks = np.zeros((max(1, -(-len(symbols) // WORD)), len(alphabet) + 1), dtype=np.uint64)
     # every place has a bit of its own, so adding is setting
-    np.add.at(table, (places // WORD, rows * width + symbols), bits)
-
-    codes, rows, places = _code_points(texts)
-    at = np.searchsorted(alphabet, codes).clip(max=width - 2)
-    cells = np.zeros((len(texts[0]), pairs), dtype=np.int64)
-    cells[places, rows] = rows * width + np.where(alphabet[at] == codes, at, width - 1)
-
-    sizes = np.array([len(t) for t in texts])
-    score = np.array([len(p) for p in patterns])
-    last = _ONE << ((score - 1) % WORD).astype(np.uint64)
-    plus = np.full((words, pairs), ~np.uint64(0))
-    minus = np.zeros((words, pairs), dtype=np.uint64)
+    np.add.at(masks, (places // WORD, symbols), _ONE << (places % WORD).astype(np.uint64))
+    counts = np.bincount(symbols, minlength=len(alphabet) + 1).astype(np.int32)
+    return Pattern(len(symbols), masks, counts)
+
+
+def lower_bounds(pattern: Pattern, block: Block) -> np.ndarray:
+    """Per text of the block, the characters of either text that have no partner."""
+    extra = pattern.counts - block.counts
+    missing = extra.clip(min=0).sum(axis=1)
+    return np.maximum(missing, block.sizes - pattern.size + missing)
+
+
+def distances(pattern: Pattern, block: Block, keep: np.ndarray) -> np.ndarray:
+    """Edit distances, in characters, to the texts of a block at the places ``keep``.
+
+    One character of all texts is handled per step, a column of the distance matrix
+    being kept as bits of vertical differences (Myers 1999, Hyyrö 2003). Texts come
+    longest first, so finished ones drop off the end.
+    """
+    sizes = block.sizes[keep]
+    cells = block.cells if len(keep) == len(block.sizes) else block.cells[:, keep]
+    if pattern.size == 0:
+        return sizes
+    words = len(pattern.masks)
+    last = _ONE << np.uint64((pattern.size - 1) % WORD)
+    score = np.full(len(keep), pattern.size)
+    plus = np.full((words, len(keep)), ~np.uint64(0))
+    minus = np.zeros((words, len(keep)), dtype=np.uint64)
     active = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
     for step, n in enumerate(active):
-        carry_up = np.ones(n, dtype=np.uint64)
-        carry_down = np.zeros(n, dtype=np.uint64)
+        carry_up: np.ndarray | np.uint64 = _ONE
+        carry_down: np.ndarray | np.uint64 = np.uint64(0)
         for w in range(words):
             p, m = plus[w, :n], minus[w, :n]
-            equal = table[w].take(cells[step, :n])
+            equal = pattern.masks[w].take(cells[step, :n])
             vertical = equal | m
             equal |= carry_down
             horizontal = (((equal & p) + p) ^ p) | equal
             up, down = m | ~(horizontal | p), p & horizontal
             if w == words - 1:
-                score[:n] += (up & last[:n]) != 0
-                score[:n] -= ((down & last[:n]) != 0).astype(np.int64)
+                score[:n] += (up & last) != 0
+                score[:n] -= ((down & last) != 0).astype(np.int64)
             else:  # the top bits go on to the next word
                 next_up = (up.view(np.int64) < 0).astype(np.uint64)
                 next_down = (down.view(np.int64) < 0).astype(np.uint64)
@@ -76,65 +105,3 @@ def _batch(patterns: list[str], texts: list[str], words: int) -> np.ndarray:
             if w < words - 1:
                 carry_up, carry_down = next_up, next_down
     return score
-
-
-def lower_bounds(left: list[str], right: list[str]) -> np.ndarray:
-    """Per pair, the characters of either text that cannot be matched in the other."""
-    counts = []
-    symbols = np.unique(np.concatenate([_code_points(left)[0], _code_points(right)[0]]))
-    for texts in (left, right):
-        codes, rows, _ = _code_points(texts)
-        cells = rows * len(symbols) + np.searchsorted(symbols, codes)
-        counted = np.bincount(cells, minlength=len(texts) * len(symbols))
-        counts.append(counted.reshape(len(texts), len(symbols)))
-    extra = counts[0] - counts[1]
-    return np.maximum(extra.clip(min=0).sum(axis=1), (-extra).clip(min=0).sum(axis=1))
-
-
-def batch_distances(left: pd.Series, right: pd.Series, bound: pd.Series | None = None) -> np.ndarray:
-    """Edit distances, in characters, of two columns of texts.
-
-    A pair whose character counts alone put it beyond its bound keeps that lower
-    bound instead of the distance.
-    """
-    result = np.zeros(len(left), dtype=np.int64)
-    far = np.zeros(len(left), dtype=bool)
-    if bound is not None:
-        for at in range(0, len(left), BATCH_PAIRS):
-            part = slice(at, at + BATCH_PAIRS)
-            result[part] = lower_bounds(list(left[part]), list(right[part]))
-        far = result > bound.to_numpy()
-    groups: dict[int, list[tuple[int, str, str]]] = {}
-    for i, (a, b) in enumerate(zip(left, right)):
-        if far[i]:
-            continue
-        pattern, text = (a, b) if len(a) <= len(b) else (b, a)
-        if pattern:
-            groups.setdefault(-(-len(pattern) // WORD), []).append((i, pattern, text))
-        else:
-            result[i] = len(text)
-    for words, pairs in groups.items():
-        pairs.sort(key=lambda pair: -len(pair[2]))
-        symbols = len({c for _, pattern, _ in pairs for c in pattern}) + 1
-        step = min(BATCH_PAIRS, max(1, TABLE_CELLS // (symbols * words)))
-        for at in range(0, len(pairs), step):
-            rows, patterns, texts = zip(*pairs[at : at + step])
-            result[list(rows)] = _batch(list(patterns), list(texts), words)
-    return result
-
-
-@F.pandas_udf(T.IntegerType())
-def _distance(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-    for left, right, bound in batches:
-        found = batch_distances(left.fillna(""), right.fillna(""), bound)
-        yield pd.Series(found, dtype="int32")
-
-
-def edit_distance(left: Column, right: Column, bound: Column) -> Column:
-    """The edit distance where it is within ``bound``, something else beyond it.
-
-    Pairs of very long texts do better one at a time, in the JVM.
-    """
-    short = F.least(F.length(left), F.length(right)) <= LONGEST
-    batched = _distance(F.when(short, left), F.when(short, right), bound)
-    return F.when(short, batched).otherwise(F.call_function("levenshtein", left, right, bound))

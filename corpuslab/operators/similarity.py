@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpuslab.functions.distance import edit_distance
+from corpuslab.functions import distance
 from corpuslab.operators.lookup import fits_broadcast
 from corpuslab.session import cut_lineage
 
+BLOCK = 1_024  # originals compared at a time
+LONGEST = 1_024  # characters of a generated text compared with blocks
+MAX_GENERATED, MAX_GENERATED_BYTES = 50_000, 16 << 20  # sent to every task
 BAND = 16  # characters per length band
-SALTS = 64  # parts of a length band, where generated texts are too many to broadcast
+SALTS = 64  # parts of a length band
 NEAR = 3  # length bands tried for a first bound
 
 
@@ -23,27 +31,106 @@ def _spread(texts: DataFrame) -> DataFrame:
     """Comparing costs far more than the bytes suggest, so use all cores at least."""
     spark = texts.sparkSession
     wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return texts.repartition(max(wanted, 4 * spark.sparkContext.defaultParallelism), "text")
+    return texts.repartition(max(wanted, spark.sparkContext.defaultParallelism), "text")
+
+
+class _Best:
+    """The nearest original so far of each generated text, within one task."""
+
+    def __init__(self, generated: list[str], keys: list[str]):
+        letters = sorted({c for g in generated for c in g}) or [" "]
+        self.alphabet = np.unique(distance.code_points("".join(letters)))
+        self.patterns = [distance.make_pattern(g, self.alphabet) for g in generated]
+        self.generated, self.keys = generated, keys
+        self.best: list[tuple | None] = [None] * len(generated)
+
+    def add(self, batch: pd.DataFrame) -> None:
+        batch = batch.sort_values(self.keys, ignore_index=True)
+        texts = batch["text"].to_list()
+        order = np.argsort([-len(t) for t in texts], kind="stable")
+        blocks = [
+            distance.make_block(texts, order[at : at + BLOCK], self.alphabet)
+            for at in range(0, len(order), BLOCK)
+        ]
+        for number, pattern in enumerate(self.patterns):
+            self._compare(number, pattern, blocks, batch)
+
+    def _compare(self, number: int, pattern, blocks: list, batch: pd.DataFrame) -> None:
+        """Blocks of about the text's length come first, so the bound tightens early."""
+        gaps = [
+            max(b.sizes[-1] - pattern.size, pattern.size - b.sizes[0], 0) for b in blocks
+        ]
+        held = self.best[number]
+        bound = held[0] if held else np.iinfo(np.int64).max
+        found = None
+        for i in np.argsort(gaps, kind="stable"):
+            if gaps[i] > bound:
+                break
+            block = blocks[i]
+            keep = np.flatnonzero(distance.lower_bounds(pattern, block) <= bound)
+            if len(keep):
+                scores = distance.distances(pattern, block, keep)
+                nearest = scores.min()
+                candidate = (nearest, block.rows[keep][scores == nearest].min())
+                found = min(found, candidate) if found else candidate
+                bound = min(bound, nearest)
+        if found:
+            row = batch.iloc[found[1]]
+            mine = (int(found[0]), tuple(row[k] for k in self.keys), row["text"])
+            if held is None or mine < held:
+                self.best[number] = mine
+
+    def frame(self) -> pd.DataFrame:
+        rows = [
+            (g, b[0], b[2], *b[1]) for g, b in zip(self.generated, self.best) if b is not None
+        ]
+        return pd.DataFrame(rows, columns=["gen", "distance", "text", *self.keys])
+
+
+def _scan(asked: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
+    """Best originals by one scan of them, with the generated texts in every task.
+
+    Each task gives one row per generated text, so little is shuffled.
+    """
+    generated = [r.gen for r in asked.collect()]
+    sent = known.sparkSession.sparkContext.broadcast(generated)
+    flat = known.select("text", *[F.col(f"key.{k}").alias(k) for k in key])
+    schema = T.StructType(
+        [
+            T.StructField("gen", T.StringType()),
+            T.StructField("distance", T.IntegerType()),
+            T.StructField("text", T.StringType()),
+            *[flat.schema[k] for k in key],
+        ]
+    )
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = _Best(sent.value, key)
+        for batch in batches:
+            if len(batch):
+                best.add(batch)
+        yield best.frame()
+
+    found = flat.mapInPandas(compare, schema)
+    best = F.min(F.struct("distance", F.struct(*key).alias("key"), "text")).alias("best")
+    return found.groupBy("gen").agg(best)
 
 
-def _closest(generated: DataFrame, originals: DataFrame, small: bool) -> DataFrame:
+def _closest(generated: DataFrame, originals: DataFrame) -> DataFrame:
     """Per generated text the best original among those in the length bands it names.
 
-    ``generated`` has ``gen``, ``bound`` and ``bands``. Pairs exist only inside
-    the join: the distance is cut off at the bound, what fails is filtered there,
-    and each task keeps one best original per generated text before any shuffle.
+    ``generated`` has ``gen``, ``bound`` and ``bands``. Bands are cut into parts by a
+    hash of the original, so that a common length does not end up in one task. What
+    is beyond the bound is filtered where it is compared, and each task keeps one
+    best original per generated text before any shuffle.
     """
     asked = generated.select("gen", "bound", F.explode("bands").alias("band"))
-    if small:
-        joined = originals.join(F.broadcast(asked), "band")
-    else:
-        salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")
-        joined = originals.withColumn("salt", salt).join(salted, ["band", "salt"])
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")
+    joined = originals.withColumn("salt", salt).join(asked, ["band", "salt"])
     close = F.abs(F.length("gen") - F.length("text")) <= F.col("bound")
-    distance = edit_distance(F.col("gen"), F.col("text"), F.col("bound"))
-    scored = joined.filter(close).withColumn("distance", distance)
-    scored = scored.filter("distance between 0 and bound")
+    found = F.call_function("levenshtein", F.col("gen"), F.col("text"), F.col("bound"))
+    scored = joined.filter(close).withColumn("distance", found).filter("distance >= 0")
     return scored.groupBy("gen").agg(F.min(F.struct("distance", "key", "text")).alias("best"))
 
 
@@ -52,62 +139,70 @@ def _bands(low: Column, high: Column) -> Column:
     return F.sequence(first, F.greatest(F.floor(high / BAND), first))
 
 
+def _join(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """Best originals by joins on length bands, for any number of generated texts.
+
+    Originals of about a text's length give an upper bound, or the shortest original
+    does where there are none. An original within the bound differs in length by no
+    more than it, so of the other lengths only those are compared.
+    """
+    known = known.withColumn("band", F.floor(F.length("text") / BAND))
+    shortest = known.agg(F.min(F.length("text"))).first()[0]
+    size = F.length("gen")
+    far = F.greatest(size, F.lit(shortest))
+    near = _bands(size - BAND * NEAR // 2, size + BAND * NEAR // 2)
+    first = _closest(asked.select("gen", far.alias("bound"), near.alias("bands")), known)
+    first = cut_lineage(
+        asked.join(first, "gen", "left").select(
+            "gen", "best", F.coalesce("best.distance", far).cast("int").alias("bound")
+        )
+    )
+    wide = _bands(size - F.col("bound"), size + F.col("bound"))
+    rest = first.select("gen", "bound", F.array_except(wide, near).alias("bands"))
+    found = first.filter("best is not null").select("gen", "best")
+    found = found.unionByName(_closest(rest, known))
+    return found.groupBy("gen").agg(F.min("best").alias("best"))
+
+
 def nearest_original(
     generated: DataFrame,
     originals: DataFrame,
     key: list[str],
     append_newline: bool = False,
-    small: bool | None = None,
+    scan: bool | None = None,
 ) -> DataFrame:
     """For each distinct generated text, its nearest original, ``(gen, distance, key, text)``.
 
-    Ties go to the original with the smallest key. The result is exact:
-
-    1. texts that also are originals are settled by an equality join;
-    2. the others get an upper bound from originals of about their length, or,
-       where there are none, from the shortest original;
-    3. an original within the bound differs in length by no more than it, so of the
-       other lengths only those are compared.
+    Ties go to the original with the smallest key. The result is exact. Texts that
+    also are originals are settled by an equality join. The others are compared by
+    one scan of the originals if they are few and short enough to be in every task,
+    and by joins on length bands if not; ``scan`` overrides the choice.
 
     With ``append_newline`` originals are compared with a line end after them, as
     lines of a file are if nothing strips them.
     """
     if append_newline:
         originals = originals.withColumn("text", F.concat("text", F.lit("\n")))
-    known = _distinct(originals, key).withColumn("band", F.floor(F.length("text") / BAND))
-    known = cut_lineage(_spread(known))
-    asked = cut_lineage(generated.select(F.col("text").alias("gen")).distinct())
-    same = asked.join(known.withColumnRenamed("text", "gen"), "gen", "left")
-    same = cut_lineage(same.select("gen", "key"))
+    known = cut_lineage(_spread(_distinct(originals, key)))
+    asked = generated.select(F.col("text").alias("gen")).distinct()
+    same = cut_lineage(
+        asked.join(known.withColumnRenamed("text", "gen"), "gen", "left").select("gen", "key")
+    )
     settled = same.filter("key is not null").select(
         "gen", F.struct(F.lit(0).alias("distance"), "key", F.col("gen").alias("text")).alias("best")
     )
-    open_ = same.filter("key is null").select("gen")
-    small = fits_broadcast(asked) if small is None else small
-
-    shortest = known.agg(F.min(F.length("text"))).first()[0]
-    if shortest is None:
-        return _result(settled, append_newline)
-    size = F.length("gen")
-    far = F.greatest(size, F.lit(shortest))
-    near = _bands(size - BAND * NEAR // 2, size + BAND * NEAR // 2)
-    first = _closest(open_.select("gen", far.alias("bound"), near.alias("bands")), known, small)
-    first = cut_lineage(
-        open_.join(first, "gen", "left").select(
-            "gen", "best", F.coalesce("best.distance", far).cast("int").alias("bound")
-        )
-    )
-    wide = _bands(size - F.col("bound"), size + F.col("bound"))
-    rest = first.select("gen", "bound", F.array_except(wide, near).alias("bands"))
-    found = first.filter("best is not null").select("gen", "best")
-    found = found.unionByName(_closest(rest, known, small))
-    best = found.groupBy("gen").agg(F.min("best").alias("best"))
-    return _result(settled.unionByName(best), append_newline)
-
-
-def _result(found: DataFrame, append_newline: bool) -> DataFrame:
+    rest = same.filter("key is null").select("gen")
+    short = rest.filter(F.length("gen") <= LONGEST)
+    if scan is None:
+        scan = fits_broadcast(short, MAX_GENERATED, MAX_GENERATED_BYTES)
+    if not known.isEmpty():
+        if scan:
+            settled = settled.unionByName(_scan(short, known, key))
+            rest = rest.filter(F.length("gen") > LONGEST)
+        if not rest.isEmpty():
+            settled = settled.unionByName(_join(rest, known))
     text = F.col("best.text")
-    return found.select(
+    return settled.select(
         "gen",
         F.col("best.distance").cast("long").alias("distance"),
         F.col("best.key").alias("key"),

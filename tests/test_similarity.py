@@ -1,10 +1,9 @@
 import random
 
-import pandas as pd
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from corpuslab.functions.distance import batch_distances, edit_distance
+from corpuslab.functions import distance
 from corpuslab.operators import similarity
 
 
@@ -18,26 +17,23 @@ def plain_distance(a, b):
     return row[-1]
 
 
-def test_batch_distances():
+def test_block_distances():
     rng = random.Random(1)
     sizes = [0, 1, 5, 63, 64, 65, 127, 128, 129, 200]
     text = lambda letters: "".join(rng.choice(letters) for _ in range(rng.choice(sizes)))
-    left = [text("abcé😀") for _ in range(200)]
-    right = [text("abcéz") for _ in range(200)]
-    got = batch_distances(pd.Series(left), pd.Series(right))
-    want = [plain_distance(a, b) for a, b in zip(left, right)]
-    assert list(got) == want
-    bound = pd.Series([rng.randint(0, 120) for _ in left])
-    cut = batch_distances(pd.Series(left), pd.Series(right), bound)
-    for c, w, b in zip(cut, want, bound):
-        assert c == w if w <= b else c > b
-
-
-def test_edit_distance_of_long_texts(spark):
-    rows = [("ab" * 900, "ba" * 900), ("abc", "abd"), ("", "xy"), ("é", "e"), (None, "a")]
-    df = spark.createDataFrame(rows, "a string, b string").withColumn("bound", F.lit(5))
-    got = df.select(edit_distance(F.col("a"), F.col("b"), F.col("bound"))).collect()
-    assert [r[0] for r in got][:4] == [2, 1, 2, 1]
+    patterns = [text("abcé😀") for _ in range(20)] + [""]
+    others = [text("abcéz") for _ in range(60)] + ["b"]
+    alphabet = np.unique(distance.code_points("".join(patterns)))
+    order = np.argsort([-len(t) for t in others], kind="stable")
+    block = distance.make_block(others, order, alphabet)
+    for p in patterns:
+        pattern = distance.make_pattern(p, alphabet)
+        want = np.array([plain_distance(p, others[r]) for r in order])
+        everything = np.arange(len(order))
+        assert list(distance.distances(pattern, block, everything)) == list(want)
+        some = everything[::3]
+        assert list(distance.distances(pattern, block, some)) == list(want[some])
+        assert (distance.lower_bounds(pattern, block) <= want).all()
 
 
 def texts(spark, rows):
@@ -50,9 +46,11 @@ def plain_nearest(generated, originals, end=""):
     }
 
 
-@pytest.mark.parametrize("small", [True, False])
+@pytest.mark.parametrize("scan", [True, False])
 @pytest.mark.parametrize("newline", [True, False])
-def test_nearest_is_exact(spark, small, newline):
+def test_nearest_is_exact(spark, scan, newline, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    monkeypatch.setattr(similarity, "LONGEST", 100)
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))
     line = lambda: " ".join(word() for _ in range(rng.randint(0, 12)))
@@ -61,7 +59,7 @@ def test_nearest_is_exact(spark, small, newline):
     generated = [(i, line()) for i in range(25)]
     generated += [(50, originals[3][1]), (51, ""), (52, "y" * 300), (53, originals[4][1] + "q")]
     found = similarity.nearest_original(
-        texts(spark, generated), texts(spark, originals), ["n"], newline, small
+        texts(spark, generated), texts(spark, originals), ["n"], newline, scan
     ).collect()
     want = plain_nearest(generated, originals, "\n" if newline else "")
     assert {r.gen: (r.distance, r.key.n, r.text) for r in found} == want
