@@ -15,6 +15,7 @@ from corpuslab.operators.lookup import fits_broadcast
 from corpuslab.session import cut_lineage
 
 BLOCK = 1_024  # originals compared at a time
+CELLS = 1 << 20  # characters of a block, so long texts make small blocks
 LONGEST = 1_024  # characters of a generated text compared with blocks
 MAX_GENERATED, MAX_GENERATED_BYTES = 50_000, 16 << 20  # sent to every task
 BAND = 16  # characters per length band
@@ -48,10 +49,11 @@ class _Best:
         batch = batch.sort_values(self.keys, ignore_index=True)
         texts = batch["text"].to_list()
         order = np.argsort([-len(t) for t in texts], kind="stable")
-        blocks = [
-            distance.make_block(texts, order[at : at + BLOCK], self.alphabet)
-            for at in range(0, len(order), BLOCK)
-        ]
+        blocks = []
+        while len(order):
+            rows = max(1, min(BLOCK, CELLS // (len(texts[order[0]]) + 1)))
+            blocks.append(distance.make_block(texts, order[:rows], self.alphabet))
+            order = order[rows:]
         for number, pattern in enumerate(self.patterns):
             self._compare(number, pattern, blocks, batch)
 
@@ -60,12 +62,14 @@ class _Best:
         gaps = [
             max(b.sizes[-1] - pattern.size, pattern.size - b.sizes[0], 0) for b in blocks
         ]
-        held = self.best[number]
-        bound = held[0] if held else np.iinfo(np.int64).max
-        found = None
+        # no two texts are further apart than the longer one is long
+        bound = max(pattern.size, blocks[-1].sizes[-1])
+        held, found = self.best[number], None
+        if held:
+            bound = min(bound, held[0])
         for i in np.argsort(gaps, kind="stable"):
             if gaps[i] > bound:
-                break
+                break  # so are all blocks after it
             block = blocks[i]
             keep = np.flatnonzero(distance.lower_bounds(pattern, block) <= bound)
             if len(keep):
