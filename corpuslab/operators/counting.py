@@ -122,5 +122,5 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
         F.count("*").alias("n_docs"),
         F.coalesce(F.sum(F.size("lines")), F.lit(0)).cast("long").alias("n_lines"),
     )
-    one = F.lit(1).alias("one")
-    return sizes.select(one, "*").join(types.select(one, "*"), "one").drop("one")
+    both = sizes.unionByName(types, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])

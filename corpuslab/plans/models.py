@@ -151,17 +151,21 @@ def score_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def perplexity(spark: SparkSession, folder: str) -> DataFrame:
-    """Train and validation perplexities, in batches of similar length."""
-    batched = _length_batches(spark, folder).filter("split in ('train', 'val')")
-    batched = cut_lineage(batched.select("split", "batch", "tokens"))
-    pairs = sequences.next_token_pairs(batched)
-    table = ngrams.score_table(pairs, F.col("split") == "train")
-    words = F.sum(tokens.words_in_sequence(F.slice("tokens", 1, F.size("tokens") - 1), "word"))
-    words = batched.groupBy("split", "batch").agg(words.alias("n_words"))
-    losses = ngrams.score(pairs, table).groupBy("split", "batch").agg(
-        F.sum("nll").alias("nll"), F.count("*").alias("n_tokens")
+    """Train and validation perplexities, in batches of similar length.
+
+    A line of words has one pair more than it has words, the first one at 0.
+    """
+    lines = split_lines_by_position(spark, folder).filter("split in ('train', 'val')")
+    wrapped = _wrapped(lines, "split", "doc_id", "line_no")
+    table = ngrams.score_table(sequences.next_token_pairs(wrapped), F.col("split") == "train")
+    batched = sequences.length_batches(wrapped, LENGTH_BATCH).select("split", "batch", "tokens")
+    scored = ngrams.score(sequences.next_token_pairs(batched), table)
+    losses = scored.groupBy("split", "batch").agg(
+        F.sum("nll").alias("nll"),
+        F.count("*").alias("n_tokens"),
+        (F.count("*") - F.count_if(F.col("pos") == 0)).alias("n_words"),
     )
-    return evaluate.perplexity(losses.join(words, ["split", "batch"]))
+    return evaluate.perplexity(losses)
 
 
 def experiment_summary(spark: SparkSession, folder: str) -> DataFrame:
