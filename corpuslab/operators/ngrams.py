@@ -72,13 +72,19 @@ def best_successor(bigrams: DataFrame, policy: str) -> DataFrame:
     return best.select("prev", F.col("best.next").alias("next"))
 
 
-def _append(walks: DataFrame, hops: DataFrame) -> DataFrame:
-    """Continue each walk ``(…, path, end)`` with the hop that starts at its end."""
-    arrivals = walks.filter("end is not null").groupBy("end").agg(F.count("*").alias("arrivals"))
+def _append(walks: DataFrame, hops: DataFrame, small: bool) -> DataFrame:
+    """Continue each walk ``(…, path, end)`` with the hop that starts at its end.
+
+    Walks tend to end at few tokens, so hops are weighted by how many arrive there.
+    """
     onward = hops.select(
         F.col("token").alias("end"), F.col("path").alias("onward"), F.col("end").alias("then")
-    ).join(arrivals, "end")
-    walked = lookup(walks, cut_lineage(onward), ["end"], "arrivals")
+    )
+    if small:
+        walked = walks.join(F.broadcast(onward), "end", "left")
+    else:
+        ends = walks.filter("end is not null").groupBy("end").agg(F.count("*").alias("arrivals"))
+        walked = lookup(walks, cut_lineage(onward.join(ends, "end")), ["end"], "arrivals")
     path = F.concat("path", F.coalesce("onward", F.array().cast("array<string>")))
     kept = [c for c in walks.columns if c not in ("path", "end")]
     return walked.select(*kept, path.alias("path"), F.col("then").alias("end"))
@@ -100,11 +106,12 @@ def walks(successors: DataFrame, starts: DataFrame, steps: int) -> DataFrame:
     walked = starts.select("start", F.array().cast("array<string>").alias("path"),
                            F.col("start").alias("end"))
     while steps:
+        small = fits_broadcast(hops)
         if steps & 1:
-            walked = cut_lineage(_append(walked, hops))
+            walked = cut_lineage(_append(walked, hops, small))
         steps >>= 1
         if steps:
-            hops = cut_lineage(_append(hops, hops))
+            hops = cut_lineage(_append(hops, hops, small))
     return walked.select("start", "path")
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from corpuslab.functions import cleaning, tokens
 from corpuslab.functions.rows import item_rows
 from corpuslab.operators import counting, experiments, ordinal, vocab
-from corpuslab.session import cut_lineage
 from corpuslab.sources.corpus import load_table, split_lines, to_lines
 
 MIN_FREQ = 2

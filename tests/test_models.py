@@ -77,6 +77,11 @@ def test_greedy(spark, policy, steps):
         assert list(r.generated) == plain_greedy(counts, r.tokens, steps, policy)
 
 
+def test_greedy_beyond_the_broadcast_limit(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "fits_broadcast", lambda *_: False)
+    test_greedy(spark, policy="suppress_eos", steps=13)
+
+
 def test_unknown_policy(spark):
     with pytest.raises(ValueError):
         ngrams.best_successor(spark.createDataFrame([], "prev string, next string, n long"), "x")
