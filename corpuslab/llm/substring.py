@@ -1,12 +1,15 @@
 """Removal of word sequences that repeat, found by doubling the length of what is compared.
 
-A window of ``window`` words repeats only if every shorter sequence in it does. So short
-sequences are compared first, those that repeat alone are extended to twice the length, and so on
-up to the window. The first level does not need all of them: each window is represented by
-the smallest (by hash) of its short sequences, a choice that depends on the window's words only, so
-equal windows choose alike. Neighbouring windows mostly share their choice; a ``run`` of them is one
-row. A run whose whole stretch of words also is a run elsewhere is settled at once, all
-its windows repeat; only runs with a common short sequence in different surroundings go on.
+A window of ``window`` words repeats only if every shorter sequence in it does. So sequences of a
+quarter of its length are compared first; those that repeat alone are extended to twice the length, and
+those that repeat then, to the window. The first level does not need all sequences: each window is
+represented by the smallest (by hash) of its short sequences, a choice that depends on the window's words
+only, so equal windows choose alike. Neighbouring windows mostly share their choice; a ``run`` of
+them is one row. A run whose whole stretch of words also is a run elsewhere is settled at once,
+all its windows repeat; only runs with a common short sequence in different surroundings go on.
+
+Rows are thinned before they are shuffled: what repeats within one batch of documents is settled there, and
+one row stands for it elsewhere. So a passage in a third of all documents sends one row per batch.
 
 Stretches are compared by a hash of 64 bits within groups of an independent hash of 64 bits.
 """
@@ -15,11 +18,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslab.llm.batches import field, sliced, utf8, with_python
+from corpuslab.llm.batches import field, list_array, sliced, utf8, with_python
 from corpuslab.session import cut_lineage
 
 WINDOW = 35
@@ -29,12 +32,15 @@ _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def levels(window: int) -> list[int]:
-    """Lengths to compare: doubled from a quarter of the window up to the window itself."""
-    lengths = [max(1, (window + 1) // 4)]
-    while 2 * lengths[-1] < window:
-        lengths.append(2 * lengths[-1])
-    return lengths + [window] * (lengths[-1] < window)
+CROWD = 8
+"""A sequence with more different surroundings than this in one batch goes on without comparing them."""
+#: What is known of a row: to be counted, settled, to be extended, or both of these.
+COUNT, SETTLED, MARKED, BOTH = range(4)
+
+
+def levels(window: int) -> tuple[int, int, int]:
+    """Lengths to compare: a quarter of the window, a half, and all of it, rounded up."""
+    return -(-window // 4), -(-window // 2), window
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -142,19 +148,60 @@ def next_runs(texts: Texts, owner, first, last, at, length: int, longer: int, wi
     )
 
 
-RUN = T.StructType(
+ROW = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("key", "around", "doc")]
     + [T.StructField(n, T.IntegerType()) for n in ("first", "last", "at")]
+    + [T.StructField(n, T.IntegerType()) for n in ("kind", "n_key", "n_around", "loose")]
+)
+WINDOWS = T.StructType(
+    [
+        *ROW.fields,
+        T.StructField("places", T.ArrayType(T.IntegerType())),
+        T.StructField("keys", T.ArrayType(T.LongType())),
+        T.StructField("arounds", T.ArrayType(T.LongType())),
+    ]
 )
 
 
-def _batch(columns, docs: np.ndarray) -> pa.RecordBatch:
-    key, around, owner, *places = columns
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key), pa.array(around), pa.array(docs[owner])]
-        + [pa.array(p.astype(np.int32)) for p in places],
-        names=RUN.names,
-    )
+def thinned(key: np.ndarray, around: np.ndarray):
+    """What one batch knows of its rows: ``kind, n_key, n_around, loose``.
+
+    Of rows with equal key and surroundings one is counted, with the number of all; the others are
+    settled. A key with more than ``CROWD`` surroundings has one row counted, which is ``loose``: it
+    tells of rows to be extended that are not counted.
+    """
+    size = len(key)
+    kind, n_key, n_around, loose = (np.zeros(size, np.int32) for _ in range(4))
+    if not size:
+        return kind, n_key, n_around, loose
+    order = np.lexsort((around, key))
+    new_key = np.diff(key[order], prepend=0) != 0
+    new_key[0] = True
+    new = new_key | (np.diff(around[order], prepend=0) != 0)
+    heads = np.flatnonzero(new)
+    sizes = np.diff(np.append(heads, size))
+    group = np.cumsum(new_key) - 1
+    crowded = np.bincount(group[heads])[group] > CROWD
+    kind[order] = np.where(new, COUNT, SETTLED)
+    later = crowded[heads] & ~new_key[heads]
+    kind[order[heads[later]]] = np.where(sizes[later] > 1, BOTH, MARKED)
+    n_around[order[heads]] = np.minimum(sizes, 2)
+    n_key[order[heads]] = n_around[order[heads]]
+    first = new_key & crowded
+    loose[order[first]], n_key[order[first]] = 1, 2
+    return kind, n_key, n_around, loose
+
+
+def _columns(made, docs: np.ndarray) -> list[pa.Array]:
+    key, around, owner, first, last, at = made
+    doc = docs[owner]
+    kind, n_key, n_around, loose = thinned(key, around)
+    plain = kind != COUNT
+    key, around = np.where(plain, doc, key), np.where(plain, 0, around)
+    small = (first, last, at, kind, n_key, n_around, loose)
+    return [pa.array(c) for c in (key, around, doc)] + [
+        pa.array(c.astype(np.int32)) for c in small
+    ]
 
 
 def runs(docs: DataFrame, length: int, window: int) -> DataFrame:
@@ -163,60 +210,113 @@ def runs(docs: DataFrame, length: int, window: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in sliced(batch):
-                texts = Texts(utf8(part.column(1)))
-                yield _batch(first_runs(texts, length, window), np.asarray(part.column(0)))
+                made = first_runs(Texts(utf8(part.column(1))), length, window)
+                columns = _columns(made, np.asarray(part.column(0)))
+                yield pa.RecordBatch.from_arrays(columns, names=ROW.names)
 
-    return docs.select("doc", "text").mapInArrow(run, RUN)
+    return docs.select("doc", "text").mapInArrow(run, ROW)
 
 
-def extended(docs: DataFrame, marks: DataFrame, length: int, longer: int, window: int) -> DataFrame:
-    """The marked runs at the next level; only documents with marks are looked at."""
-    per_doc = marks.groupBy("doc").agg(
-        F.collect_list("first").alias("firsts"),
-        F.collect_list("last").alias("lasts"),
-        F.collect_list("at").alias("ats"),
-    )
+def extended(marked: DataFrame, length: int, longer: int, window: int) -> DataFrame:
+    """The marked runs of each document at the next level, with the hashes of their windows.
+
+    ``marked`` has ``doc, text, firsts, lasts, ats``. Windows that repeat within the batch are
+    given as settled rows of their own; only the first of them stays with its run.
+    """
 
     def run(batches):
         for batch in batches:
             for part in sliced(batch):
-                texts = Texts(utf8(part.column(1)))
+                docs, texts = np.asarray(part.column(0)), Texts(utf8(part.column(1)))
                 lists = [part.column(i) for i in (2, 3, 4)]
                 counts = np.asarray(pa.compute.list_value_length(lists[0]))
                 owner = np.repeat(np.arange(len(counts)), counts)
                 flat = [np.asarray(x.flatten()).astype(np.int64) for x in lists]
                 made = next_runs(texts, owner, *flat, length, longer, window)
-                yield _batch(made, np.asarray(part.column(0)))
-
-    found = docs.select("doc", "text").join(per_doc, "doc")
-    return found.select("doc", "text", "firsts", "lasts", "ats").mapInArrow(run, RUN)
-
-
-def resolve(rows: DataFrame, final: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Runs that repeat as a whole (``doc, first, last``), and runs to be extended.
-
-    Counts are aggregated before they are shuffled, and come back by joins that adaptive execution
-    splits where a sequence is in very many places. Of runs that repeat as a whole one goes
-    on with the open runs of the same sequence, since those may share windows with it.
+                _, _, owner, first, last, _ = made
+                n = last - first + 1
+                of = np.repeat(np.arange(len(n)), n)
+                place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
+                start = place + texts.starts[owner[of]]
+                keys = texts.hashes(0, start, start + window).view(np.int64)
+                arounds = texts.hashes(1, start, start + window).view(np.int64)
+                order = np.lexsort((arounds, keys))
+                same = (np.diff(keys[order]) == 0) & (np.diff(arounds[order]) == 0)
+                again, known = np.zeros(len(of), bool), np.zeros(len(of), bool)
+                again[order[1:][same]] = True
+                known[order[1:][same]] = known[order[:-1][same]] = True
+                kept = ~again
+                lengths = np.bincount(of[kept], minlength=len(n))
+                columns = _columns(made, docs) + [
+                    list_array(place[kept].astype(np.int32), lengths),
+                    list_array(keys[kept], lengths),
+                    list_array(arounds[kept], lengths),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=WINDOWS.names)
+                settled = np.flatnonzero(known)
+                if len(settled):
+                    joins = (np.diff(of[settled]) == 0) & (np.diff(place[settled]) == 1)
+                    begins = settled[np.append(True, ~joins)]
+                    ends = settled[np.append(~joins, True)]
+                    doc, zero = docs[owner[of[begins]]], np.zeros(len(begins), np.int32)
+                    none = pa.array([[]] * len(begins), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(doc), pa.array(zero.astype(np.int64)), pa.array(doc)]
+                        + [pa.array(place[x].astype(np.int32)) for x in (begins, ends, begins)]
+                        + [pa.array(c) for c in (zero + SETTLED, zero, zero, zero)]
+                        + [none.cast(pa.list_(pa.int32())), none, none],
+                        names=WINDOWS.names,
+                    )
+
+    return marked.select("doc", "text", "firsts", "lasts", "ats", "whole").mapInArrow(run, WINDOWS)
+
+
+def resolve(rows: DataFrame) -> DataFrame:
+    """The rows that repeat, with ``settled`` (all windows repeat) and ``marked`` (to be extended).
+
+    Of rows that repeat as a whole one goes on with the open rows of the same sequence, since
+    those may share windows with it.
     """
-    keys = rows.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")
+    by_key = Window.partitionBy("key", "kind")
+    by_around = Window.partitionBy("key", "kind", "around")
+    counted = (
+        rows.withColumn("in_around", F.sum("n_around").over(by_around))
+        .withColumn("nth", F.row_number().over(by_around.orderBy("doc", "first")))
+        .withColumn("in_key", F.sum("n_key").over(by_key))
+        .withColumn("open", (F.min("in_around").over(by_key) < 2) | (F.max("loose").over(by_key) > 0))
+    )
+    kind, alone = F.col("kind"), F.col("in_around") < 2
+    settled = F.when(kind == COUNT, ~alone).otherwise(kind.isin(SETTLED, BOTH))
+    goes_on = (F.col("in_key") > 1) & F.col("open") & (alone | (F.col("nth") == 1))
+    marked = F.when(kind == COUNT, goes_on).otherwise(kind.isin(MARKED, BOTH))
+    found = counted.withColumns({"settled": settled, "marked": marked})
+    return found.where("settled or marked").drop("in_around", "nth", "in_key", "open")
+
+
+def repeated_windows(rows: DataFrame) -> DataFrame:
+    """``doc, first, last`` of the settled rows and of each marked row's windows that repeat."""
+    empty = F.array().cast("array<struct<places:int,keys:bigint,arounds:bigint>>")
+    windows = F.when(F.col("marked"), F.arrays_zip("places", "keys", "arounds")).otherwise(empty)
+    own = F.struct(
+        F.lit(None).cast("int").alias("places"), F.col("doc").alias("keys"), F.lit(0).cast("long").alias("arounds")
     )
-    keys = cut_lineage(keys.where("n > 1").select("key", (F.col("lo") != F.col("hi")).alias("mixed")))
-    alive = cut_lineage(rows.join(keys, "key"))
-    mixed = alive.where("mixed")
-    kinds = mixed.groupBy("key", "around").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc", "first", "last", "at")).alias("one")
+    listed = rows.select(
+        "doc",
+        "first",
+        "last",
+        F.explode(F.concat(windows, F.when(F.col("settled"), F.array(own)).otherwise(empty))).alias("w"),
     )
-    kinds = cut_lineage(kinds)
-    whole = mixed.join(kinds.where("n > 1").select("key", "around"), ["key", "around"])
-    settled = alive.where("not mixed").select("doc", "first", "last").union(
-        whole.select("doc", "first", "last")
+    flat = listed.select(
+        "doc",
+        F.coalesce("w.places", "first").alias("first"),
+        F.coalesce("w.places", "last").alias("last"),
+        F.col("w.places").isNull().alias("known"),
+        F.col("w.keys").alias("key"),
+        F.col("w.arounds").alias("around"),
     )
-    if final:
-        return settled, None
-    lone = kinds.groupBy("key").agg(F.min("n").alias("least")).where("least = 1").select("key")
-    return settled, cut_lineage(kinds.join(lone, "key").select("one.*"))
+    alike = Window.partitionBy("key", "around", "known")
+    flat = flat.withColumn("n", F.count("*").over(alike))
+    return flat.where("known or n > 1").select("doc", "first", "last")
 
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -230,21 +330,7 @@ def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
         field(text).alias("text"),
         F.struct(F.lit(True).alias("_"), *(field(c) for c in docs.columns if c != text)).alias("whole"),
     )
-    return made if unique else cut_lineage(made)
-
-
-def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc, first, last``: runs of windows of ``docs`` (``doc``, ``text``) that repeat."""
-    lengths = levels(window)
-    rows, found = runs(docs, lengths[0], window), None
-    for i, length in enumerate(lengths):
-        final = i + 1 == len(lengths)
-        settled, marks = resolve(rows, final)
-        found = settled if found is None else found.union(settled)
-        if final or not marks.take(1):
-            break
-        rows = extended(docs, marks, length, lengths[i + 1], window)
-    return found
+    return made.where("doc is not null") if unique else cut_lineage(made).where("doc is not null")
 
 
 def remove_repeats(
@@ -259,22 +345,35 @@ def remove_repeats(
     """
     clean = docs.drop("n_words", "n_removed", "kept")
     whole = _identified(clean, key, text)
-    spans = repeated(whole.select("doc", "text"), window)
-    per_doc = spans.groupBy("doc").agg(
-        F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts")
+    quarter, half, _ = levels(window)
+    first = resolve(runs(whole, quarter, window)).select("doc", "first", "last", "at", "settled", "marked")
+    known = cut_lineage(first.groupBy("doc").agg(F.collect_list(F.struct(*first.columns[1:])).alias("runs")))
+
+    def listed(which: str, **names: str) -> list:
+        chosen = F.filter("runs", lambda r: r[which])
+        return [chosen.getField(c).alias(n) for n, c in names.items()]
+
+    marks = known.where(F.exists("runs", lambda r: r["marked"])).select(
+        "doc", *listed("marked", firsts="first", lasts="last", ats="at")
+    )
+    settled = known.select("doc", *listed("settled", firsts="first", lasts="last"))
+    rest = repeated_windows(resolve(extended(whole.join(marks, "doc"), quarter, half, window)))
+    rest = rest.groupBy("doc").agg(
+        F.collect_list("first").alias("more_firsts"), F.collect_list("last").alias("more_lasts")
     )
-    joined = whole.join(per_doc, "doc", "left")
+    joined = whole.join(settled, "doc", "left").join(rest, "doc", "left")
 
     def setup():
-        def make(column, firsts, lasts):
+        def make(column, *lists):
             n_words, n_removed, kept = [], [], []
-            for t, a, b in zip(utf8(column), firsts.to_pylist(), lasts.to_pylist(), strict=True):
+            spans = zip(*(c.to_pylist() for c in lists), strict=True)
+            for t, (a, b, c, d) in zip(utf8(column), spans, strict=True):
                 words = t.split()
                 n_words.append(len(words))
-                if a:
+                if a or c:
                     edges = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edges, np.array(a), 1)
-                    np.add.at(edges, np.array(b) + window, -1)
+                    np.add.at(edges, np.array((a or []) + (c or [])), 1)
+                    np.add.at(edges, np.array((b or []) + (d or [])) + window, -1)
                     left = np.flatnonzero(np.cumsum(edges)[:-1] == 0)
                     words = [words[i] for i in left.tolist()]
                 n_removed.append(n_words[-1] - len(words))
@@ -294,7 +393,8 @@ def remove_repeats(
             T.StructField("kept", T.StringType()),
         ]
     )
-    made = with_python(joined, [F.col("text"), F.col("firsts"), F.col("lasts")], added, setup)
+    lists = [F.col(c) for c in ("firsts", "lasts", "more_firsts", "more_lasts")]
+    made = with_python(joined, [F.col("text"), *lists], added, setup)
     old = (
         (F.col("text") if c == text else F.col("whole").getField(c)).alias(c)
         for c in clean.columns
