@@ -200,8 +200,8 @@ class Encoder:
         self.ranks = Ranks(ranks)
         self.pattern = regex.compile(pattern)
         self.whole = _cuts_at_spaces(pattern)
-        self.pieces = _Memo(self._piece)
-        self.words = _Memo(self._word)
+        self.pieces = Memo(self._piece)
+        self.words = Memo(self._word)
 
     def piece(self, piece: bytes) -> list[int]:
         known = self.ranks.ranks.get(piece)
@@ -232,7 +232,7 @@ class Encoder:
         return np.frombuffer(self.packed(text), "<i4").tolist()
 
 
-class _Memo(dict):
+class Memo(dict):
     """Remembers what ``make`` gave for short keys; when full, only those used of late."""
 
     def __init__(self, make: Callable[[str], bytes]):

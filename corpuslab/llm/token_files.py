@@ -18,8 +18,12 @@ are, works on any file system that Spark knows, and shows only files of tasks th
 
 from __future__ import annotations
 
+import json
+import re
 import struct
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslab.llm.batches import field, list_array, texts, with_python
+from corpuslab.llm.byte_pairs import Memo
 
 END_ID = 1
 RECORDS_PER_FILE = 2048
-MEMO = 1 << 17
-"""Words whose ids a worker remembers before it starts anew; not a limit on the input."""
 _LENGTH, _SUM, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<?qB")
 _FRAME = _LENGTH.size + 2 * _SUM.size + 1
 
@@ -86,45 +89,79 @@ class WordIds:
     """Ids of texts by the ``tokenizers`` library, which sees each word only now and then.
 
     A tokenizer that splits at white space gives for a text the ids of its words one after
-    the other; words are cut at spaces and line ends, which every such tokenizer splits at.
+    the other; words are cut at spaces and line ends, which every such tokenizer splits at. Where a
+    tokenizer is of the kind ``_splits`` knows, texts in Latin letters are split here and only
+    their pieces go to the library's model; words of other texts go through the whole tokenizer.
     """
 
     def __init__(self, content: bytes):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content.decode())
-        special = [t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special]
-        self.mark = min(special, default=None, key=lambda pair: pair[0])
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def packed(self, many: list[str]) -> list[bytes]:
-        """The ids of each text as unsigned integers of ``width`` bytes."""
-        if len(self.known) > MEMO:
-            self.known, self.older = {}, self.known
-        split = [t.replace("\n", " ").split(" ") for t in many]
-        new = [w for w in set().union(*split) if w not in self.known]
-        self.known.update((w, self.older[w]) for w in new if w in self.older)
-        missing = [w for w in new if w not in self.known]
-        for start in range(0, len(missing), 4096):
-            part = missing[start : start + 4096]
-            self.known.update(zip(part, self._each(part), strict=True))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
-
-    def _each(self, words: list[str]) -> list[bytes]:
-        """The ids of each word; all in one call, with a special token between the words."""
-        kind = f"<u{self.width}"
-        if self.mark and not any(self.mark[1].content in w for w in words):
-            joined = self.mark[1].content.join(words)
-            ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, kind)
-            between = np.flatnonzero(ids == self.mark[0])
-            if len(between) == len(words) - 1:
-                flat, size = ids.tobytes(), self.width
-                starts, stops = [0, *(between + 1).tolist()], [*between.tolist(), len(ids)]
-                return [flat[a * size : b * size] for a, b in zip(starts, stops, strict=True)]
-        made = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, kind).tobytes() for e in made]
+        self.kind = "H" if self.width == 2 else "I"
+        self.splits = _splits(json.loads(content))
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.I)
+        self.words, self.pieces = Memo(self._word), Memo(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        letters = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array(self.kind, [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return array(self.kind, ids).tobytes()
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as unsigned integers of ``width`` bytes."""
+        if self.splits and _LATIN.fullmatch(text) and not self.added.search(text):
+            return b"".join(map(self.pieces.__getitem__, self.splits.findall(text.lower())))
+        words = text.replace("\n", " ").split(" ")
+        return b"".join(map(self.words.__getitem__, words))
+
+
+#: How byte-level tokenizers write bytes that are no visible letters.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LETTERS = {
+    b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _VISIBLE)
+}
+_LATIN = re.compile("[\t-\r -~\xa1-\u017f]*")
+"""Texts whose letters are composed already and have no lower case that depends on others."""
+
+
+def _of_kind(kind: str) -> str:
+    """The characters up to Latin letters whose category begins with ``kind``."""
+    return "".join(c for c in map(chr, range(0x30, 0x250)) if unicodedata.category(c)[0] == kind)
+
+
+
+
+def _splits(described: dict):
+    """The pattern of a tokenizer that lowers texts and takes the pattern's matches as byte letters."""
+    normal = (described.get("normalizer") or {}).get("normalizers", [])
+    before = (described.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if [n["type"] for n in normal] != ["NFC", "Replace", "Lowercase"] or len(before) != 2:
+        return None
+    split, letters = before
+    plain = (
+        normal[1]["pattern"] == {"Regex": "\\s+"}
+        and split["type"] == "Split"
+        and split["behavior"] == "Removed"
+        and split["invert"]
+        and "Regex" in split["pattern"]
+        and letters["type"] == "ByteLevel"
+        and not letters["add_prefix_space"]
+        and not letters["use_regex"]
+        and described["model"]["type"] == "BPE"
+    )
+    if not plain:
+        return None
+    pattern = split["pattern"]["Regex"]
+    for kind in "LN":
+        pattern = pattern.replace(rf"\p{{{kind}}}", _of_kind(kind))
+    return re.compile(pattern)
 
 
 _WORKER: dict = {}
@@ -161,7 +198,7 @@ def write(
         shared = spark.sparkContext.broadcast(file.read())
     ordered = (
         docs.select(field(key).cast("long").alias("key"), field(text).alias("text"))
-        .repartitionByRange("key", "text")
+        .repartitionByRange("key")
         .sortWithinPartitions("key", "text")
     )
 
@@ -170,7 +207,7 @@ def write(
 
         def make(keys, column):
             end = np.array([end_id], f"<u{words.width}").tobytes()
-            packed = words.packed(texts(column))
+            packed = map(words.packed, texts(column))
             made = (
                 frame(payload_of(k, np.frombuffer(p + end, f"<u{words.width}"), words.width))
                 for k, p in zip(keys.to_pylist(), packed, strict=True)
