@@ -23,7 +23,7 @@ BITS = 18
 MOST_RATED = 12_000
 LEAST_TEXTS = 20
 """Features of fewer rated texts than this have no weight."""
-PREFIXES = (4, 5)
+PREFIXES = (4,)
 """Beginnings of words, in bytes, that are features as well: they also know words not seen before."""
 GRADES = 3
 KEEP = 0.75
@@ -91,7 +91,8 @@ def fit(
     rows, size = len(grades), 1 << BITS
     often = np.bincount(feature, minlength=size) >= LEAST_TEXTS
     owner, feature = owner[often[feature]], feature[often[feature]]
-    used, feature = np.unique(feature, return_inverse=True)
+    used = np.unique(feature)
+    feature = np.searchsorted(used, feature).astype(np.int32)
     values = np.zeros(len(used) + n_grades - 1)
     tails = np.array([(grades >= g).mean() if rows else 0.5 for g in range(1, n_grades)])
     tails = np.clip(tails, 0.01, 0.99)
@@ -165,8 +166,8 @@ def train(
     table = made.toArrow().sort_by("key").combine_chunks()
     lists = table["features"].combine_chunks()
     counts = np.asarray(pa.compute.list_value_length(lists)).astype(np.int64)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    flat = np.asarray(lists.flatten()).astype(np.int64)
+    owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    flat = np.asarray(lists.flatten())
     return fit(owner, flat, np.asarray(table["grade"]).astype(np.int64), n_grades)
 
 
