@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from corpuslab.session import ensure_checkpoint_dir
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 """Rows are handed to Python code in slices of about so many bytes of text."""
 
 

@@ -21,7 +21,6 @@ from __future__ import annotations
 import json
 import re
 import struct
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslab.llm.batches import field, list_array, texts, with_python
-from corpuslab.llm.byte_pairs import Memo
+from corpuslab.llm.byte_pairs import LATIN, Memo, plain_pattern
 
 END_ID = 1
 RECORDS_PER_FILE = 2048
@@ -116,7 +115,7 @@ class WordIds:
 
     def packed(self, text: str) -> bytes:
         """The ids of a text as unsigned integers of ``width`` bytes."""
-        if self.splits and _LATIN.fullmatch(text) and not self.added.search(text):
+        if self.splits and LATIN.fullmatch(text) and not self.added.search(text):
             return b"".join(map(self.pieces.__getitem__, self.splits.findall(text.lower())))
         words = text.replace("\n", " ").split(" ")
         return b"".join(map(self.words.__getitem__, words))
@@ -127,17 +126,6 @@ _VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_LETTERS = {
     b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _VISIBLE)
 }
-_LATIN = re.compile("[\t-\r -~\xa1-\u017f]*")
-"""Texts whose letters are composed already and have no lower case that depends on others."""
-
-
-def _of_kind(kind: str) -> str:
-    """The characters up to Latin letters whose category begins with ``kind``."""
-    return "".join(c for c in map(chr, range(0x30, 0x250)) if unicodedata.category(c)[0] == kind)
-
-
-
-
 def _splits(described: dict):
     """The pattern of a tokenizer that lowers texts and takes the pattern's matches as byte letters."""
     normal = (described.get("normalizer") or {}).get("normalizers", [])
@@ -156,12 +144,7 @@ def _splits(described: dict):
         and not letters["use_regex"]
         and described["model"]["type"] == "BPE"
     )
-    if not plain:
-        return None
-    pattern = split["pattern"]["Regex"]
-    for kind in "LN":
-        pattern = pattern.replace(rf"\p{{{kind}}}", _of_kind(kind))
-    return re.compile(pattern)
+    return plain_pattern(split["pattern"]["Regex"]) if plain else None
 
 
 _WORKER: dict = {}
