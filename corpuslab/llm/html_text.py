@@ -61,6 +61,9 @@ CLOSED_BY = {
 }
 SCOPE = frozenset("html body table td th ul ol dl div article section main aside".split())
 
+#: Elements that only hold the parts of a list or table.
+PARTED = frozenset("dir dl menu ol optgroup select table tbody tfoot thead tr ul".split())
+
 _MARK = re.compile(r"<(?=[A-Za-z/!?])")
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTRIBUTE = re.compile(
@@ -210,11 +213,12 @@ def measure(root: Node) -> list[Node]:
 
 
 def _fullest(node: Node) -> Node:
-    """The node of the subtree with the largest sum; the outermost one of equals."""
+    """The node of the subtree with the largest sum, of those that hold blocks; the outermost of equals."""
     best, todo = node, [node]
     while todo:
         here = todo.pop()
-        if here.sum > best.sum:
+        holds = here.name not in PARTED and any(c.name in BLOCK and not c.dropped for c in here.children)
+        if holds and here.sum > best.sum:
             best = here
         todo.extend(c for c in reversed(here.children) if not c.dropped)
     return best
