@@ -26,7 +26,7 @@ LEAST_TEXTS = 20
 PREFIXES = (4,)
 """Beginnings of words, in bytes, that are features as well: they also know words not seen before."""
 GRADES = 3
-KEEP = 0.75
+KEEP = 0.7
 _SPACES = b" \t\n\r\x0b\x0c"
 _LOWER = bytes(range(97, 123))
 _UPPER = bytes(range(65, 91))

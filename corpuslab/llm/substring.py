@@ -66,7 +66,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, count: int) -> np.ndarray:
-    if len(_POWERS.get(base, ())) < count:
+    if len(_POWERS.get(base, ())) <= count:
         grown = np.full(max(count, 1 << 16), base, np.uint64)
         grown[0] = 1
         _POWERS[base] = np.cumprod(grown)
