@@ -37,23 +37,24 @@ def running_offsets(
     low, high = sizes.agg(F.min(key), F.max(key)).first()
     if low is None:
         return sizes.withColumn("offset", F.lit(0).cast("long"))
-    return _offsets(sizes, key, value, by, low, (high - low).bit_length(), bits)
+    return _offsets(sizes, key, value, by, low, high, bits)
 
 
 def _offsets(
-    sizes: DataFrame, key: str, value: str, by: list[str], low: int, width: int, bits: int
+    sizes: DataFrame, key: str, value: str, by: list[str], low: int, high: int, bits: int
 ) -> DataFrame:
     def before(groups: list) -> Column:
         rows = Window.partitionBy(*groups).orderBy(key)
         earlier = rows.rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(value).over(earlier), F.lit(0)).cast("long")
 
-    if width <= bits:
+    if high - low < 1 << bits:
+        # At most 2**bits rows per group, so that one task may hold them.
         return sizes.withColumn("offset", before(by or [F.lit(0)]))
     bucket = f"{key}_"
-    bucketed = sizes.withColumn(bucket, F.shiftright(F.col(key) - F.lit(low), bits))
+    bucketed = sizes.withColumn(bucket, F.shiftright(F.col(key), bits))
     totals = bucketed.groupBy(*by, bucket).agg(F.sum(value).alias(value))
-    starts = _offsets(totals, bucket, value, by, 0, width - bits, bits)
+    starts = _offsets(totals, bucket, value, by, low >> bits, high >> bits, bits)
     starts = starts.select(*by, bucket, F.col("offset").alias("start"))
     inside = bucketed.withColumn("inside", before([*by, bucket]))
     return inside.join(starts, [*by, bucket]).select(
@@ -64,13 +65,18 @@ def _offsets(
 def place(rows: DataFrame, key: str, size: Column) -> tuple[DataFrame, int]:
     """Add ``start``, the global position of each row's first item; also the total.
 
-    Rows are ordered by their unique integer ``key``. Only ``(key, size)`` goes
-    through the running sum; the rows themselves are joined back once.
+    Rows are ordered by their integer ``key``, rows of one key by a hash of all their columns.
+    Only ``(key, size)`` goes through the running sum; the rows themselves are joined back once,
+    and rows of one key are numbered where that join brings them together.
     """
-    sizes = running_offsets(rows.select(key, size.alias("size")), key, "size")
+    sized = rows.select(F.col(key).cast("long").alias(key), size.cast("long").alias("size"))
+    sizes = running_offsets(sized.groupBy(key).agg(F.sum("size").alias("size")), key, "size")
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     starts = sizes.select(key, F.col("offset").alias("start"))
-    return rows.join(starts, key), int(total)
+    alike = Window.partitionBy(key).orderBy(F.xxhash64(*rows.columns))
+    before = F.sum(size.cast("long")).over(alike.rowsBetween(Window.unboundedPreceding, -1))
+    placed = rows.join(starts, key)
+    return placed.withColumn("start", F.col("start") + F.coalesce(before, F.lit(0))), int(total)
 
 
 def global_rank(rows: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:

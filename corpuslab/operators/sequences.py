@@ -171,7 +171,9 @@ def length_batches(rows: DataFrame, batch_size: dict[str, int], tokens: str = "t
     ranked = sized.join(starts, ["split", "n", "doc_id"]).withColumn(
         "rank", F.col("first") + F.row_number().over(in_doc) - 1
     )
-    size = F.create_map(*[F.lit(v) for pair in batch_size.items() for v in pair])[F.col("split")]
+    known = F.create_map(*[F.lit(v) for pair in batch_size.items() for v in pair])[F.col("split")]
+    unknown = F.raise_error(F.concat(F.lit("no batch size for split "), F.col("split")))
+    size = F.coalesce(known, unknown.cast("int"))
     return ranked.select(
         *rows.columns,
         "n",

@@ -28,7 +28,7 @@ def split_lines_by_position(spark: SparkSession, folder: str, *columns: str) ->
     return ordinal.positional_split(document_arrays(spark, folder, *columns))
 
 
-def document_vocab(spark: SparkSession, folder: str, min_freq: int = MIN_FREQ) -> DataFrame:
+def document_vocab(spark: SparkSession, folder: str, min_freq: int = 0) -> DataFrame:
     """Word vocabulary of all documents, begin and end markers reserved."""
     lines = document_lines(spark, folder)
     counts = vocab.count_tokens(lines.select(tokens.word_tokens(F.col("text")).alias("tokens")))

@@ -330,7 +330,7 @@ ORACLE: dict[str, str] = {
     ),
     "prompts": _with(LINES, PROMPTS, select="SELECT prompt FROM prompts ORDER BY prompt"),
     "prompts_in_vocab": _with(
-        LINES, WORDS, TOKENS, _vocab("SELECT token FROM tokens", 2), PROMPTS, CHECKED,
+        LINES, WORDS, TOKENS, _vocab("SELECT token FROM tokens", 0), PROMPTS, CHECKED,
         select="SELECT prompt, n_tokens, n_unknown, status FROM checked",
     ),
     "run_grid": _with(
@@ -349,12 +349,12 @@ ORACLE: dict[str, str] = {
         select="SELECT token, idx, freq FROM vocab",
     ),
     "encode": _with(
-        LINES, WORDS, TOKENS, _vocab("SELECT token FROM tokens", 2),
+        LINES, WORDS, TOKENS, _vocab("SELECT token FROM tokens", 0),
         select="""SELECT doc_id, line_no, pos, coalesce(idx, 0) AS idx
                   FROM tokens LEFT JOIN vocab USING (token)""",
     ),
     "decode": _with(
-        LINES, WORDS, TOKENS, _vocab("SELECT token FROM tokens", 2),
+        LINES, WORDS, TOKENS, _vocab("SELECT token FROM tokens", 0),
         select="""SELECT doc_id, line_no,
                          string_agg(coalesce(vocab.token, '<unk>'), ' ' ORDER BY pos) AS text
                   FROM tokens LEFT JOIN vocab ON tokens.token = vocab.token
@@ -423,7 +423,7 @@ ORACLE: dict[str, str] = {
             FROM (SELECT *, max(n) OVER (PARTITION BY split, batch) AS width FROM batched)""",
     ),
     "causal_labels": _with(
-        LINES, WORDS, TOKENS, _vocab("SELECT token FROM tokens", 2), _split(),
+        LINES, WORDS, TOKENS, _vocab("SELECT token FROM tokens", 0), _split(),
         f"""cut AS (SELECT * FROM (SELECT split, doc_id, line_no, ({_words()})[1:32] AS toks FROM split)
                     WHERE len(toks) > 0)""",
         LENGTH_RANK.format(source="cut"),

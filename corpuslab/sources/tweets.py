@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslab.functions.cleaning import is_blank
+
 # The columns of a yearly tweet file, in order.
 TWEET_SCHEMA = """
     row int, id long, conversation_id long, created_at double, date timestamp,
@@ -61,4 +63,6 @@ def read_training_set(spark: SparkSession, splits: dict[str, str]) -> DataFrame:
 
 def read_training_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text files as training lines, blank ones left out."""
-    return spark.read.text(path).select(F.col("value").alias("text")).filter("trim(text) != ''")
+    return spark.read.text(path).select(F.col("value").alias("text")).filter(
+        ~is_blank(F.col("text"))
+    )

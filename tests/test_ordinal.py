@@ -69,3 +69,17 @@ def test_lookup_gives_the_same_by_every_way(spark, max_rows, heavy_rows):
     assert sorted((r.i, str(r.idx)) for r in got.collect()) == [
         (i, str(known.get(k))) for i, k in enumerate(keys)
     ]
+
+
+def test_place_with_repeated_and_far_keys(spark):
+    rows = [(1, "a", 2), (1, "b", 1), (2, "c", 5), (-(2**63), "d", 3), (2**63 - 1, "e", 4), (1, "a", 2)]
+    df = spark.createDataFrame(rows, "key long, name string, n int")
+    placed, total = ordinal.place(df, "key", F.col("n"))
+    got = sorted((r.start, r.n) for r in placed.collect())
+    assert total == sum(r[2] for r in rows) == 17
+    ends = [0]
+    for start, n in got:
+        assert start == ends[-1]
+        ends.append(start + n)
+    order = [r.key for r in placed.orderBy("start").collect()]
+    assert order == sorted(order) and len(order) == 6
