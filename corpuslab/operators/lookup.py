@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 MAX_ROWS = 500_000
 MAX_BYTES = 32 << 20
 HEAVY_ROWS = 10_000
-HEAVY_KEY_CHARS = 1_000
+SALTS = 1_000
 
 
 def _row_bytes(df: DataFrame) -> Column:
@@ -47,8 +47,9 @@ def prepare_lookup(
     ``table`` should be written already. If it is small it is broadcast whole. If
     not, only its heavy keys are: ``weight`` says how often a key is expected, and
     fewer than ``heavy_rows`` keys can each hold more than that share of the total.
-    Rows with a heavy key never move; the rest have no hot key left and are joined
-    by a shuffle. ``weight`` is not in the result.
+    One shuffle then joins all other keys, none of them hot; rows that have found their key are
+    salted in it, so they spread. The rows are read once, and what is broadcast has been
+    measured, its other columns included. ``weight`` is not in the result.
     """
     on = list(on)
     added = [c for c in table.columns if c not in on and c != weight]
@@ -57,20 +58,24 @@ def prepare_lookup(
         small = F.broadcast(found.drop(weight))
         return lambda rows: rows.join(small, on, "left").drop("found_")
     total = table.agg(F.sum(weight)).first()[0]
-    short = F.lit(True)
-    for key in on:
-        short = short & (F.length(F.col(key).cast("string")) <= HEAVY_KEY_CHARS)
-    is_heavy = F.coalesce(
-        (F.col(weight) * F.lit(heavy_rows) > F.lit(total)) & short, F.lit(False)
-    )
-    heavy = F.broadcast(found.filter(is_heavy).drop(weight))
-    light = found.filter(~is_heavy).drop(weight)
+    is_heavy = F.coalesce(F.col(weight) * F.lit(heavy_rows) > F.lit(total), F.lit(False))
+    heavy = found.filter(is_heavy).drop(weight)
+    if fits_broadcast(heavy, heavy_rows):
+        heavy = F.broadcast(heavy)
+    light = found.filter(~is_heavy).drop(weight, "found_").withColumn("salt_", F.lit(0))
+    light = light.withColumnsRenamed({c: f"{c}_light" for c in added})
 
     def join(rows: DataFrame) -> DataFrame:
-        first = rows.join(heavy, on, "left")
-        done = first.filter("found_").drop("found_")
-        rest = first.filter("found_ is null").drop("found_", *added)
-        return done.unionByName(rest.join(light, on, "left").drop("found_"))
+        spread = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int") + 1
+        first = rows.join(heavy, on, "left").withColumn(
+            "salt_", F.when(F.col("found_"), spread).otherwise(0)
+        )
+        both = first.join(light, [*on, "salt_"], "left")
+        return both.select(
+            *on,
+            *(c for c in rows.columns if c not in on),
+            *(F.when(F.col("found_"), F.col(c)).otherwise(F.col(f"{c}_light")).alias(c) for c in added),
+        )
 
     return join
 

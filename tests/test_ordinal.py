@@ -83,3 +83,13 @@ def test_place_with_repeated_and_far_keys(spark):
         ends.append(start + n)
     order = [r.key for r in placed.orderBy("start").collect()]
     assert order == sorted(order) and len(order) == 6
+
+
+def test_lookup_reads_its_rows_once(spark, tmp_path):
+    spark.range(100).selectExpr("id as i", "cast(id % 7 as string) as token").write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    table = spark.createDataFrame([(str(k), 100 // (k + 1), k) for k in range(7)], "token string, freq long, idx int")
+    joined = lookup(rows, table, ["token"], "freq", max_rows=1, heavy_rows=3)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    assert sorted((r.i, r.idx) for r in joined.collect()) == [(i, i % 7) for i in range(100)]
