@@ -18,8 +18,8 @@ def plan_of(df):
 
 def test_entry_offers_the_catalogue():
     entry = importlib.import_module("__spark_entry__")
-    assert entry.queries() == QUERIES
-    assert entry.oracle_sql() == ORACLE
+    assert entry.queries().items() >= QUERIES.items()
+    assert entry.oracle_sql().items() >= ORACLE.items()
     assert set(QUERIES) - set(ORACLE) == {"bpe_train", "bpe_encode"}
 
 
