@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +13,8 @@ from corpuslab.operators.ordinal import hash_rank, place, running_offsets
 
 IGNORED = -100  # label of positions that do not count
 BLOCK = 32  # tokens kept per training line
-SYMBOLS = 256  # largest vocabulary that is encoded in place
-FIRST_SIGN = 0x100000  # private code points, in no text, that stand for indices
+DIGITS = 4_096  # an index is coded as two digits
+FIRST_SIGN = 0x100000  # private code points, in no text, that stand for digits
 
 
 def next_token_pairs(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -27,20 +27,24 @@ def next_token_pairs(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 
 def code_characters(text: Column, vocab: DataFrame, unknown: int = 0) -> Column:
-    """Encode the characters of a text in place, given a vocabulary of a few dozen.
+    """Encode the characters of a text in place, given a vocabulary of single characters.
 
-    Meant for letters-only text: 26 letters, the space and the markers. A larger
-    vocabulary is refused and belongs to ``vocab.encode``. Each character is first
-    replaced by one whose code point holds its index.
+    It comes to the driver and goes with the plan; it cannot be larger than Unicode, and what it
+    holds beyond single characters, such as markers, is left out. Each character is replaced by
+    one that stands for the high digit of its index, and once more for the low digit.
     """
-    entries = vocab.orderBy("idx").select("token", "idx").limit(SYMBOLS + 1).collect()
-    if len(entries) > SYMBOLS:
-        raise ValueError("too many symbols to encode in place")
-    coded = [(row.token, row.idx) for row in entries if len(row.token) == 1]
-    signs = "".join(chr(FIRST_SIGN + idx) for _, idx in coded)
-    chars = F.split(F.translate(text, "".join(token for token, _ in coded), signs), "")
-    code = lambda c: F.ascii(c).cast("long") - FIRST_SIGN
-    ids = F.transform(chars, lambda c: F.when(code(c) >= 0, code(c)).otherwise(unknown))
+    coded = vocab.filter(F.length("token") == 1).select("token", "idx").collect()
+    found = "".join(row.token for row in coded)
+
+    def digits(of: Callable[[int], int]) -> Column:
+        signs = "".join(chr(FIRST_SIGN + of(row.idx)) for row in coded)
+        return F.split(F.translate(text, found, signs), "")
+
+    def index(high: Column, low: Column) -> Column:
+        high, low = (F.ascii(c).cast("long") - FIRST_SIGN for c in (high, low))
+        return F.when(high >= 0, high * DIGITS + low).otherwise(unknown)
+
+    ids = F.zip_with(digits(lambda i: i // DIGITS), digits(lambda i: i % DIGITS), index)
     return F.when(text == "", F.array().cast("array<bigint>")).otherwise(ids)
 
 

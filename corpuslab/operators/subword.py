@@ -16,6 +16,7 @@ from corpuslab.functions.bytelevel import byte_pieces, byte_symbols, byte_values
 from corpuslab.functions.rows import item_rows, list_rows
 from corpuslab.functions.tokens import CONTINUED
 from corpuslab.operators.lookup import lookup
+from corpuslab.operators.merge_round import MergeRound
 from corpuslab.session import cut_lineage
 
 # Special token and unknown-word token.
@@ -23,9 +24,8 @@ END_OF_TEXT = "<|endoftext|>"
 UNKNOWN_WORD = "[UNK]"
 
 FIRST_SIGN = 0x10000  # code point that stands for symbol 0 in training
-CANDIDATES = 64  # best pairs looked at per round
-ROUNDS_PER_WRITE = 8
-MAX_VOCAB = 200_000  # a subword vocabulary is sent to every task
+MAX_VOCAB = 0x110000 - FIRST_SIGN  # one code point per symbol
+CANDIDATES = 2_048  # best pairs looked at per round
 
 
 def piece_counts(lines: DataFrame) -> DataFrame:
@@ -44,31 +44,16 @@ def _pairs(words: DataFrame) -> DataFrame:
     )
 
 
-def _independent(ranked: list, texts: list[str], ids: dict[str, int], whole: bool) -> list:
-    """The leading pairs that can be merged in one round without changing the result.
-
-    Merging a pair changes only counts of pairs that share a symbol with it, and
-    new pairs are no more frequent than the pairs they come from. So leading pairs
-    without a common symbol are the next merges, as long as each is strictly more
-    frequent than the first pair left out. A pair of equal symbols, or one whose
-    string exists already, is merged alone.
-    """
-    used, made, batch = set(), set(), []
-    stop = None
-    for row in ranked:
-        left, right = row.pair
-        text = _text(left, texts) + _text(right, texts)
-        if left == right or text in ids or text in made or used & {left, right}:
-            stop = row
-            break
-        used |= {left, right}
-        made.add(text)
-        batch.append(row)
-    if stop is None and not whole:
-        stop = batch.pop()
-    if stop is not None:
-        batch = [row for row in batch if row["count"] > stop["count"]]
-    return batch or ranked[:1]
+def _followed(words: DataFrame, pairs: list[str]) -> DataFrame:
+    """How often two of the given pairs share a middle symbol, as ``triple`` and ``count``."""
+    table = words.sparkSession.createDataFrame([(p,) for p in pairs], "pair string")
+    at = F.explode(F.sequence(F.lit(1), F.length("word") - 2)).alias("at")
+    places = words.filter(F.length("word") > 2).select("word", "freq", at)
+    triples = places.select(F.substr("word", "at", F.lit(3)).alias("triple"), "freq")
+    for start in (1, 2):
+        half = F.broadcast(table.withColumnRenamed("pair", f"pair{start}"))
+        triples = triples.join(half, F.substring("triple", start, 2) == F.col(f"pair{start}"))
+    return triples.groupBy("triple").agg(F.sum("freq").alias("count"))
 
 
 def _sign(index: int) -> str:
@@ -89,9 +74,9 @@ def train_bpe(
 
     Pairs are taken by frequency, ties by the ids of their symbols. A word is kept
     as a string with one character per symbol, whose code point is the symbol's id,
-    so that replacing two characters by one from the left is a merge and the order
-    of strings is the order of ids. Each round counts all pairs in one job, brings
-    a fixed number of leading pairs to the driver, and rewrites the words.
+    so that the order of strings is the order of ids. A round counts all pairs, brings
+    a fixed number of leading ones to the driver with the counts of their overlaps, takes all
+    merges that follow from these (see ``MergeRound``), and rewrites the words.
     """
     spark = pieces.sparkSession
     texts = [*specials, *sorted(printable_bytes())]
@@ -102,7 +87,6 @@ def train_bpe(
     word = F.array_join(byte_values(F.col("piece"), signs), "")
     words = cut_lineage(pieces.select(word.alias("word"), "freq").filter(F.length("word") > 1))
     merges: list[tuple[int, str, str]] = []
-    rounds = 0
     while len(texts) < vocab_size:
         ranked = (
             _pairs(words)
@@ -113,43 +97,57 @@ def train_bpe(
         )
         if not ranked:
             break
-        for row in _independent(ranked, texts, ids, len(ranked) < CANDIDATES):
-            if len(texts) == vocab_size:
+        worst = (-ranked[-1]["count"], ranked[-1].pair)
+        pairs = [row.pair for row in ranked]
+        triples = {r.triple: r["count"] for r in _followed(words, pairs).collect()}
+        taken = MergeRound({row.pair: row["count"] for row in ranked}, triples)
+        done: dict[tuple[str, str], tuple[int, str]] = {}
+        while len(texts) < vocab_size and (best := taken.best()) is not None:
+            pair, count = best
+            if (-count, pair) > worst if len(ranked) == CANDIDATES else count < min_frequency:
                 break
-            left, right = (_text(sign, texts) for sign in row.pair)
-            if left + right not in ids:
+            left, right = (_text(sign, texts) for sign in pair)
+            fresh = left + right not in ids
+            if fresh:
                 ids[left + right] = len(texts)
                 texts.append(left + right)
             merges.append((len(merges), left, right))
-            new = _sign(ids[left + right])
-            words = words.withColumn("word", F.replace("word", F.lit(row.pair), F.lit(new)))
-        rounds += 1
-        if rounds % ROUNDS_PER_WRITE == 0:
-            words = cut_lineage(words.filter(F.length("word") > 1))
+            sign = _sign(ids[left + right])
+            done[tuple(pair)] = (len(done), sign)
+            # Equal symbols overlap, and a string made before has counts of its own.
+            if not fresh or pair[0] == pair[1]:
+                break
+            taken.merge(pair, sign)
+        words = cut_lineage(_merged(words, done).filter(F.length("word") > 1))
     return (
         spark.createDataFrame(merges, "rank long, left string, right string"),
         spark.createDataFrame(list(enumerate(texts)), "idx long, token string"),
     )
 
 
-def _bounded_rows(table: DataFrame) -> list:
-    rows = table.limit(MAX_VOCAB + 1).collect()
-    if len(rows) > MAX_VOCAB:
-        raise ValueError(f"a subword vocabulary may have {MAX_VOCAB} entries at most")
-    return rows
+def _merged(words: DataFrame, done: dict[tuple[str, str], tuple[int, str]]) -> DataFrame:
+    @F.pandas_udf("string")
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda word: "".join(_merge_word(word, done)))
+
+    return words.withColumn("word", apply("word"))
 
 
-def _merge_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+def _merge_word(
+    symbols: Sequence[str], merges: dict[tuple[str, str], tuple[int, str]]
+) -> list[str]:
+    """Merge pairs by rank, from the left; ``merges`` gives rank and result."""
     symbols = list(symbols)
     while len(symbols) > 1:
-        pairs = list(zip(symbols, symbols[1:]))
-        best = min(pairs, key=lambda p: ranks.get(p, len(ranks)))
-        if best not in ranks:
+        found = [p for p in zip(symbols, symbols[1:]) if p in merges]
+        if not found:
             break
+        best = min(found, key=merges.__getitem__)
         merged, i = [], 0
         while i < len(symbols):
             if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == best:
-                merged.append(symbols[i] + symbols[i + 1])
+                merged.append(merges[best][1])
                 i += 2
             else:
                 merged.append(symbols[i])
@@ -159,13 +157,19 @@ def _merge_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[s
 
 
 def encode_pieces(pieces: DataFrame, merges: DataFrame) -> DataFrame:
-    """Add ``parts``, the subwords of each distinct piece."""
-    ranks = {(m.left, m.right): m.rank for m in _bounded_rows(merges)}
+    """Add ``parts``, the subwords of each distinct piece.
+
+    The merges go to every task; a trained vocabulary has ``MAX_VOCAB`` entries at most.
+    """
+    rows = merges.limit(MAX_VOCAB + 1).collect()
+    if len(rows) > MAX_VOCAB:
+        raise ValueError(f"there may be {MAX_VOCAB} merges at most")
+    table = {(m.left, m.right): (m.rank, m.left + m.right) for m in rows}
 
     @F.pandas_udf("array<string>")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([_merge_word(s, ranks) for s in batch])
+            yield pd.Series([_merge_word(s, table) for s in batch])
 
     return pieces.withColumn("parts", apply(byte_symbols(F.col("piece"))))
 
@@ -183,19 +187,28 @@ def _regroup(coded: DataFrame, keys: Sequence[str]) -> DataFrame:
     return coded.groupBy(*keys).agg(F.flatten(F.transform(parts, lambda p: p.parts)).alias("tokens"))
 
 
-def _longest_match(word: str, vocab: frozenset, max_chars: int) -> list[str]:
-    if len(word) > max_chars:
-        return [UNKNOWN_WORD]
-    parts, start = [], 0
-    while start < len(word):
-        lead = CONTINUED if start else ""
-        ends = range(len(word), start, -1)
-        end = next((e for e in ends if lead + word[start:e] in vocab), None)
-        if end is None:
-            return [UNKNOWN_WORD]
-        parts.append(lead + word[start:end])
-        start = end
-    return parts
+def _known_cuts(types: DataFrame, vocab: DataFrame, max_chars: int) -> DataFrame:
+    """Where the longest entry ends from each place of a word: ``(word, start, stop)``, from 1.
+
+    The substrings of distinct words are counted, those in the vocabulary are kept, and the
+    counts tell hot substrings in the join back. No vocabulary is too large for it.
+    """
+    entries = vocab.select(F.col("token").alias("part")).distinct()
+    longest = entries.agg(F.max(F.length("part"))).first()[0] or 0
+    size = F.length("word")
+    short = types.filter((size > 0) & (size <= max_chars))
+    places = short.select("word", F.explode(F.sequence(F.lit(1), size)).alias("start"))
+    last = F.least(size, F.col("start") + longest - 1)
+    cuts = places.filter(F.lit(longest > 0)).select(
+        "word", "start", F.explode(F.sequence("start", last)).alias("stop")
+    )
+    part = F.substr("word", "start", F.col("stop") - F.col("start") + 1)
+    lead = F.when(F.col("start") > 1, F.lit(CONTINUED)).otherwise("")
+    cuts = cuts.select("word", "start", "stop", F.concat(lead, part).alias("part"))
+    seen = cuts.groupBy("part").agg(F.count("*").alias("n")).join(entries, "part", "left_semi")
+    table = cut_lineage(seen.withColumn("known", F.lit(True)))
+    found = lookup(cuts, table, ["part"], "n").filter("known")
+    return found.groupBy("word", "start").agg(F.max("stop").alias("stop"))
 
 
 def encode_longest_match(
@@ -206,17 +219,30 @@ def encode_longest_match(
     ``vocab`` has a ``token`` column; entries that continue a word start with
     ``##``. A word that cannot be split, or is too long, becomes one unknown token.
     """
-    entries = frozenset(r.token for r in _bounded_rows(vocab.select("token")))
-
-    @F.pandas_udf("array<string>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([_longest_match(w, entries, max_chars) for w in batch])
-
     flat = list_rows(rows, keys, "tokens", "word")
-    types = flat.groupBy("word").agg(F.count("*").alias("freq"))
-    table = cut_lineage(types.withColumn("parts", split("word")))
-    return _regroup(lookup(flat, table, ["word"], "freq"), keys)
+    types = cut_lineage(flat.groupBy("word").agg(F.count("*").alias("freq")))
+    cuts = _known_cuts(types, vocab, max_chars)
+    stops = cuts.groupBy("word").agg(
+        F.map_from_entries(F.collect_list(F.struct("start", "stop"))).alias("stops")
+    )
+
+    def step(state, place):
+        stop = F.try_element_at("stops", place)
+        lead = F.when(place > 1, F.lit(CONTINUED)).otherwise("")
+        part = F.concat(lead, F.substr("word", place, stop - place + 1))
+        moved = F.struct((stop + 1).alias("next"), F.array_append(state["parts"], part).alias("parts"))
+        return F.when((state["next"] == place) & stop.isNotNull(), moved).otherwise(state)
+
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("parts"))
+    walk = F.aggregate(F.sequence(F.lit(1), F.length("word")), start, step)
+    walked = stops.select("word", walk.alias("walk"), (F.length("word") + 1).alias("end"))
+    whole = walked.filter(F.col("walk.next") == F.col("end")).select("word", "walk.parts")
+    table = types.join(whole, "word", "left").select(
+        "word", "freq",
+        F.when(F.col("word") == "", F.array())
+        .otherwise(F.coalesce("parts", F.array(F.lit(UNKNOWN_WORD)))).alias("parts"),
+    )
+    return _regroup(lookup(flat, cut_lineage(table), ["word"], "freq"), keys)
 
 
 def save_tokenizer(merges: DataFrame, vocab: DataFrame, folder: str) -> None:

@@ -22,8 +22,7 @@ LENGTH_BATCH = {"train": 64, "val": 16, "test": 16}
 GREEDY_STEPS, PROBE_STEPS = 50, 100
 SAMPLES, SAMPLE_TOKENS = 2, 30
 PROBE_IDS, RANDOM_PROBES = (21, 22), 4
-BPE_VOCAB = 257 + 64
-LONGEST_WORDS = 3_000
+BPE_VOCAB = 10_000
 
 
 def _joined(column: str, name: str):
@@ -64,7 +63,7 @@ def _letter_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as character ids of their letters-only text."""
     arrays = document_arrays(spark, folder)
     letters = F.array_join(F.transform("lines", cleaning.clean_letters), "")
-    rows = arrays.select("doc_id", letters.alias("letters"))
+    rows = cut_lineage(arrays.select("doc_id", letters.alias("letters")))
     chars = rows.select(tokens.char_tokens(F.col("letters")).alias("tokens"))
     known = vocab.build_vocab(vocab.count_tokens(chars))
     return rows.select(
@@ -156,7 +155,7 @@ def perplexity(spark: SparkSession, folder: str) -> DataFrame:
     A line of words has one pair more than it has words, the first one at 0.
     """
     lines = split_lines_by_position(spark, folder).filter("split in ('train', 'val')")
-    wrapped = _wrapped(lines, "split", "doc_id", "line_no")
+    wrapped = cut_lineage(_wrapped(lines, "split", "doc_id", "line_no"))
     table = ngrams.score_table(sequences.next_token_pairs(wrapped), F.col("split") == "train")
     batched = sequences.length_batches(wrapped, LENGTH_BATCH).select("split", "batch", "tokens")
     scored = ngrams.score(sequences.next_token_pairs(batched), table)
@@ -273,12 +272,15 @@ def bpe_encode(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def subword_longest_match(spark: SparkSession, folder: str) -> DataFrame:
-    """Words split with a vocabulary of frequent words and single characters."""
-    lines = document_lines(spark, folder)
-    words = lines.select("doc_id", "line_no", tokens.word_tokens(F.lower("text")).alias("tokens"))
-    top = counting.top_k(vocab.count_tokens(words), LONGEST_WORDS).select("token")
+    """Document words split with the words of the conversations and all single characters."""
+    words_of = lambda lines, *keys: lines.select(
+        *keys, tokens.word_tokens(F.lower("text")).alias("tokens")
+    )
+    words = words_of(document_lines(spark, folder), "doc_id", "line_no")
+    talks = words_of(to_lines(load_table(spark, folder, "conversations", ["conv_id", "text"])))
     letters = item_rows(words, [], tokens.char_tokens(F.array_join("tokens", "")), "token")
-    whole = cut_lineage(top.unionByName(letters.distinct()).distinct())
+    whole = item_rows(talks, [], "tokens", "token").distinct().unionByName(letters.distinct())
+    whole = cut_lineage(whole.distinct())
     table = whole.unionByName(
         whole.select(F.concat(F.lit(tokens.CONTINUED), "token").alias("token"))
     )

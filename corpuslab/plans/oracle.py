@@ -590,8 +590,9 @@ ORACLE["subword_longest_match"] = _with(
     """tokens AS (SELECT doc_id, line_no, unnest(toks) AS word, generate_subscripts(toks, 1) AS pos
                   FROM words)""",
     "types AS (SELECT word, count(*) AS freq FROM tokens GROUP BY word)",
-    """entries AS (
-        SELECT word AS entry FROM (SELECT word FROM types ORDER BY freq DESC, word LIMIT 3000)
+    f"talks AS ({_lines('conversations')})",
+    f"""entries AS (
+        SELECT unnest({_words('lower(text)')}) AS entry FROM talks
         UNION SELECT unnest(string_split(word, '')) FROM types)""",
     """vocab AS (SELECT entry FROM entries UNION SELECT '##' || entry FROM entries)""",
     "places AS (SELECT word, unnest(range(length(word))) AS spot FROM types WHERE length(word) <= 100)",

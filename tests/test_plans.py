@@ -28,7 +28,7 @@ def test_entry_offers_the_catalogue():
     "name",
     ["prepared_corpus", "words_per_sequence", "token_counts", "topk_words", "topk_overlap",
      "prompts_in_vocab", "decode", "sequential_batches", "pad_batches", "perplexity",
-     "generate_greedy", "similarity_by_run"],
+     "generate_greedy", "similarity_by_run", "subword_longest_match"],
 )
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")

@@ -119,10 +119,16 @@ def test_labels_and_truncation(spark):
 
 
 def test_code_characters(spark):
-    big = spark.range(300).select(F.col("id").cast("string").alias("token"), F.col("id").alias("idx"))
-    with pytest.raises(ValueError):
-        seq.code_characters(F.lit("1"), big)
-    small = big.filter("idx < 15").orderBy(F.desc("idx"))
+    small = spark.range(15).select(F.col("id").cast("string").alias("token"), F.col("id").alias("idx"))
     texts = spark.createDataFrame([("3x0",), ("",), ("99",)], "text string")
     got = [r[0] for r in texts.select(seq.code_characters(F.col("text"), small, 77)).collect()]
     assert got == [[3, 77, 0], [], [9, 9]]
+
+
+def test_code_characters_of_a_large_alphabet(spark):
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 9_000)] + ["\U0001f600"]
+    known = spark.createDataFrame(list(zip(letters, range(3, 10_000))), "token string, idx long")
+    text = letters[0] + letters[8_999] + "a" + letters[9_000] + letters[4_095]
+    row = spark.createDataFrame([(text,)], "text string")
+    got = row.select(seq.code_characters(F.col("text"), known)).first()[0]
+    assert got == [3, 9_002, 0, 9_003, 4_098]

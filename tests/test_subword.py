@@ -60,13 +60,48 @@ def test_training_and_encoding_match_a_library(spark, name):
     assert [r.tokens for r in coded] == [trained.encode(t).tokens for t in texts]
 
 
-def test_rounds_with_several_merges_equal_one_at_a_time(spark, monkeypatch):
+@pytest.mark.parametrize("candidates", [1, 3, 2_048])
+def test_rounds_with_several_merges_equal_one_at_a_time(spark, monkeypatch, candidates):
     texts = random_texts(5, "abcdefgh", 120)
     pieces = subword.piece_counts(line_rows(spark, texts))
-    many = subword.train_bpe(pieces, 300)[0].orderBy("rank").collect()
-    monkeypatch.setattr(subword, "_independent", lambda ranked, *rest: ranked[:1])
-    one = subword.train_bpe(pieces, 300)[0].orderBy("rank").collect()
-    assert many == one and len(one) == 300 - 257
+    monkeypatch.setattr(subword, "CANDIDATES", candidates)
+    got = subword.train_bpe(pieces, 300)[0].orderBy("rank").collect()
+    assert [(r.left, r.right) for r in got] == merges_of(library_tokenizer(texts, 300))
+
+
+def test_rounds_agree_with_a_recount_after_each_merge():
+    rng = random.Random(11)
+    for case in range(300):
+        letters = "abcdefghij"[: rng.choice([2, 3, 6, 10])]
+        words = Counter("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(40))
+        most = rng.choice([2, 5, 30, 1_000])
+        ranked = Counter()
+        for word, n in words.items():
+            for i in range(len(word) - 1):
+                ranked[word[i : i + 2]] += n
+        leading = sorted(ranked.items(), key=lambda p: (-p[1], p[0]))[:most]
+        lead = dict(leading)
+        triples = Counter()
+        for word, n in words.items():
+            for i in range(len(word) - 2):
+                if word[i : i + 2] in lead and word[i + 1 : i + 3] in lead:
+                    triples[word[i : i + 3]] += n
+        taken, sign = subword.MergeRound(lead, triples), 0x10000
+        whole = len(leading) == len(ranked)
+        while (best := taken.best()) is not None:
+            pair, count = best
+            if not count or not whole and (-count, pair) > (-leading[-1][1], leading[-1][0]):
+                break
+            now = Counter()
+            for word, n in words.items():
+                for i in range(len(word) - 1):
+                    now[word[i : i + 2]] += n
+            assert (pair, count) == min(now.items(), key=lambda p: (-p[1], p[0]))
+            if pair[0] == pair[1]:
+                break
+            taken.merge(pair, chr(sign))
+            words = Counter({w.replace(pair, chr(sign)): n for w, n in words.items()})
+            sign += 1
 
 
 def test_min_frequency_stops_training(spark):
@@ -97,9 +132,11 @@ def test_longest_match(spark):
 
 def test_vocabulary_sizes_are_checked(spark, monkeypatch):
     monkeypatch.setattr(subword, "MAX_VOCAB", 2)
-    rows = spark.createDataFrame([(0, ["a"])], "line_no long, tokens array<string>")
-    vocab = spark.createDataFrame([(c,) for c in "abc"], "token string")
-    with pytest.raises(ValueError):
-        subword.encode_longest_match(rows, ["line_no"], vocab)
     with pytest.raises(ValueError):
         subword.train_bpe(subword.piece_counts(line_rows(spark, ["a"])), 300)
+
+
+def test_longest_match_of_nothing(spark):
+    rows = spark.createDataFrame([(0, ["ab", ""])], "line_no long, tokens array<string>")
+    vocab = spark.createDataFrame([], "token string")
+    assert subword.encode_longest_match(rows, ["line_no"], vocab).first().tokens == ["[UNK]"]
