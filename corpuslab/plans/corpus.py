@@ -221,7 +221,8 @@ def run_grid(spark: SparkSession, folder: str) -> DataFrame:
     )
     found = item_rows(lines, ["source"], sizes, "t").groupBy("source", "t.tokenizer")
     found = found.agg(F.sum("t.n").alias("n_tokens"))
-    sources = load_table(spark, folder, "documents", ["source"])
+    # Read as it comes: names are aggregated before they are shuffled, so a hot one is no harm.
+    sources = spark.read.parquet(f"{folder}/documents.parquet").select("source")
     grid = experiments.run_grid(sources, list(tokens.TOKENIZERS), "tokenizer")
     return grid.join(found, ["source", "tokenizer"], "left").select(
         "source", "tokenizer", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens")
