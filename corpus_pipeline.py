@@ -23,10 +23,20 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest number of each component of linked fingerprints."""
-    found = simhash.near_copies(docs)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each component of linked fingerprints: the one with the smallest number.
+
+    Rows have an identity of their own, so a null number never costs a document: it comes after all
+    others, and stays if its component has no other. Of rows with the same number the one with
+    the smallest hash of all columns stays. Different texts under one number are documents of their own.
+    """
+    rows = substring.identified(docs, "doc_id", "text")
+    row = {c: F.col("text") if c == "text" else F.col("whole").getField(c) for c in docs.columns}
+    number = row["doc_id"]
+    ranked = rows.select("doc", number.isNull().alias("last"), number.alias("n"), F.xxhash64(*row.values()).alias("h"))
+    found = simhash.near_copies(rows, "doc", "text").select("doc", "component_id").join(ranked, "doc")
+    first = found.groupBy("component_id").agg(F.min(F.struct("last", "n", "h", "doc")).alias("best"))
+    kept = rows.join(first.select("best.doc"), "doc", "left_semi")
+    return kept.select(*(value.alias(c) for c, value in row.items()))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -319,7 +319,7 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     return flat.where("known or n > 1").select("doc", "first", "last")
 
 
-def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
+def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``doc`` (a long of its own for each row: the key, if it is one), ``text``, ``whole`` (the row)."""
     doubled = docs.groupBy(field(key).alias("k")).agg(F.count("*").alias("n"))
     whole_number = isinstance(docs.schema[key].dataType, T.IntegralType)
@@ -344,7 +344,7 @@ def remove_repeats(
     named like the new ones are replaced.
     """
     clean = docs.drop("n_words", "n_removed", "kept")
-    whole = _identified(clean, key, text)
+    whole = identified(clean, key, text)
     quarter, half, _ = levels(window)
     first = resolve(runs(whole, quarter, window)).select("doc", "first", "last", "at", "settled", "marked")
     known = cut_lineage(first.groupBy("doc").agg(F.collect_list(F.struct(*first.columns[1:])).alias("runs")))

@@ -1,5 +1,6 @@
 """The registered queries on the small tables, and the pipeline stage by stage."""
 
+import random
 import sys
 from pathlib import Path
 
@@ -55,3 +56,44 @@ def test_pipeline_takes_an_empty_table(spark, tmp_path):
     for table in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SMALL}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_null_and_repeated_numbers_keep_their_documents(spark):
+    """Stages 2 and 3 on rows that share a number or have none, against plain Python."""
+    from test_operators import plain_components, plain_removal
+
+    from corpuslab.llm import simhash
+
+    rnd = random.Random(11)
+    new = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))
+    clean, copied, split, other, alone, shared = (new() for _ in range(6))
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [
+        (1, clean), (1, clean), (1, clean), (None, new()), (None, alone), (None, alone),
+        (3, copied), (None, copied), (5, split), (5, other), (4, other), (6, f"{shared} {passage}"),
+        (None, f"{new()} {passage}"), (8, None), (None, ""),
+    ]
+    rows = [(n, text, len(text or "")) for n, text in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(3)
+
+    prints = [simhash.fingerprint_of((text or "").encode()) for _, text, _ in rows]
+    near = [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 2]
+    component = plain_components(near, set(prints))
+    best = {}
+    for row, fingerprint in zip(rows, prints, strict=True):
+        root = component[fingerprint]
+        best[root] = min(best.get(root, row), row, key=lambda r: (r[0] is None, r[0] or 0))
+    first = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert first.columns == docs.columns
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(map(tuple, first.collect()), key=order) == sorted(best.values(), key=order)
+
+    kept = list(best.values())
+    removed = plain_removal([text for _, text, _ in kept], 35)
+    expected = [
+        (n, said if gone else text)
+        for (n, text, _), (words, gone, said) in zip(kept, removed, strict=True)
+        if not gone or gone < words
+    ]
+    done = corpus_pipeline.drop_repeats(spark, first, "").select("doc_id", "text").collect()
+    assert sorted(map(tuple, done), key=order) == sorted(expected, key=order)
