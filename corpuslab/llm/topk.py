@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslab.llm.batches import field
+from corpuslab.session import cut_lineage
 
 K = 20
 BLOCK = 4096
@@ -28,9 +29,9 @@ ROUNDS = (1 / 8, 1 / 2)
 class SortedLists:
     """The values of each dimension in order, for one block of candidates."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
+        self.ids, self.vectors, self.copies = ids[order], vectors[order], copies[order]
         self.lists = np.sort(self.vectors, axis=0)
 
     def bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,9 +53,9 @@ class SortedLists:
 def best(
     query_ids: np.ndarray, queries: np.ndarray, block: SortedLists, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The block's ``k`` best candidates of each query: query, candidate and score.
+    """The block's ``k`` best candidates of each query: places of query and candidate, and score.
 
-    Ties go to the smaller id; a query's own row is no candidate.
+    Ties go to the smaller id; rows with a query's own id are no candidates.
     """
     rows = len(block.ids)
     own = block.ids[None, :] == query_ids[:, None]
@@ -73,8 +74,8 @@ def best(
         left = np.flatnonzero(alive[i])
         scores = block.vectors[left] @ queries[i]
         order = np.lexsort((left, -scores))[:k]
-        out_q.append(np.full(len(order), query_ids[i]))
-        out_c.append(block.ids[left[order]])
+        out_q.append(np.full(len(order), i))
+        out_c.append(left[order])
         out_s.append(scores[order])
     return np.concatenate(out_q), np.concatenate(out_c), np.concatenate(out_s)
 
@@ -87,7 +88,7 @@ def _kind(queries: np.ndarray, vectors: np.ndarray) -> type:
 
 
 FOUND = T.StructType(
-    [T.StructField(n, T.LongType()) for n in ("query_id", "vec_id", "score")]
+    [T.StructField(n, T.LongType()) for n in ("query", "query_id", "vec_id", "score", "copies")]
 )
 
 
@@ -96,6 +97,11 @@ def _stacked(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(flat).astype(np.int64).reshape(len(column), width)
 
 
+def block_of(blocks: int) -> Column:
+    """The block of a candidate; no key or vector sends all its rows to one."""
+    return F.pmod(F.xxhash64("id", "v"), F.lit(blocks))
+
+
 def search(
     vectors: DataFrame,
     queries: DataFrame,
@@ -108,8 +114,13 @@ def search(
 
     Vectors are arrays of whole numbers (long), all as long as most; rows whose key or vector is null,
     holds null or has another length take no part. Both sides are dealt into blocks of at most about
-    ``block`` rows by a hash of their keys, each block of candidates is read with each block
-    of queries, and only ``k`` rows per query come out of it. Every row of a repeated key takes part.
+    ``block`` rows, each block of candidates is read with each block of queries, and only ``k``
+    rows per query come out of it.
+
+    Query rows that repeat key and vector are one query with ``k`` results; different vectors of one
+    key are queries of their own, each with ``k`` results and ranks under that key. As candidates
+    all rows of a repeated key take part: one that stands twice has two ranks, and none of
+    them is a candidate of its own key. Equal rows meet the queries once, with their number.
     """
     usable = vectors.where(
         field(key).isNotNull() & field(vector).isNotNull() & ~F.exists(field(vector), F.isnull)
@@ -121,45 +132,52 @@ def search(
     common = sizes.orderBy(F.desc("n"), "width").head()
     width = common["width"] if common else 0
     usable, asked = (d.where(F.size("v") == width) for d in (usable, asked))
-    blocks = -(-usable.count() // block) or 1
+    usable = usable.groupBy("id", "v").agg(F.least(F.count("*"), F.lit(k)).alias("tag"))
+    asked = cut_lineage(asked.distinct().withColumn("tag", F.monotonically_increasing_id()))
+    blocks = -(-(common["n"] if common else 0) // block) or 1
     groups = -(-asked.count() // block) or 1
 
+    # The tag is a candidate's number of rows, or a query's own number.
+    row = ("tag", "id", "v")
     dealt = usable.select(
-        F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(False).alias("asks"), "id", "v"
+        block_of(blocks).alias("block"), F.lit(False).alias("asks"), *row
     )
     spread = asked.select(
-        F.pmod(F.xxhash64("id"), F.lit(groups)).alias("group"), F.lit(True).alias("asks"), "id", "v"
+        F.pmod(F.xxhash64("tag"), F.lit(groups)).alias("group"), F.lit(True).alias("asks"), *row
     )
     left = dealt.select(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "asks", "id", "v"
+        "block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "asks", *row
     )
     right = spread.select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "group", "asks", "id", "v"
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "group", "asks", *row
     )
-    both = left.select("block", F.col("group").cast("long"), "asks", "id", "v").union(
-        right.select(F.col("block").cast("long"), "group", "asks", "id", "v")
+    both = left.select("block", F.col("group").cast("long"), "asks", *row).union(
+        right.select(F.col("block").cast("long"), "group", "asks", *row)
     )
 
     def run(table: pa.Table) -> pa.Table:
         asks = np.asarray(table["asks"])
-        ids = np.asarray(table["id"])
+        ids, tags = np.asarray(table["id"]), np.asarray(table["tag"])
         values = _stacked(table["v"].combine_chunks(), width) if width else np.zeros((len(ids), 0))
         inside, outside = np.flatnonzero(~asks), np.flatnonzero(asks)
         if not len(inside) or not len(outside):
-            return pa.table([pa.array([], pa.int64())] * 3, names=FOUND.names)
+            return pa.table([pa.array([], pa.int64())] * 5, names=FOUND.names)
         kind = _kind(values[outside], values[inside])
-        lists = SortedLists(ids[inside], values[inside].astype(kind))
-        parts = [
-            best(ids[part], values[part].astype(kind), lists, k)
-            for part in np.array_split(outside, -(-len(outside) // 256))
-        ]
+        lists = SortedLists(ids[inside], values[inside].astype(kind), tags[inside])
+        parts = []
+        for part in np.array_split(outside, -(-len(outside) // 256)):
+            asking, chosen, scores = best(ids[part], values[part].astype(kind), lists, k)
+            asking = part[asking]
+            parts.append((tags[asking], ids[asking], lists.ids[chosen], scores, lists.copies[chosen]))
         columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
         return pa.table([pa.array(c.astype(np.int64)) for c in columns], names=FOUND.names)
 
     found = both.groupBy("block", "group").applyInArrow(run, FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    best_rows = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    each = best_rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return (
-        found.withColumn("rank", F.row_number().over(order))
+        each.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )

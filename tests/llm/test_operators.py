@@ -252,6 +252,23 @@ def test_topk(spark, size, most):
     assert topk.search(df.limit(0), df).count() == 0 == topk.search(df, df.limit(0)).count()
 
 
+def test_topk_of_repeated_rows(spark):
+    """Repeated queries give their results once; all rows of a repeated key are candidates."""
+    rnd = random.Random(12)
+    rows = [(i, [rnd.randint(-9, 9) for _ in range(6)]) for i in range(100)]
+    asked = rows[::20] + [(40, [9, -9, 9, -9, 9, -9])]
+    rows += rows[::20] * 2 + [asked[-1]] + [(7, rows[7][1])] * 150 + [(7, [rnd.randint(-9, 9) for _ in range(6)]) for _ in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>").repartition(4)
+    found = topk.search(df, df.where("vec_id % 20 = 0"), k=7, block=64)
+    assert sorted(map(tuple, found.collect())) == plain_best(rows, asked, 7)
+
+
+def test_topk_deals_one_key_to_all_blocks(spark):
+    rows = spark.createDataFrame([(7, [i, i % 3]) for i in range(600)], "id long, v array<long>")
+    sizes = [r["count"] for r in rows.groupBy(topk.block_of(10)).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 120
+
+
 def test_quantised(spark):
     df = spark.createDataFrame([([0.5, -0.01],), ([float("nan"), 1.0],), ([None, 1.0],), (None,)], "e array<float>")
     assert [r.v for r in topk.quantised(df, "e", "v").collect()] == [[32, -1], None, None, None]
