@@ -221,7 +221,9 @@ def extended(marked: DataFrame, length: int, longer: int, window: int) -> DataFr
     """The marked runs of each document at the next level, with the hashes of their windows.
 
     ``marked`` has ``doc, text, firsts, lasts, ats``. Windows that repeat within the batch are
-    given as settled rows of their own; only the first of them stays with its run.
+    given as settled rows of their own; only the first of them stays with its run. First is what has the
+    smallest ``doc`` and place, as in ``resolve``: so the first of all rows that hold a window goes on,
+    and goes on with it.
     """
 
     def run(batches):
@@ -232,6 +234,8 @@ def extended(marked: DataFrame, length: int, longer: int, window: int) -> DataFr
                 counts = np.asarray(pa.compute.list_value_length(lists[0]))
                 owner = np.repeat(np.arange(len(counts)), counts)
                 flat = [np.asarray(x.flatten()).astype(np.int64) for x in lists]
+                in_turn = np.lexsort((flat[0], docs[owner]))
+                owner, flat = owner[in_turn], [x[in_turn] for x in flat]
                 made = next_runs(texts, owner, *flat, length, longer, window)
                 _, _, owner, first, last, _ = made
                 n = last - first + 1

@@ -413,6 +413,18 @@ def test_substring_removal_with_crowds(spark, monkeypatch):
     assert [got[i] for i in range(50)] == plain_removal(texts, 35)
 
 
+def test_substring_windows_of_batches_in_any_order(spark):
+    """A window in three surroundings, in batches whose documents stand in descending order."""
+    said = "1 2 3 4 5 6 7 "
+    batches = [[(30, said + "B"), (1, said + "A")], [(20, said + "A"), (2, said + "B")], [(40, said + "X")]]
+    schema = "doc long, text string, firsts array<int>, lasts array<int>, ats array<int>, whole boolean"
+    listed = spark.sparkContext.parallelize(batches, 3).flatMap(lambda batch: batch)
+    marked = spark.createDataFrame(listed.map(lambda r: (*r, [0], [1], [3], True)), schema)
+    rows = substring.resolve(substring.extended(marked, 2, 4, 7))
+    found = {(r.doc, i) for r in substring.repeated_windows(rows).collect() for i in range(r["first"], r["last"] + 1)}
+    assert found == {(1, 0), (1, 1), (2, 0), (2, 1), (20, 0), (20, 1), (30, 0), (30, 1), (40, 0)}
+
+
 def test_substring_removal_of_odd_rows(spark, odd_docs):
     rows = substring.remove_repeats(odd_docs, window=2).collect()
     assert len(rows) == 7 and set(odd_docs.columns) < set(rows[0].asDict())
