@@ -65,10 +65,13 @@ SCOPE = frozenset("html body table td th ul ol dl div article section main aside
 PARTED = frozenset("dir dl menu ol optgroup select table tbody tfoot thead tr ul".split())
 
 _MARK = re.compile(r"<(?=[A-Za-z/!?])")
-_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-_ATTRIBUTE = re.compile(
-    r"""(?<![^\s"'/])(class|id|role|hidden)(?=[\s=/>]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I
+#: A quote opens a quoted value only straight after "="; elsewhere it is a letter of a name or a value.
+_VALUE = r"""(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+))?+)?+"""
+_ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+){_VALUE}")
+_TAG = re.compile(
+    r"<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+" + re.sub(r"\((?=[\"'\[])", "(?:", _VALUE) + ")*+)>"
 )
+_READ = frozenset("class id role hidden".split())
 _WORD = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 
 
@@ -92,6 +95,8 @@ def _unwanted(name: str, attributes: str) -> bool:
         return False
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
+        if key not in _READ:
+            continue
         if key == "hidden":
             return True
         if key == "role":
@@ -110,7 +115,7 @@ def parse(page: str) -> tuple[Node, list]:
     """The tree, and the page's texts and block borders (None) in order.
 
     Elements that HTML lets stay open are closed by what follows them; end tags without a start
-    are left out, and so is a tag that the end of the page cuts off.
+    are left out, and so is a tag that the end of the page cuts off, up to the next ``>`` if it holds one.
     """
     root = Node("#", None, False, 0)
     flow: list[str | None] = []
@@ -146,7 +151,7 @@ def parse(page: str) -> tuple[Node, list]:
         tag = _TAG.match(page, begin)
         if not tag:
             # A declaration, or a tag that is cut off.
-            end = page.find(">", begin) if page[begin + 1] in "!?/" else -1
+            end = page.find(">", begin)
             at = size if end < 0 else end + 1
             continue
         at = tag.end()

@@ -116,6 +116,15 @@ def test_main_text():
     assert html_text.main_text("<article><p>text</p><nav>x</nav></article><!-- open") == "text"
 
 
+def test_main_text_of_tags_with_quotes():
+    for tag in ("<p title=l'eau>", "<p alt=it's x=1>", '<p size=5">', "<p 'x>", "<p a = l'eau/b' c='>'>", "<p a=\"'>\" b='\">'>"):
+        assert html_text.main_text(f"<div>{tag}it's \"one\"</p><p>don't two</p></div>") == "it's \"one\"\ndon't two"
+    assert html_text.main_text("<p>one</p><p title='open>two</p><p>three</p>") == "one\ntwo\nthree"
+    assert html_text.main_text('<p>one</p><p title="open>two</p><p class="x">three</p>') == "one\nthree"
+    assert html_text.main_text("<p>one <a title='open>two, 'three") == "one two, 'three"
+    assert html_text.main_text("<p>one</p><p class=l'ad>two</p><p title=l'id=menu>three</p><p title=\"a hidden ad\">four</p>") == "one\nthree\nfour"
+
+
 def test_main_text_columns(spark):
     rows = [(1, None, "t"), (2, "", "t"), (3, "<p>a\n b</p>", "t"), (3, "<p>a\n b</p>", "t")]
     pages = spark.createDataFrame(rows, "page_id long, html string, main_text string")
