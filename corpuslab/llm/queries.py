@@ -55,7 +55,8 @@ def op2_main_text(spark: SparkSession, folder: str) -> DataFrame:
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     out = scratch_folder(spark, "token-files")
     token_files.write(_table(spark, folder, "documents", "doc_id", "text"), out, WORDS)
-    read = token_files.positions(token_files.read(spark, out))
+    index = spark.read.parquet(f"{out}/index")
+    read = token_files.positions(token_files.read(spark, out), index)
     return read.select(
         F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), "ids_crc32"
     )

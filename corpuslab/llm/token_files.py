@@ -27,16 +27,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslab.llm.batches import field, list_array, texts, with_python
 from corpuslab.llm.byte_pairs import LATIN, Memo, plain_pattern
+from corpuslab.operators.ordinal import running_offsets
 
 END_ID = 1
 RECORDS_PER_FILE = 2048
+RANGE_CHARS = 64
+"""Rows of one key are dealt to ranges by so many characters of their text."""
 _LENGTH, _SUM, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<?qB")
+#: The number of a file among its task's files ends its name; the random letters before may look like one.
+PIECE = r"-c(\d+)(?:\.[^-]*)?$"
+FILES_PER_PART = 1 << 32
 _FRAME = _LENGTH.size + 2 * _SUM.size + 1
 
 
@@ -173,15 +179,15 @@ def write(
 
     Texts are sorted by ranges of keys first, so that each task encodes and writes its own
     range; files number as the ranges do. Null texts give the end id alone, a null key comes first,
-    rows of one key are ordered by their text. Other columns are not written. An empty table
-    gives no record.
+    rows of one key are ordered by their text, and ranges may cut between them, so that a key that many
+    rows share is no single task. Other columns are not written. An empty table gives no record.
     """
     spark = docs.sparkSession
     with open(tokenizer, "rb") as file:
         shared = spark.sparkContext.broadcast(file.read())
     ordered = (
         docs.select(field(key).cast("long").alias("key"), field(text).alias("text"))
-        .repartitionByRange("key")
+        .repartitionByRange("key", F.substring("text", 1, RANGE_CHARS))
         .sortWithinPartitions("key", "text")
     )
 
@@ -212,6 +218,7 @@ READ = T.StructType(
         T.StructField("place", T.LongType()),
         T.StructField("offset", T.LongType()),
         T.StructField("key", T.LongType()),
+        T.StructField("before", T.LongType()),
         T.StructField("n_ids", T.LongType()),
         T.StructField("ids_crc32", T.LongType()),
         T.StructField("ids", T.ArrayType(T.LongType())),
@@ -219,6 +226,14 @@ READ = T.StructType(
 )
 
 
+def _part(name) -> Column:
+    return F.regexp_extract(name, r"^part-(\d+)", 1).cast("long")
+
+
+def _piece(name) -> Column:
+    return F.regexp_extract(name, PIECE, 1).cast("long")
+
+
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """The record files: ``file`` (name), ``part`` and ``piece`` (their order), ``content``."""
     name = F.element_at(F.split("path", "/"), -1)
@@ -228,8 +243,8 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
         .load(f"{folder}/records")
         .select(
             name.alias("file"),
-            F.regexp_extract(name, r"^part-(\d+)", 1).cast("long").alias("part"),
-            F.regexp_extract(name, r"-c(\d+)", 1).cast("long").alias("piece"),
+            _part(name).alias("part"),
+            _piece(name).alias("piece"),
             "content",
         )
     )
@@ -237,7 +252,8 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """All records, checksums verified: ``file, part, piece, place`` (number in the file),
-    ``offset, key, n_ids, ids_crc32`` (of the ids as 32-bit integers) and, if asked for, ``ids``."""
+    ``offset, key, before`` (ids of the file before it), ``n_ids, ids_crc32`` (of the ids as 32-bit
+    integers) and, if asked for, ``ids``."""
     schema = T.StructType(
         [
             T.StructField("file", T.StringType()),
@@ -251,9 +267,11 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 file, part, piece = (batch.column(c)[i].as_py() for c in range(3))
-                rows, lists = [], []
+                rows, lists, before = [], [], 0
                 for place, (offset, key, ids) in enumerate(records(batch.column(3)[i].as_py())):
-                    rows.append((place, offset, key, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    crc = zlib.crc32(ids.astype("<u4").tobytes())
+                    rows.append((place, offset, key, before, len(ids), crc))
+                    before += len(ids)
                     if with_ids:
                         lists.append(ids.astype(np.int64))
                 if not rows:
@@ -295,16 +313,20 @@ def read_some(spark: SparkSession, folder: str, wanted: DataFrame, key: str = "d
     return files(spark, folder).join(chosen, "file").select("content", "offsets").mapInArrow(run, schema)
 
 
-def positions(read_back: DataFrame) -> DataFrame:
+def positions(read_back: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Add ``start``: the number of ids in all records before this one.
 
-    Within a file a running sum, and for the files a running sum of their totals: one row
-    per file, which is all that comes together in one task.
+    A record knows the ids before it in its file; the files' totals, from the written ``index`` if
+    given, go through a running sum over the files' numbers. Only one row per file is shuffled.
     """
-    in_file = Window.partitionBy("part", "piece").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(F.lit(0)).orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    totals = read_back.groupBy("part", "piece").agg(F.sum("n_ids").alias("total"))
-    starts = totals.select("part", "piece", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("file_start"))
-    return read_back.join(starts, ["part", "piece"]).withColumn(
-        "start", F.col("file_start") + F.coalesce(F.sum("n_ids").over(in_file), F.lit(0))
-    ).drop("file_start")
+    totals = (read_back if index is None else index).select("file", "n_ids")
+    totals = totals.groupBy("file").agg(F.sum("n_ids").alias("total"))
+    number = _part("file") * F.lit(FILES_PER_PART) + _piece("file")
+    starts = running_offsets(totals.withColumn("number", number), "number", "total")
+    starts = starts.select("number", F.col("offset").alias("file_start"))
+    numbered = read_back.withColumn("number", number)
+    return (
+        numbered.join(starts, "number")
+        .withColumn("start", F.col("file_start") + F.col("before"))
+        .drop("number", "file_start")
+    )

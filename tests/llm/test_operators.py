@@ -174,6 +174,39 @@ def test_token_files(spark, odd_docs, tmp_path):
     assert [r.doc_id for r in some.collect()] == [3, 3]
 
 
+def test_token_files_are_in_order_whatever_their_names(spark, tmp_path):
+    """The random letters in a file's name may hold ``-c`` and digits."""
+    names = [f"part-0000{part}-fb5c8e83-5f6e-4c0a-9b1c-c0c262e9e811-c00{piece}.txt" for part in (1, 0) for piece in (1, 0)]
+    for n, name in enumerate(names):
+        (tmp_path / "records").mkdir(exist_ok=True)
+        made = [token_files.frame(token_files.payload_of(10 * n + i, np.arange(n + 1), 2)) for i in range(2)]
+        (tmp_path / "records" / name).write_bytes(b"".join(m + b"\n" for m in made))
+    read = token_files.read(spark, str(tmp_path))
+    index = read.select("file", "n_ids")
+    for rows in (token_files.positions(read), token_files.positions(read, index)):
+        found = [(r.key, r.start) for r in rows.orderBy("start").collect()]
+        assert found == [(30, 0), (31, 4), (20, 8), (21, 11), (10, 14), (11, 16), (0, 18), (1, 19)]
+
+
+def test_token_files_written_again_and_again(spark, tmp_path):
+    docs = spark.createDataFrame([(None if i < 6 else i, f"w{i % 4} é") for i in range(12)], "doc_id long, text string")
+    for turn in range(20):
+        folder = f"{tmp_path}/{turn}"
+        token_files.write(docs, folder, P.path("word_bpe_49k.json"), records_per_file=2)
+        rows = token_files.positions(token_files.read(spark, folder), spark.read.parquet(f"{folder}/index"))
+        rows = rows.orderBy("start").collect()
+        assert [r.key for r in rows] == [None] * 6 + list(range(6, 12))
+        assert [r.start for r in rows] == [sum(r.n_ids for r in rows[:i]) for i in range(12)]
+
+
+def test_resolving_repeats_takes_one_exchange(spark):
+    import re
+
+    rows = spark.createDataFrame([(1, 2, 3, 0, 0, 0, 0, 1, 1, 0)], substring.ROW)
+    plan = substring.resolve(rows)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("Exchange hashpartitioning", plan)) == 1
+
+
 def plain_hits(text, items, window=13):
     import re
 
