@@ -278,15 +278,16 @@ def extended(marked: DataFrame, length: int, longer: int, window: int) -> DataFr
 def resolve(rows: DataFrame) -> DataFrame:
     """The rows that repeat, with ``settled`` (all windows repeat) and ``marked`` (to be extended).
 
+    The window by key comes first, so that its one exchange serves the windows by surroundings, too.
     Of rows that repeat as a whole one goes on with the open rows of the same sequence, since
     those may share windows with it.
     """
     by_key = Window.partitionBy("key", "kind")
     by_around = Window.partitionBy("key", "kind", "around")
     counted = (
-        rows.withColumn("in_around", F.sum("n_around").over(by_around))
+        rows.withColumn("in_key", F.sum("n_key").over(by_key))
+        .withColumn("in_around", F.sum("n_around").over(by_around))
         .withColumn("nth", F.row_number().over(by_around.orderBy("doc", "first")))
-        .withColumn("in_key", F.sum("n_key").over(by_key))
         .withColumn("open", (F.min("in_around").over(by_key) < 2) | (F.max("loose").over(by_key) > 0))
     )
     kind, alone = F.col("kind"), F.col("in_around") < 2
