@@ -85,4 +85,85 @@ ORACLE = {
             sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM doc LEFT JOIN kept USING (doc_id)
     """,
+    "op11_lexical": r"""
+        WITH term AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+            FROM documents
+        ),
+        asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+            FROM benchmark
+        ),
+        size AS (SELECT doc_id, count(*) AS n FROM term GROUP BY doc_id),
+        corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM size),
+        held AS (SELECT doc_id, t, count(*) AS tf FROM term SEMI JOIN asked USING (t) GROUP BY doc_id, t),
+        weight AS (
+            SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+            FROM held, corpus GROUP BY t
+        ),
+        impact AS (
+            SELECT doc_id, t,
+                (1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // terms)) AS x
+            FROM held JOIN size USING (doc_id), corpus
+        ),
+        scored AS (
+            SELECT item_id, doc_id, sum(w * x)::BIGINT AS score
+            FROM asked JOIN weight USING (t) JOIN impact USING (t) GROUP BY item_id, doc_id
+        )
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+              FROM scored WHERE score > 0)
+        WHERE rank <= 50
+    """,
+    "op13_collocations": r"""
+        WITH piece AS (
+            SELECT row_number() OVER () AS p, lang, list_filter(string_split_regex(piece, '[\x20\x09]+'),
+                lambda w: w <> '') AS w
+            FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[.,;:!?\x0A-\x0D]')) AS piece
+                  FROM documents)
+        ),
+        word AS (SELECT p, lang, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM piece),
+        place AS (
+            SELECT lang, t AS t1, lead(t) OVER piece AS t2, lead(t, 2) OVER piece AS t3
+            FROM word WINDOW piece AS (PARTITION BY p ORDER BY i)
+        ),
+        found AS MATERIALIZED (
+            SELECT lang, 1 AS size, t1 AS phrase, count(*) AS f FROM place GROUP BY ALL
+            UNION ALL SELECT lang, 2, t1 || ' ' || t2, count(*) FROM place WHERE t2 IS NOT NULL GROUP BY ALL
+            UNION ALL SELECT lang, 3, t1 || ' ' || t2 || ' ' || t3, count(*) FROM place WHERE t3 IS NOT NULL GROUP BY ALL
+        ),
+        total AS (SELECT lang, sum(f)::BIGINT AS n FROM found WHERE size = 1 GROUP BY lang),
+        candidate AS (SELECT * FROM found WHERE size > 1 AND f >= 10),
+        part AS MATERIALIZED (
+            SELECT lang, phrase, size, f AS a, k, array_to_string(string_split(phrase, ' ')[1 : k], ' ') AS p1,
+                array_to_string(string_split(phrase, ' ')[k + 1 :], ' ') AS p2
+            FROM candidate, (VALUES (1), (2)) AS cuts(k) WHERE k < size
+        ),
+        cut AS (
+            SELECT part.lang, part.phrase, part.size, a, k, l.f AS l, r.f AS r,
+                ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+            FROM part JOIN found AS l ON l.lang = part.lang AND l.phrase = p1
+            JOIN found AS r ON r.lang = part.lang AND r.phrase = p2
+        ),
+        best AS (
+            SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ),
+        inside AS (
+            SELECT lang, array_to_string(string_split(phrase, ' ')[i : i + 1], ' ') AS phrase, max(f) AS longer
+            FROM candidate, (VALUES (1), (2)) AS spots(i) WHERE size = 3 GROUP BY ALL
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score
+        FROM (SELECT b.*, row_number() OVER (
+                PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank
+              FROM best AS b LEFT JOIN inside AS i ON i.lang = b.lang AND i.phrase = b.phrase
+              WHERE longer IS NULL OR 100 * longer < 50 * a)
+        JOIN total USING (lang)
+        WHERE rank <= 2000
+    """,
 }

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm import (
     byte_pairs,
+    collocations,
     decontaminate,
     html_text,
+    lexical,
     quality,
     simhash,
     substring,
@@ -115,6 +117,15 @@ def op10_substring(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents", "doc_id", "text")
+    return lexical.search(docs, _table(spark, folder, "benchmark", "item_id", "text"))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(_table(spark, folder, "documents", "text", "lang"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -128,5 +139,7 @@ QUERIES = {
         op8_quality,
         op9_word_pieces,
         op10_substring,
+        op11_lexical,
+        op13_collocations,
     )
 }
