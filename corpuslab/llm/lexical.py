@@ -21,6 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,7 +157,7 @@ def _search(buckets: DataFrame, shared, least: dict[int, int], terms: int, k: in
             for start in range(0, batch.num_rows, size):
                 part = batch.slice(start, size)
                 docs = part.column(0).fill_null(_NULL).to_numpy(zero_copy_only=False)
-                sizes = np.asarray(pa.compute.list_value_length(part.column(1))).astype(np.int64)
+                sizes = np.asarray(pc.list_value_length(part.column(1))).astype(np.int64)
                 ids, impacts = (np.asarray(part.column(i).flatten()).astype(np.int64) for i in (1, 2))
                 bucket = Bucket(ids, impacts, sizes, np.asarray(part.column(3)))
                 for i, chosen in enumerate(block.lists):

@@ -18,6 +18,7 @@ from corpuslab.llm import (
     token_files,
     topk,
     url_filter,
+    vector_tree,
     word_pieces,
 )
 from corpuslab.llm.batches import scratch_folder
@@ -122,6 +123,11 @@ def op11_lexical(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.search(docs, _table(spark, folder, "benchmark", "item_id", "text"))
 
 
+def op12_vector_tree(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings", "vec_id", "embedding")
+    return vector_tree.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.mine(_table(spark, folder, "documents", "text", "lang"))
 
@@ -140,6 +146,7 @@ QUERIES = {
         op9_word_pieces,
         op10_substring,
         op11_lexical,
+        op12_vector_tree,
         op13_collocations,
     )
 }
