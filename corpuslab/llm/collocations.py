@@ -32,6 +32,8 @@ LEAST = 10
 SHARDS = 4
 SLOT_BITS = 22
 """Slots of the tables of reached phrases, as a power of two: one byte each, on the driver and in tasks."""
+BITMAP_BITS = 25
+"""Bits of the table of frequent phrases' hashes, as a power of two; it is broadcast, 64 bits a row."""
 SLICE_BYTES = 8 << 20
 """Text whose phrases a task counts at a time."""
 COVERED = 50
@@ -86,8 +88,8 @@ def phrases(
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Length, places of a first occurrence, counts and slots of the phrases this scan counts.
 
-    ``hashes`` holds one hash per word number, ``reached`` for each length but the last its table of slots; the
-    longest phrases have slot 0, as nothing follows from them.
+    ``hashes`` holds one hash per word number, ``reached`` for each length but the last its table of slots. The
+    slot is -1 where it is of no more use: once it is reached, and for the longest phrases.
     """
     bits = int(len(reached[0])).bit_length() - 1 if reached else SLOT_BITS
     word_hash = hashes[ids]
@@ -111,7 +113,11 @@ def phrases(
                     code = np.unique(code, return_inverse=True)[1]
                 code = code * width + ids[places + more]
             _, first, counts = np.unique(code, return_index=True, return_counts=True)
-            slots = slot[places[first]] if size <= len(reached) else np.zeros(len(first), np.int64)
+            if size <= len(reached):
+                slots = slot[places[first]]
+                slots = np.where(reached[size - 1][slots] == _NEVER, slots, -1)
+            else:
+                slots = np.full(len(first), -1)
             yield size, places[first], counts, slots
 
 
@@ -199,7 +205,7 @@ def phrase_counts(
         rows.write.option("compression", "zstd").parquet(path)
         shared.destroy()
         sums = (
-            spark.read.schema(COUNTED).parquet(path).where(F.col("size") < longest)
+            spark.read.schema(COUNTED).parquet(path).where("slot >= 0")
             .groupBy("size", "slot").agg(F.least(F.sum("n"), F.lit(least)).cast("short").alias("n"))
         )
         for size, slot, n in _by_size(sums.toArrow(), longest):
@@ -214,8 +220,27 @@ def phrase_counts(
     paths = [f"{folder}/scan={s}" for s in range(scan)]
     counted = spark.read.schema(COUNTED).parquet(*paths)
     sizes = counted.where("size = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    found = counted.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a"))
-    return cut_lineage(found.where(F.col("a") >= least)), sizes
+    return cut_lineage(_frequent(counted, least)), sizes
+
+
+def _frequent(counted: DataFrame, least: int) -> DataFrame:
+    """``lang, phrase, size, a`` of the phrases with ``a >= least``.
+
+    Most phrases of the longest length stand once or twice, so their texts should not be shuffled. Hashes
+    are counted first; those counted often enough go to a bitmap of fixed size, which is broadcast, and only
+    phrases with a bit in it are counted by their texts. Hashes that meet only let more rows through.
+    """
+    hashed = counted.withColumn("h", F.xxhash64("lang", "phrase"))
+    often = hashed.groupBy("h").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    word = F.shiftrightunsigned("h", 64 - BITMAP_BITS + 6)
+    bit = F.shiftrightunsigned("h", 64 - BITMAP_BITS).bitwiseAND(F.lit(63)).cast("int")
+    one = F.expr("shiftleft(1L, bit)")
+    bitmap = often.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(one).alias("bits"))
+    bitmap = cut_lineage(bitmap)
+    near = hashed.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(bitmap), "word")
+    near = near.where(F.col("bits").bitwiseAND(one) != 0)
+    found = near.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a"))
+    return found.where(F.col("a") >= least)
 
 
 def _by_size(table: pa.Table, longest: int):
