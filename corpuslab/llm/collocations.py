@@ -10,6 +10,11 @@ What has been counted often enough is kept in a table of fixed size: one byte pe
 scan by which the phrases of the slot, taken together, reached the threshold. Phrases that share a slot begin
 earlier than alone they would, but all tasks see the same table, so every phrase has one beginning and one
 cycle. More phrases than slots cost work and change no count.
+
+Most phrases stand once or twice, so scans give their hashes and not their texts: sorted, in buckets, each as
+often as it stands and up to the threshold. When all cycles are closed, hashes that were given often
+enough set bits in a table of fixed size, and one more pass over the texts counts the phrases with a bit
+by their words. Hashes that meet let a rare phrase into that pass, and no further.
 """
 
 from __future__ import annotations
@@ -32,8 +37,10 @@ LEAST = 10
 SHARDS = 4
 SLOT_BITS = 22
 """Slots of the tables of reached phrases, as a power of two: one byte each, on the driver and in tasks."""
-BITMAP_BITS = 25
-"""Bits of the table of frequent phrases' hashes, as a power of two; it is broadcast, 64 bits a row."""
+BUCKET_BYTES = 16 << 20
+"""Text for one bucket of hashes, about: a task adds up one bucket at a time."""
+BITMAP_BITS = 26
+"""Bits of the table of frequent phrases' hashes, as a power of two; it is broadcast."""
 SLICE_BYTES = 8 << 20
 """Text whose phrases a task counts at a time."""
 COVERED = 50
@@ -84,86 +91,208 @@ def _mixed(values: np.ndarray) -> np.ndarray:
 
 
 def phrases(
-    ids: np.ndarray, hashes: np.ndarray, reached: list[np.ndarray], scan: int, shards: int
-) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Length, places of a first occurrence, counts and slots of the phrases this scan counts.
+    ids: np.ndarray, hashes: np.ndarray, longest: int, active
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Length, places and hashes of the phrases for which ``active`` holds, by length.
 
-    ``hashes`` holds one hash per word number, ``reached`` for each length but the last its table of slots. The
-    slot is -1 where it is of no more use: once it is reached, and for the longest phrases.
+    ``hashes`` holds one hash per word number. ``active(size, inside, shorter)`` gives a mask of the places where a
+    phrase of that length begins, of those ``inside`` a piece; ``shorter`` are the hashes one word shorter.
     """
-    bits = int(len(reached[0])).bit_length() - 1 if reached else SLOT_BITS
-    word_hash = hashes[ids]
-    hashed, slot = word_hash, (word_hash >> _U(64 - bits)).astype(np.int64)
-    inside = ids > 0
-    for size in range(1, len(reached) + 2):
-        if size == 1:
-            counted = inside if scan < shards else np.zeros(len(ids), bool)
-        else:
-            since = reached[size - 2][slot].astype(np.int16)
-            since = np.maximum(since[:-1], since[1:]) + 1
+    word = hashes[ids]
+    hashed, inside, shorter = word, ids > 0, None
+    for size in range(1, longest + 1):
+        if size > 1:
+            if len(ids) < size:
+                return
+            shorter = hashed
             inside = inside[:-1] & (ids[size - 1 :] > 0)
-            counted = inside & (since <= scan) & (scan < since + shards) & (since <= _NEVER)
-            hashed = _mixed(hashed[:-1] * _U(0xD6E8FEB86659FD93) + word_hash[size - 1 :])
-            slot = (hashed >> _U(64 - bits)).astype(np.int64)
-        places = np.flatnonzero(counted)
-        if len(places):
-            code, width = ids[places].astype(np.int64), len(hashes)
-            for more in range(1, size):
-                if (int(code.max()) + 1) * width >= 1 << 62:
-                    code = np.unique(code, return_inverse=True)[1]
-                code = code * width + ids[places + more]
-            _, first, counts = np.unique(code, return_index=True, return_counts=True)
-            if size <= len(reached):
-                slots = slot[places[first]]
-                slots = np.where(reached[size - 1][slots] == _NEVER, slots, -1)
-            else:
-                slots = np.full(len(first), -1)
-            yield size, places[first], counts, slots
-
-
-COUNTED = T.StructType(
+            hashed = _mixed(hashed[:-1] * _U(0xD6E8FEB86659FD93) + word[size - 1 :])
+        places = np.flatnonzero(active(size, inside, shorter))
+        yield size, places, hashed[places]
+
+
+def _slots(hashed: np.ndarray, bits: int) -> np.ndarray:
+    return (hashed >> _U(64 - bits)).astype(np.int64)
+
+
+def _split(hashed: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and 32 more bits of a hash; ``buckets`` is a power of two."""
+    bits = buckets.bit_length() - 1
+    return _slots(hashed, bits) if bits else np.zeros(len(hashed), np.int64), (hashed >> _U(32 - bits)).astype(np.uint32)
+
+
+class Slice:
+    """Numbered words of some rows, and the texts of phrases in them."""
+
+    def __init__(self, langs: pa.Array, texts: pa.Array):
+        import xxhash
+
+        self.ids, known, owners, names = numbered(utf8(langs), utf8(texts))
+        seeds = [xxhash.xxh64_intdigest(n) for n in names] or [0]
+        digest = xxhash.xxh64_intdigest
+        made = (digest(w, seeds[o]) for w, o in zip(known, owners, strict=True))
+        self.hashes = np.fromiter(made, np.uint64, len(known))
+        self.words, self.langs = pa.array(known, pa.binary()), pa.array(names, pa.binary())
+        self.owners = np.array(owners, np.int32)
+
+    def distinct(self, size: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first place of each different phrase, and its number of places."""
+        if not len(places):
+            return places, places
+        code, width = self.ids[places].astype(np.int64), len(self.hashes)
+        for more in range(1, size):
+            if (int(code.max()) + 1) * width >= 1 << 62:
+                code = np.unique(code, return_inverse=True)[1]
+            code = code * width + self.ids[places + more]
+        _, first, counts = np.unique(code, return_index=True, return_counts=True)
+        return places[first], counts
+
+    def texts(self, size: int, places: np.ndarray) -> list[pa.Array]:
+        """Languages and texts of the phrases at the places."""
+        lists = [self.words.take(pa.array(self.ids[places + i])) for i in range(size)]
+        joined = pc.binary_join_element_wise(*lists, b" ") if size > 1 else lists[0]
+        owner = pa.array(self.owners[self.ids[places]])
+        return [self.langs.take(owner).cast(pa.string()), joined.cast(pa.string())]
+
+
+#: What a row of a scan is: a word with its count, a count of a slot, or hashes of longer phrases in a bucket.
+WORD, SLOT, HASHES = range(3)
+SCANNED = T.StructType(
     [
-        T.StructField("lang", T.StringType()),
-        T.StructField("phrase", T.StringType()),
+        T.StructField("kind", T.IntegerType()),
         T.StructField("size", T.IntegerType()),
         T.StructField("slot", T.IntegerType()),
         T.StructField("n", T.LongType()),
+        T.StructField("lang", T.StringType()),
+        T.StructField("phrase", T.StringType()),
+        T.StructField("bucket", T.IntegerType()),
+        T.StructField("hashes", T.BinaryType()),
     ]
 )
+_ARROW = pa.schema(
+    [("kind", pa.int32()), ("size", pa.int32()), ("slot", pa.int32()), ("n", pa.int64()), ("lang", pa.string())]
+    + [("phrase", pa.string()), ("bucket", pa.int32()), ("hashes", pa.binary())]
+)
 
 
-def _scan(shard: DataFrame, shared, scan: int, shards: int) -> DataFrame:
-    """Counts of the phrases that are open in this scan, added up per slice of a task."""
+def _rows(count: int, **columns) -> pa.RecordBatch:
+    made = []
+    for name, kind in zip(_ARROW.names, _ARROW.types, strict=True):
+        value = columns.get(name)
+        if value is None:
+            made.append(pa.nulls(count, kind))
+        elif isinstance(value, int):
+            made.append(pa.array(np.full(count, value, kind.to_pandas_dtype())))
+        else:
+            made.append(value if isinstance(value, pa.Array) else pa.array(value.astype(kind.to_pandas_dtype())))
+    return pa.RecordBatch.from_arrays(made, schema=_ARROW)
 
-    def run(batches):
-        import xxhash
 
+class _Seen:
+    """Phrases of which a task has given ``least`` hashes, as far as a table of fixed size tells."""
+
+    def __init__(self, bits: int = 18):
+        self.table, self.bits = np.zeros(1 << bits, np.uint64), bits
+
+    def fresh(self, hashed: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
+        slot = (hashed & _U((1 << self.bits) - 1)).astype(np.int64)
+        new = self.table[slot] != hashed
+        full = new & (counts >= least)
+        self.table[slot[full]] = hashed[full]
+        return new
+
+
+def _scan(shard: DataFrame, shared, scan: int, shards: int, longest: int, least: int, buckets: int) -> DataFrame:
+    """What this scan counts: words with texts and slots, longer phrases by slots and hashes."""
+
+    def run(batches):
         reached = [np.frombuffer(t, np.uint8) for t in shared.value]
+        bits = len(reached[0]).bit_length() - 1 if reached else 1
+        seen = _Seen()
+
+        def active(size, inside, shorter):
+            if size == 1:
+                return inside if scan < shards else np.zeros(len(inside), bool)
+            since = reached[size - 2][_slots(shorter, bits)].astype(np.int16)
+            since = np.maximum(since[:-1], since[1:]) + 1
+            return inside & (since <= scan) & (scan < since + shards) & (since <= _NEVER)
+
         for batch in batches:
             for part in sliced(batch, SLICE_BYTES):
-                ids, known, owners, names = numbered(utf8(part.column(0)), utf8(part.column(1)))
-                seeds = [xxhash.xxh64_intdigest(n) for n in names] or [0]
-                digest = xxhash.xxh64_intdigest
-                hashes = np.fromiter(
-                    (digest(w, seeds[o]) for w, o in zip(known, owners, strict=True)), np.uint64, len(known)
-                )
-                words, langs = pa.array(known, pa.binary()), pa.array(names, pa.binary())
-                for size, places, counts, slots in phrases(ids, hashes, reached, scan, shards):
-                    lists = [words.take(pa.array(ids[places + i])) for i in range(size)]
-                    joined = pc.binary_join_element_wise(*lists, b" ") if size > 1 else lists[0]
-                    owner = np.array(owners, np.int32)[ids[places]]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            langs.take(pa.array(owner)).cast(pa.string()),
-                            joined.cast(pa.string()),
-                            pa.array(np.full(len(places), size, np.int32)),
-                            pa.array(slots.astype(np.int32)),
-                            pa.array(counts.astype(np.int64)),
-                        ],
-                        names=COUNTED.names,
-                    )
-
-    return shard.select("lang", "text").mapInArrow(run, COUNTED)
+                held = Slice(*part.columns)
+                sent = []
+                for size, places, hashed in phrases(held.ids, held.hashes, longest, active):
+                    if size == 1:
+                        places, counts = held.distinct(1, places)
+                        slots = _slots(held.hashes[held.ids[places]], bits)
+                        langs, texts = held.texts(1, places)
+                        yield _rows(len(places), kind=WORD, size=1, slot=slots, n=counts, lang=langs, phrase=texts)
+                        continue
+                    value, counts = np.unique(hashed, return_counts=True)
+                    if size < longest:
+                        slots = _slots(value, bits)
+                        needed = reached[size - 1][slots] == _NEVER
+                        slots, at = np.unique(slots[needed], return_inverse=True)
+                        sums = np.bincount(at.ravel(), counts[needed], len(slots))
+                        yield _rows(len(slots), kind=SLOT, size=size, slot=slots, n=sums)
+                    new = seen.fresh(value, counts, least)
+                    sent.append(np.repeat(value[new], np.minimum(counts[new], least)))
+                value = np.sort(np.concatenate(sent or [np.zeros(0, np.uint64)]))
+                bucket, rest = _split(value, buckets)
+                heads = np.flatnonzero(np.diff(bucket, prepend=-1))
+                parts = np.split(rest, heads[1:]) if len(heads) else []
+                packed = pa.array([p.tobytes() for p in parts], pa.binary())
+                yield _rows(len(heads), kind=HASHES, bucket=bucket[heads], hashes=packed)
+
+    return shard.select("lang", "text").mapInArrow(run, SCANNED)
+
+
+BITS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("bits", T.BinaryType())])
+
+
+def _bitmap(scanned: DataFrame, buckets: int, least: int) -> bytes:
+    """One bit for the leading bits of each hash that was given ``least`` times, all buckets in a row."""
+    size = (1 << BITMAP_BITS) // buckets
+
+    def run(table: pa.Table) -> pa.Table:
+        values = np.concatenate([np.frombuffer(b.as_py(), np.uint32) for b in table["hashes"]])
+        values, counts = np.unique(values, return_counts=True)
+        bits = np.zeros(size, bool)
+        bits[_place(values[counts >= least], size)] = True
+        return pa.table([table["bucket"][:1], pa.array([np.packbits(bits).tobytes()])], names=BITS.names)
+
+    hashed = scanned.where(F.col("kind") == HASHES).select("bucket", "hashes")
+    held = np.zeros((buckets, size // 8), np.uint8)
+    for row in hashed.groupBy("bucket").applyInArrow(run, BITS).toLocalIterator():
+        held[row.bucket] = np.frombuffer(row.bits, np.uint8)
+    return held.tobytes()
+
+
+def _place(rest: np.ndarray, size: int) -> np.ndarray:
+    return (rest.astype(np.uint64) * _U(size) >> _U(32)).astype(np.int64)
+
+
+TEXTS = T.StructType([SCANNED["lang"], SCANNED["phrase"], SCANNED["size"], SCANNED["n"]])
+
+
+def _texts(rows: DataFrame, bitmap, buckets: int, longest: int) -> DataFrame:
+    """Texts and counts, added up per slice, of the longer phrases whose bit is set."""
+
+    def run(batches):
+        bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).view(bool)
+        size_of = len(bits) // buckets
+        for batch in batches:
+            for part in sliced(batch, SLICE_BYTES):
+                held = Slice(*part.columns)
+                for size, places, hashed in phrases(held.ids, held.hashes, longest, lambda s, inside, _: inside):
+                    if size > 1:
+                        bucket, rest = _split(hashed, buckets)
+                        places = places[bits[bucket * size_of + _place(rest, size_of)]]
+                        places, counts = held.distinct(size, places)
+                        columns = [pa.array(np.full(len(places), size, np.int32)), pa.array(counts.astype(np.int64))]
+                        yield pa.RecordBatch.from_arrays([*held.texts(size, places), *columns], names=TEXTS.names)
+
+    return rows.select("lang", "text").mapInArrow(run, TEXTS)
 
 
 def phrase_counts(
@@ -192,23 +321,23 @@ def phrase_counts(
         F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"),
     ).where("text is not null and text <> ''")
     dealt.write.option("compression", "zstd").partitionBy("shard").parquet(f"{folder}/shards")
-    shard_rows = spark.read.schema("lang string, text string, shard int").parquet(f"{folder}/shards")
+    rows = spark.read.schema("lang string, text string, shard int").parquet(f"{folder}/shards")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+    buckets = 1 << max(6, (size // BUCKET_BYTES).bit_length())
 
-    slots = 1 << slot_bits
-    totals = [np.zeros(slots, np.uint8) for _ in range(longest - 1)]
-    reached = [np.full(slots, _NEVER, np.uint8) for _ in range(longest - 1)]
+    totals = [np.zeros(1 << slot_bits, np.uint8) for _ in range(longest - 1)]
+    reached = [np.full(1 << slot_bits, _NEVER, np.uint8) for _ in range(longest - 1)]
     scan, open_until = 0, shards
     while scan < open_until:
         shared = spark.sparkContext.broadcast([t.tobytes() for t in reached])
-        rows = _scan(shard_rows.where(F.col("shard") == scan % shards), shared, scan, shards)
+        shard = rows.where(F.col("shard") == scan % shards)
         path = f"{folder}/scan={scan}"
-        rows.write.option("compression", "zstd").parquet(path)
+        found = _scan(shard, shared, scan, shards, longest, least, buckets)
+        found.write.option("compression", "zstd").parquet(path)
         shared.destroy()
-        sums = (
-            spark.read.schema(COUNTED).parquet(path).where("slot >= 0")
-            .groupBy("size", "slot").agg(F.least(F.sum("n"), F.lit(least)).cast("short").alias("n"))
-        )
-        for size, slot, n in _by_size(sums.toArrow(), longest):
+        sums = spark.read.schema(SCANNED).parquet(path).where(F.col("kind") != HASHES).groupBy("size", "slot")
+        sums = sums.agg(F.least(F.sum("n"), F.lit(least)).cast("short").alias("n")).toArrow()
+        for size, slot, n in _by_size(sums, longest):
             held = totals[size - 1]
             before = held[slot] >= least
             held[slot] = np.minimum(held[slot].astype(np.int32) + n, least)
@@ -217,30 +346,12 @@ def phrase_counts(
                 reached[size - 1][fresh] = scan
                 open_until = max(open_until, scan + 1 + shards)
         scan += 1
-    paths = [f"{folder}/scan={s}" for s in range(scan)]
-    counted = spark.read.schema(COUNTED).parquet(*paths)
-    sizes = counted.where("size = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    return cut_lineage(_frequent(counted, least)), sizes
-
-
-def _frequent(counted: DataFrame, least: int) -> DataFrame:
-    """``lang, phrase, size, a`` of the phrases with ``a >= least``.
-
-    Most phrases of the longest length stand once or twice, so their texts should not be shuffled. Hashes
-    are counted first; those counted often enough go to a bitmap of fixed size, which is broadcast, and only
-    phrases with a bit in it are counted by their texts. Hashes that meet only let more rows through.
-    """
-    hashed = counted.withColumn("h", F.xxhash64("lang", "phrase"))
-    often = hashed.groupBy("h").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    word = F.shiftrightunsigned("h", 64 - BITMAP_BITS + 6)
-    bit = F.shiftrightunsigned("h", 64 - BITMAP_BITS).bitwiseAND(F.lit(63)).cast("int")
-    one = F.expr("shiftleft(1L, bit)")
-    bitmap = often.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(one).alias("bits"))
-    bitmap = cut_lineage(bitmap)
-    near = hashed.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(bitmap), "word")
-    near = near.where(F.col("bits").bitwiseAND(one) != 0)
-    found = near.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a"))
-    return found.where(F.col("a") >= least)
+    scanned = spark.read.schema(SCANNED).parquet(*[f"{folder}/scan={s}" for s in range(scan)])
+    words = scanned.where(F.col("kind") == WORD)
+    bitmap = spark.sparkContext.broadcast(_bitmap(scanned, buckets, least))
+    texts = words.select(*TEXTS.names).unionByName(_texts(rows, bitmap, buckets, longest))
+    counts = texts.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    return cut_lineage(counts), words.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def _by_size(table: pa.Table, longest: int):
