@@ -39,6 +39,8 @@ SLOT_BITS = 22
 """Slots of the tables of reached phrases, as a power of two: one byte each, on the driver and in tasks."""
 BUCKET_BYTES = 16 << 20
 """Text for one bucket of hashes, about: a task adds up one bucket at a time."""
+TASK_BYTES = 64 << 20
+"""Text whose frequent phrases one task adds up before they are shuffled, at least."""
 BITMAP_BITS = 26
 """Bits of the table of frequent phrases' hashes, as a power of two; it is broadcast."""
 SLICE_BYTES = 8 << 20
@@ -155,8 +157,8 @@ class Slice:
         return [self.langs.take(owner).cast(pa.string()), joined.cast(pa.string())]
 
 
-#: What a row of a scan is: a word with its count, a count of a slot, or hashes of longer phrases in a bucket.
-WORD, SLOT, HASHES = range(3)
+#: What a row of a scan is: the words of a language, a count of a slot, or hashes of phrases in a bucket.
+TOTAL, SLOT, HASHES = range(3)
 SCANNED = T.StructType(
     [
         T.StructField("kind", T.IntegerType()),
@@ -164,14 +166,13 @@ SCANNED = T.StructType(
         T.StructField("slot", T.IntegerType()),
         T.StructField("n", T.LongType()),
         T.StructField("lang", T.StringType()),
-        T.StructField("phrase", T.StringType()),
         T.StructField("bucket", T.IntegerType()),
         T.StructField("hashes", T.BinaryType()),
     ]
 )
 _ARROW = pa.schema(
     [("kind", pa.int32()), ("size", pa.int32()), ("slot", pa.int32()), ("n", pa.int64()), ("lang", pa.string())]
-    + [("phrase", pa.string()), ("bucket", pa.int32()), ("hashes", pa.binary())]
+    + [("bucket", pa.int32()), ("hashes", pa.binary())]
 )
 
 
@@ -203,7 +204,7 @@ class _Seen:
 
 
 def _scan(shard: DataFrame, shared, scan: int, shards: int, longest: int, least: int, buckets: int) -> DataFrame:
-    """What this scan counts: words with texts and slots, longer phrases by slots and hashes."""
+    """What this scan counts: words by language, phrases by slots that are not reached and by hashes."""
 
     def run(batches):
         reached = [np.frombuffer(t, np.uint8) for t in shared.value]
@@ -223,11 +224,8 @@ def _scan(shard: DataFrame, shared, scan: int, shards: int, longest: int, least:
                 sent = []
                 for size, places, hashed in phrases(held.ids, held.hashes, longest, active):
                     if size == 1:
-                        places, counts = held.distinct(1, places)
-                        slots = _slots(held.hashes[held.ids[places]], bits)
-                        langs, texts = held.texts(1, places)
-                        yield _rows(len(places), kind=WORD, size=1, slot=slots, n=counts, lang=langs, phrase=texts)
-                        continue
+                        n = np.bincount(held.owners[held.ids[places]], minlength=len(held.langs))
+                        yield _rows(len(n), kind=TOTAL, n=n, lang=held.langs.cast(pa.string()))
                     value, counts = np.unique(hashed, return_counts=True)
                     if size < longest:
                         slots = _slots(value, bits)
@@ -272,11 +270,13 @@ def _place(rest: np.ndarray, size: int) -> np.ndarray:
     return (rest.astype(np.uint64) * _U(size) >> _U(32)).astype(np.int64)
 
 
-TEXTS = T.StructType([SCANNED["lang"], SCANNED["phrase"], SCANNED["size"], SCANNED["n"]])
+TEXTS = T.StructType(
+    [SCANNED["lang"], T.StructField("phrase", T.StringType()), SCANNED["size"], SCANNED["n"]]
+)
 
 
 def _texts(rows: DataFrame, bitmap, buckets: int, longest: int) -> DataFrame:
-    """Texts and counts, added up per slice, of the longer phrases whose bit is set."""
+    """Texts and counts, added up per slice, of the phrases whose bit is set."""
 
     def run(batches):
         bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).view(bool)
@@ -285,12 +285,11 @@ def _texts(rows: DataFrame, bitmap, buckets: int, longest: int) -> DataFrame:
             for part in sliced(batch, SLICE_BYTES):
                 held = Slice(*part.columns)
                 for size, places, hashed in phrases(held.ids, held.hashes, longest, lambda s, inside, _: inside):
-                    if size > 1:
-                        bucket, rest = _split(hashed, buckets)
-                        places = places[bits[bucket * size_of + _place(rest, size_of)]]
-                        places, counts = held.distinct(size, places)
-                        columns = [pa.array(np.full(len(places), size, np.int32)), pa.array(counts.astype(np.int64))]
-                        yield pa.RecordBatch.from_arrays([*held.texts(size, places), *columns], names=TEXTS.names)
+                    bucket, rest = _split(hashed, buckets)
+                    places = places[bits[bucket * size_of + _place(rest, size_of)]]
+                    places, counts = held.distinct(size, places)
+                    columns = [pa.array(np.full(len(places), size, np.int32)), pa.array(counts.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays([*held.texts(size, places), *columns], names=TEXTS.names)
 
     return rows.select("lang", "text").mapInArrow(run, TEXTS)
 
@@ -335,7 +334,7 @@ def phrase_counts(
         found = _scan(shard, shared, scan, shards, longest, least, buckets)
         found.write.option("compression", "zstd").parquet(path)
         shared.destroy()
-        sums = spark.read.schema(SCANNED).parquet(path).where(F.col("kind") != HASHES).groupBy("size", "slot")
+        sums = spark.read.schema(SCANNED).parquet(path).where(F.col("kind") == SLOT).groupBy("size", "slot")
         sums = sums.agg(F.least(F.sum("n"), F.lit(least)).cast("short").alias("n")).toArrow()
         for size, slot, n in _by_size(sums, longest):
             held = totals[size - 1]
@@ -347,11 +346,12 @@ def phrase_counts(
                 open_until = max(open_until, scan + 1 + shards)
         scan += 1
     scanned = spark.read.schema(SCANNED).parquet(*[f"{folder}/scan={s}" for s in range(scan)])
-    words = scanned.where(F.col("kind") == WORD)
     bitmap = spark.sparkContext.broadcast(_bitmap(scanned, buckets, least))
-    texts = words.select(*TEXTS.names).unionByName(_texts(rows, bitmap, buckets, longest))
-    counts = texts.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    return cut_lineage(counts), words.groupBy("lang").agg(F.sum("n").alias("n"))
+    # Few large tasks: most phrases stand a few times each, and what a task adds up is not shuffled.
+    joined = rows.coalesce(max(1, size // TASK_BYTES))
+    counts = _texts(joined, bitmap, buckets, longest).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a"))
+    sizes = scanned.where(F.col("kind") == TOTAL).groupBy("lang").agg(F.sum("n").alias("n"))
+    return cut_lineage(counts.where(F.col("a") >= least)), sizes
 
 
 def _by_size(table: pa.Table, longest: int):
