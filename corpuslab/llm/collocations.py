@@ -321,8 +321,8 @@ def phrase_counts(
     ).where("text is not null and text <> ''")
     dealt.write.option("compression", "zstd").partitionBy("shard").parquet(f"{folder}/shards")
     rows = spark.read.schema("lang string, text string, shard int").parquet(f"{folder}/shards")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
-    buckets = 1 << max(6, (size // BUCKET_BYTES).bit_length())
+    written = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+    buckets = 1 << max(6, (written // BUCKET_BYTES).bit_length())
 
     totals = [np.zeros(1 << slot_bits, np.uint8) for _ in range(longest - 1)]
     reached = [np.full(1 << slot_bits, _NEVER, np.uint8) for _ in range(longest - 1)]
@@ -347,8 +347,8 @@ def phrase_counts(
         scan += 1
     scanned = spark.read.schema(SCANNED).parquet(*[f"{folder}/scan={s}" for s in range(scan)])
     bitmap = spark.sparkContext.broadcast(_bitmap(scanned, buckets, least))
-    # Few large tasks: most phrases stand a few times each, and what a task adds up is not shuffled.
-    joined = rows.coalesce(max(1, size // TASK_BYTES))
+    # Larger tasks: most phrases stand a few times each, and what a task adds up is not shuffled.
+    joined = rows.coalesce(written // TASK_BYTES + 1)
     counts = _texts(joined, bitmap, buckets, longest).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a"))
     sizes = scanned.where(F.col("kind") == TOTAL).groupBy("lang").agg(F.sum("n").alias("n"))
     return cut_lineage(counts.where(F.col("a") >= least)), sizes
