@@ -6,7 +6,8 @@ opened, and leaves are visited in the order they come out. How many leaves a sea
 a bounded set of queries is answered by brute force over all rows, and visits are widened until the leaves hold the
 wanted share of these answers.
 
-Rows and queries meet in cells: a part of a leaf, of bounded size, with a part of the queries that visit it.
+The index is kept in order of leaves. Queries go over it in blocks of bounded size, each with the leaves it
+visits: a task meets each leaf's rows with the queries that visit it, and gives its best rows of each query.
 """
 
 from __future__ import annotations
@@ -33,11 +34,12 @@ LEAF_ROWS = 48
 """A node with so many rows of the sample, or fewer, is a leaf."""
 CALIBRATED = 256
 """Queries answered by brute force to calibrate the visits, about."""
-RECALL = 0.97
+RECALL = 0.95
 """The share of the calibration's answers that the visited leaves must hold."""
-CELL_BYTES = 2 << 20
-"""Vectors of a part of a leaf, about; a cell has at most ``CELL_QUERIES`` queries on average."""
+BLOCK_BYTES = 16 << 20
+"""Queries go over the index in blocks of about so many bytes of vectors and visited leaves."""
 CELL_QUERIES = 512
+"""Queries that meet the rows of a leaf in one matrix product, at most."""
 _TURNS = 12
 
 
@@ -281,9 +283,7 @@ def brute_force(index: DataFrame, queries: list, k: int) -> DataFrame:
                     columns = (numbers[asking], keys[asking], ids[chosen], scores, leaves[chosen])
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=ANSWER.names)
 
-    found = index.select("id", "v", "leaf").mapInArrow(run, ANSWER)
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _ranked(index.select("id", "v", "leaf").mapInArrow(run, ANSWER), k)
 
 
 def calibrate(
@@ -336,46 +336,77 @@ def search(
     rows = usable(vectors, key, vector)
     trees = fit(rows, sample, leaf_rows=leaf_rows)
     folder = scratch_folder(spark, "vector-tree")
-    indexed(rows, trees).write.parquet(f"{folder}/index")
+    # Rows of one leaf may be cut between ranges, so that a leaf with many copies is no single task.
+    ordered = indexed(rows, trees).repartitionByRange("leaf", F.xxhash64("id", "v")).sortWithinPartitions("leaf")
+    ordered.write.parquet(f"{folder}/index")
     index = spark.read.parquet(f"{folder}/index")
     asked = usable(queries, key, vector).distinct()
     asked = cut_lineage(asked.withColumn("tag", F.monotonically_increasing_id()))
     most, _ = calibrate(index, asked, trees, k, recall, calibrated)
-    visiting = visits(asked, trees, most).select("tag", "id", "v", F.explode("leaves").alias("leaf"))
-    return _answers(index, cut_lineage(visiting), k)
-
-
-def _answers(index: DataFrame, visiting: DataFrame, k: int) -> DataFrame:
-    width = F.size("v").alias("width")
-    slots = index.groupBy(width, "leaf").agg(F.ceil(F.count("*") * 8 * F.first(F.size("v")) / CELL_BYTES).alias("slots"))
-    groups = visiting.groupBy(width, "leaf").agg(F.ceil(F.count("*") / CELL_QUERIES).alias("groups"))
-    # One row per leaf that is visited; leaves are as many as the sample allows, or one per length.
-    cells = cut_lineage(slots.join(groups, ["width", "leaf"]))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = index.withColumn("width", width).join(cells, ["width", "leaf"]).select(
-        "width", "leaf", F.pmod(F.xxhash64("id", "v"), "slots").alias("slot"), numbers("groups").alias("group"),
-        F.lit(-1).cast("long").alias("tag"), "id", "v",
-    )
-    right = visiting.withColumn("width", width).join(cells, ["width", "leaf"]).select(
-        "width", "leaf", numbers("slots").alias("slot"), F.pmod(F.xxhash64("tag"), "groups").alias("group"),
-        "tag", "id", "v",
+    visiting = cut_lineage(visits(asked, trees, most))
+    size = visiting.agg(F.coalesce(F.sum(8 * F.size("v") + 4 * F.size("leaves")), F.lit(0))).head()[0]
+    blocks = size // BLOCK_BYTES + 1
+    parts = []
+    for number in range(blocks):
+        block = visiting.where(F.pmod(F.xxhash64("tag"), F.lit(blocks)) == number)
+        _answers(index, block.select("tag", "id", "v", "leaves").toArrow(), k).write.parquet(f"{folder}/{number}")
+        parts.append(f"{folder}/{number}")
+    return _ranked(spark.read.schema(ANSWER).parquet(*parts), k).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"
     )
 
-    def run(table: pa.Table) -> pa.Table:
-        tags, ids = np.asarray(table["tag"]), np.asarray(table["id"])
-        inside, outside = np.flatnonzero(tags < 0), np.flatnonzero(tags >= 0)
-        m = matrix(table["v"].combine_chunks())
-        leaf = table["leaf"][0].as_py()
-        parts = [[np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.float64)]]
-        for some in np.array_split(outside, -(-len(outside) // CELL_QUERIES) or 1):
-            if len(some) and len(inside):
-                asking, chosen, scores = nearest(ids[some], m[some], ids[inside], m[inside], k)
-                parts.append([tags[some[asking]], ids[some[asking]], ids[inside[chosen]], scores])
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        columns.append(np.full(len(columns[0]), leaf, np.int32))
-        return pa.table([pa.array(c) for c in columns], names=ANSWER.names)
-
-    found = left.unionByName(right).groupBy("width", "leaf", "slot", "group").applyInArrow(run, ANSWER)
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _best(answers: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """The ``k`` best answers ``(query, vec_id, score)`` of each query."""
+    query, key, score = answers
+    order = np.lexsort((key, -score, query))
+    query = query[order]
+    order = order[np.arange(len(query)) - np.searchsorted(query, query) < k]
+    return [a[order] for a in answers]
+
+
+def _answers(index: DataFrame, block: pa.Table, k: int) -> DataFrame:
+    """Each task's best rows of the block's queries, from the leaves they visit."""
+    shared = index.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches):
+        asked = shared.value
+        tags, keys = np.asarray(asked["tag"]), np.asarray(asked["id"])
+        held, visiting = {}, {}
+        for width, places, m in _by_width(asked["v"].combine_chunks()):
+            lists = asked["leaves"].combine_chunks().take(pa.array(places))
+            owner = np.repeat(np.arange(len(places)), np.asarray(pc.list_value_length(lists)))
+            leaves = np.asarray(lists.flatten())
+            order = np.argsort(leaves, kind="stable")
+            found, starts = np.unique(leaves[order], return_index=True)
+            held[width] = places, m
+            for leaf, some in zip(found.tolist(), np.split(owner[order], starts[1:]), strict=True):
+                visiting[width, leaf] = some
+        best = [np.zeros(0, t) for t in (np.int64, np.int64, np.float64)]
+        for batch in batches:
+            ids, leaves = np.asarray(batch.column(0)), np.asarray(batch.column(2))
+            parts = [[b] for b in best]
+            for width, places, m in _by_width(batch.column(1)):
+                order = np.argsort(leaves[places], kind="stable")
+                found, starts = np.unique(leaves[places][order], return_index=True)
+                for leaf, rows in zip(found.tolist(), np.split(order, starts[1:]), strict=True):
+                    some = visiting.get((width, leaf), ())
+                    for start in range(0, len(some), CELL_QUERIES):
+                        local = some[start : start + CELL_QUERIES]
+                        where, queries = held[width]
+                        asking = where[local]
+                        own = ids[places[rows]]
+                        q, chosen, scores = nearest(keys[asking], queries[local], own, m[rows], k)
+                        for part, made in zip(parts, (asking[q], own[chosen], scores), strict=True):
+                            part.append(made)
+            best = _best([np.concatenate(p) for p in parts], k)
+        query, key, score = best
+        columns = (tags[query], keys[query], key, score, np.zeros(len(query), np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=ANSWER.names)
+
+    return index.select("id", "v", "leaf").mapInArrow(run, ANSWER)
