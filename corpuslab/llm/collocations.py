@@ -39,7 +39,7 @@ SLOT_BITS = 22
 """Slots of the tables of reached phrases, as a power of two: one byte each, on the driver and in tasks."""
 BUCKET_BYTES = 16 << 20
 """Text for one bucket of hashes, about: a task adds up one bucket at a time."""
-TASK_BYTES = 64 << 20
+TASK_BYTES = 128 << 20
 """Text whose frequent phrases one task adds up before they are shuffled, at least."""
 BITMAP_BITS = 26
 """Bits of the table of frequent phrases' hashes, as a power of two; it is broadcast."""
@@ -137,23 +137,28 @@ class Slice:
         self.words, self.langs = pa.array(known, pa.binary()), pa.array(names, pa.binary())
         self.owners = np.array(owners, np.int32)
 
-    def distinct(self, size: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The first place of each different phrase, and its number of places."""
-        if not len(places):
-            return places, places
-        code, width = self.ids[places].astype(np.int64), len(self.hashes)
-        for more in range(1, size):
-            if (int(code.max()) + 1) * width >= 1 << 62:
-                code = np.unique(code, return_inverse=True)[1]
-            code = code * width + self.ids[places + more]
-        _, first, counts = np.unique(code, return_index=True, return_counts=True)
-        return places[first], counts
-
-    def texts(self, size: int, places: np.ndarray) -> list[pa.Array]:
-        """Languages and texts of the phrases at the places."""
-        lists = [self.words.take(pa.array(self.ids[places + i])) for i in range(size)]
-        joined = pc.binary_join_element_wise(*lists, b" ") if size > 1 else lists[0]
-        owner = pa.array(self.owners[self.ids[places]])
+    def distinct(self, size: int, places: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """The words of each different phrase at the places, and its number of places."""
+        width = len(self.hashes)
+        if width**size >= 1 << 62:
+            stacked = np.stack([self.ids[places + i] for i in range(size)], axis=1)
+            found, counts = np.unique(stacked, axis=0, return_counts=True)
+            return list(found.T), counts
+        code = np.zeros(len(places), np.int64)
+        for i in range(size):
+            code = code * width + self.ids[places + i]
+        code, counts = np.unique(code, return_counts=True)
+        words = []
+        for _ in range(size):
+            code, word = np.divmod(code, width)
+            words.insert(0, word)
+        return words, counts
+
+    def texts(self, words: list[np.ndarray]) -> list[pa.Array]:
+        """Languages and texts of phrases."""
+        lists = [self.words.take(pa.array(w)) for w in words]
+        joined = pc.binary_join_element_wise(*lists, b" ") if len(words) > 1 else lists[0]
+        owner = pa.array(self.owners[words[0]])
         return [self.langs.take(owner).cast(pa.string()), joined.cast(pa.string())]
 
 
@@ -287,9 +292,9 @@ def _texts(rows: DataFrame, bitmap, buckets: int, longest: int) -> DataFrame:
                 for size, places, hashed in phrases(held.ids, held.hashes, longest, lambda s, inside, _: inside):
                     bucket, rest = _split(hashed, buckets)
                     places = places[bits[bucket * size_of + _place(rest, size_of)]]
-                    places, counts = held.distinct(size, places)
-                    columns = [pa.array(np.full(len(places), size, np.int32)), pa.array(counts.astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays([*held.texts(size, places), *columns], names=TEXTS.names)
+                    words, counts = held.distinct(size, places)
+                    columns = [pa.array(np.full(len(counts), size, np.int32)), pa.array(counts.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays([*held.texts(words), *columns], names=TEXTS.names)
 
     return rows.select("lang", "text").mapInArrow(run, TEXTS)
 
