@@ -34,3 +34,21 @@ def byte_values(piece: Column, table: Column) -> Column:
 def byte_symbols(piece: Column) -> Column:
     """The stand-in characters of a piece's UTF-8 bytes, as an array."""
     return byte_values(piece, F.array(*[F.lit(c) for c in printable_bytes()]))
+
+
+def byte_text(symbols: Column) -> Column:
+    """The text of a string of stand-in characters; bytes that are no UTF-8 become replacement signs.
+
+    A symbol beyond U+0143 or without a byte is left out.
+    """
+    codes = F.split(symbols, "")
+    digits = F.transform(codes, lambda c: F.get(_hex_digits(), F.ascii(c)))
+    raw = F.unhex(F.array_join(F.filter(digits, lambda d: d.isNotNull()), ""))
+    return F.when(symbols == "", F.lit("")).otherwise(F.make_valid_utf8(raw.cast("string")))
+
+
+def _hex_digits() -> Column:
+    """Two hexadecimal digits by code point of a stand-in character; null where there is none."""
+    byte_of = {ord(c): b for b, c in enumerate(printable_bytes())}
+    found = [f"{byte_of[i]:02X}" if i in byte_of else None for i in range(max(byte_of) + 1)]
+    return F.array(*[F.lit(d).cast("string") for d in found])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpuslab.functions.bytelevel import byte_text
 from corpuslab.functions.cleaning import WHITESPACE
 
 # The marker tokens and what separates words.
@@ -75,7 +76,7 @@ def join_tokens(tokens: Column, mode: str) -> Column:
     if mode == "word":
         return F.array_join(tokens, " ")
     if mode == "byte-level":
-        return F.replace(F.array_join(tokens, ""), F.lit(WORD_START), F.lit(" "))
+        return byte_text(F.array_join(tokens, ""))
     if mode == "subword":
         return F.replace(F.array_join(tokens, " "), F.lit(f" {CONTINUED}"), F.lit(""))
     raise ValueError(f"unknown mode {mode!r}")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions.rows import item_rows
-from corpuslab.functions.tokens import get_tokenizer, wrap
+from corpuslab.functions.tokens import BOS, TOKENIZERS, get_tokenizer, words_in_sequence, wrap
 from corpuslab.operators.evaluate import perplexity_of
 from corpuslab.operators.lookup import lookup
 from corpuslab.operators.sequences import next_token_pairs
@@ -91,3 +91,95 @@ def compare_models(
         F.round(perplexity_of(F.col("train_nll") / F.col("train_tokens")), 6).alias("train_ppl"),
         F.round(perplexity_of(F.col("val_nll") / F.col("val_tokens")), 6).alias("val_ppl"),
     )
+
+
+#: How the words of a token list are counted, by tokenizer.
+MODES = {"char": "char", "space": "word", "word": "word", "byte-pair": "byte-level", "subword": "subword"}
+
+
+def token_lists(learned: dict[str, Column]) -> Column:
+    """Every tokenizer's list of a line's ``text``, with its number of words, as an array of structs.
+
+    Tokenizers that are column expressions read the text; the lists of ``learned`` ones are columns already.
+    """
+    lists = {name: rule(F.col("text")) for name, rule in TOKENIZERS.items()} | learned
+    return F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("tokenizer"),
+                wrap(found).alias("tokens"),
+                words_in_sequence(F.concat(F.array(F.lit(BOS)), found), MODES[name]).alias("words"),
+            )
+            for name, found in lists.items()
+        ]
+    )
+
+
+def learning_curves(lines: DataFrame, lists: str, shares: int = 4, alpha: float = 1.0) -> DataFrame:
+    """Next-token tables of order 1 and 2 fitted on growing shares of the training lines.
+
+    ``lines`` has ``split`` (``train`` or ``val``), ``share`` (1 to ``shares``, for training lines) and ``lists``,
+    see ``token_lists``. Epoch ``e`` fits on the shares up to ``e``. All tokenizers, epochs and models are read
+    off one aggregation to distinct pairs: a pair has one count per epoch, and the words of its lines
+    divided by their pairs, which add up to words. The vocabulary is that of all lines.
+
+    A row per model, tokenizer and epoch: ``val_ppl`` and ``train_ppl`` (over all training lines) per token;
+    ``val_ppl_word_weighted`` weights each line's mean loss per token by its words,
+    ``val_ppl_word_normalised`` divides the total loss by the total words.
+    """
+    epochs = range(1, shares + 1)
+    flat = item_rows(lines, ["split", "share"], lists, "t")
+    flat = flat.select("split", "share", "t.tokenizer", "t.words", F.size("t.tokens").alias("size"), "t.tokens")
+    pairs = next_token_pairs(flat)
+    train, val = F.col("split") == "train", F.col("split") == "val"
+    per_pair = F.col("words") / (F.col("size") - 1)
+    counts = cut_lineage(
+        pairs.groupBy("tokenizer", "prev", "next").agg(
+            *[F.count_if(train & (F.col("share") <= e)).alias(f"n{e}") for e in epochs],
+            F.count_if(val).alias("m"),
+            F.sum(F.when(val, per_pair).otherwise(0.0)).alias("weight"),
+            F.sum(F.when(val & (F.col("pos") == 0), F.col("words")).otherwise(0)).alias("words"),
+        )
+    )
+    sums = [F.sum(c).alias(c) for c in (*[f"n{e}" for e in epochs], "m", "weight", "words")]
+    by_next = cut_lineage(counts.groupBy("tokenizer", "next").agg(*sums))
+    sizes = by_next.groupBy("tokenizer").agg(
+        F.count("*").alias("vocab_size"), F.sum("m").alias("val_tokens"), F.sum("words").alias("val_words"),
+        *[F.sum(f"n{e}").alias(f"t{e}") for e in epochs],
+    )
+    prev = counts.groupBy("tokenizer", "prev").agg(
+        *[F.sum(f"n{e}").alias(f"t{e}") for e in epochs], F.count("*").alias("hot")
+    )
+    second = lookup(counts, cut_lineage(prev), ["tokenizer", "prev"], "hot")
+    totals = [f"t{e}" for e in epochs]
+    first = by_next.join(F.broadcast(sizes.select("tokenizer", *totals)), "tokenizer")
+    kept = ["tokenizer", *[f"n{e}" for e in epochs], "m", "weight", *totals]
+    both = second.select(F.lit("bigram").alias("model"), *kept).unionByName(
+        first.select(F.lit("unigram").alias("model"), *kept)
+    )
+    both = both.join(F.broadcast(sizes.drop(*totals)), "tokenizer")
+
+    def losses(e: int) -> Column:
+        nll = -F.log((F.col(f"n{e}") + alpha) / (F.col(f"t{e}") + alpha * F.col("vocab_size")))
+        return F.struct(
+            F.lit(e).cast("long").alias("epoch"),
+            F.sum(F.col(f"n{shares}") * nll).alias("train"),
+            F.sum(F.col("m") * nll).alias("val"),
+            F.sum(F.col("weight") * nll).alias("weighted"),
+        )
+
+    by = ["model", "tokenizer", "vocab_size", "val_tokens", "val_words"]
+    found = both.groupBy(*by).agg(
+        F.sum(f"n{shares}").alias("train_tokens"), F.array(*map(losses, epochs)).alias("epochs")
+    )
+    rows = found.select(*by, "train_tokens", F.explode("epochs").alias("x"))
+    ppl = lambda loss, by: F.round(perplexity_of(F.col(loss) / F.col(by)), 6)
+    # A word of many tokens has a large perplexity, so it is taken from a rounded loss.
+    per_word = lambda loss: F.round(perplexity_of(F.round(F.col(loss) / F.col("val_words"), 6)), 2)
+    return rows.select(
+        F.concat_ws("-", "model", "tokenizer").alias("run"), *by, "train_tokens", "x.epoch",
+        ppl("x.train", "train_tokens").alias("train_ppl"),
+        ppl("x.val", "val_tokens").alias("val_ppl"),
+        per_word("x.weighted").alias("val_ppl_word_weighted"),
+        per_word("x.val").alias("val_ppl_word_normalised"),
+    )

@@ -65,18 +65,21 @@ def _offsets(
 def place(rows: DataFrame, key: str, size: Column) -> tuple[DataFrame, int]:
     """Add ``start``, the global position of each row's first item; also the total.
 
-    Rows are ordered by their integer ``key``, rows of one key by a hash of all their columns.
-    Only ``(key, size)`` goes through the running sum; the rows themselves are joined back once,
-    and rows of one key are numbered where that join brings them together.
+    Rows are ordered by their integer ``key``, null first, rows of one key by a hash of all their columns.
+    Only ``(key, size)`` goes through the running sum; the rows themselves are joined back once, and rows
+    of one key are numbered where that join brings them together. Null is a key like any other: no row is lost.
     """
     sized = rows.select(F.col(key).cast("long").alias(key), size.cast("long").alias("size"))
-    sizes = running_offsets(sized.groupBy(key).agg(F.sum("size").alias("size")), key, "size")
-    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    starts = sizes.select(key, F.col("offset").alias("start"))
+    sums = cut_lineage(sized.groupBy(key).agg(F.sum("size").alias("size")))
+    nulls = sums.filter(F.col(key).isNull()).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    sizes = running_offsets(sums.filter(F.col(key).isNotNull()), key, "size")
+    total = nulls + sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    starts = sizes.select(F.col(key).alias("key_"), (F.col("offset") + F.lit(nulls)).alias("start_"))
     alike = Window.partitionBy(key).orderBy(F.xxhash64(*rows.columns))
     before = F.sum(size.cast("long")).over(alike.rowsBetween(Window.unboundedPreceding, -1))
-    placed = rows.join(starts, key)
-    return placed.withColumn("start", F.col("start") + F.coalesce(before, F.lit(0))), int(total)
+    placed = rows.join(starts, F.col(key) == F.col("key_"), "left")
+    start = F.coalesce("start_", F.lit(0).cast("long")) + F.coalesce(before, F.lit(0).cast("long"))
+    return placed.withColumn("start", start).drop("key_", "start_"), int(total)
 
 
 def global_rank(rows: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:

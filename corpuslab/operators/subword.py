@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.functions.bytelevel import byte_pieces, byte_symbols, byte_values, printable_bytes
-from corpuslab.functions.rows import item_rows, list_rows
+from corpuslab.functions.rows import item_rows
 from corpuslab.functions.tokens import CONTINUED
+from corpuslab.operators.dictionary import code_lists
 from corpuslab.operators.lookup import lookup
 from corpuslab.operators.merge_round import MergeRound
 from corpuslab.session import cut_lineage
@@ -176,15 +177,20 @@ def encode_pieces(pieces: DataFrame, merges: DataFrame) -> DataFrame:
 
 def encode_bpe(lines: DataFrame, keys: Sequence[str], merges: DataFrame) -> DataFrame:
     """The byte-level subwords of each line, as ``tokens``."""
-    flat = list_rows(lines, keys, byte_pieces(F.col("text")), "piece")
-    table = cut_lineage(encode_pieces(piece_counts(lines), merges))
-    coded = lookup(flat, table, ["piece"], "freq")
-    return _regroup(coded, keys)
+    rows = lines.select(*keys, F.array("text").alias("lines"))
+    return encode_bpe_lines(rows, keys, merges).select(*keys, F.col("lines")[0].alias("tokens"))
 
 
-def _regroup(coded: DataFrame, keys: Sequence[str]) -> DataFrame:
-    parts = F.array_sort(F.collect_list(F.struct("pos", "parts")))
-    return coded.groupBy(*keys).agg(F.flatten(F.transform(parts, lambda p: p.parts)).alias("tokens"))
+def encode_bpe_lines(docs: DataFrame, keys: Sequence[str], merges: DataFrame) -> DataFrame:
+    """Documents with the texts in their array ``lines`` replaced by lists of byte-level subwords."""
+    texts = docs.select(F.explode("lines").alias("text"))
+    table = cut_lineage(encode_pieces(piece_counts(texts), merges)).select("piece", "parts", "freq")
+    rows = docs.withColumn("lines", F.transform("lines", byte_pieces))
+    return _joined_parts(code_lists(rows, keys, "lines", table, "freq"))
+
+
+def _joined_parts(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("lines", F.transform("lines", F.flatten))
 
 
 def _known_cuts(types: DataFrame, vocab: DataFrame, max_chars: int) -> DataFrame:
@@ -219,8 +225,23 @@ def encode_longest_match(
     ``vocab`` has a ``token`` column; entries that continue a word start with
     ``##``. A word that cannot be split, or is too long, becomes one unknown token.
     """
-    flat = list_rows(rows, keys, "tokens", "word")
-    types = cut_lineage(flat.groupBy("word").agg(F.count("*").alias("freq")))
+    docs = rows.select(*keys, F.array("tokens").alias("lines"))
+    coded = encode_longest_match_lines(docs, keys, vocab, max_chars)
+    return coded.select(*keys, F.col("lines")[0].alias("tokens"))
+
+
+def encode_longest_match_lines(
+    docs: DataFrame, keys: Sequence[str], vocab: DataFrame, max_chars: int = 100
+) -> DataFrame:
+    """Documents with the word lists in their array ``lines`` replaced by lists of their parts."""
+    words = item_rows(docs, [], F.flatten("lines"), "word")
+    types = cut_lineage(words.groupBy("word").agg(F.count("*").alias("freq")))
+    table = cut_lineage(match_words(types, vocab, max_chars)).select("word", "parts", "freq")
+    return _joined_parts(code_lists(docs, keys, "lines", table, "freq"))
+
+
+def match_words(types: DataFrame, vocab: DataFrame, max_chars: int = 100) -> DataFrame:
+    """Add ``parts`` to distinct words (``word``, ``freq``), by the longest match."""
     cuts = _known_cuts(types, vocab, max_chars)
     stops = cuts.groupBy("word").agg(
         F.map_from_entries(F.collect_list(F.struct("start", "stop"))).alias("stops")
@@ -237,13 +258,11 @@ def encode_longest_match(
     walk = F.aggregate(F.sequence(F.lit(1), F.length("word")), start, step)
     walked = stops.select("word", walk.alias("walk"), (F.length("word") + 1).alias("end"))
     whole = walked.filter(F.col("walk.next") == F.col("end")).select("word", "walk.parts")
-    table = types.join(whole, "word", "left").select(
+    return types.join(whole, "word", "left").select(
         "word", "freq",
         F.when(F.col("word") == "", F.array())
         .otherwise(F.coalesce("parts", F.array(F.lit(UNKNOWN_WORD)))).alias("parts"),
     )
-    return _regroup(lookup(flat, cut_lineage(table), ["word"], "freq"), keys)
-
 
 def save_tokenizer(merges: DataFrame, vocab: DataFrame, folder: str) -> None:
     """Write a trained tokenizer as two tables."""

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslab.functions.rows import item_rows, list_rows
 from corpuslab.functions.tokens import UNK
+from corpuslab.operators.dictionary import code_lists
 from corpuslab.operators.lookup import lookup
 from corpuslab.operators.ordinal import global_rank
 
@@ -62,3 +64,16 @@ def gather(tokens: DataFrame, keys: Sequence[str], value: str, name: str = "toke
     """Put token rows back together in order, one list per key (a line, a sequence)."""
     pairs = F.array_sort(F.collect_list(F.struct("pos", value)))
     return tokens.groupBy(*keys).agg(F.transform(pairs, lambda p: p[value]).alias(name))
+
+
+def encode_lists(docs: DataFrame, keys: Sequence[str], tokens: str, vocab: DataFrame, unknown: int = 0) -> DataFrame:
+    """Lists of tokens, or lists of such lists, as lists of indexes, coded in their rows."""
+    coded = code_lists(docs, keys, tokens, vocab.select("token", "idx", "freq"), "freq")
+    fill = lambda ids: F.transform(ids, lambda i: F.coalesce(i, F.lit(unknown).cast("long")))
+    nested = isinstance(coded.schema[tokens].dataType.elementType, T.ArrayType)
+    return coded.withColumn(tokens, F.transform(tokens, fill) if nested else fill(F.col(tokens)))
+
+
+def decode_lists(docs: DataFrame, keys: Sequence[str], ids: str, vocab: DataFrame) -> DataFrame:
+    """The tokens of lists of indexes, or of lists of such lists, put in in their rows."""
+    return code_lists(docs, keys, ids, vocab.select("idx", "token", "freq"), "freq")

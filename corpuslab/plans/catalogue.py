@@ -15,9 +15,10 @@ NAMES = {
     models: """
         wrap_sequences block_truncate next_token_pairs slice_corpus random_subsequences
         sequential_batches length_batches pad_batches causal_labels bigram_counts
-        next_token_top2 score_tokens perplexity experiment_summary generate_greedy
+        next_token_top2 score_tokens perplexity experiment_summary experiment_curve
+        experiment_best experiment_learned generate_greedy
         generate_sampled probe_prompts nearest_original similarity_by_run bpe_train
-        bpe_encode subword_longest_match
+        bpe_encode bpe_decode subword_longest_match
     """.split(),
 }
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.functions import cleaning, tokens
-from corpuslab.functions.rows import item_rows
+from corpuslab.functions.rows import item_rows, list_rows
 from corpuslab.operators import counting, experiments, ordinal, vocab
 from corpuslab.sources.corpus import load_table, split_lines, to_lines
 
@@ -245,10 +245,12 @@ def encode(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def decode(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines encoded, decoded and put back together as text."""
+    """Lines encoded, decoded and put back together as text, document by document."""
     known = document_vocab(spark, folder)
-    coded = vocab.encode(word_rows(spark, folder), known).drop("token")
-    lines = vocab.gather(vocab.decode(coded, known), ["doc_id", "line_no"], "token")
+    docs = document_arrays(spark, folder).select("doc_id", F.transform("lines", tokens.word_tokens).alias("lines"))
+    coded = vocab.encode_lists(docs, ["doc_id"], "lines", known)
+    words = vocab.decode_lists(coded, ["doc_id"], "lines", known)
+    lines = list_rows(words, ["doc_id"], "lines", "tokens", "line_no").where(F.size("tokens") > 0)
     return lines.select(
         "doc_id", "line_no", tokens.join_tokens(F.col("tokens"), "word").alias("text")
     )

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions import cleaning, tokens
-from corpuslab.functions.rows import item_rows
+from corpuslab.functions.rows import item_rows, list_rows
 from corpuslab.operators import (
-    counting, evaluate, experiments, ngrams, sequences, similarity, subword, vocab,
+    counting, evaluate, experiments, ngrams, ordinal, sequences, similarity, subword, vocab,
 )
 from corpuslab.plans.corpus import (
     document_arrays, document_lines, document_vocab, prompts, split_lines_by_position,
@@ -23,6 +23,8 @@ GREEDY_STEPS, PROBE_STEPS = 50, 100
 SAMPLES, SAMPLE_TOKENS = 2, 30
 PROBE_IDS, RANDOM_PROBES = (21, 22), 4
 BPE_VOCAB = 10_000
+ROUND_TRIP_VOCAB = 512
+CURVE_VOCAB, SHARES = 1_000, 4
 
 
 def _joined(column: str, name: str):
@@ -109,14 +111,12 @@ def pad_batches(spark: SparkSession, folder: str) -> DataFrame:
 def causal_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Truncated lines as ids, filled up per batch, and their labels."""
     known = document_vocab(spark, folder)
-    lines = split_lines_by_position(spark, folder)
-    block = sequences.truncate(tokens.word_tokens(F.col("text")))
-    rows = lines.select("split", "doc_id", "line_no", block.alias("tokens"))
-    rows = sequences.length_batches(rows.filter(F.size("tokens") > 0), LENGTH_BATCH)
-    coded = vocab.encode(vocab.explode_tokens(rows), known)
-    keys = ["split", "batch", "row", "n"]
-    ids = vocab.gather(coded, keys, "idx", "ids")
-    padded = sequences.pad_batches(ids, ["split", "batch"], "ids", pad=-1)
+    block = lambda line: sequences.truncate(tokens.word_tokens(line))
+    docs = document_arrays(spark, folder).select("doc_id", F.transform("lines", block).alias("lines"))
+    split = ordinal.positional_split(vocab.encode_lists(docs, ["doc_id"], "lines", known))
+    rows = split.withColumnRenamed("text", "ids").filter(F.size("ids") > 0)
+    batched = sequences.length_batches(rows, LENGTH_BATCH, "ids")
+    padded = sequences.pad_batches(batched, ["split", "batch"], "ids", pad=-1)
     labels = sequences.causal_labels(F.col("ids"), -1)
     return padded.select(
         "split", "batch", "row", "n", _joined("ids", "ids_text"),
@@ -172,6 +172,42 @@ def experiment_summary(spark: SparkSession, folder: str) -> DataFrame:
     return experiments.compare_models(lines, list(tokens.TOKENIZERS))
 
 
+def _curves(spark: SparkSession, folder: str, byte_pairs: bool) -> DataFrame:
+    """Learning curves of the tokenizers; learned ones code distinct words once and lines in their rows."""
+    docs = document_arrays(spark, folder)
+    words = _word_lines(docs)
+    coded = subword.encode_longest_match_lines(words, ["doc_id"], _match_vocab(spark, folder, words))
+    docs = docs.join(coded.select("doc_id", F.col("lines").alias("subword")), "doc_id")
+    learned = ["subword"]
+    if byte_pairs:
+        merges, _ = subword.train_bpe(subword.piece_counts(document_lines(spark, folder)), CURVE_VOCAB)
+        coded = subword.encode_bpe_lines(docs.select("doc_id", "lines"), ["doc_id"], merges)
+        docs = docs.join(coded.select("doc_id", F.col("lines").alias("byte-pair")), "doc_id")
+        learned.append("byte-pair")
+    zipped = F.arrays_zip(F.col("lines").alias("text"), *[F.col(c) for c in learned])
+    split = ordinal.positional_split(docs.select("doc_id", zipped.alias("lines")))
+    share = F.pmod(F.col("doc_id") * 31 + F.col("line_no"), F.lit(SHARES)) + 1
+    lines = split.filter("split in ('train', 'val')").select("split", share.alias("share"), "text.*")
+    lists = experiments.token_lists({c: F.col(c) for c in learned}).alias("lists")
+    return experiments.learning_curves(lines.select("split", "share", lists), "lists", SHARES)
+
+
+def experiment_curve(spark: SparkSession, folder: str) -> DataFrame:
+    """Perplexities by growing shares of the training lines, at token and at word level."""
+    return _curves(spark, folder, byte_pairs=False)
+
+
+def experiment_best(spark: SparkSession, folder: str) -> DataFrame:
+    """The final and the best epoch of each run."""
+    curve = experiment_curve(spark, folder).withColumn("seconds", F.lit(None).cast("double"))
+    return experiments.summarise_runs(curve).drop("mean_seconds", "median_seconds")
+
+
+def experiment_learned(spark: SparkSession, folder: str) -> DataFrame:
+    """The same curves for all five tokenizers, byte pairs learned here among them."""
+    return _curves(spark, folder, byte_pairs=True)
+
+
 def _train_bigrams(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Bigrams of the training lines, written, and the vocabulary they give."""
     bigrams = cut_lineage(bigram_counts(spark, folder))
@@ -259,9 +295,15 @@ def bpe_train(spark: SparkSession, folder: str) -> DataFrame:
     return merges
 
 
+def _line_tokens(docs: DataFrame) -> DataFrame:
+    """One row per line with its ``tokens``; lines without any are left out."""
+    rows = list_rows(docs, ["doc_id"], "lines", "tokens", "line_no")
+    return rows.where(F.size("tokens") > 0)
+
+
 def bpe_encode(spark: SparkSession, folder: str) -> DataFrame:
-    lines = document_lines(spark, folder)
-    coded = subword.encode_bpe(lines, ["doc_id", "line_no"], bpe_train(spark, folder))
+    docs = document_arrays(spark, folder)
+    coded = _line_tokens(subword.encode_bpe_lines(docs, ["doc_id"], bpe_train(spark, folder)))
     return coded.select(
         "doc_id", "line_no", F.size("tokens").cast("long").alias("n_tokens"),
         _joined("tokens", "tokens_text"),
@@ -271,20 +313,37 @@ def bpe_encode(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def subword_longest_match(spark: SparkSession, folder: str) -> DataFrame:
-    """Document words split with the words of the conversations and all single characters."""
-    words_of = lambda lines, *keys: lines.select(
-        *keys, tokens.word_tokens(F.lower("text")).alias("tokens")
-    )
-    words = words_of(document_lines(spark, folder), "doc_id", "line_no")
-    talks = words_of(to_lines(load_table(spark, folder, "conversations", ["conv_id", "text"])))
-    letters = item_rows(words, [], tokens.char_tokens(F.array_join("tokens", "")), "token")
-    whole = item_rows(talks, [], "tokens", "token").distinct().unionByName(letters.distinct())
+def bpe_decode(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines encoded by byte pairs learned here and given back from their subwords."""
+    merges, _ = subword.train_bpe(subword.piece_counts(document_lines(spark, folder)), ROUND_TRIP_VOCAB)
+    coded = subword.encode_bpe_lines(document_arrays(spark, folder), ["doc_id"], merges)
+    lines = list_rows(coded, ["doc_id"], "lines", "tokens", "line_no")
+    return lines.select("doc_id", "line_no", tokens.join_tokens(F.col("tokens"), "byte-level").alias("text"))
+
+
+def _word_lines(docs: DataFrame) -> DataFrame:
+    words = lambda line: tokens.word_tokens(F.lower(line))
+    return docs.select("doc_id", F.transform("lines", words).alias("lines"))
+
+
+def _match_vocab(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame:
+    """The words of the conversations and all characters of the documents, to begin and to go on with."""
+    talks = to_lines(load_table(spark, folder, "conversations", ["conv_id", "text"]))
+    talks = talks.select(tokens.word_tokens(F.lower("text")).alias("tokens"))
+    text = F.array_join(F.flatten("lines"), "")
+    letters = item_rows(docs, [], tokens.char_tokens(text), "token").distinct()
+    whole = item_rows(talks, [], "tokens", "token").distinct().unionByName(letters)
     whole = cut_lineage(whole.distinct())
-    table = whole.unionByName(
+    return whole.unionByName(
         whole.select(F.concat(F.lit(tokens.CONTINUED), "token").alias("token"))
     )
-    coded = subword.encode_longest_match(words, ["doc_id", "line_no"], table)
+
+
+def subword_longest_match(spark: SparkSession, folder: str) -> DataFrame:
+    """Document words split with the words of the conversations and all single characters."""
+    docs = _word_lines(document_arrays(spark, folder))
+    table = _match_vocab(spark, folder, docs)
+    coded = _line_tokens(subword.encode_longest_match_lines(docs, ["doc_id"], table))
     return coded.select(
         "doc_id", "line_no", F.size("tokens").cast("long").alias("n_tokens"),
         _joined("tokens", "tokens_text"),

@@ -584,7 +584,7 @@ ORACLE["similarity_by_run"] = _with(
     select="""SELECT item_id, count(*) AS n_texts, round(avg(best.distance), 6) AS mean_distance
               FROM generated JOIN nearest ON text = nearest.generated GROUP BY item_id""",
 )
-ORACLE["subword_longest_match"] = _with(
+MATCHED = (
     LINES,
     f"words AS (SELECT doc_id, line_no, {_words('lower(text)')} AS toks FROM lines)",
     """tokens AS (SELECT doc_id, line_no, unnest(toks) AS word, generate_subscripts(toks, 1) AS pos
@@ -613,8 +613,76 @@ ORACLE["subword_longest_match"] = _with(
     """coded AS (
         SELECT doc_id, line_no, flatten(list(coalesce(parts, ['[UNK]']) ORDER BY pos)) AS parts
         FROM tokens LEFT JOIN done USING (word) GROUP BY doc_id, line_no)""",
+)
+ORACLE["subword_longest_match"] = _with(
+    *MATCHED,
     select="""SELECT doc_id, line_no, len(parts) AS n_tokens,
                      array_to_string(parts, ' ') AS tokens_text,
                      replace(array_to_string(parts, ' '), ' ##', '') AS text FROM coded""",
     recursive=True,
 )
+
+ORACLE["bpe_decode"] = _with(LINES, select="SELECT doc_id, line_no, text FROM lines")
+
+CURVE = (
+    *MATCHED,
+    _split(),
+    f"""toks AS (
+        SELECT split, doc_id, line_no, (doc_id * 31 + line_no) % 4 + 1 AS share, tokenizer, toks,
+               CASE tokenizer WHEN 'char' THEN len(list_filter(toks, lambda t: t = ' ')) + 1
+                              WHEN 'subword' THEN len(toks) - (length(marked) - length(replace(marked, '##', ''))) // 2
+                              ELSE len(toks) END AS words
+        FROM (SELECT *, '<BOS>' || array_to_string(toks, '') AS marked
+              FROM (SELECT split, doc_id, line_no, tokenizer,
+                           CASE tokenizer WHEN 'char' THEN {_chars()}
+                                          WHEN 'space' THEN {_spaces()}
+                                          WHEN 'word' THEN {_words()}
+                                          ELSE coalesce(parts, CAST([] AS VARCHAR[])) END AS toks
+                    FROM split LEFT JOIN coded USING (doc_id, line_no),
+                         (VALUES ('char'), ('space'), ('word'), ('subword')) AS t(tokenizer)
+                    WHERE split IN ('train', 'val'))))""",
+    """wrapped AS (
+        SELECT * EXCLUDE (toks), list_concat(['<BOS>'], toks, ['<EOS>']) AS toks FROM toks)""",
+    _pairs("wrapped", "tokenizer, split, doc_id, line_no, share, words"),
+    """weighed AS (SELECT *, words / (count(*) OVER (PARTITION BY tokenizer, doc_id, line_no)) AS weight FROM pairs)""",
+    """two AS (
+        SELECT epoch, tokenizer, prev, next,
+               count(*) FILTER (split = 'train' AND share <= epoch) AS n,
+               count(*) FILTER (split = 'train') AS everything,
+               count(*) FILTER (split = 'val') AS m,
+               sum(CASE WHEN split = 'val' THEN weight ELSE 0 END) AS weight
+        FROM weighed, (VALUES (1), (2), (3), (4)) AS e(epoch) GROUP BY ALL)""",
+    """one AS (
+        SELECT epoch, tokenizer, next, sum(n) AS n, sum(everything) AS everything, sum(m) AS m, sum(weight) AS weight
+        FROM two GROUP BY ALL)""",
+    """sizes AS (
+        SELECT epoch, tokenizer, count(*) AS v, sum(n) AS t, sum(everything) AS tr, sum(m) AS va FROM one GROUP BY ALL)""",
+    "spoken AS (SELECT tokenizer, sum(words) AS words FROM toks WHERE split = 'val' GROUP BY tokenizer)",
+    "prevs AS (SELECT epoch, tokenizer, prev, sum(n) AS t FROM two GROUP BY ALL)",
+    """scored AS (
+        SELECT 'bigram' AS model, epoch, tokenizer, everything, m, weight, -ln((n + 1.0::DOUBLE) / (prevs.t + v)) AS nll
+        FROM two JOIN prevs USING (epoch, tokenizer, prev) JOIN sizes USING (epoch, tokenizer)
+        UNION ALL
+        SELECT 'unigram', epoch, tokenizer, everything, m, weight, -ln((n + 1.0::DOUBLE) / (t + v))
+        FROM one JOIN sizes USING (epoch, tokenizer))""",
+    """curve AS (
+        SELECT model || '-' || tokenizer AS run, model, tokenizer, v AS vocab_size, va::BIGINT AS val_tokens,
+               words::BIGINT AS val_words, tr::BIGINT AS train_tokens, epoch::BIGINT AS epoch,
+               round(exp(sum(everything * nll) / tr), 6) AS train_ppl,
+               round(exp(sum(m * nll) / va), 6) AS val_ppl,
+               round(exp(round(sum(weight * nll) / words, 6)), 2) AS val_ppl_word_weighted,
+               round(exp(round(sum(m * nll) / words, 6)), 2) AS val_ppl_word_normalised
+        FROM scored JOIN sizes USING (epoch, tokenizer) JOIN spoken USING (tokenizer)
+        GROUP BY model, epoch, tokenizer, v, tr, va, words)""",
+)
+ORACLE["experiment_curve"] = _with(*CURVE, select="SELECT * FROM curve", recursive=True)
+ORACLE["experiment_best"] = _with(
+    *CURVE,
+    select="""
+        SELECT run, count(*) AS n_epochs, max(epoch) AS last_epoch,
+               arg_max(val_ppl, epoch) AS final_val_ppl, arg_max(train_ppl, epoch) AS final_train_ppl,
+               min(val_ppl) AS best_val_ppl,
+               (list(epoch ORDER BY val_ppl, epoch))[1] AS best_epoch
+        FROM curve GROUP BY run""",
+    recursive=True,
+)

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions.rows import list_rows
+from corpuslab.session import cut_lineage
+
+MAX_SPLITS = 200_000  # file splits whose starts are broadcast, a short row each
 
 
 def load_table(spark: SparkSession, folder: str, name: str, columns: list[str]) -> DataFrame:
@@ -36,10 +39,10 @@ def to_lines(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text files as ``(file, line_no, text)``.
+    """Text files as ``(file, line_no, text)``; the lines themselves are not shuffled.
 
-    Lines are numbered per file split first and then shifted by the lines of the
-    earlier splits of the same file, so no task holds more than one split.
+    A line knows its number in its file split from its id, which grows by one from line to line of a task;
+    what a split starts with, its first id and the lines before it in its file, is one row per split.
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -47,15 +50,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("seen"),
         F.col("value").alias("text"),
     )
-    in_block = Window.partitionBy("file", "block").orderBy("seen")
-    numbered = raw.withColumn("n", F.row_number().over(in_block).cast("long") - 1)
-    blocks = raw.groupBy("file", "block").agg(F.count("*").alias("lines"))
+    blocks = raw.groupBy("file", "block").agg(F.count("*").alias("lines"), F.min("seen").alias("first"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(
         Window.unboundedPreceding, -1
     )
     starts = blocks.select(
-        "file", "block", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("start")
+        "file", "block", (F.coalesce(F.sum("lines").over(earlier), F.lit(0)) - F.col("first")).alias("shift")
     )
-    return numbered.join(starts, ["file", "block"]).select(
-        "file", (F.col("start") + F.col("n")).alias("line_no"), "text"
+    starts = cut_lineage(starts)
+    if starts.count() <= MAX_SPLITS:
+        starts = F.broadcast(starts)
+    return raw.join(starts, ["file", "block"]).select(
+        "file", (F.col("shift") + F.col("seen")).alias("line_no"), "text"
     )

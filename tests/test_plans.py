@@ -20,7 +20,7 @@ def test_entry_offers_the_catalogue():
     entry = importlib.import_module("__spark_entry__")
     assert entry.queries().items() >= QUERIES.items()
     assert entry.oracle_sql().items() >= ORACLE.items()
-    assert set(QUERIES) - set(ORACLE) == {"bpe_train", "bpe_encode"}
+    assert set(QUERIES) - set(ORACLE) == {"bpe_train", "bpe_encode", "experiment_learned"}
 
 
 @needs_data
@@ -28,7 +28,8 @@ def test_entry_offers_the_catalogue():
     "name",
     ["prepared_corpus", "words_per_sequence", "token_counts", "topk_words", "topk_overlap",
      "prompts_in_vocab", "decode", "sequential_batches", "pad_batches", "perplexity",
-     "generate_greedy", "similarity_by_run", "subword_longest_match"],
+     "generate_greedy", "similarity_by_run", "subword_longest_match", "causal_labels", "bpe_decode",
+     "experiment_curve", "experiment_best"],
 )
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
@@ -49,6 +50,13 @@ def test_scans_read_only_what_they_need(spark):
     assert "TakeOrderedAndProject" in plan
 
 
+@needs_data
+def test_lists_are_coded_without_a_shuffle_of_lines(spark):
+    for name in ("decode", "causal_labels", "subword_longest_match"):
+        exchanges = [x for x in plan_of(QUERIES[name](spark, DATA)).splitlines() if "hashpartitioning" in x]
+        assert not any("line_no" in x or "row#" in x for x in exchanges)
+
+
 @needs_data
 def test_top_k_is_cut_before_its_shuffle(spark):
     assert "WindowGroupLimit" in plan_of(QUERIES["topk_words"](spark, DATA))
