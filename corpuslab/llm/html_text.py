@@ -7,8 +7,9 @@ content; the least density on the way from it up to the body is the threshold. O
 way that is as dense as the threshold, its own largest-sum subtree belongs to the content, too. A core
 within an ``article`` or ``main`` element stands for all of that element.
 
-What an element says of itself comes first: menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments have no characters at all.
+What an element is comes first: menus, headers, footers, scripts, styles and the like have no characters at all. So
+have forms and what names itself a sidebar, notice, advert or reader comment, unless it holds the text of the page: a
+wrapper beside which hardly anything would be left keeps its text, whatever its name.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +37,7 @@ BLOCK = frozenset(
     option p pre search section select summary table tbody td tfoot th thead title tr ul""".split()
 )
 DROPPED = frozenset(
-    """aside audio button canvas datalist dialog footer form head header input label math menu nav object
+    """aside audio button canvas datalist dialog footer head header input label math menu nav object
     option search select svg video""".split()
     + sorted(RAW)
 )
@@ -48,6 +50,13 @@ NAMES = frozenset(
 ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split()
 )
+REMARKS = frozenset("comment comments disqus replies reply".split())
+#: Words of a class after which a name tells of a state of the page: "with-sidebar" is no sidebar.
+STATES = frozenset("with without has no not".split())
+LEAST_CHARS = 200
+"""A part with a name is a wrapper only if it has so many characters outside links."""
+WRAPPED, WRAPPED_REMARKS = 10, 50
+"""It has so many times what is left beside all such parts; the second one if it is named for comments."""
 #: What an open element of the key is closed by.
 CLOSED_BY = {
     "li": {"li"},
@@ -59,6 +68,7 @@ CLOSED_BY = {
     "tr": {"tr", "tbody", "tfoot", "thead"},
     "p": BLOCK - {"caption", "option", "optgroup", "tbody", "td", "tfoot", "th", "thead", "tr"},
 }
+CLOSERS = frozenset().union(*CLOSED_BY.values())
 SCOPE = frozenset("html body table td th ul ol dl div article section main aside".split())
 
 #: Elements that only hold the parts of a list or table.
@@ -76,11 +86,12 @@ _WORD = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "dropped", "first", "stop", "chars", "tags",
+    __slots__ = ("name", "parent", "children", "dropped", "part", "first", "stop", "chars", "tags",
                  "link_chars", "link_tags", "density", "sum", "in_link")
 
     def __init__(self, name: str, parent: Node | None, dropped: bool, first: int):
         self.name, self.parent, self.dropped, self.first = name, parent, dropped, first
+        self.part = 0
         self.children: list[Node] = []
         self.stop = first
         self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -88,27 +99,62 @@ class Node:
         self.in_link = name == "a" or (parent is not None and parent.in_link)
 
 
-def _unwanted(name: str, attributes: str) -> bool:
-    if name in DROPPED:
-        return True
-    if name in ("html", "body", "main") or not attributes.strip():
-        return False
-    for key, *values in _ATTRIBUTE.findall(attributes):
+def _part_words(value: str) -> set[str]:
+    """Words of a class or id, without those that tell of a state."""
+    found = set()
+    for token in value.split():
+        for word in _WORD.findall(token):
+            if word.lower() in STATES:
+                break
+            found.add(word.lower())
+    return found
+
+
+def _named_part(name: str, attributes: str) -> tuple[bool, int]:
+    """Whether an element is hidden, and the factor that makes it a wrapper if it is named as a part, else 0."""
+    if name in ("html", "body", "main"):
+        return False, 0
+    part = WRAPPED if name == "form" else 0
+    for key, *values in _ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         key, value = key.lower(), "".join(values)
         if key not in _READ:
             continue
         if key == "hidden":
-            return True
+            return True, 0
         if key == "role":
             if value.strip().lower() in ROLES:
-                return True
+                part = max(part, WRAPPED)
             continue
-        words = {w.lower() for w in _WORD.findall(value)}
-        if name == "article":
-            words &= {"comment", "comments", "reply", "replies"}
-        if words & NAMES:
-            return True
-    return False
+        words = _part_words(value)
+        if words & REMARKS:
+            part = WRAPPED_REMARKS
+        elif name != "article" and words & NAMES:
+            part = max(part, WRAPPED)
+    return False, part
+
+
+def drop_parts(root: Node) -> None:
+    """Drop the parts that are named as such, but for a wrapper and what it is in.
+
+    What a part would give is counted without the parts in it, and without links.
+    """
+    order = [root]
+    for node in order:
+        order.extend(c for c in node.children if not c.dropped)
+    parts = [n for n in order if n.part]
+    if not parts:
+        return
+    held = {id(n): n.chars - n.link_chars for n in order}
+    for node in reversed(order[1:]):
+        if not node.part:
+            held[id(node.parent)] += held[id(node)]
+    fullest = max(parts, key=lambda n: held[id(n)])
+    if held[id(fullest)] >= LEAST_CHARS and held[id(root)] * fullest.part < held[id(fullest)]:
+        node: Node | None = fullest
+        while node is not None:
+            node.part, node = 0, node.parent
+    for node in parts:
+        node.dropped = node.part > 0
 
 
 def parse(page: str) -> tuple[Node, list]:
@@ -120,14 +166,26 @@ def parse(page: str) -> tuple[Node, list]:
     root = Node("#", None, False, 0)
     flow: list[str | None] = []
     stack, at, size = [root], 0, len(page)
+    #: How many elements of a name are open, and the depths of those that end or stop an implied end.
+    opened: Counter[str] = Counter()
+    ends: list[int] = []
 
     def close(depth: int) -> None:
         while len(stack) > depth:
             node = stack.pop()
+            opened[node.name] -= 1
+            if ends and ends[-1] == len(stack):
+                ends.pop()
             if node.name in BLOCK:
                 flow.append(None)
             node.stop = len(flow)
 
+    def push(node: Node) -> None:
+        opened[node.name] += 1
+        if node.name in CLOSED_BY or node.name in SCOPE:
+            ends.append(len(stack))
+        stack.append(node)
+
     def text(start: int, stop: int) -> None:
         top = stack[-1]
         if start < stop and not top.dropped:
@@ -157,12 +215,13 @@ def parse(page: str) -> tuple[Node, list]:
         at = tag.end()
         name = tag[2].lower()
         if tag[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name == name:
-                    close(depth)
-                    break
+            if opened[name] > 0:
+                while stack[-1].name != name:
+                    close(len(stack) - 1)
+                close(len(stack) - 1)
             continue
-        for depth in range(len(stack) - 1, 0, -1):
+        # An open element is closed by one of its own name, so few lie between two that stop the search.
+        for depth in reversed(ends) if name in CLOSERS else ():
             open_name = stack[depth].name
             if name in CLOSED_BY.get(open_name, ()):
                 close(depth)
@@ -172,7 +231,9 @@ def parse(page: str) -> tuple[Node, list]:
         parent = stack[-1]
         if name in BLOCK:
             flow.append(None)
-        node = Node(name, parent, parent.dropped or _unwanted(name, tag[3]), len(flow))
+        hidden, part = _named_part(name, tag[3])
+        node = Node(name, parent, parent.dropped or hidden or name in DROPPED, len(flow))
+        node.part = part
         parent.children.append(node)
         if name in VOID:
             if name == "br" and not node.dropped:
@@ -181,9 +242,9 @@ def parse(page: str) -> tuple[Node, list]:
         elif name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             at = end.start() if end else size
-            stack.append(node)
+            push(node)
         else:
-            stack.append(node)
+            push(node)
     close(0)
     return root, flow
 
@@ -256,6 +317,7 @@ def content_nodes(root: Node) -> list[Node]:
 def main_text(page: str) -> str:
     """Blocks of the main text, one a line."""
     root, flow = parse(page)
+    drop_parts(root)
     hidden, todo = [], [root]
     while todo:
         node = todo.pop()

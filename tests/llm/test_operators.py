@@ -125,6 +125,36 @@ def test_main_text_of_tags_with_quotes():
     assert html_text.main_text("<p>one</p><p class=l'ad>two</p><p title=l'id=menu>three</p><p title=\"a hidden ad\">four</p>") == "one\nthree\nfour"
 
 
+def test_wrappers_keep_their_text_whatever_their_names():
+    said = [f"Paragraph {i} " + "tells of many things, one after the other, " * 6 + "and ends." for i in range(3)]
+    paragraphs = "".join(f"<p>{s}</p>" for s in said)
+    around = '<div class="menu"><a href=x>home</a></div>{}<div class="sidebar">short words here</div>'
+    for names in (
+        "content with-sidebar", "no-sidebar", "main-content has-header", "post-with-ads", "social-science", "comment-policy",
+    ):
+        for page in (f"<div class='{names}'>{paragraphs}</div>", f"<div id={names.split()[0]}>{paragraphs}</div>"):
+            assert html_text.main_text(f"<html><body>{around.format(page)}</body></html>").split("\n") == said
+    nested = f'<form id="aspnetForm"><div class="social-science">{paragraphs}</div></form>'
+    assert html_text.main_text(f"<body>{around.format(nested)}</body>").split("\n") == said
+
+
+def test_named_parts_go_where_other_text_is_left():
+    remark = "<p>" + "I have a lot to say about this, as always, dear all. " * 8 + "</p>"
+    page = f"<body><div><p>{'The article is short but it is one. ' * 4}</p></div><div class=comments>{remark * 3}</div></body>"
+    assert html_text.main_text(page) == " ".join(["The article is short but it is one."] * 4)
+    assert html_text.main_text("<body><div class=cookie-notice>We use cookies.</div></body>") == ""
+    assert html_text.main_text("<body><form><p>Your name</p></form><p>Text of the page.</p></body>") == "Text of the page."
+
+
+@pytest.mark.parametrize("tag", ["<span>", "<b>", "</b>", "<div>", "<li>", "<td>", "<p>", "<dt><b>", "<a <b", "<script>", "<!--"])
+def test_main_text_is_linear_in_tags(tag):
+    import time
+
+    begin = time.perf_counter()
+    html_text.main_text("<body><p>one</p>" + tag * 100_000 + "deep")
+    assert time.perf_counter() - begin < 8
+
+
 def test_main_text_columns(spark):
     rows = [(1, None, "t"), (2, "", "t"), (3, "<p>a\n b</p>", "t"), (3, "<p>a\n b</p>", "t")]
     pages = spark.createDataFrame(rows, "page_id long, html string, main_text string")
