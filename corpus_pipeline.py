@@ -11,15 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm import byte_pairs, decontaminate, quality, simhash, substring
-from corpuslab.llm.batches import scratch_folder
+from corpuslab.llm.batches import field, scratch_folder
 from corpuslab.llm.queries import RANKS
 
 
+def _held(docs: DataFrame) -> DataFrame:
+    """``whole``, the row of a document, next to its number and text: no result of a stage can meet its columns."""
+    row = F.struct(F.lit(True).alias("_"), *(field(c) for c in docs.columns)).alias("whole")
+    return docs.select(row, "doc_id", "text")
+
+
+def _rows(held: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    """The columns of ``docs`` from ``whole``, but for those that are given."""
+    return held.select(*(changed.get(c, F.col("whole").getField(c)).alias(c) for c in docs.columns))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose grade is likely the best one, judged by the whole text."""
+    """Documents whose grade is likely the best one, judged by the whole text; all, if there is no usable rating."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, quality.grades_of(labels))
-    return quality.accepted(quality.score(docs, model)).where("accepted").select(*docs.columns)
+    if not model.rated:
+        return docs
+    return _rows(quality.accepted(quality.score(_held(docs), model)).where("accepted"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,25 +57,23 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Texts that lose nothing stay as they are, with all their white space.
     """
-    done = substring.remove_repeats(docs).where("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    done = done.withColumn("text", text).withColumn(
-        "n_chars",
-        F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")),
-    )
-    return done.select(*docs.columns)
+    done = substring.remove_repeats(_held(docs)).where("n_removed = 0 or n_removed < n_words")
+    less = F.col("n_removed") > 0
+    text = F.when(less, F.col("kept")).otherwise(F.col("text"))
+    n_chars = F.when(less, F.length("kept").cast("long")).otherwise(F.col("whole").getField("n_chars"))
+    return _rows(done, docs, text=text, n_chars=n_chars)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is in benchmark items."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    scanned = decontaminate.verdicts(decontaminate.scan(docs, items))
-    return scanned.where("not contaminated").select(*docs.columns)
+    scanned = decontaminate.verdicts(decontaminate.scan(_held(docs), items))
+    return _rows(scanned.where("not contaminated"), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text."""
-    encoded = byte_pairs.encode(docs, "text", RANKS, public_tokenizers.PATTERN)
+    encoded = byte_pairs.encode(docs.select("doc_id", "lang", "source", "text"), "text", RANKS, public_tokenizers.PATTERN)
     return encoded.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids"
     )

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslab.llm.batches import list_array, texts, with_python
+from corpuslab.llm.batches import field, list_array, texts, with_python
 
 LATIN = re.compile("[\t-\r -~\xa1-\u017f]*")
 """Texts for which Python's own patterns mean the same as those with Unicode properties."""
@@ -334,7 +334,7 @@ def encode(df: DataFrame, text: str, ranks: str, pattern: str, ids: str = "ids")
         return make
 
     added = T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return with_python(df, [F.col(text)], added, setup)
+    return with_python(df, [field(text)], added, setup)
 
 
 def decode(df: DataFrame, ids: str, ranks: str, content: str = "content") -> DataFrame:
@@ -381,4 +381,4 @@ def decode(df: DataFrame, ids: str, ranks: str, content: str = "content") -> Dat
         return make
 
     added = T.StructType([T.StructField(content, T.BinaryType())])
-    return with_python(df, [F.col(ids)], added, setup)
+    return with_python(df, [field(ids)], added, setup)

@@ -65,10 +65,10 @@ def features(text: bytes) -> np.ndarray:
 
 
 class Model:
-    """Weights shared by all grades and one threshold for each grade above the lowest."""
+    """Weights shared by all grades and one threshold for each grade above the lowest; ``rated`` texts were used."""
 
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
-        self.weights, self.thresholds = weights, thresholds
+    def __init__(self, weights: np.ndarray, thresholds: np.ndarray, rated: int = 0):
+        self.weights, self.thresholds, self.rated = weights, thresholds, rated
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """The chances of each grade above the lowest, or more; one row per score."""
@@ -132,7 +132,7 @@ def fit(
         )
     whole = np.zeros(size)
     whole[used] = values[: len(used)]
-    return Model(whole, cuts(values[len(used) :]))
+    return Model(whole, cuts(values[len(used) :]), rows)
 
 
 def train(

@@ -97,3 +97,27 @@ def test_null_and_repeated_numbers_keep_their_documents(spark):
     ]
     done = corpus_pipeline.drop_repeats(spark, first, "").select("doc_id", "text").collect()
     assert sorted(map(tuple, done), key=order) == sorted(expected, key=order)
+
+
+def test_columns_named_like_results_stay(spark, tmp_path):
+    """No stage overwrites a column of the documents that has the name of one of its results."""
+    names = "tails accepted expected_grade n_words n_removed kept hits items n_hit contaminated whole doc row a.b".split()
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    plain = docs
+    for name in names:
+        docs = docs.withColumn(name, F.lit("old"))
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        made, expected = stage(spark, docs, SMALL), stage(spark, plain, SMALL)
+        assert made.columns == docs.columns and [f.dataType for f in made.schema] == [f.dataType for f in docs.schema]
+        rows, want = made.collect(), expected.collect()
+        assert all(r[n] == "old" for r in rows for n in names)
+        assert sorted((r.doc_id, r.text, r.n_chars) for r in rows) == sorted((r.doc_id, r.text, r.n_chars) for r in want)
+
+
+def test_without_ratings_all_documents_stay(spark, tmp_path):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    labels.selectExpr("doc_id", "cast(null as int) quality", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert corpus_pipeline.keep_good(spark, docs, str(tmp_path)).count() == docs.count()
