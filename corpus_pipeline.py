@@ -16,14 +16,15 @@ from corpuslab.llm.queries import RANKS
 
 
 def _held(docs: DataFrame) -> DataFrame:
-    """``whole``, the row of a document, next to its number and text: no result of a stage can meet its columns."""
-    row = F.struct(F.lit(True).alias("_"), *(field(c) for c in docs.columns)).alias("whole")
+    """``whole``, a document's row but for the text, next to its number and text: no result can meet its columns."""
+    row = F.struct(F.lit(True).alias("_"), *(field(c) for c in docs.columns if c != "text")).alias("whole")
     return docs.select(row, "doc_id", "text")
 
 
 def _rows(held: DataFrame, docs: DataFrame, **changed) -> DataFrame:
-    """The columns of ``docs`` from ``whole``, but for those that are given."""
-    return held.select(*(changed.get(c, F.col("whole").getField(c)).alias(c) for c in docs.columns))
+    """The columns of ``docs`` from ``whole``, but for the text and those that are given."""
+    changed = {"text": F.col("text"), **changed}
+    return held.select(*((changed[c] if c in changed else F.col("whole").getField(c)).alias(c) for c in docs.columns))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
