@@ -48,17 +48,56 @@ def code_characters(text: Column, vocab: DataFrame, unknown: int = 0) -> Column:
     return F.when(text == "", F.array().cast("array<bigint>")).otherwise(ids)
 
 
+def _bounds(total: int, start: float, end: float | None, relative: bool) -> tuple[int, int]:
+    """First and last position of a part; positions count like those of a list, shares are cut down to positions."""
+    if relative:
+        start, end = int(start * total), None if end is None else int(end * total)
+    first, last, _ = slice(int(start), None if end is None else int(end)).indices(total)
+    return first, max(first, last)
+
+
+def place_part(
+    stream: DataFrame, key: str, start: float = 0, end: float | None = None, relative: bool = False
+) -> tuple[DataFrame, int]:
+    """The part of a token stream between two bounds, each row with its ``start`` in the part; also the part's size.
+
+    A stream has an integer ``key``, a list ``ids`` and its size ``n`` per row. Bounds are positions, or shares of
+    the stream if ``relative``. A negative position counts from the end, the end is not included, and
+    without one the part goes to the end of the stream. Rows are cut where they are, after the one join that
+    places them; rows outside the part go, the others keep their columns. Empty parts have no rows.
+    """
+    placed, total = place(stream, key, F.col("n"))
+    first, last = _bounds(total, start, end, relative)
+    if (first, last) == (0, total):
+        return placed, total
+    low, high = F.col("start"), F.col("start") + F.col("n")
+    begin, stop = F.greatest(low, F.lit(first)), F.least(high, F.lit(last))
+    part = placed.filter(begin < stop).withColumns({
+        "ids": F.slice("ids", (begin - low + 1).cast("int"), (stop - begin).cast("int")),
+        "n": (stop - begin).cast("int"),
+        "start": (begin - first).cast("long"),
+    })
+    return part, last - first
+
+
+def bounded_stream(
+    stream: DataFrame, key: str, start: float = 0, end: float | None = None, relative: bool = False
+) -> DataFrame:
+    """A part of a stream as a stream of its own, see ``place_part``.
+
+    Its ``key`` is the place of a row in the part, counted from 0, so rows that shared a key keep their order.
+    """
+    part, _ = place_part(stream.select(key, "ids", "n"), key, start, end, relative)
+    return part.filter("n > 0").select(F.col("start").alias(key), "ids", "n")
+
+
 def slice_stream(stream: DataFrame, key: str, start: float, end: float, relative: bool) -> DataFrame:
     """The part of a token stream between two bounds, as one piece per row of ``stream``.
 
-    A stream has an integer ``key``, a list ``ids`` and its size ``n`` per row.
-    Bounds are positions, or shares of the stream if ``relative``. A negative
-    position counts from the end, and the end is not included.
+    Bounds are those of ``place_part``; ``from_pos`` and ``to_pos`` are places in the whole stream.
     """
     placed, total = place(stream, key, F.col("n"))
-    if relative:
-        start, end = int(start * total), int(end * total)
-    first, last, _ = slice(int(start), int(end)).indices(total)
+    first, last = _bounds(total, start, end, relative)
     low, high = F.col("start"), F.col("start") + F.col("n")
     begin, stop = F.greatest(low, F.lit(first)), F.least(high, F.lit(last))
     return placed.filter(begin < stop).select(
@@ -97,14 +136,14 @@ def _shifted(segments: DataFrame, steps: int) -> list[Column]:
 
 
 def random_subsequences(
-    stream: DataFrame, key: str, batch_size: int, num_steps: int, offset: int, seed: int
+    stream: DataFrame, key: str, batch_size: int, num_steps: int, offset: int, seed: int, **part
 ) -> DataFrame:
     """Batches of subsequences in a seeded hash order, with labels shifted by one.
 
     ``offset`` leading tokens are dropped; so are subsequences that do not fill a
-    batch. The result is ``(batch, row, x, y)``.
+    batch. ``part`` are bounds of ``place_part``. The result is ``(batch, row, x, y)``.
     """
-    placed, total = place(stream, key, F.col("n"))
+    placed, total = place_part(stream, key, **part)
     count = max((total - offset - 1) // num_steps, 0)
     wanted = count // batch_size * batch_size
     ranks = hash_rank(stream.sparkSession.range(count).withColumnRenamed("id", "k"), "k", seed)
@@ -118,10 +157,10 @@ def random_subsequences(
 
 
 def sequential_batches(
-    stream: DataFrame, key: str, batch_size: int, num_steps: int, offset: int
+    stream: DataFrame, key: str, batch_size: int, num_steps: int, offset: int, **part
 ) -> DataFrame:
-    """The stream cut to ``batch_size`` long rows, walked in steps of ``num_steps``."""
-    placed, total = place(stream, key, F.col("n"))
+    """The stream, or a ``part`` of it, cut to ``batch_size`` long rows, walked in steps of ``num_steps``."""
+    placed, total = place_part(stream, key, **part)
     length = max((total - offset - 1) // batch_size, 0)
     count = length // num_steps
     if count == 0:
@@ -145,12 +184,20 @@ def batches(
     mode: str,
     offset: int = 0,
     seed: int = 0,
+    start_token: float = 0,
+    max_tokens: float | None = None,
+    relative_size: bool = False,
 ) -> DataFrame:
-    """Batches of a stream in one of the two modes, ``random`` or ``sequential``."""
+    """Batches of a stream in one of the two modes, ``random`` or ``sequential``.
+
+    Only the tokens from ``start_token`` up to ``max_tokens``, which is a position, not a number, are batched;
+    with ``relative_size`` both are shares of the stream.
+    """
+    part = {"start": start_token, "end": max_tokens, "relative": relative_size}
     if mode == "random":
-        return random_subsequences(stream, key, batch_size, num_steps, offset, seed)
+        return random_subsequences(stream, key, batch_size, num_steps, offset, seed, **part)
     if mode == "sequential":
-        return sequential_batches(stream, key, batch_size, num_steps, offset)
+        return sequential_batches(stream, key, batch_size, num_steps, offset, **part)
     raise ValueError(f"unknown mode {mode!r}")
 
 

@@ -14,7 +14,7 @@ NAMES = {
     """.split(),
     models: """
         wrap_sequences block_truncate next_token_pairs slice_corpus random_subsequences
-        sequential_batches length_batches pad_batches causal_labels bigram_counts
+        sequential_batches random_subsequences_part sequential_batches_part length_batches pad_batches causal_labels bigram_counts
         next_token_top2 score_tokens perplexity experiment_summary experiment_curve
         experiment_best experiment_learned generate_greedy
         generate_sampled probe_prompts nearest_original similarity_by_run bpe_train

@@ -18,6 +18,7 @@ from corpuslab.sources.corpus import load_table, to_lines
 
 BATCH_ROWS, STEPS, OFFSET, SEED = 32, 35, 5, 7
 SLICE = (0.1, 0.9)
+POSITIONS = (1_000, -500)
 LENGTH_BATCH = {"train": 64, "val": 16, "test": 16}
 GREEDY_STEPS, PROBE_STEPS = 50, 100
 SAMPLES, SAMPLE_TOKENS = 2, 30
@@ -79,9 +80,9 @@ def slice_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return part.select("doc_id", "from_pos", "to_pos", _joined("ids", "ids_text"))
 
 
-def _stream_batches(spark: SparkSession, folder: str, mode: str) -> DataFrame:
+def _stream_batches(spark: SparkSession, folder: str, mode: str, *bounds) -> DataFrame:
     found = sequences.batches(
-        _letter_stream(spark, folder), "doc_id", BATCH_ROWS, STEPS, mode, OFFSET, SEED
+        _letter_stream(spark, folder), "doc_id", BATCH_ROWS, STEPS, mode, OFFSET, SEED, *bounds
     )
     return found.select("batch", "row", _joined("x", "x_text"), _joined("y", "y_text"))
 
@@ -94,6 +95,16 @@ def sequential_batches(spark: SparkSession, folder: str) -> DataFrame:
     return _stream_batches(spark, folder, "sequential")
 
 
+def random_subsequences_part(spark: SparkSession, folder: str) -> DataFrame:
+    """Subsequences of the part of the stream that ``slice_corpus`` gives."""
+    return _stream_batches(spark, folder, "random", *SLICE, True)
+
+
+def sequential_batches_part(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches of the stream from one position to another, the second counted from its end."""
+    return _stream_batches(spark, folder, "sequential", *POSITIONS)
+
+
 def _length_batches(spark: SparkSession, folder: str) -> DataFrame:
     lines = split_lines_by_position(spark, folder)
     return sequences.length_batches(_wrapped(lines, "split", "doc_id", "line_no"), LENGTH_BATCH)

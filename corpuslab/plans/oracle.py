@@ -169,6 +169,30 @@ BATCH_TEXT = """
            string_agg(y, ' ' ORDER BY p) AS y_text
     FROM ({rows}) GROUP BY batch, row"""
 
+RANDOM = (
+    "subs AS (SELECT unnest(range((n - 5 - 1) // 35)) AS k, (n - 5 - 1) // 35 AS m FROM n)",
+    "ranks AS (SELECT k, m, row_number() OVER (ORDER BY md5('7:' || k), k) - 1 AS r FROM subs)",
+)
+RANDOM_TEXT = BATCH_TEXT.format(rows="""
+            SELECT r // 32 AS batch, r % 32 AS row, s.p, s.idx, y.idx AS y
+            FROM stream s JOIN ranks ON (s.p - 5) // 35 = k AND s.p >= 5
+            JOIN stream y ON y.p = s.p + 1
+            WHERE r < m // 32 * 32""")
+ROWS_OF_32 = "size AS (SELECT (n - 5 - 1) // 32 AS l FROM n)"
+SEQUENTIAL_TEXT = BATCH_TEXT.format(rows="""
+            SELECT ((s.p - 5) % l) // 35 AS batch, (s.p - 5) // l AS row, s.p, s.idx, y.idx AS y
+            FROM stream s JOIN stream y ON y.p = s.p + 1, size
+            WHERE s.p >= 5 AND s.p < 5 + 32 * l AND ((s.p - 5) % l) // 35 < l // 35""")
+
+
+def _part(start: str, end: str) -> str:
+    """The stream from one position up to another, counted anew from 0."""
+    whole = STREAM.replace("stream AS", "whole AS").replace("n AS (SELECT count(*) AS n FROM stream)",
+                                                            "size_of AS (SELECT count(*) AS n FROM whole)")
+    return f"""{whole},
+    stream AS (SELECT doc_id, idx, p - {start} AS p FROM whole, size_of WHERE p >= {start} AND p < {end}),
+    n AS (SELECT count(*) AS n FROM stream)"""
+
 
 def _with(*parts: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + f"\n{select}"
@@ -394,23 +418,13 @@ ORACLE: dict[str, str] = {
               AND p < CAST(floor(0.9::DOUBLE * n) AS BIGINT)
             GROUP BY doc_id""",
     ),
-    "random_subsequences": _with(
-        LINES, STREAM,
-        "subs AS (SELECT unnest(range((n - 5 - 1) // 35)) AS k, (n - 5 - 1) // 35 AS m FROM n)",
-        "ranks AS (SELECT k, m, row_number() OVER (ORDER BY md5('7:' || k), k) - 1 AS r FROM subs)",
-        select=BATCH_TEXT.format(rows="""
-            SELECT r // 32 AS batch, r % 32 AS row, s.p, s.idx, y.idx AS y
-            FROM stream s JOIN ranks ON (s.p - 5) // 35 = k AND s.p >= 5
-            JOIN stream y ON y.p = s.p + 1
-            WHERE r < m // 32 * 32"""),
-    ),
-    "sequential_batches": _with(
-        LINES, STREAM, "size AS (SELECT (n - 5 - 1) // 32 AS l FROM n)",
-        select=BATCH_TEXT.format(rows="""
-            SELECT ((s.p - 5) % l) // 35 AS batch, (s.p - 5) // l AS row, s.p, s.idx, y.idx AS y
-            FROM stream s JOIN stream y ON y.p = s.p + 1, size
-            WHERE s.p >= 5 AND s.p < 5 + 32 * l AND ((s.p - 5) % l) // 35 < l // 35"""),
+    "random_subsequences": _with(LINES, STREAM, *RANDOM, select=RANDOM_TEXT),
+    "sequential_batches": _with(LINES, STREAM, ROWS_OF_32, select=SEQUENTIAL_TEXT),
+    "random_subsequences_part": _with(
+        LINES, _part("CAST(floor(0.1::DOUBLE * n) AS BIGINT)", "CAST(floor(0.9::DOUBLE * n) AS BIGINT)"),
+        *RANDOM, select=RANDOM_TEXT,
     ),
+    "sequential_batches_part": _with(LINES, _part("1000", "n - 500"), ROWS_OF_32, select=SEQUENTIAL_TEXT),
     "length_batches": _with(
         LINES, _split(), WRAPPED, LENGTH_RANK.format(source="wrapped"),
         select="SELECT split, doc_id, line_no, n, batch, row FROM batched",

@@ -27,7 +27,8 @@ def test_entry_offers_the_catalogue():
 @pytest.mark.parametrize(
     "name",
     ["prepared_corpus", "words_per_sequence", "token_counts", "topk_words", "topk_overlap",
-     "prompts_in_vocab", "decode", "sequential_batches", "pad_batches", "perplexity",
+     "prompts_in_vocab", "decode", "sequential_batches", "random_subsequences_part",
+     "sequential_batches_part", "pad_batches", "perplexity",
      "generate_greedy", "similarity_by_run", "subword_longest_match", "causal_labels", "bpe_decode",
      "experiment_curve", "experiment_best"],
 )

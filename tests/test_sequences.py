@@ -74,6 +74,38 @@ def test_slice_by_position(spark, bounds):
     assert all(r.to_pos - r.from_pos == len(r.ids) and r.ids[0] == 100 + r.from_pos for r in rows)
 
 
+BOUNDS = [(0, None, False), (7, 48, False), (-50, -3, False), (0.2, 0.85, True), (0, 10_000, False), (30, 30, False)]
+
+
+@pytest.mark.parametrize("bounds", BOUNDS)
+@pytest.mark.parametrize("mode", ["random", "sequential"])
+def test_batches_within_bounds(spark, mode, bounds):
+    """Batches of a part are those of a stream that holds nothing else."""
+    start, end, relative = bounds
+    ids = list(range(100, 157))
+    if relative:
+        ids = ids[int(start * 57) : int(end * 57)]
+    else:
+        ids = ids[start:end]
+    alone = spark.createDataFrame([(0, ids, len(ids))], "doc_id long, ids array<long>, n int")
+    found = seq.batches(stream(spark, 57), "doc_id", 2, 4, mode, 1, 9, *bounds)
+    assert in_batches(found) == in_batches(seq.batches(alone, "doc_id", 2, 4, mode, 1, 9))
+
+
+def test_parts_of_parts(spark):
+    """A part is a stream; rows that share a key keep their order in it."""
+    ids = list(range(100, 157))
+    whole = stream(spark, 57).withColumn("doc_id", F.floor(F.col("doc_id") / 9).cast("long"))
+    order = [i for r in seq.slice_stream(whole, "doc_id", 0, 57, False).orderBy("from_pos").collect() for i in r.ids]
+    assert sorted(order) == ids
+    part = seq.bounded_stream(seq.bounded_stream(whole, "doc_id", 0.1, 0.9, True), "doc_id", 3, -4)
+    rows = part.orderBy("doc_id").collect()
+    assert [i for r in rows for i in r.ids] == order[5:51][3:-4]
+    assert [r.doc_id for r in rows] == [sum(q.n for q in rows[:i]) for i in range(len(rows))]
+    found = seq.slice_stream(part, "doc_id", 2, 9, relative=False)
+    assert [i for r in found.orderBy("from_pos").collect() for i in r.ids] == order[5:51][3:-4][2:9]
+
+
 def test_slice_by_share(spark):
     found = seq.slice_stream(stream(spark, 57), "doc_id", 0.25, 0.75, relative=True)
     ids = [i for r in found.orderBy("from_pos").collect() for i in r.ids]
