@@ -136,14 +136,31 @@ def positional_split(lines: DataFrame, parity: bool = True) -> DataFrame:
     the first two parts belongs to no part, as in the data this must agree with.
     """
     placed, total = place(lines, "doc_id", F.size("lines"))
-    half, three_quarters = total // 2, total * 3 // 4
     others = [c for c in lines.columns if c not in ("doc_id", "lines")]
     rows = list_rows(placed, ["doc_id", *others, "start"], "lines", "text", "line_no")
-    at = F.col("start") + F.col("line_no")
+    split = split_at(F.col("start") + F.col("line_no"), total, parity)
+    return rows.withColumn("split", split).filter("split is not null").drop("start")
+
+
+def split_at(at: Column, total: int, parity: bool) -> Column:
+    """The part that position ``at`` of ``total`` is in; null between parts with ``parity``."""
+    half, three_quarters = total // 2, total * 3 // 4
     gap = 1 if parity else 0
-    split = (
+    return (
         F.when(at < half, "train")
         .when((at >= half + gap) & (at < three_quarters), "val")
         .when(at >= three_quarters + gap, "test")
     )
-    return rows.withColumn("split", split).filter("split is not null").drop("start")
+
+
+def split_rows(rows: DataFrame, order: Sequence[Column], parity: bool = True) -> DataFrame:
+    """Cut the rows of any table into train, val and test by their place in ``order``.
+
+    The keys may be of any type, several, null and repeated. Ties are put in order by a hash of
+    all columns, which also spreads a frequent key over ranges; rows still equal there can stand for each
+    other. All columns are kept, and one sort by ranges is the only shuffle.
+    """
+    tie = F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns))
+    ranked = global_rank(rows.withColumn("tie_", tie), [*order, F.col("tie_")], "at_")
+    split = split_at(F.col("at_"), ranked.count(), parity)
+    return ranked.withColumn("split", split).filter("split is not null").drop("tie_", "at_")

@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from corpuslab.operators.experiments import summarise_runs
+from corpuslab.plans import tweet_flow
 from corpuslab.sources import corpus, runs, sinks, tweets
 
 
@@ -52,6 +53,61 @@ def test_tweets(spark, tmp_path):
     assert tweets.drop_repeats(table).count() == 2
 
 
+def flow_files(folder):
+    """Two files with repeated and null rows and ids, blank and missing tweets, and texts that lose all."""
+    words = "amber birch cedar dune ember fjord".split()
+    first = [{"row": i // 2, "id": 500 + i % 5, "tweet": f"{words[i % 6]} {words[i % 5]} #{words[i % 4]} {i}",
+              "place": " " if i % 3 else "Ulm"} for i in range(41)]
+    second = [{"tweet": t} for t in ("Zebra, 12", "   ", "https://a.example/x", "", "line\nbreak", "Zebra, 12")]
+    second += [{"id": 7, "tweet": "seven"}, {"row": 3, "tweet": "three"}]
+    tweet_file(folder / "2020.csv", ["row", "id", "tweet", "place"], first)
+    tweet_file(folder / "2021.csv", ["row", "id", "tweet"], second)
+    return [(str(folder / "2020.csv"), "row int, id long, tweet string, place string"),
+            (str(folder / "2021.csv"), "row int, id long, tweet string")]
+
+
+def test_tweet_flow(spark, tmp_path):
+    groups = flow_files(tmp_path)
+    cleaned = tweet_flow.clean_tweets(tweets.read_tweet_groups(spark, groups))
+    rows = cleaned.collect()
+    # The address stays as its placeholder word, as the strict rules only take off its signs.
+    assert len(rows) == 41 + 6 and all(r.tweet_clean.strip() for r in rows)
+    assert {r.place for r in rows} == {None, "Ulm"}
+    key = lambda r: (r.file, r.row is not None, r.row or 0, r.id is not None, r.id or 0)
+    for parity in (True, False):
+        split = tweet_flow.split_tweets(cleaned, parity).collect()
+        parts = [[r for r in split if r.split == name] for name in ("train", "val", "test")]
+        assert [len(p) for p in parts] == ([23, 11, 11] if parity else [23, 12, 12])
+        for before, after in zip(parts, parts[1:]):
+            assert max(map(key, before)) <= min(map(key, after))
+        assert set(split[0].asDict()) == {*cleaned.columns, "split"}
+    again = tweet_flow.split_tweets(cleaned.repartition(7)).select("split", *cleaned.columns)
+    assert sorted(map(str, again.collect())) == sorted(map(str, tweet_flow.split_tweets(cleaned).select("split", *cleaned.columns).collect()))
+
+
+def test_tweet_flow_writes_the_table_and_its_splits(spark, tmp_path):
+    groups = flow_files(tmp_path)
+    combined, splits = str(tmp_path / "combined"), str(tmp_path / "splits")
+    tweet_flow.prepare_tweets(spark, groups, combined, splits)
+    csv = dict(header=True, multiLine=True, quote='"', escape='"')
+    table = spark.read.options(**csv).csv(combined)
+    assert table.count() == 47 and "tweet_clean" in table.columns
+    parts = {name: spark.read.options(**csv).csv(f"{splits}/split={name}") for name in ("train", "val", "test")}
+    assert {n: p.count() for n, p in parts.items()} == {"train": 23, "val": 11, "test": 11}
+    assert parts["test"].columns == table.columns
+    assert any("\n" in r.tweet for r in table.collect())
+    # A combined table that exists already stays as it is.
+    tweet_flow.prepare_tweets(spark, groups[:1], combined, splits)
+    assert spark.read.options(**csv).csv(combined).count() == 47
+    assert spark.read.options(**csv).csv(f"{splits}/split=train").count() == 20
+
+
+def test_tweet_flow_of_no_tweets(spark, tmp_path):
+    tweet_file(tmp_path / "none.csv", ["row", "id", "tweet"], [])
+    empty = tweet_flow.clean_tweets(tweets.read_tweets(spark, str(tmp_path / "none.csv"), "row int, id long, tweet string"))
+    assert tweet_flow.split_tweets(empty).count() == 0
+
+
 def test_tweet_files_of_several_layouts(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,tweet\n1,one\n")
     (tmp_path / "b.csv").write_text("tweet,place\ntwo,here\n")
