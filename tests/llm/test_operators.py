@@ -337,10 +337,53 @@ def test_topk_of_repeated_rows(spark):
 
 def test_topk_deals_one_key_to_all_blocks(spark):
     rows = spark.createDataFrame([(7, [i, i % 3]) for i in range(600)], "id long, v array<long>")
-    sizes = [r["count"] for r in rows.groupBy(topk.block_of(10)).count().collect()]
+    sizes = [r["count"] for r in rows.groupBy(topk.block_of(F.lit(10))).count().collect()]
     assert len(sizes) == 10 and max(sizes) < 120
 
 
+def test_topk_of_vectors_of_several_lengths(spark):
+    """Each length is searched by itself; no row is left out for being of a rare one."""
+    rnd = random.Random(5)
+    rows = [(i, [rnd.randint(-9, 9) for _ in range((0, 2, 3, 3, 3)[i % 7 % 5])]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    got = sorted(map(tuple, topk.search(df, df.where("vec_id % 20 = 0"), k=7, block=64).collect()))
+    want = []
+    for width in (0, 2, 3):
+        alike = [r for r in rows if len(r[1]) == width]
+        want += plain_best(alike, [r for r in alike if r[0] % 20 == 0], 7)
+    assert got == sorted(want)
+
+
+def test_topk_stops_by_its_bounds():
+    """On skewed vectors a query reads a small part of its lists, on even ones all; results are the same."""
+    rng = np.random.default_rng(3)
+    even = rng.integers(-60, 60, (4000, 16))
+    skewed = even * (rng.random((4000, 1)) ** -1.5).clip(1, 2000).astype(np.int64)
+    for vectors, most in ((skewed, 1 / 16), (even, 1)):
+        ids = rng.permutation(4000)
+        lists = topk.SortedLists(ids, vectors.astype(np.float64), np.ones(4000, np.int64))
+        queries = even[:40].astype(np.float64)
+        asked, chosen, scores, read = topk.best(ids[:40], queries, lists, 20)
+        assert np.median(read) <= most * 4000
+        for q in range(40):
+            exact = lists.vectors @ queries[q]
+            exact[lists.ids == ids[q]] = -np.inf
+            order = np.lexsort((lists.ids, -exact))[:20]
+            assert (chosen[asked == q] == order).all() and (scores[asked == q] == exact[order]).all()
+
+
+def test_topk_bounds_hold_at_every_depth():
+    rng = np.random.default_rng(4)
+    vectors, queries = rng.integers(-9, 9, (90, 5)).astype(np.float64), rng.integers(-3, 3, (7, 5)).astype(np.float64)
+    reading = topk.Reading(topk.SortedLists(np.arange(90), vectors, np.ones(90, np.int64)), queries)
+    exact = queries @ vectors.T
+    for depth in (2, 3, 10, 45, 89, 90):
+        reading.advance(depth)
+        lower, upper = reading.bounds()
+        assert (lower <= exact).all() and (exact <= upper).all()
+    assert (lower == exact).all() and (upper == exact).all()
+
+
 def test_quantised(spark):
     df = spark.createDataFrame([([0.5, -0.01],), ([float("nan"), 1.0],), ([None, 1.0],), (None,)], "e array<float>")
     assert [r.v for r in topk.quantised(df, "e", "v").collect()] == [[32, -1], None, None, None]
