@@ -12,6 +12,7 @@ from corpuslab.operators.vocab import encode
 from corpuslab.session import cut_lineage
 
 STEPS_PER_WRITE = 6
+FRONTIER_STEPS = 4  # tokens that the search for reachable tokens goes further per write
 
 
 def count_bigrams(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -90,14 +91,43 @@ def _append(walks: DataFrame, hops: DataFrame, small: bool) -> DataFrame:
     return walked.select(*kept, path.alias("path"), F.col("then").alias("end"))
 
 
+def reachable(successors: DataFrame, starts: DataFrame, steps: int) -> DataFrame:
+    """The rows of ``successors`` that walks of ``steps`` tokens from ``starts`` come to, written.
+
+    Breadth first: each round takes the tokens seen for the first time one token further, and
+    the rounds end when none is new. A round has one row per new token, so no key is hot in its join,
+    and ``FRONTIER_STEPS`` rounds are written together.
+    """
+    table = F.broadcast(successors) if fits_broadcast(successors) else successors
+    new, found = starts.select(F.col("start").alias("prev")).distinct(), None
+    for first in range(0, steps, FRONTIER_STEPS):
+        edges = None
+        for _ in range(first, min(steps, first + FRONTIER_STEPS)):
+            taken = new.join(table, "prev")
+            edges = taken if edges is None else edges.unionByName(taken)
+            new = taken.select(F.col("next").alias("prev")).distinct()
+            if found is not None:
+                new = new.join(found.select("prev"), "prev", "left_anti")
+        edges = cut_lineage(edges.distinct())
+        if edges.isEmpty():
+            break
+        found = edges if found is None else found.unionByName(edges)
+        ends = edges.select(F.col("next").alias("prev")).distinct()
+        new = cut_lineage(ends.join(found.select("prev"), "prev", "left_anti"))
+        if new.isEmpty():
+            break
+    return successors.limit(0) if found is None else found
+
+
 def walks(successors: DataFrame, starts: DataFrame, steps: int) -> DataFrame:
     """Follow ``successors`` for ``steps`` tokens from each distinct start token.
 
     The next token depends on the last one only, so hops of 1, 2, 4, … tokens are
     built by joining the hop table to itself, and added up to the wanted number:
-    a dozen joins rather than one per token. A walk ends early at a token that has
-    no successor, such as the end marker.
+    a dozen joins rather than one per token. Only tokens that the walks can come to have hops. A walk
+    ends early at a token that has no successor, such as the end marker.
     """
+    successors = reachable(cut_lineage(successors.select("prev", "next")), starts, steps)
     hops = cut_lineage(
         successors.select(
             F.col("prev").alias("token"), F.array("next").alias("path"), F.col("next").alias("end")

@@ -82,6 +82,22 @@ def test_greedy_beyond_the_broadcast_limit(spark, monkeypatch):
     test_greedy(spark, policy="suppress_eos", steps=13)
 
 
+@pytest.mark.parametrize("steps", [0, 1, 3, 4, 9, 50])
+def test_reachable_successors(spark, steps):
+    """Each token that a walk comes to once, with all of a cycle, and nothing else."""
+    rng = random.Random(6)
+    after = {i: rng.randrange(0, 400) for i in range(300)} | {i: i + 1 for i in range(1000, 1012)} | {2000: 2001, 2001: 2000}
+    asked = [5, 9, 1000, 2001, 250, 399, 7000]
+    rows = spark.createDataFrame([(str(a), str(b)) for a, b in after.items()], "prev string, next string")
+    starts = spark.createDataFrame([(str(a),) for a in asked], "start string")
+    got = [(int(r.prev), int(r.next)) for r in ngrams.reachable(rows, starts, steps).collect()]
+    want, at = set(), set(asked)
+    for _ in range(steps):
+        want |= {(t, after[t]) for t in at if t in after}
+        at = {after[t] for t in at if t in after}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_unknown_policy(spark):
     with pytest.raises(ValueError):
         ngrams.best_successor(spark.createDataFrame([], "prev string, next string, n long"), "x")
