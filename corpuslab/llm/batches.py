@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslab.session import ensure_checkpoint_dir
+from corpuslab.session import cut_lineage, ensure_checkpoint_dir
 
 CHUNK_BYTES = 4 << 20
 """Rows are handed to Python code in slices of about so many bytes of text."""
@@ -86,3 +86,22 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the checkpoint folder that the executors share."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{purpose}-{uuid.uuid4().hex}"
+
+
+def smallest_by_hash(rows: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """The ``most`` distinct rows with the smallest hashes of ``keys``, in that order.
+
+    Rows are counted, and those below a hash that leaves a little more than ``most`` go on, so only few of
+    them are ever made distinct, written and sorted, however many tasks there are. Where
+    rows repeat so often that too few are left, the bound is raised until there are enough.
+    """
+    at = F.xxhash64(*(field(k) for k in keys))
+    total, share = rows.count(), 1.0
+    if total:
+        share = min(1.0, (1.1 * most + 1_000) / total)
+    while True:
+        below = rows if share >= 1 else rows.where(at < min(int(share * 2.0**64) - 2**63, 2**63 - 1))
+        part = cut_lineage(below.distinct())
+        if share >= 1 or part.count() >= most:
+            return part.orderBy(at, *rows.columns).limit(most)
+        share = min(1.0, 4 * share)

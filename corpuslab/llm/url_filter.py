@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslab.llm.batches import field, with_python
+from corpuslab.llm.batches import field, smallest_by_hash, with_python
 
 BITS = 16
 GRAMS = (3, 4, 5)
@@ -106,9 +106,8 @@ def train(labelled: DataFrame, most: int = MOST_LABELLED, bits: int = BITS) -> M
 
     Equal URLs count once for each label that they have; rows with nulls are left out.
     """
-    rows = labelled.select("host", "path", "block").dropna().distinct()
-    rows = rows.orderBy(F.xxhash64("host", "path"), "host", "path", "block").limit(most)
-    return fit([tuple(r) for r in rows.collect()], bits)
+    rows = labelled.select("host", "path", "block").dropna()
+    return fit([tuple(r) for r in smallest_by_hash(rows, ["host", "path"], most).collect()], bits)
 
 
 def judge(

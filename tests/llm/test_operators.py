@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslab.llm import (
+    batches,
     byte_pairs,
     components,
     decontaminate,
@@ -294,6 +295,16 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 40, 300, 5000])
+def test_smallest_by_hash(spark, most):
+    """The bound before the sort changes nothing, also where one row stands for most of the table."""
+    rows = spark.range(4000).select((F.col("id") % 1700).alias("a"), (F.col("id") % 2).alias("b"))
+    rows = rows.unionByName(spark.range(20_000).select(F.lit(3).cast("long").alias("a"), F.lit(1).cast("long").alias("b")))
+    got = [tuple(r) for r in batches.smallest_by_hash(rows, ["a"], most).collect()]
+    assert got == [tuple(r) for r in rows.distinct().orderBy(F.xxhash64("a"), "a", "b").limit(most).collect()]
+    assert batches.smallest_by_hash(rows.limit(0), ["a"], most).count() == 0
+
+
 def test_url_model_on_held_out_rows():
     rnd = random.Random(7)
     rows = [
