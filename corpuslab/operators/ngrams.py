@@ -9,7 +9,7 @@ from corpuslab.functions.tokens import EOS
 from corpuslab.operators.lookup import fits_broadcast, lookup
 from corpuslab.operators.ordinal import running_offsets
 from corpuslab.operators.vocab import encode
-from corpuslab.session import cut_lineage
+from corpuslab.session import cut_lineage, write_laid_out
 
 STEPS_PER_WRITE = 6
 FRONTIER_STEPS = 4  # tokens that the search for reachable tokens goes further per write
@@ -221,10 +221,12 @@ def generate_sampled(
 
     The draw is a hash of prompt, sample and length, so outputs do not change when
     a task is run again. A step is one join on the last token and the drawn bin;
-    finished outputs take bins that do not exist. State is written every few steps.
+    finished outputs take bins that do not exist. State is written every few steps. A table too large to
+    be broadcast is written once in the layout of that join, and only the state moves.
     """
     totals, binned = sampling_table(bigrams, vocab)
-    table = (F.broadcast(binned) if fits_broadcast(binned) else binned).alias("b")
+    table = F.broadcast(binned) if fits_broadcast(binned) else write_laid_out(binned, "prev", "bin")
+    table = table.alias("b")
     numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long")))
     state = prompts.select(
         "prompt", "tokens", numbers.alias("sample_no"), F.element_at("tokens", -1).alias("prev")

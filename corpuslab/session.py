@@ -46,3 +46,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_laid_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Write a table that has been written already once more, shuffled and sorted by ``keys``.
+
+    Joins on just these keys then leave it where it is and move only the other side. A written copy
+    keeps its layout only if the plan that wrote it was not adaptive, so that is off for this one
+    plan, which has no more than the shuffle and the sort.
+    """
+    conf = df.sparkSession.conf
+    parts, adaptive = int(conf.get("spark.sql.shuffle.partitions")), conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(df.repartition(parts, *keys).sortWithinPartitions(*keys))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)

@@ -180,3 +180,21 @@ def test_summarise_runs(spark):
     r = experiments.summarise_runs(df).first()
     assert (r.n_epochs, r.last_epoch, r.final_val_ppl, r.final_train_ppl) == (4, 3, 5.0, 3.0)
     assert (r.best_val_ppl, r.best_epoch, r.median_seconds) == (4.0, 1, 11.5)
+
+
+def test_sampling_table_is_laid_out_once(spark, monkeypatch):
+    """Beyond the broadcast limit a step moves its state only: one exchange a step, and the table is not sorted again."""
+    monkeypatch.setattr(ngrams, "fits_broadcast", lambda *_: False)
+    bigrams = ngrams.count_bigrams(pair_rows(spark, random_lists(4, 200)))
+    known = vocab.build_vocab(bigrams.groupBy(F.col("next").alias("token")).agg(F.sum("n").alias("freq")), 0)
+    prompts = spark.createDataFrame([("a", ["a"]), ("b", ["b"])], "prompt string, tokens array<string>")
+    found = ngrams.generate_sampled(prompts, bigrams, known, 2, 4, 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3
+    assert plan.count("Exchange hashpartitioning(prev#") == 3 == plan.count("- Sort [prev#")
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_sampled_beyond_the_broadcast_limit(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "fits_broadcast", lambda *_: False)
+    test_sampled(spark)
