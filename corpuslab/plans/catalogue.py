@@ -13,7 +13,7 @@ NAMES = {
         build_vocab encode decode global_position
     """.split(),
     models: """
-        wrap_sequences block_truncate next_token_pairs slice_corpus random_subsequences
+        wrap_sequences block_truncate block_byte_pairs block_longest_match next_token_pairs slice_corpus random_subsequences
         sequential_batches random_subsequences_part sequential_batches_part length_batches pad_batches causal_labels bigram_counts
         next_token_top2 score_tokens perplexity experiment_summary experiment_curve
         experiment_best experiment_learned generate_greedy

@@ -324,11 +324,37 @@ def bpe_encode(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def bpe_decode(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines encoded by byte pairs learned here and given back from their subwords."""
+def _byte_pair_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per line with its ``tokens`` by byte pairs learned here."""
     merges, _ = subword.train_bpe(subword.piece_counts(document_lines(spark, folder)), ROUND_TRIP_VOCAB)
     coded = subword.encode_bpe_lines(document_arrays(spark, folder), ["doc_id"], merges)
-    lines = list_rows(coded, ["doc_id"], "lines", "tokens", "line_no")
+    return list_rows(coded, ["doc_id"], "lines", "tokens", "line_no")
+
+
+def _blocks(lines: DataFrame) -> DataFrame:
+    block = lines.withColumn("tokens", sequences.truncate(F.col("tokens")))
+    return block.select(
+        "doc_id", "line_no", F.size("tokens").cast("long").alias("n"), _joined("tokens", "tokens_text")
+    )
+
+
+def block_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The first byte-pair tokens of each training line; lines are blank by the text their tokens stand for."""
+    lines = _byte_pair_lines(spark, folder)
+    text = tokens.join_tokens(F.col("tokens"), "byte-level")
+    return _blocks(lines.where(~cleaning.is_blank(text)))
+
+
+def block_longest_match(spark: SparkSession, folder: str) -> DataFrame:
+    """The first subwords of each training line."""
+    docs = _word_lines(document_arrays(spark, folder))
+    table = _match_vocab(spark, folder, docs)
+    return _blocks(_line_tokens(subword.encode_longest_match_lines(docs, ["doc_id"], table)))
+
+
+def bpe_decode(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines encoded by byte pairs learned here and given back from their subwords."""
+    lines = _byte_pair_lines(spark, folder)
     return lines.select("doc_id", "line_no", tokens.join_tokens(F.col("tokens"), "byte-level").alias("text"))
 
 

@@ -636,6 +636,13 @@ ORACLE["subword_longest_match"] = _with(
     recursive=True,
 )
 
+ORACLE["block_longest_match"] = _with(
+    *MATCHED,
+    select="""SELECT doc_id, line_no, len(parts[1:32]) AS n, array_to_string(parts[1:32], ' ') AS tokens_text
+              FROM coded""",
+    recursive=True,
+)
+
 ORACLE["bpe_decode"] = _with(LINES, select="SELECT doc_id, line_no, text FROM lines")
 
 CURVE = (

@@ -20,7 +20,7 @@ def test_entry_offers_the_catalogue():
     entry = importlib.import_module("__spark_entry__")
     assert entry.queries().items() >= QUERIES.items()
     assert entry.oracle_sql().items() >= ORACLE.items()
-    assert set(QUERIES) - set(ORACLE) == {"bpe_train", "bpe_encode", "experiment_learned"}
+    assert set(QUERIES) - set(ORACLE) == {"bpe_train", "bpe_encode", "experiment_learned", "block_byte_pairs"}
 
 
 @needs_data
@@ -29,7 +29,7 @@ def test_entry_offers_the_catalogue():
     ["prepared_corpus", "words_per_sequence", "token_counts", "topk_words", "topk_overlap",
      "prompts_in_vocab", "decode", "sequential_batches", "random_subsequences_part",
      "sequential_batches_part", "pad_batches", "perplexity",
-     "generate_greedy", "similarity_by_run", "subword_longest_match", "causal_labels", "bpe_decode",
+     "generate_greedy", "similarity_by_run", "subword_longest_match", "block_longest_match", "causal_labels", "bpe_decode",
      "experiment_curve", "experiment_best"],
 )
 def test_query_equals_sql(spark, name):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions.bytelevel import printable_bytes
 from corpuslab.operators import subword
+from corpuslab.plans import models
 
 
 def line_rows(spark, texts):
@@ -140,3 +141,19 @@ def test_longest_match_of_nothing(spark):
     rows = spark.createDataFrame([(0, ["ab", ""])], "line_no long, tokens array<string>")
     vocab = spark.createDataFrame([], "token string")
     assert subword.encode_longest_match(rows, ["line_no"], vocab).first().tokens == ["[UNK]"]
+
+
+def test_training_lines_are_cut_on_byte_pairs(spark, tmp_path):
+    """Lines keep their first 32 byte-pair tokens, as a library cuts them; blank lines go, empty documents too."""
+    pytest.importorskip("tokenizers")
+    rng = random.Random(8)
+    texts = random_texts(4, "etaoin é😀", 30) + ["", "   ", "\t\n \nlast"] + [" ".join(random_texts(5, n=12))]
+    docs = ["\n".join(rng.choice(texts) for _ in range(rng.randint(1, 6))) for _ in range(25)] + ["", None]
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    lines = {(i, n): line for i, d in enumerate(docs) if d for n, line in enumerate(d.removesuffix("\n").split("\n"))}
+    trained = library_tokenizer(lines.values(), models.ROUND_TRIP_VOCAB)
+    want = {k: trained.encode(line).tokens[:32] for k, line in lines.items() if line.strip(" \t")}
+    rows = models.block_byte_pairs(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.line_no): r.tokens_text for r in rows} == {k: " ".join(t) for k, t in want.items()}
+    assert all(r.n == len(want[r.doc_id, r.line_no]) <= 32 for r in rows) and max(r.n for r in rows) == 32
