@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,10 @@ LONGEST = 1_024  # characters of a generated text compared with blocks
 MAX_GENERATED, MAX_GENERATED_BYTES = 50_000, 16 << 20  # sent to every task
 BAND = 16  # characters per length band
 SALTS = 64  # parts of a length band
-NEAR = 3  # length bands tried for a first bound
+NEAR = 24  # difference in length of the originals that give a first bound
+FIRST = 4  # parts of a length band, of all SALTS, that give a first bound
+TASKS = 4  # tasks per core: comparing costs far more than the bytes suggest
+LETTERS = 31  # characters counted one by one; all others are counted together
 
 
 def _distinct(texts: DataFrame, key: list[str]) -> DataFrame:
@@ -120,22 +124,29 @@ def _scan(asked: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
     return found.groupBy("gen").agg(best)
 
 
-def _closest(generated: DataFrame, originals: DataFrame) -> DataFrame:
-    """Per generated text the best original among those in the length bands it names.
+def _letters(asked: DataFrame) -> list[str]:
+    """The most common characters of the generated texts, ``LETTERS`` at most."""
+    letter = F.explode(F.split("gen", "")).alias("letter")
+    counts = asked.select(letter).where("letter <> ''").groupBy("letter").count()
+    return [r.letter for r in counts.orderBy(F.desc("count"), "letter").limit(LETTERS).collect()]
 
-    ``generated`` has ``gen``, ``bound`` and ``bands``. Bands are cut into parts by a
-    hash of the original, so that a common length does not end up in one task. What
-    is beyond the bound is filtered where it is compared, and each task keeps one
-    best original per generated text before any shuffle.
+
+def _profile(text: str, letters: list[str], prefix: str) -> list[Column]:
+    """How often a text has each letter and how often any other, one column each."""
+    size = F.length(text)
+    counts = [size - F.length(F.replace(F.col(text), F.lit(c), F.lit(""))) for c in letters]
+    others = reduce(Column.__sub__, counts, size)
+    return [c.alias(f"{prefix}{i}") for i, c in enumerate([*counts, others])]
+
+
+def _unmatched(width: int) -> Column:
+    """Characters of the longer text, or of the shorter one, without a partner in the other.
+
+    Each needs an edit, so no edit distance is smaller.
     """
-    asked = generated.select("gen", "bound", F.explode("bands").alias("band"))
-    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")
-    joined = originals.withColumn("salt", salt).join(asked, ["band", "salt"])
-    close = F.abs(F.length("gen") - F.length("text")) <= F.col("bound")
-    found = F.call_function("levenshtein", F.col("gen"), F.col("text"), F.col("bound"))
-    scored = joined.filter(close).withColumn("distance", found).filter("distance >= 0")
-    return scored.groupBy("gen").agg(F.min(F.struct("distance", "key", "text")).alias("best"))
+    missing = [F.greatest(F.col(f"g{i}") - F.col(f"o{i}"), F.lit(0)) for i in range(width)]
+    left = reduce(Column.__add__, missing)
+    return F.greatest(left, left + F.length("text") - F.length("gen"))
 
 
 def _bands(low: Column, high: Column) -> Column:
@@ -143,29 +154,54 @@ def _bands(low: Column, high: Column) -> Column:
     return F.sequence(first, F.greatest(F.floor(high / BAND), first))
 
 
+def _spread_bands(rows: DataFrame) -> DataFrame:
+    """Length bands over a set number of tasks, which both sides of the join share."""
+    spark = rows.sparkSession
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(wanted, TASKS * spark.sparkContext.defaultParallelism), "band", "salt")
+
+
+def _within(asked: DataFrame, known: DataFrame, reach: Column, salts: int, width: int) -> DataFrame:
+    """Pairs of a generated text and an original no further apart than its ``bound``, with their ``distance``.
+
+    Lengths differ by ``reach`` at most. Bands are cut into parts by a hash of the original, of which
+    the first ``salts`` are compared; so a common length is not in one task. Lengths and
+    letters bound the distance from below before it is worked out.
+    """
+    size = F.length("gen")
+    asked = asked.withColumn("band", F.explode(_bands(size - reach, size + reach)))
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    joined = _spread_bands(known.where(F.col("salt") < salts)).join(_spread_bands(asked), ["band", "salt"])
+    joined = joined.where(F.abs(F.length("gen") - F.length("text")) <= F.col("bound"))
+    joined = joined.where(_unmatched(width) <= F.col("bound"))
+    found = F.call_function("levenshtein", F.col("gen"), F.col("text"), F.col("bound"))
+    return joined.withColumn("distance", found).where("distance >= 0")
+
+
 def _join(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """Best originals by joins on length bands, for any number of generated texts.
+    """Best originals by joins on length bands, for any number of generated texts, as ``(gen, best)``.
 
-    Originals of about a text's length give an upper bound, or the shortest original
-    does where there are none. An original within the bound differs in length by no
-    more than it, so of the other lengths only those are compared.
+    A fixed share of the originals of about a text's length gives an upper bound, or the shortest
+    original does where there are none. All originals within that bound are then compared: they
+    differ in length by no more than it.
     """
-    known = known.withColumn("band", F.floor(F.length("text") / BAND))
     shortest = known.agg(F.min(F.length("text"))).first()[0]
-    size = F.length("gen")
-    far = F.greatest(size, F.lit(shortest))
-    near = _bands(size - BAND * NEAR // 2, size + BAND * NEAR // 2)
-    first = _closest(asked.select("gen", far.alias("bound"), near.alias("bands")), known)
-    first = cut_lineage(
-        asked.join(first, "gen", "left").select(
-            "gen", "best", F.coalesce("best.distance", far).cast("int").alias("bound")
+    letters = _letters(asked)
+    width = len(letters) + 1
+    known = cut_lineage(
+        known.select(
+            "text", "key", F.floor(F.length("text") / BAND).alias("band"),
+            F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int").alias("salt"),
+            *_profile("text", letters, "o"),
         )
     )
-    wide = _bands(size - F.col("bound"), size + F.col("bound"))
-    rest = first.select("gen", "bound", F.array_except(wide, near).alias("bands"))
-    found = first.filter("best is not null").select("gen", "best")
-    found = found.unionByName(_closest(rest, known))
-    return found.groupBy("gen").agg(F.min("best").alias("best"))
+    far = F.greatest(F.length("gen"), F.lit(shortest)).alias("bound")
+    asked = cut_lineage(asked.select("gen", far, *_profile("gen", letters, "g")))
+    near = _within(asked, known, F.lit(NEAR), FIRST, width)
+    near = near.groupBy("gen").agg(F.min("distance").alias("near"))
+    bounded = asked.join(near, "gen", "left").withColumn("bound", F.least("bound", "near")).drop("near")
+    pairs = _within(cut_lineage(bounded), known, F.col("bound"), SALTS, width)
+    return pairs.groupBy("gen").agg(F.min(F.struct("distance", "key", "text")).alias("best"))
 
 
 def nearest_original(
@@ -180,15 +216,16 @@ def nearest_original(
     Ties go to the original with the smallest key. The result is exact. Texts that
     also are originals are settled by an equality join. The others are compared by
     one scan of the originals if they are few and short enough to be in every task,
-    and by joins on length bands if not; ``scan`` overrides the choice.
+    and by joins on length bands if not; ``scan`` overrides the choice. Null texts on either side
+    take no part; without originals there are no rows.
 
     With ``append_newline`` originals are compared with a line end after them, as
     lines of a file are if nothing strips them.
     """
     if append_newline:
         originals = originals.withColumn("text", F.concat("text", F.lit("\n")))
-    known = cut_lineage(_spread(_distinct(originals, key)))
-    asked = generated.select(F.col("text").alias("gen")).distinct()
+    known = cut_lineage(_spread(_distinct(originals.where("text is not null"), key)))
+    asked = generated.select(F.col("text").alias("gen")).where("gen is not null").distinct()
     same = cut_lineage(
         asked.join(known.withColumnRenamed("text", "gen"), "gen", "left").select("gen", "key")
     )

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslab.functions import distance
 from corpuslab.operators import similarity
@@ -76,6 +77,42 @@ def test_nearest_without_originals(spark):
     assert similarity.nearest_original(texts(spark, [(0, "a")]), texts(spark, []), ["n"]).collect() == []
 
 
+def test_nearest_with_null_and_empty_texts(spark):
+    found = similarity.nearest_original(
+        texts(spark, [(0, None), (1, ""), (2, "ab"), (3, "ab")]), texts(spark, [(7, None), (8, "abc"), (9, "")]), ["n"]
+    ).collect()
+    assert sorted((r.gen, r.distance, r.text) for r in found) == [("", 0, ""), ("ab", 1, "abc")]
+
+
+def test_letters_without_partner_bound_the_distance(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(0, 12)))
+    rows = spark.createDataFrame([(word(), word()) for _ in range(300)], "gen string, text string")
+    letters = ["a", "b", "é"]
+    profiles = rows.select(
+        "gen", "text", *similarity._profile("gen", letters, "g"), *similarity._profile("text", letters, "o")
+    )
+    for r in profiles.withColumn("least", similarity._unmatched(4)).collect():
+        assert abs(len(r.gen) - len(r.text)) <= r.least <= plain_distance(r.gen, r.text)
+
+
+def test_no_original_within_the_bound_is_missed(spark):
+    """Lengths and letters rule out none that the built-in distance would find."""
+    rng = random.Random(5)
+    line = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(20, 200)))
+    originals = [line() for _ in range(400)]
+    frame = spark.createDataFrame([(o, 1) for o in originals], "text string, n int")
+    known = frame.select(
+        "text", F.struct("n").alias("key"), F.floor(F.length("text") / similarity.BAND).alias("band"),
+        F.pmod(F.xxhash64("text"), F.lit(similarity.SALTS)).cast("int").alias("salt"),
+        *similarity._profile("text", list("abcdefgh "), "o"),
+    )
+    asked = spark.createDataFrame([(o + "z", 8) for o in originals[:20]], "gen string, bound int")
+    asked = asked.select("*", *similarity._profile("gen", list("abcdefgh "), "g"))
+    pairs = similarity._within(asked, known, F.col("bound"), similarity.SALTS, 10)
+    assert {(r.gen, r.text) for r in pairs.where("distance = 1").collect()} == {(o + "z", o) for o in originals[:20]}
+
+
 def test_similarity_by_run_counts_repeated_texts(spark):
     generated = spark.createDataFrame(
         [("r", "abc"), ("r", "abc"), ("r", "abx"), ("s", "abc")], "run string, text string"
