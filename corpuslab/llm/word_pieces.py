@@ -23,7 +23,10 @@ MEMO = 1 << 17
 
 
 class Automaton:
-    """Counts pieces of words over an alphabet of bytes."""
+    """Counts pieces of words over an alphabet of bytes.
+
+    An empty piece among the first ones stands for what is only put before a word.
+    """
 
     def __init__(self, first: list[bytes], further: list[bytes]):
         # States: 0 begins a word, 1 goes on with it.
@@ -41,6 +44,9 @@ class Automaton:
                     ends.add(state)
         self.fail = [-1] * len(self.next)
         self.popped = [0] * len(self.next)
+        if b"" in first:
+            # Where no longer piece begins a word, the empty one does, and all letters go on with it.
+            self.fail[0], self.popped[0] = 1, 1
         queue = deque([0, 1])
         while queue:
             state = queue.popleft()
@@ -78,8 +84,9 @@ class Automaton:
 
 def vocabulary(tokens) -> tuple[list[bytes], list[bytes]]:
     """Pieces from byte-level tokens: those with a space in front begin a word, those without
-    any white space go on with it. Tokens that hold white space elsewhere are no pieces."""
-    first = [t[1:] for t in tokens if t[:1] == b" " and len(t) > 1 and not t[1:].split() != [t[1:]]]
+    any white space go on with it. Tokens that hold white space elsewhere are no pieces. The lone space
+    is the empty first piece: words that no other piece begins, as in scripts it lacks, are cut after it."""
+    first = [t[1:] for t in tokens if t == b" " or t[:1] == b" " and t[1:].split() == [t[1:]]]
     further = [t for t in tokens if t.split() == [t]]
     return first, further
 

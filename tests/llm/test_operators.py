@@ -498,6 +498,42 @@ def test_word_pieces_by_greedy_matching():
             assert automaton.count(word) == greedy(word, first, further)
 
 
+def spaced(word, first, further):
+    """The same on the word with a space before it, as the vocabulary file has it."""
+    text, at, n = b" " + word, 0, 0
+    known = further | {b" " + f for f in first}
+    while at < len(text):
+        stop = next((j for j in range(len(text), at, -1) if text[at:j] in known), None)
+        if stop is None:
+            return -1
+        at, n = stop, n + 1
+    return n
+
+
+def test_word_pieces_begin_with_the_lone_space_where_no_other_piece_does():
+    first, further = word_pieces.vocabulary([b" ", b" a", b" ab\n", b"  b", b"b", b"bc", b"\xd1"])
+    assert (sorted(first), sorted(further)) == ([b"", b"a"], [b"b", b"bc", b"\xd1"])
+    rng = random.Random(4)
+    for _ in range(300):
+        further = {bytes(rng.choices(b"abc", k=rng.randint(1, 3))) for _ in range(rng.randint(0, 6))}
+        first = {bytes(rng.choices(b"abc", k=rng.randint(1, 3))) for _ in range(rng.randint(0, 3))} | {b""}
+        automaton = word_pieces.Automaton(sorted(first), sorted(further))
+        for _ in range(20):
+            word = bytes(rng.choices(b"abc", k=rng.randint(1, 9)))
+            assert automaton.count(word) == spaced(word, first, further)
+
+
+def test_word_pieces_of_words_in_other_scripts():
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        tokens = list(byte_pairs.read_ranks(file.read()))
+    first, further = word_pieces.vocabulary(tokens)
+    automaton, starts, parts = word_pieces.Automaton(first, further), set(first), set(further)
+    for word in ("русский", "你好世界", "😀😀", "été", "word"):
+        count = automaton.count(word.encode())
+        assert count == spaced(word.encode(), starts, parts)
+    assert automaton.count("русский".encode()) > 1 and automaton.count("你好世界".encode()) > 4
+
+
 def test_word_pieces_columns(spark, odd_docs):
     got = word_pieces.count_pieces(odd_docs, "text", [b"one", b"ab"], [b"x"]).collect()
     assert sorted((r.n_words, r.n_pieces) for r in got) == [(0, 0)] * 3 + [(2, 2)] * 3 + [(40_000, 40_000)]
