@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.functions.rows import item_rows
+from corpuslab.functions.rows import item_rows, list_rows
 from corpuslab.functions.tokens import BOS, TOKENIZERS, get_tokenizer, words_in_sequence, wrap
 from corpuslab.operators.evaluate import perplexity_of
-from corpuslab.operators.lookup import lookup
 from corpuslab.operators.sequences import next_token_pairs
 from corpuslab.session import cut_lineage
 
@@ -44,8 +43,8 @@ def compare_models(
 ) -> DataFrame:
     """Fit next-token tables of order 1 and 2 on ``train``, score train and ``val``.
 
-    All tokenizers go through one scan and one aggregation to distinct pairs; both
-    models are then read off the pair counts. One row per model and tokenizer.
+    All tokenizers go through one aggregation to tokens and one to distinct pairs, whose rows are summed where
+    they are counted, see ``_results``. One row per model and tokenizer.
     """
     tokens = F.array(
         *[
@@ -53,34 +52,14 @@ def compare_models(
             for t in tokenizers
         ]
     )
-    wrapped = item_rows(lines, ["split"], tokens, "t")
-    flat = next_token_pairs(wrapped.select("split", "t.tokenizer", F.col("t.w").alias("tokens")))
-    counts = cut_lineage(
-        flat.groupBy("tokenizer", "prev", "next").agg(
-            F.count_if(F.col("split") == "train").alias("n"),
-            F.count_if(F.col("split") == "val").alias("m"),
-        )
-    )
-    by_next = cut_lineage(
-        counts.groupBy("tokenizer", "next").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    )
-    sizes = by_next.groupBy("tokenizer").agg(
-        F.count("*").alias("vocab_size"), F.sum("n").alias("train_tokens"),
-        F.sum("m").alias("val_tokens"),
-    )
-    prev = cut_lineage(
-        counts.groupBy("tokenizer", "prev").agg(F.sum("n").alias("total"), F.count("*").alias("hot"))
-    )
-    second = lookup(counts, prev, ["tokenizer", "prev"], "hot")
-    first = by_next.join(F.broadcast(sizes.select("tokenizer", F.col("train_tokens").alias("total"))), "tokenizer")
-    scored = second.select("tokenizer", F.lit("bigram").alias("model"), "n", "m", "total").unionByName(
-        first.select("tokenizer", F.lit("unigram").alias("model"), "n", "m", "total")
-    )
-    scored = scored.join(F.broadcast(sizes), "tokenizer")
-    nll = -F.log((F.col("n") + alpha) / (F.col("total") + alpha * F.col("vocab_size")))
-    results = scored.groupBy("model", "tokenizer", "vocab_size", "train_tokens", "val_tokens").agg(
-        F.sum(F.col("n") * nll).alias("train_nll"), F.sum(F.col("m") * nll).alias("val_nll")
+    wrapped = item_rows(lines, ["split"], tokens, "t").select("split", "t.tokenizer", F.col("t.w").alias("tokens"))
+    train, val = F.col("split") == "train", F.col("split") == "val"
+    sides = _by_token(wrapped, {"n": train.cast("long"), "m": val.cast("long")})
+    pairs = next_token_pairs(wrapped).groupBy("tokenizer", "prev", "next").agg(
+        F.count_if(train).alias("n"), F.count_if(val).alias("m")
     )
+    results = _results(pairs, sides, {"": ("n", "n")}, {"train": "n", "val": "m"}, alpha)
+    results = results.withColumnsRenamed({"n": "train_tokens", "m": "val_tokens", "train": "train_nll", "val": "val_nll"})
     return results.select(
         F.concat_ws("-", "model", "tokenizer").alias("run"),
         "model",
@@ -93,6 +72,74 @@ def compare_models(
     )
 
 
+def _by_token(wrapped: DataFrame, values: dict[str, Column], per_line: dict[str, Column] | None = None) -> DataFrame:
+    """Sums of ``values`` over the places of each token, as one that goes before (``first``) and as one that follows.
+
+    ``per_line`` are added up once a line, with its last token. The table has a row per tokenizer, token and side, so it is
+    written.
+    """
+    per_line = per_line or {}
+    others = [c for c in wrapped.columns if c != "tokens"]
+    n = F.size("tokens")
+    rows = list_rows(wrapped, [*others, n.alias("size_")], "tokens", "token")
+    before, last = F.col("pos") < F.col("size_") - 1, F.col("pos") == F.col("size_") - 1
+    follows = F.col("pos") > 0
+    sums = [
+        F.coalesce(F.sum(F.when(side, v)), F.lit(0)).alias(f"{name}{c}")
+        for name, side in (("b_", before), ("f_", follows))
+        for c, v in values.items()
+    ]
+    once = [F.sum(F.when(last, v).otherwise(0)).alias(c) for c, v in per_line.items()]
+    return cut_lineage(
+        rows.groupBy("tokenizer", "token").agg(
+            *sums, *once, F.count_if(before).alias("b_rows"), F.count_if(follows).alias("f_rows")
+        )
+    )
+
+
+def _results(
+    pairs: DataFrame, sides: DataFrame, fits: dict[str, tuple[str, str]], sums: dict[str, str], alpha: float
+) -> DataFrame:
+    """Total losses of both models per tokenizer: for each of ``fits`` and ``sums`` a column of both names together.
+
+    The loss of a pair is ``log(total + alpha * size) - log(n + alpha)``. The first part depends on the token before
+    only, so it is added up over ``sides`` (see ``_by_token``), the second over ``pairs``, which are summed as they
+    come from their aggregation: neither written, nor joined to the totals. Totals of ``sides`` are columns, too.
+    """
+    values = [c[2:] for c in sides.columns if c.startswith("f_") and c != "f_rows"]
+    once = [c for c in sides.columns if c[:2] not in ("b_", "f_") and c not in ("tokenizer", "token")]
+    sizes = cut_lineage(
+        sides.groupBy("tokenizer").agg(
+            F.count_if(F.col("f_rows") > 0).alias("vocab_size"),
+            *[F.sum(f"f_{c}").alias(c) for c in values], *[F.sum(c).alias(c) for c in once],
+        )
+    )
+    names = [(s, e) for e in fits for s in sums]
+    log_n = lambda e, prefix="": F.log(F.col(f"{prefix}{fits[e][0]}") + alpha)
+    known = sides.join(F.broadcast(sizes.select("tokenizer", "vocab_size", *[F.col(t).alias(f"all_{t}") for _, t in fits.values()])), "tokenizer")
+    smooth = alpha * F.col("vocab_size")
+    over = known.groupBy("tokenizer").agg(
+        *[F.sum(F.col(f"b_{sums[s]}") * F.log(F.col(f"b_{fits[e][1]}") + smooth)).alias(f"bigram_{s}{e}") for s, e in names],
+        *[
+            F.sum(F.col(f"f_{sums[s]}") * (F.log(F.col(f"all_{fits[e][1]}") + smooth) - log_n(e, "f_"))).alias(f"unigram_{s}{e}")
+            for s, e in names
+        ],
+    )
+    under = pairs.groupBy("tokenizer").agg(*[F.sum(F.col(sums[s]) * log_n(e)).alias(f"pair_{s}{e}") for s, e in names])
+    both = sizes.join(over, "tokenizer").join(under, "tokenizer")
+
+    def model(name: str, losses: list[Column]) -> Column:
+        return F.struct(F.lit(name).alias("model"), *losses)
+
+    models = F.array(
+        model("bigram", [(F.col(f"bigram_{s}{e}") - F.col(f"pair_{s}{e}")).alias(f"{s}{e}") for s, e in names]),
+        model("unigram", [F.col(f"unigram_{s}{e}").alias(f"{s}{e}") for s, e in names]),
+    )
+    return both.select("tokenizer", "vocab_size", *values, *once, F.explode(models).alias("x")).select(
+        "tokenizer", "vocab_size", *values, *once, "x.*"
+    )
+
+
 #: How the words of a token list are counted, by tokenizer.
 MODES = {"char": "char", "space": "word", "word": "word", "byte-pair": "byte-level", "subword": "subword"}
 
@@ -120,7 +167,7 @@ def learning_curves(lines: DataFrame, lists: str, shares: int = 4, alpha: float
 
     ``lines`` has ``split`` (``train`` or ``val``), ``share`` (1 to ``shares``, for training lines) and ``lists``,
     see ``token_lists``. Epoch ``e`` fits on the shares up to ``e``. All tokenizers, epochs and models are read
-    off one aggregation to distinct pairs: a pair has one count per epoch, and the words of its lines
+    off one aggregation to tokens and one to distinct pairs: each has one count per epoch, and the words of its lines
     divided by their pairs, which add up to words. The vocabulary is that of all lines.
 
     A row per model, tokenizer and epoch: ``val_ppl`` and ``train_ppl`` (over all training lines) per token;
@@ -129,50 +176,26 @@ def learning_curves(lines: DataFrame, lists: str, shares: int = 4, alpha: float
     """
     epochs = range(1, shares + 1)
     flat = item_rows(lines, ["split", "share"], lists, "t")
-    flat = flat.select("split", "share", "t.tokenizer", "t.words", F.size("t.tokens").alias("size"), "t.tokens")
-    pairs = next_token_pairs(flat)
+    size = F.size("t.tokens")
+    flat = flat.select("split", "share", "t.tokenizer", (F.col("t.words") / (size - 1)).alias("per_pair"), "t.words", "t.tokens")
     train, val = F.col("split") == "train", F.col("split") == "val"
-    per_pair = F.col("words") / (F.col("size") - 1)
-    counts = cut_lineage(
-        pairs.groupBy("tokenizer", "prev", "next").agg(
-            *[F.count_if(train & (F.col("share") <= e)).alias(f"n{e}") for e in epochs],
-            F.count_if(val).alias("m"),
-            F.sum(F.when(val, per_pair).otherwise(0.0)).alias("weight"),
-            F.sum(F.when(val & (F.col("pos") == 0), F.col("words")).otherwise(0)).alias("words"),
-        )
-    )
-    sums = [F.sum(c).alias(c) for c in (*[f"n{e}" for e in epochs], "m", "weight", "words")]
-    by_next = cut_lineage(counts.groupBy("tokenizer", "next").agg(*sums))
-    sizes = by_next.groupBy("tokenizer").agg(
-        F.count("*").alias("vocab_size"), F.sum("m").alias("val_tokens"), F.sum("words").alias("val_words"),
-        *[F.sum(f"n{e}").alias(f"t{e}") for e in epochs],
-    )
-    prev = counts.groupBy("tokenizer", "prev").agg(
-        *[F.sum(f"n{e}").alias(f"t{e}") for e in epochs], F.count("*").alias("hot")
-    )
-    second = lookup(counts, cut_lineage(prev), ["tokenizer", "prev"], "hot")
-    totals = [f"t{e}" for e in epochs]
-    first = by_next.join(F.broadcast(sizes.select("tokenizer", *totals)), "tokenizer")
-    kept = ["tokenizer", *[f"n{e}" for e in epochs], "m", "weight", *totals]
-    both = second.select(F.lit("bigram").alias("model"), *kept).unionByName(
-        first.select(F.lit("unigram").alias("model"), *kept)
-    )
-    both = both.join(F.broadcast(sizes.drop(*totals)), "tokenizer")
-
-    def losses(e: int) -> Column:
-        nll = -F.log((F.col(f"n{e}") + alpha) / (F.col(f"t{e}") + alpha * F.col("vocab_size")))
-        return F.struct(
-            F.lit(e).cast("long").alias("epoch"),
-            F.sum(F.col(f"n{shares}") * nll).alias("train"),
-            F.sum(F.col("m") * nll).alias("val"),
-            F.sum(F.col("weight") * nll).alias("weighted"),
-        )
+    whole = flat.select("split", "share", "tokenizer", "per_pair", "words", "tokens")
+    values = {f"n{e}": (train & (F.col("share") <= e)).cast("long") for e in epochs}
+    values |= {"m": val.cast("long"), "weight": F.when(val, F.col("per_pair")).otherwise(0.0)}
+    sides = _by_token(whole, values, {"words": F.when(val, F.col("words")).otherwise(0)})
+    pairs = next_token_pairs(flat.drop("words")).groupBy("tokenizer", "prev", "next").agg(
+        *[F.coalesce(F.sum(v), F.lit(0)).alias(c) for c, v in values.items()]
+    )
+    fits = {str(e): (f"n{e}", f"n{e}") for e in epochs}
+    sums = {"train": f"n{shares}", "val": "m", "weighted": "weight"}
+    found = _results(pairs, sides, fits, sums, alpha)
+    found = found.withColumnsRenamed({f"n{shares}": "train_tokens", "m": "val_tokens", "words": "val_words"})
 
     by = ["model", "tokenizer", "vocab_size", "val_tokens", "val_words"]
-    found = both.groupBy(*by).agg(
-        F.sum(f"n{shares}").alias("train_tokens"), F.array(*map(losses, epochs)).alias("epochs")
+    curve = F.array(
+        *[F.struct(F.lit(e).cast("long").alias("epoch"), *[F.col(f"{c}{e}").alias(c) for c in sums]) for e in epochs]
     )
-    rows = found.select(*by, "train_tokens", F.explode("epochs").alias("x"))
+    rows = found.select(*by, "train_tokens", F.explode(curve).alias("x"))
     ppl = lambda loss, by: F.round(perplexity_of(F.col(loss) / F.col(by)), 6)
     # A word of many tokens has a large perplexity, so it is taken from a rounded loss.
     per_word = lambda loss: F.round(perplexity_of(F.round(F.col(loss) / F.col("val_words"), 6)), 2)

@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslab.operators import subword
+from corpuslab.functions import cleaning
+from corpuslab.operators import experiments, subword
+from corpuslab.plans import corpus, models
 
 
 def plan_of(df):
@@ -40,3 +42,48 @@ def test_byte_pairs_are_put_in_without_a_shuffle(spark):
         [str([["abab", "Ġ", "Ã", "©"], []]), "[]", str([["a", "Â", "ł", "b"]])]
     )
     assert "Exchange" not in plan_of(coded)
+
+
+def test_pairs_of_tokens_are_not_written(spark, monkeypatch):
+    """Only tokens are; a pair's loss is added up where it is counted, and comes out the same."""
+    written = []
+    cut = experiments.cut_lineage
+    monkeypatch.setattr(experiments, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    rows = [("train", "a b a"), ("train", ""), ("val", "b a c")]
+    lines = spark.createDataFrame(rows, "split string, text string")
+    found = {r.run: r for r in experiments.compare_models(lines, ["word"]).collect()}
+    assert written and not any("prev" in columns for columns in written)
+    # Seen to follow: a 2, b 1, <EOS> 2; after <BOS>: a 1, <EOS> 1; after a: b 1, <EOS> 1; after b: a 1.
+    assert [found["unigram-word"][c] for c in ("vocab_size", "train_tokens", "val_tokens")] == [4, 5, 4]
+    assert found["unigram-word"].train_ppl == pytest.approx((3**4 * 2 / 9**5) ** -0.2, abs=1e-6)
+    assert found["unigram-word"].val_ppl == pytest.approx((2 * 3 * 1 * 3 / 9**4) ** -0.25, abs=1e-6)
+    assert found["bigram-word"].train_ppl == pytest.approx(((2 / 6) ** 4 * (2 / 5)) ** -0.2, abs=1e-6)
+    assert found["bigram-word"].val_ppl == pytest.approx(((1 / 6) * (2 / 5) * (1 / 6) * (1 / 4)) ** -0.25, abs=1e-6)
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    rows = [(i, "s", f"One line {i}, <b>http://x.org/</b>\n\nTwo (lines) @me of it.\n12") for i in range(20)] + [(20, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_rules_of_a_required_text_run_once(spark, folder):
+    rows = spark.createDataFrame([(1, " ", "ab"), (2, "x", "12"), (3, None, None)], "i int, source string, text string")
+    kept = cleaning.drop_blank(rows.withColumn("clean", cleaning.clean_strict(F.col("text"))), "clean")
+    assert [tuple(r) for r in kept.collect()] == [(1, None, "ab", "ab")]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("https?://") == 1
+
+
+def test_characters_and_words_are_counted_as_they_are(spark, folder):
+    counts = corpus.token_counts(spark, folder)
+    assert "named_struct" not in plan_of(counts)
+    found = {(r.kind, r.token): r.freq for r in counts.collect()}
+    assert (found["char", "@"], found["word", "of"], found["word", "("]) == (20, 20, 20)
+
+
+def test_what_is_sized_first_is_not_worked_out_twice(spark, folder):
+    prepared, labels = corpus.prepared_corpus(spark, folder), models.causal_labels(spark, folder)
+    assert "regexp_replace" not in plan_of(prepared) and "MapInArrow" not in plan_of(labels)
+    assert prepared.count() == 58 and labels.count() > 0
