@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions.bytelevel import printable_bytes
 from corpuslab.operators import subword
+from corpuslab.operators.merge_round import RunMerges
 from corpuslab.plans import models
+from corpuslab.session import cut_lineage
 
 
 def line_rows(spark, texts):
@@ -105,6 +107,50 @@ def test_rounds_agree_with_a_recount_after_each_merge():
             sign += 1
 
 
+def test_runs_give_what_a_recount_after_each_merge_gives():
+    rng = random.Random(12)
+    for _ in range(200):
+        letters = "abcdefghij"[: rng.choice([2, 3, 6, 10])]
+        words = Counter("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(40))
+        ranked = Counter()
+        for word, n in words.items():
+            for i in range(len(word) - 1):
+                ranked[word[i : i + 2]] += n
+        leading = sorted(ranked.items(), key=lambda p: (-p[1], p[0]))[: rng.choice([1, 4, 20, 1_000])]
+        known, runs = dict(leading), Counter()
+        for word, n in words.items():
+            cut = "".join(c + ("" if word[i : i + 2] in known else " ") for i, c in enumerate(word))
+            runs.update({run: 0 for run in cut.split()})
+            for run in cut.split():
+                runs[run] += n
+        taken, sign = RunMerges({r: n for r, n in runs.items() if len(r) > 1}), 0x10000
+        while (best := taken.best()) is not None:
+            pair, count = best
+            if len(leading) < len(ranked) and (-count, pair) > (-leading[-1][1], leading[-1][0]):
+                break
+            now = Counter()
+            for word, n in words.items():
+                for i in range(len(word) - 1):
+                    now[word[i : i + 2]] += n
+            assert (pair, count) == min(now.items(), key=lambda p: (-p[1], p[0]))
+            taken.merge(pair, chr(sign))
+            words = Counter({w.replace(pair, chr(sign)): n for w, n in words.items()})
+            sign += 1
+
+
+@pytest.mark.parametrize("runs, rounds", [(100_000, 2), (25, 60)])
+def test_a_round_takes_all_merges_that_its_runs_hold(spark, monkeypatch, runs, rounds):
+    """Few rounds also where pairs overlap and repeat their symbols; few runs only make more rounds."""
+    texts = random_texts(9, "abc", 100) + ["aaaaaaa aaaa bbbbb ababab"] * 3
+    written = []
+    monkeypatch.setattr(subword, "RUNS", runs)
+    monkeypatch.setattr(subword, "PLACES", runs * 10)
+    monkeypatch.setattr(subword, "cut_lineage", lambda df: written.append(df) or cut_lineage(df))
+    merges, _ = subword.train_bpe(subword.piece_counts(line_rows(spark, texts)), 300)
+    assert [(r.left, r.right) for r in merges.orderBy("rank").collect()] == merges_of(library_tokenizer(texts, 300))
+    assert len(written) <= 1 + rounds
+
+
 def test_min_frequency_stops_training(spark):
     merges, table = subword.train_bpe(subword.piece_counts(line_rows(spark, ["ab cd ef"])), 400)
     assert merges.count() == 0 and table.count() == 257
