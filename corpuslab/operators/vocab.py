@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslab.functions.rows import item_rows, list_rows
 from corpuslab.functions.tokens import UNK
-from corpuslab.operators.dictionary import code_lists
+from corpuslab.operators.dictionary import SLICE_ROWS, code_lists
 from corpuslab.operators.lookup import lookup
 from corpuslab.operators.ordinal import global_rank
 
@@ -27,6 +31,24 @@ def count_tokens(rows: DataFrame, tokens: str = "tokens", by: Sequence[str] = ()
     return flat.groupBy(*by, "token").agg(F.count("*").alias("freq"))
 
 
+def count_characters(rows: DataFrame, text: str = "text") -> DataFrame:
+    """How often each character occurs, as ``token`` and ``freq``; a task counts some rows at a time, without a row per character."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = Counter()
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                texts = pc.drop_null(batch.column(0).slice(start, SLICE_ROWS)).to_pylist()
+                codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+                found, freqs = np.unique(codes, return_counts=True)
+                counts.update(dict(zip(map(chr, found.tolist()), freqs.tolist())))
+            columns = [pa.array(counts, pa.string()), pa.array(counts.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "freq"])
+
+    found = rows.select(text).mapInArrow(run, "token string, freq long")
+    return found.groupBy("token").agg(F.sum("freq").alias("freq"))
+
+
 def build_vocab(
     counts: DataFrame,
     min_freq: int = 0,

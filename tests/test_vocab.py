@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslab.functions.tokens import char_tokens
 from corpuslab.operators import counting, vocab
 
 
@@ -74,3 +75,13 @@ def test_top_k_and_overlap(spark):
 def test_corpus_stats_of_empty_corpus(spark):
     empty = spark.createDataFrame([], "doc_id long, lines array<string>")
     assert list(counting.corpus_stats(empty).first()) == [0, 0, 0, 0, 0]
+
+
+def test_characters_are_counted_without_a_row_each(spark):
+    """As ``count_tokens`` counts them; texts that are empty, null or beyond the basic plane included."""
+    texts = ["abba", "", None, "a 😀\u00e9😀\n", "\u0000b"] * 300
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = vocab.count_tokens(rows.select(char_tokens(F.col("text")).alias("tokens")))
+    found = vocab.count_characters(rows)
+    assert sorted(found.collect()) == sorted(plain.collect())
+    assert "explode" not in found._jdf.queryExecution().executedPlan().toString()
