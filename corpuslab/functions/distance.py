@@ -66,42 +66,79 @@ def lower_bounds(pattern: Pattern, block: Block) -> np.ndarray:
     return np.maximum(missing, block.sizes - pattern.size + missing)
 
 
-def distances(pattern: Pattern, block: Block, keep: np.ndarray) -> np.ndarray:
-    """Edit distances, in characters, to the texts of a block at the places ``keep``.
+def joined(parts: list[tuple[Block, np.ndarray]]) -> Block:
+    """The texts of some blocks at the places picked in each, as one block, longest text first."""
+    sizes = np.concatenate([b.sizes[keep] for b, keep in parts])
+    order = np.argsort(-sizes, kind="stable")
+    column = np.empty(len(order), dtype=np.int64)
+    column[order] = np.arange(len(order))
+    cells = np.zeros((sizes.max(initial=0), len(order)), dtype=np.intp)
+    start = 0
+    for b, keep in parts:
+        height = b.sizes[keep].max(initial=0)
+        cells[:height, column[start : start + len(keep)]] = b.cells[:height, keep]
+        start += len(keep)
+    rows = np.concatenate([b.rows[keep] for b, keep in parts])
+    counts = np.concatenate([b.counts[keep] for b, keep in parts])
+    return Block(rows[order], sizes[order], cells, counts[order])
+
+
+def distances(pattern: Pattern, block: Block, keep: np.ndarray | None = None) -> np.ndarray:
+    """Edit distances, in characters, to the texts of a block, or to those at the places ``keep``.
 
     One character of all texts is handled per step, a column of the distance matrix
     being kept as bits of vertical differences (Myers 1999, Hyyrö 2003). Texts come
-    longest first, so finished ones drop off the end.
+    longest first, so finished ones drop off the end; the differences that a text ends with add up to
+    its distance. All steps write to the same arrays, as making new ones costs more than the steps.
     """
-    sizes = block.sizes[keep]
-    cells = block.cells if len(keep) == len(block.sizes) else block.cells[:, keep]
-    if pattern.size == 0:
+    sizes = block.sizes if keep is None else block.sizes[keep]
+    if pattern.size == 0 or not len(sizes):
         return sizes
-    words = len(pattern.masks)
-    last = _ONE << np.uint64((pattern.size - 1) % WORD)
-    score = np.full(len(keep), pattern.size)
-    plus = np.full((words, len(keep)), ~np.uint64(0))
-    minus = np.zeros((words, len(keep)), dtype=np.uint64)
-    active = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
+    cells = block.cells if keep is None else block.cells[:, keep]
+    cells = cells.astype(np.intp, copy=False)
+    words, width = len(pattern.masks), len(sizes)
+    plus = np.full((words, width), ~np.uint64(0))
+    minus = np.zeros((words, width), dtype=np.uint64)
+    scratch = np.empty((5, width), dtype=np.uint64)
+    carried = np.empty((4, width), dtype=np.uint64)
+    top = np.uint64(WORD - 1)
+    active = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right").tolist()
     for step, n in enumerate(active):
-        carry_up: np.ndarray | np.uint64 = _ONE
-        carry_down: np.ndarray | np.uint64 = np.uint64(0)
+        at = cells[step, :n]
+        equal, vertical, horizontal, up, down = scratch[:, :n]
+        above, below, next_above, next_below = carried[:, :n]
         for w in range(words):
             p, m = plus[w, :n], minus[w, :n]
-            equal = pattern.masks[w].take(cells[step, :n])
-            vertical = equal | m
-            equal |= carry_down
-            horizontal = (((equal & p) + p) ^ p) | equal
-            up, down = m | ~(horizontal | p), p & horizontal
-            if w == words - 1:
-                score[:n] += (up & last) != 0
-                score[:n] -= ((down & last) != 0).astype(np.int64)
-            else:  # the top bits go on to the next word
-                next_up = (up.view(np.int64) < 0).astype(np.uint64)
-                next_down = (down.view(np.int64) < 0).astype(np.uint64)
-            up, down = (up + up) | carry_up, (down + down) | carry_down
-            plus[w, :n] = down | ~(vertical | up)
-            minus[w, :n] = up & vertical
-            if w < words - 1:
-                carry_up, carry_down = next_up, next_down
+            np.take(pattern.masks[w], at, out=equal, mode="clip")
+            np.bitwise_or(equal, m, out=vertical)
+            if w:
+                np.bitwise_or(equal, below, out=equal)
+            np.bitwise_and(equal, p, out=horizontal)
+            np.add(horizontal, p, out=horizontal)
+            np.bitwise_xor(horizontal, p, out=horizontal)
+            np.bitwise_or(horizontal, equal, out=horizontal)
+            np.bitwise_or(horizontal, p, out=up)
+            np.invert(up, out=up)
+            np.bitwise_or(up, m, out=up)
+            np.bitwise_and(p, horizontal, out=down)
+            if w < words - 1:  # the top bits go on to the next word
+                np.right_shift(up, top, out=next_above)
+                np.right_shift(down, top, out=next_below)
+            np.left_shift(up, _ONE, out=up)
+            np.bitwise_or(up, above if w else _ONE, out=up)
+            np.left_shift(down, _ONE, out=down)
+            if w:
+                np.bitwise_or(down, below, out=down)
+            np.bitwise_and(up, vertical, out=m)
+            np.bitwise_or(up, vertical, out=up)
+            np.invert(up, out=up)
+            np.bitwise_or(up, down, out=p)
+            above, next_above = next_above, above
+            below, next_below = next_below, below
+    score = sizes.astype(np.int64)
+    for w in range(words):
+        rest = pattern.size - w * WORD
+        valid = ~np.uint64(0) if rest >= WORD else (_ONE << np.uint64(rest)) - _ONE
+        score += np.bitwise_count(plus[w] & valid)
+        score -= np.bitwise_count(minus[w] & valid)
     return score

@@ -17,6 +17,7 @@ from corpuslab.session import cut_lineage
 
 BLOCK = 1_024  # originals compared at a time
 CELLS = 1 << 20  # characters of a block, so long texts make small blocks
+TOGETHER = 4_096  # texts, of any blocks, that a generated text is compared with at a time
 LONGEST = 1_024  # characters of a generated text compared with blocks
 MAX_GENERATED, MAX_GENERATED_BYTES = 50_000, 16 << 20  # sent to every task
 BAND = 16  # characters per length band
@@ -62,7 +63,11 @@ class _Best:
             self._compare(number, pattern, blocks, batch)
 
     def _compare(self, number: int, pattern, blocks: list, batch: pd.DataFrame) -> None:
-        """Blocks of about the text's length come first, so the bound tightens early."""
+        """Blocks of about the text's length come first, so the bound tightens early.
+
+        What the lower bounds leave of several blocks is compared together: of one block it is too little
+        for steps over arrays to be worth while.
+        """
         gaps = [
             max(b.sizes[-1] - pattern.size, pattern.size - b.sizes[0], 0) for b in blocks
         ]
@@ -71,17 +76,25 @@ class _Best:
         held, found = self.best[number], None
         if held:
             bound = min(bound, held[0])
-        for i in np.argsort(gaps, kind="stable"):
-            if gaps[i] > bound:
-                break  # so are all blocks after it
-            block = blocks[i]
-            keep = np.flatnonzero(distance.lower_bounds(pattern, block) <= bound)
-            if len(keep):
-                scores = distance.distances(pattern, block, keep)
+        parts, waiting = [], 0
+        order = np.argsort(gaps, kind="stable")
+        for turn, i in enumerate(order):
+            if gaps[i] <= bound:
+                keep = np.flatnonzero(distance.lower_bounds(pattern, blocks[i]) <= bound)
+                if len(keep):
+                    parts.append((blocks[i], keep))
+                    waiting += len(keep)
+            last = turn + 1 == len(order) or gaps[order[turn + 1]] > bound
+            if waiting and (last or waiting >= TOGETHER or (found is None and held is None)):
+                block = distance.joined(parts)
+                scores = distance.distances(pattern, block)
                 nearest = scores.min()
-                candidate = (nearest, block.rows[keep][scores == nearest].min())
+                candidate = (nearest, block.rows[scores == nearest].min())
                 found = min(found, candidate) if found else candidate
                 bound = min(bound, nearest)
+                parts, waiting = [], 0
+            if last:
+                break  # all blocks after it are further off in length
         if found:
             row = batch.iloc[found[1]]
             mine = (int(found[0]), tuple(row[k] for k in self.keys), row["text"])

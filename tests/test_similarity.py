@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,22 @@ def test_block_distances():
         assert (distance.lower_bounds(pattern, block) <= want).all()
 
 
+def test_blocks_are_joined_and_few_texts_are_compared_at_a_time(monkeypatch):
+    """What the bounds leave of several blocks is compared in one go, and gives what block by block does."""
+    rng = random.Random(2)
+    line = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(60, 140)))
+    frame = pd.DataFrame({"text": [line() for _ in range(400)], "n": range(400)})
+    generated = [line() for _ in range(8)]
+    monkeypatch.setattr(similarity, "BLOCK", 8)
+    calls, plain = [], distance.distances
+    monkeypatch.setattr(distance, "distances", lambda p, b, *k: calls.append(len(b.sizes)) or plain(p, b, *k))
+    best = similarity._Best(generated, ["n"])
+    best.add(frame)
+    want = [min((plain_distance(t, g), n) for n, t in enumerate(frame["text"])) for g in generated]
+    assert [(d, *key) for d, key, _ in best.best] == want
+    assert len(calls) < 4 * len(generated)  # block by block there were up to fifty calls a text
+
+
 def texts(spark, rows):
     return spark.createDataFrame(rows, "n long, text string")
 
