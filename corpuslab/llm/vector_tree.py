@@ -121,23 +121,36 @@ def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return total
 
 
-def nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int):
+def nearest(
+    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, floor: np.ndarray | None = None
+):
     """The ``k`` nearest rows of each query: places of query and row, and score.
 
-    A matrix product says which rows may be among them; these are scored component by component, so
+    With ``floor``, a score for each query, rows that score less are left out: a query that has ``k`` better rows
+    already has no use for them. A matrix product says which rows may be among them; these are scored component by component, so
     that equal vectors have equal scores. Ties go to the smaller id, rows of a query's own id are left out.
     """
-    kept = _few_copies(ids, rows, k)
-    ids, rows = ids[kept], rows[kept]
     rough = queries @ rows.T
-    own = ids[None, :] == query_ids[:, None]
-    rough[own] = -np.inf
     size = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * max(1, rows.shape[1])
+    kept = np.arange(len(ids))
+    if floor is not None:
+        # A row that no query has use for is no candidate, nor is a query without any: most go here.
+        near = rough >= (floor - size * 1e-12)[:, None]
+        kept, wanting = np.flatnonzero(near.any(axis=0)), np.flatnonzero(near.any(axis=1))
+    else:
+        wanting = np.arange(len(queries))
+    kept = kept[_few_copies(ids[kept], rows[kept], k)]
+    rough = rough[np.ix_(wanting, kept)]
+    ids, rows = ids[kept], rows[kept]
+    own = ids[None, :] == query_ids[wanting][:, None]
+    rough[own] = -np.inf
+    least = np.full(len(wanting), -np.inf)
     if len(ids) > k:
         least = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] - size * 1e-12
-    else:
-        least = np.full(len(queries), -np.inf)
+    if floor is not None:
+        least = np.maximum(least, floor[wanting] - size * 1e-12)
     asking, chosen = np.nonzero((rough >= least[:, None]) & ~own)
+    asking = wanting[asking]
     scores = products(queries[asking], rows[chosen])
     order = np.lexsort((ids[chosen], -scores, asking))
     asking, chosen, scores = asking[order], chosen[order], scores[order]
@@ -370,6 +383,14 @@ def _best(answers: list[np.ndarray], k: int) -> list[np.ndarray]:
     return [a[order] for a in answers]
 
 
+def _raise_floor(floor: np.ndarray, best: list[np.ndarray], k: int) -> None:
+    """Put in the lowest score of the queries that have ``k`` answers in ``best``, as ``_best`` gives them."""
+    query, _, score = best
+    last = np.flatnonzero(np.arange(len(query)) - np.searchsorted(query, query) == k - 1)
+    last = last[np.isfinite(score[last])]
+    floor[query[last]] = score[last]
+
+
 def _answers(index: DataFrame, block: pa.Table, k: int) -> DataFrame:
     """Each task's best rows of the block's queries, from the leaves they visit."""
     shared = index.sparkSession.sparkContext.broadcast(block)
@@ -388,9 +409,10 @@ def _answers(index: DataFrame, block: pa.Table, k: int) -> DataFrame:
             for leaf, some in zip(found.tolist(), np.split(owner[order], starts[1:]), strict=True):
                 visiting[width, leaf] = some
         best = [np.zeros(0, t) for t in (np.int64, np.int64, np.float64)]
+        floor = np.full(len(tags), -np.inf)  # the score of each query's last row, once it has k
         for batch in batches:
             ids, leaves = np.asarray(batch.column(0)), np.asarray(batch.column(2))
-            parts = [[b] for b in best]
+            parts, waiting = [[b] for b in best], 0
             for width, places, m in _by_width(batch.column(1)):
                 order = np.argsort(leaves[places], kind="stable")
                 found, starts = np.unique(leaves[places][order], return_index=True)
@@ -401,10 +423,16 @@ def _answers(index: DataFrame, block: pa.Table, k: int) -> DataFrame:
                         where, queries = held[width]
                         asking = where[local]
                         own = ids[places[rows]]
-                        q, chosen, scores = nearest(keys[asking], queries[local], own, m[rows], k)
+                        q, chosen, scores = nearest(keys[asking], queries[local], own, m[rows], k, floor[asking])
                         for part, made in zip(parts, (asking[q], own[chosen], scores), strict=True):
                             part.append(made)
+                        waiting += len(q)
+                    if waiting > k * len(tags):
+                        best = _best([np.concatenate(p) for p in parts], k)
+                        parts, waiting = [[b] for b in best], 0
+                        _raise_floor(floor, best, k)
             best = _best([np.concatenate(p) for p in parts], k)
+            _raise_floor(floor, best, k)
         query, key, score = best
         columns = (tags[query], keys[query], key, score, np.zeros(len(query), np.int32))
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=ANSWER.names)

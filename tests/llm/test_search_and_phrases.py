@@ -137,6 +137,20 @@ def test_vector_tree_is_exact_when_all_leaves_are_visited(spark, odd_vectors):
     assert vector_tree.search(df, df.limit(0)).collect() == []
 
 
+def test_rows_below_the_floor_of_a_query_are_left_out_and_ties_stay():
+    random = np.random.default_rng(4)
+    rows = random.integers(-2, 3, (200, 4)).astype(float)  # many ties and copies
+    queries, ids, asking = rows[:9] + 0.0, np.arange(200), np.arange(9)
+    everything = list(zip(*vector_tree.nearest(asking, queries, ids, rows, 20), strict=True))
+    floor = np.array([[s for q, _, s in everything if q == n][11] for n in range(9)])
+    found = list(zip(*vector_tree.nearest(asking, queries, ids, rows, 20, floor), strict=True))
+    assert found == [a for a in everything if a[2] >= floor[a[0]]] and len(found) < len(everything)
+    best = vector_tree._best([np.array(a) for a in zip(*everything, strict=True)], 20)
+    raised = np.full(9, -np.inf)
+    vector_tree._raise_floor(raised, best, 20)
+    assert list(raised) == [min(s for q, _, s in everything if q == n) for n in range(9)]
+
+
 def test_vector_tree_reaches_its_recall_with_fewer_leaves(spark):
     random_ = np.random.default_rng(1)
     centres = random_.normal(size=(40, 12)) * 5
