@@ -164,3 +164,12 @@ def test_code_characters_of_a_large_alphabet(spark):
     row = spark.createDataFrame([(text,)], "text string")
     got = row.select(seq.code_characters(F.col("text"), known)).first()[0]
     assert got == [3, 9_002, 0, 9_003, 4_098]
+
+
+def test_sizes_alone_are_batched_like_lists(spark):
+    rows = [("train", d, n, ["x"] * ((d * n) % 5)) for d in range(6) for n in range(4)]
+    lists = spark.createDataFrame(rows, "split string, doc_id long, line_no long, tokens array<string>")
+    whole = seq.length_batches(lists, {"train": 7}).drop("tokens")
+    sized = lists.select("split", "doc_id", "line_no", F.size("tokens").cast("long").alias("n"))
+    slim = seq.length_batches(sized, {"train": 7}, size=F.col("n"))
+    assert slim.columns == whole.columns and sorted(slim.collect()) == sorted(whole.collect())
