@@ -14,7 +14,7 @@ HEAVY_ROWS = 10_000
 SALTS = 1_000
 
 
-def _row_bytes(df: DataFrame) -> Column:
+def row_bytes(df: DataFrame) -> Column:
     """Upper bound of the text bytes of a row, plus eight per other column."""
     size = F.lit(16)
     for field in df.schema.fields:
@@ -31,7 +31,7 @@ def _row_bytes(df: DataFrame) -> Column:
 
 def fits_broadcast(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
     """Measure a table that has already been written; true if it may be broadcast."""
-    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()
     return rows <= max_rows and size <= max_bytes
 
 

@@ -28,6 +28,22 @@ def test_lists_are_coded_in_their_rows(spark, docs):
     assert sorted((str(r.doc_id), str(r.lines), r.other) for r in coded.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("most", [0, 2, 4, 100])
+def test_only_rare_items_are_shuffled(spark, docs, most):
+    """Items of the greatest weights are coded in tasks, all others by a shuffle, with the same result."""
+    weights = {"a": 9, "b": 9, "c": 5, "d": 5, "e": 5, "f": 1}
+    rows = [(c, i, w) for i, (c, w) in enumerate(weights.items())] + [("zz", None, 9), (None, 77, 9)]
+    table = spark.createDataFrame(rows, "token string, idx long, freq long")
+    usual, rare = dictionary.common_and_rest(table.where("token is not null and idx is not null"), "freq", max_rows=most)
+    want = {0: "", 2: "ab", 4: "ab", 100: "abcdef"}[most]
+    assert "".join(sorted(r.token for r in usual.collect())) == want
+    assert "".join(sorted(r.token for r in rare.collect())) == "abcdef"[len(want):]
+    known = {c: i for i, c in enumerate("abcdef")}
+    coded = dictionary.code_lists(docs, ["doc_id"], "lines", table, "freq", max_rows=most)
+    lists = [(str(r.doc_id), str([[known.get(t) for t in x or []] for x in r.lines or []]), r.other) for r in docs.collect()]
+    assert sorted((str(r.doc_id), str(r.lines), r.other) for r in coded.collect()) == sorted(lists)
+
+
 def test_lists_come_back_from_their_indexes(spark, docs):
     whole = docs.where("lines is not null").withColumn("lines", F.filter("lines", lambda x: x.isNotNull()))
     words = whole.select(F.explode(F.flatten("lines")).alias("token")).groupBy("token").agg(F.count("*").alias("freq"))
