@@ -9,12 +9,13 @@ is exact; a phrase whose subphrases are rare never is counted. Scans end when no
 What has been counted often enough is kept in a table of fixed size: one byte per hash slot, the
 scan by which the phrases of the slot, taken together, reached the threshold. Phrases that share a slot begin
 earlier than alone they would, but all tasks see the same table, so every phrase has one beginning and one
-cycle. More phrases than slots cost work and change no count.
+cycle. More phrases than slots cost work and change no count. A task adds up its counts by slot, up to the
+threshold, in such a table too and gives it once, so that what scans move does not grow with the phrases.
 
 Most phrases stand once or twice, so scans give their hashes and not their texts: sorted, in buckets, each as
-often as it stands and up to the threshold. When all cycles are closed, hashes that were given often
-enough set bits in a table of fixed size, and one more pass over the texts counts the phrases with a bit
-by their words. Hashes that meet let a rare phrase into that pass, and no further.
+often as it stands and up to the threshold, as differences. When all cycles are closed, hashes that were
+given often enough set bits in a table whose size follows the text's, and one more pass over the texts counts
+the phrases with a bit by their words. Hashes that meet let a rare phrase into that pass, and no further.
 """
 
 from __future__ import annotations
@@ -37,12 +38,20 @@ LEAST = 10
 SHARDS = 4
 SLOT_BITS = 22
 """Slots of the tables of reached phrases, as a power of two: one byte each, on the driver and in tasks."""
+SLOT_BLOCK = 1 << 16
+"""Slots of a task's table of counts that go into one row."""
 BUCKET_BYTES = 16 << 20
 """Text for one bucket of hashes, about: a task adds up one bucket at a time."""
 TASK_BYTES = 128 << 20
 """Text whose frequent phrases one task adds up before they are shuffled, at least."""
-BITMAP_BITS = 26
-"""Bits of the table of frequent phrases' hashes, as a power of two; it is broadcast."""
+BITMAP_BITS = 26, 30
+"""Bits of the table of frequent phrases' hashes, as powers of two, at least and at most; it is broadcast."""
+BIT_BYTES = 4
+"""Text for one bit of that table, about, within these bounds: a fixed table would fill up and let all phrases in."""
+REST_BITS = 24
+"""Bits of a hash that are kept inside its bucket."""
+PENDING = 1 << 21
+"""Hashes that a task sorts and packs at a time: the more, the smaller their differences."""
 SLICE_BYTES = 8 << 20
 """Text whose phrases a task counts at a time."""
 COVERED = 50
@@ -118,9 +127,22 @@ def _slots(hashed: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _split(hashed: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and 32 more bits of a hash; ``buckets`` is a power of two."""
+    """Bucket of a hash and the ``REST_BITS`` after it; ``buckets`` is a power of two."""
     bits = buckets.bit_length() - 1
-    return _slots(hashed, bits) if bits else np.zeros(len(hashed), np.int64), (hashed >> _U(32 - bits)).astype(np.uint32)
+    rest = (hashed >> _U(64 - REST_BITS - bits)) & _U((1 << REST_BITS) - 1)
+    return _slots(hashed, bits) if bits else np.zeros(len(hashed), np.int64), rest.astype(np.uint32)
+
+
+def _pack(rest: np.ndarray) -> bytes:
+    """Sorted numbers of three bytes as differences, compressed byte by byte: first bytes, second, third."""
+    steps = np.diff(rest, prepend=rest.dtype.type(0)).astype("<u4")
+    return pa.compress(steps.view(np.uint8).reshape(-1, 4).T[:3].tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, count: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 3 * count, codec="zstd", asbytes=True), np.uint8).reshape(3, count)
+    low, middle, high = planes.astype(np.uint32)
+    return np.cumsum(low + (middle << 8) + (high << 16), dtype=np.uint32)
 
 
 class Slice:
@@ -162,7 +184,7 @@ class Slice:
         return [self.langs.take(owner).cast(pa.string()), joined.cast(pa.string())]
 
 
-#: What a row of a scan is: the words of a language, a count of a slot, or hashes of phrases in a bucket.
+#: What a row of a scan is: the words of a language, counts of a block of slots, or hashes of phrases in a bucket.
 TOTAL, SLOT, HASHES = range(3)
 SCANNED = T.StructType(
     [
@@ -172,12 +194,12 @@ SCANNED = T.StructType(
         T.StructField("n", T.LongType()),
         T.StructField("lang", T.StringType()),
         T.StructField("bucket", T.IntegerType()),
-        T.StructField("hashes", T.BinaryType()),
+        T.StructField("held", T.BinaryType()),
     ]
 )
 _ARROW = pa.schema(
     [("kind", pa.int32()), ("size", pa.int32()), ("slot", pa.int32()), ("n", pa.int64()), ("lang", pa.string())]
-    + [("bucket", pa.int32()), ("hashes", pa.binary())]
+    + [("bucket", pa.int32()), ("held", pa.binary())]
 )
 
 
@@ -208,13 +230,53 @@ class _Seen:
         return new
 
 
+def _add(held: np.ndarray, slots: np.ndarray, counts: np.ndarray, least: int) -> None:
+    """Add the counts to their slots, which are sorted, each sum up to ``least``."""
+    heads = np.flatnonzero(np.diff(slots, prepend=-1))
+    if len(heads):
+        slots, sums = slots[heads], np.add.reduceat(counts, heads)
+        held[slots] = np.minimum(held[slots] + sums.astype(np.int64), least)
+
+
+def _blocks(held: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Numbers and bytes of the blocks of a table that hold any count."""
+    blocks = held.reshape(-1, min(len(held), SLOT_BLOCK))
+    numbers = np.flatnonzero(blocks.any(axis=1))
+    return numbers, pa.array([blocks[i].tobytes() for i in numbers], pa.binary())
+
+
+def _slot_sums(scanned: DataFrame, least: int) -> pa.Table:
+    """The tasks' counts of one scan added up, block by block, up to ``least``."""
+    kind = np.min_scalar_type(least)
+
+    def run(table: pa.Table) -> pa.Table:
+        total = 0
+        for held in table["held"]:
+            total = np.minimum(np.frombuffer(held.as_py(), kind) + np.int64(total), least)
+        summed = pa.array([total.astype(kind).tobytes()], pa.binary())
+        return pa.table([table["size"][:1], table["slot"][:1], summed], names=["size", "slot", "held"])
+
+    rows = scanned.where(F.col("kind") == SLOT).select("size", "slot", "held")
+    return rows.groupBy("size", "slot").applyInArrow(run, "size int, slot int, held binary").toArrow()
+
+
+def _hash_rows(sent: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Hashes bucket by bucket, sorted and packed, with their number."""
+    bucket, rest = _split(np.sort(np.concatenate(sent)), buckets)
+    heads = np.flatnonzero(np.diff(bucket, prepend=-1))
+    parts = np.split(rest, heads[1:]) if len(heads) else []
+    counts = np.array([len(p) for p in parts], np.int64)
+    packed = pa.array([_pack(p) for p in parts], pa.binary())
+    return _rows(len(heads), kind=HASHES, n=counts, bucket=bucket[heads], held=packed)
+
+
 def _scan(shard: DataFrame, shared, scan: int, shards: int, longest: int, least: int, buckets: int) -> DataFrame:
     """What this scan counts: words by language, phrases by slots that are not reached and by hashes."""
 
     def run(batches):
         reached = [np.frombuffer(t, np.uint8) for t in shared.value]
         bits = len(reached[0]).bit_length() - 1 if reached else 1
-        seen = _Seen()
+        seen, sums, sent = _Seen(), {}, []
 
         def active(size, inside, shorter):
             if size == 1:
@@ -226,7 +288,6 @@ def _scan(shard: DataFrame, shared, scan: int, shards: int, longest: int, least:
         for batch in batches:
             for part in sliced(batch, SLICE_BYTES):
                 held = Slice(*part.columns)
-                sent = []
                 for size, places, hashed in phrases(held.ids, held.hashes, longest, active):
                     if size == 1:
                         n = np.bincount(held.owners[held.ids[places]], minlength=len(held.langs))
@@ -235,17 +296,19 @@ def _scan(shard: DataFrame, shared, scan: int, shards: int, longest: int, least:
                     if size < longest:
                         slots = _slots(value, bits)
                         needed = reached[size - 1][slots] == _NEVER
-                        slots, at = np.unique(slots[needed], return_inverse=True)
-                        sums = np.bincount(at.ravel(), counts[needed], len(slots))
-                        yield _rows(len(slots), kind=SLOT, size=size, slot=slots, n=sums)
+                        if size not in sums:
+                            sums[size] = np.zeros(1 << bits, np.min_scalar_type(least))
+                        _add(sums[size], slots[needed], counts[needed], least)
                     new = seen.fresh(value, counts, least)
                     sent.append(np.repeat(value[new], np.minimum(counts[new], least)))
-                value = np.sort(np.concatenate(sent or [np.zeros(0, np.uint64)]))
-                bucket, rest = _split(value, buckets)
-                heads = np.flatnonzero(np.diff(bucket, prepend=-1))
-                parts = np.split(rest, heads[1:]) if len(heads) else []
-                packed = pa.array([p.tobytes() for p in parts], pa.binary())
-                yield _rows(len(heads), kind=HASHES, bucket=bucket[heads], hashes=packed)
+                if sum(map(len, sent)) >= PENDING:
+                    yield _hash_rows(sent, buckets)
+                    sent = []
+        if sent:
+            yield _hash_rows(sent, buckets)
+        for size, held in sums.items():
+            numbers, blocks = _blocks(held)
+            yield _rows(len(numbers), kind=SLOT, size=size, slot=numbers, held=blocks)
 
     return shard.select("lang", "text").mapInArrow(run, SCANNED)
 
@@ -253,18 +316,19 @@ def _scan(shard: DataFrame, shared, scan: int, shards: int, longest: int, least:
 BITS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("bits", T.BinaryType())])
 
 
-def _bitmap(scanned: DataFrame, buckets: int, least: int) -> bytes:
-    """One bit for the leading bits of each hash that was given ``least`` times, all buckets in a row."""
-    size = (1 << BITMAP_BITS) // buckets
+def _bitmap(scanned: DataFrame, buckets: int, least: int, bits: int) -> bytes:
+    """One of about ``bits`` bits for the leading bits of each hash that was given ``least`` times, all buckets in a row."""
+    size = max(8, min(bits, buckets << REST_BITS) // buckets)
 
     def run(table: pa.Table) -> pa.Table:
-        values = np.concatenate([np.frombuffer(b.as_py(), np.uint32) for b in table["hashes"]])
+        packed = zip(table["held"].to_pylist(), table["n"].to_pylist(), strict=True)
+        values = np.concatenate([_unpack(*p) for p in packed])
         values, counts = np.unique(values, return_counts=True)
-        bits = np.zeros(size, bool)
-        bits[_place(values[counts >= least], size)] = True
-        return pa.table([table["bucket"][:1], pa.array([np.packbits(bits).tobytes()])], names=BITS.names)
+        held = np.zeros(size, bool)
+        held[_place(values[counts >= least], size)] = True
+        return pa.table([table["bucket"][:1], pa.array([np.packbits(held).tobytes()])], names=BITS.names)
 
-    hashed = scanned.where(F.col("kind") == HASHES).select("bucket", "hashes")
+    hashed = scanned.where(F.col("kind") == HASHES).select("bucket", "n", "held")
     held = np.zeros((buckets, size // 8), np.uint8)
     for row in hashed.groupBy("bucket").applyInArrow(run, BITS).toLocalIterator():
         held[row.bucket] = np.frombuffer(row.bits, np.uint8)
@@ -272,7 +336,11 @@ def _bitmap(scanned: DataFrame, buckets: int, least: int) -> bytes:
 
 
 def _place(rest: np.ndarray, size: int) -> np.ndarray:
-    return (rest.astype(np.uint64) * _U(size) >> _U(32)).astype(np.int64)
+    return (rest.astype(np.uint64) * _U(size) >> _U(REST_BITS)).astype(np.int64)
+
+
+def _is_set(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).view(bool)
 
 
 TEXTS = T.StructType(
@@ -284,14 +352,14 @@ def _texts(rows: DataFrame, bitmap, buckets: int, longest: int) -> DataFrame:
     """Texts and counts, added up per slice, of the phrases whose bit is set."""
 
     def run(batches):
-        bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).view(bool)
-        size_of = len(bits) // buckets
+        packed = np.frombuffer(bitmap.value, np.uint8)
+        size_of = 8 * len(packed) // buckets
         for batch in batches:
             for part in sliced(batch, SLICE_BYTES):
                 held = Slice(*part.columns)
                 for size, places, hashed in phrases(held.ids, held.hashes, longest, lambda s, inside, _: inside):
                     bucket, rest = _split(hashed, buckets)
-                    places = places[bits[bucket * size_of + _place(rest, size_of)]]
+                    places = places[_is_set(packed, bucket * size_of + _place(rest, size_of))]
                     words, counts = held.distinct(size, places)
                     columns = [pa.array(np.full(len(counts), size, np.int32)), pa.array(counts.astype(np.int64))]
                     yield pa.RecordBatch.from_arrays([*held.texts(words), *columns], names=TEXTS.names)
@@ -328,8 +396,10 @@ def phrase_counts(
     rows = spark.read.schema("lang string, text string, shard int").parquet(f"{folder}/shards")
     written = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
     buckets = 1 << max(6, (written // BUCKET_BYTES).bit_length())
+    lowest, highest = BITMAP_BITS
+    bits = 1 << min(highest, max(lowest, (written // BIT_BYTES).bit_length()))
 
-    totals = [np.zeros(1 << slot_bits, np.uint8) for _ in range(longest - 1)]
+    totals = [np.zeros(1 << slot_bits, np.min_scalar_type(least)) for _ in range(longest - 1)]
     reached = [np.full(1 << slot_bits, _NEVER, np.uint8) for _ in range(longest - 1)]
     scan, open_until = 0, shards
     while scan < open_until:
@@ -339,19 +409,19 @@ def phrase_counts(
         found = _scan(shard, shared, scan, shards, longest, least, buckets)
         found.write.option("compression", "zstd").parquet(path)
         shared.destroy()
-        sums = spark.read.schema(SCANNED).parquet(path).where(F.col("kind") == SLOT).groupBy("size", "slot")
-        sums = sums.agg(F.least(F.sum("n"), F.lit(least)).cast("short").alias("n")).toArrow()
-        for size, slot, n in _by_size(sums, longest):
-            held = totals[size - 1]
-            before = held[slot] >= least
-            held[slot] = np.minimum(held[slot].astype(np.int32) + n, least)
-            fresh = slot[~before & (held[slot] >= least)]
-            if len(fresh):
-                reached[size - 1][fresh] = scan
+        for row in _slot_sums(spark.read.schema(SCANNED).parquet(path), least).to_pylist():
+            added = np.frombuffer(row["held"], totals[0].dtype)
+            block = slice(row["slot"] * len(added), (row["slot"] + 1) * len(added))
+            held = totals[row["size"] - 1][block]
+            before = held >= least
+            held[:] = np.minimum(held.astype(np.int64) + added, least)
+            fresh = ~before & (held >= least)
+            if fresh.any():
+                reached[row["size"] - 1][block][fresh] = scan
                 open_until = max(open_until, scan + 1 + shards)
         scan += 1
     scanned = spark.read.schema(SCANNED).parquet(*[f"{folder}/scan={s}" for s in range(scan)])
-    bitmap = spark.sparkContext.broadcast(_bitmap(scanned, buckets, least))
+    bitmap = spark.sparkContext.broadcast(_bitmap(scanned, buckets, least, bits))
     # Larger tasks: most phrases stand a few times each, and what a task adds up is not shuffled.
     joined = rows.coalesce(written // TASK_BYTES + 1)
     counts = _texts(joined, bitmap, buckets, longest).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a"))
@@ -359,13 +429,6 @@ def phrase_counts(
     return cut_lineage(counts.where(F.col("a") >= least)), sizes
 
 
-def _by_size(table: pa.Table, longest: int):
-    size, slot, n = (np.asarray(table[c]) for c in ("size", "slot", "n"))
-    for wanted in range(1, longest):
-        here = size == wanted
-        yield wanted, slot[here], n[here].astype(np.int32)
-
-
 def _cut(words: Column, start, length) -> Column:
     return F.array_join(F.slice(words, start, length), " ")
 

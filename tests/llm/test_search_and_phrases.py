@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,7 +268,39 @@ def test_longer_phrases_begin_after_their_parts():
     assert counted == [(4, 0)] * 3 + [(4, 3)] + [(0, 3)] * 3 + [(0, 0)] * 2
 
 
-def pc_array(values):
-    import pyarrow as pa
+def test_scans_move_tables_and_not_slots(spark):
+    """A task gives its counts by slot once, in blocks, however many phrases it has; their sums end at the threshold."""
+    rows = [("en", " ".join(f"w{i}-{k}" for k in range(500)) + " the the") for i in range(12)]
+    shard = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    shared = spark.sparkContext.broadcast([np.full(1 << 12, 255, np.uint8).tobytes()])
+    scanned = collocations._scan(shard, shared, 0, 4, 2, 10, 64).where(f"kind = {collocations.SLOT}")
+    assert scanned.count() == 2
+    held = collocations._slot_sums(scanned, 10)["held"].to_pylist()
+    words = collocations.Slice(pc_array(["en"] * 12), pc_array([t for _, t in rows]))
+    counts = np.bincount(collocations._slots(words.hashes[words.ids[words.ids > 0]], 12), minlength=1 << 12)
+    assert np.frombuffer(held[0], np.uint8).tolist() == np.minimum(counts, 10).tolist()
+
+
+def test_hashes_are_packed_as_differences():
+    rnd = np.random.default_rng(3)
+    for rest in (np.zeros(0), np.array([0, 0, (1 << 24) - 1]), np.sort(rnd.integers(0, 1 << 24, 40_000))):
+        packed = collocations._pack(rest.astype(np.uint32))
+        assert collocations._unpack(packed, len(rest)).tolist() == rest.tolist()
+    assert len(packed) < 2 * len(rest)
+
+
+def test_table_of_frequent_hashes(spark):
+    rnd = np.random.default_rng(4)
+    hashed = rnd.integers(0, 1 << 63, 5_000, np.uint64) * 2
+    sent = [np.repeat(hashed[:2_500], 4), np.repeat(hashed[:1_000], 6), hashed[2_500:]]
+    parts = [collocations._hash_rows([p], 64) for p in sent]
+    scanned = spark.createDataFrame(pa.Table.from_batches(parts).to_pandas(), collocations.SCANNED)
+    packed = np.frombuffer(collocations._bitmap(scanned, 64, 10, 1 << 26), np.uint8)
+    bucket, rest = collocations._split(hashed, 64)
+    size = 8 * len(packed) // 64
+    found = collocations._is_set(packed, bucket * size + collocations._place(rest, size))
+    assert found[:1_000].all() and found[1_000:].sum() < 5
+
 
+def pc_array(values):
     return pa.array(values, pa.string())
