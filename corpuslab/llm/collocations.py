@@ -21,6 +21,7 @@ the phrases with a bit by their words. Hashes that meet let a rare phrase into t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslab.llm.batches import field, scratch_folder, sliced, utf8
-from corpuslab.operators.lookup import lookup
+from corpuslab.operators.lookup import prepare_lookup
 from corpuslab.session import cut_lineage
 
 LONGEST = 3
@@ -433,29 +434,42 @@ def _cut(words: Column, start, length) -> Column:
     return F.array_join(F.slice(words, start, length), " ")
 
 
-def scored(counts: DataFrame) -> DataFrame:
+def scored(counts: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Phrases of two words or more with the cut of the lowest score: ``lang, phrase, size, a, l, r, score``.
 
     Scores are ``floor(1000000 * a * a / (l * r))`` in decimals of 38 digits, exact for counts below 10**16; the
-    smallest first part wins ties.
+    smallest first part wins ties. ``counts`` holds all parts; ``wanted``, rows of it, are scored, or all. Both should
+    be written. Phrases are taken size by size, and a part is looked up among those of its own size: words are
+    few, so a phrase of two words is not moved.
     """
+    wanted = counts if wanted is None else wanted
+    longest = max(2, counts.agg(F.max("size")).head()[0] or 0)
+    parts = [
+        prepare_lookup(
+            counts.where(F.col("size") == size).select(
+                "lang", F.col("phrase").alias("part"), F.col("a").alias("of_part"), F.col("a").alias("hot")
+            ),
+            ["lang", "part"], "hot",
+        )
+        for size in range(1, longest)
+    ]
     words = F.split("phrase", " ")
-    cuts = counts.where("size > 1").select(
-        "lang", "phrase", "size", "a", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k")
-    )
-    cuts = cuts.select(
-        "*", _cut(words, F.lit(1), F.col("k")).alias("first"),
-        _cut(words, F.col("k") + 1, F.col("size") - F.col("k")).alias("rest"),
-    )
-    for part, name in (("first", "l"), ("rest", "r")):
-        table = counts.select("lang", F.col("phrase").alias(part), F.col("a").alias(name), F.col("a").alias("hot"))
-        cuts = lookup(cuts, table, ["lang", part], "hot")
     big = lambda c: F.col(c).cast("decimal(16,0)")
-    cuts = cuts.withColumns({"top": F.lit(1000000).cast("decimal(7,0)") * (big("a") * big("a")), "below": big("l") * big("r")})
-    best = cuts.groupBy("lang", "phrase", "size", "a").agg(
-        F.min(F.struct(F.expr("top div below").alias("score"), "k", "l", "r")).alias("best")
-    )
-    return best.select("lang", "phrase", "size", "a", "best.l", "best.r", "best.score")
+    found = []
+    for size in range(2, longest + 1):
+        rows, cuts = wanted.where(F.col("size") == size).select("lang", "phrase", "size", "a"), []
+        for k in range(1, size):
+            for name, start, length in ((f"l{k}", 1, k), (f"r{k}", k + 1, size - k)):
+                rows = parts[length - 1](rows.withColumn("part", _cut(words, start, length)))
+                rows = rows.drop("part").withColumnRenamed("of_part", name)
+            rows = rows.withColumns(
+                {f"top{k}": F.lit(1000000).cast("decimal(7,0)") * (big("a") * big("a")), f"below{k}": big(f"l{k}") * big(f"r{k}")}
+            )
+            score = F.expr(f"top{k} div below{k}").alias("score")
+            cuts.append(F.struct(score, F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")))
+        best = rows.select("lang", "phrase", "size", "a", F.array_min(F.array(*cuts)).alias("best"))
+        found.append(best.select("lang", "phrase", "size", "a", "best.l", "best.r", "best.score"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def uncovered(counts: DataFrame, covered: int = COVERED) -> DataFrame:
@@ -483,7 +497,7 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP
     Order is by score, then by ``a``, both descending, then by the phrase's bytes.
     """
     counts, sizes = phrase_counts(docs, text, lang, **options)
-    left = scored(counts).join(uncovered(counts).select("lang", "phrase"), ["lang", "phrase"], "left_semi")
+    left = scored(counts, cut_lineage(uncovered(counts)))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.join(sizes, "lang").select(

@@ -248,6 +248,18 @@ def test_scores_pass_64_bits(spark):
     assert row.score == 1_000_000 * big * big // ((big + 5) * (big + 9))
 
 
+def test_parts_are_looked_up_by_size(spark):
+    """Lowest score wins, then the shorter first part; phrases of two words need words only, and are not moved."""
+    rows = [("en", "a", 1, 40), ("en", "b", 1, 20), ("en", "c", 1, 40), ("en", "a b", 2, 20), ("en", "b c", 2, 20), ("en", "a b c", 3, 10)]
+    counts = spark.createDataFrame(rows, "lang string, phrase string, size int, a long")
+    found = {r.phrase: (r.l, r.r, r.score) for r in collocations.scored(counts).collect()}
+    assert found == {"a b": (40, 20, 500_000), "b c": (20, 40, 500_000), "a b c": (40, 20, 125_000)}
+    assert collocations.scored(counts.where("size = 1")).collect() == []
+    one = collocations.scored(counts, counts.where("phrase = 'a b c'"))
+    assert [tuple(r) for r in one.collect()] == [("en", "a b c", 3, 10, 40, 20, 125_000)]
+    assert "Exchange hashpartitioning" not in one._jdf.queryExecution().executedPlan().toString()
+
+
 def test_longer_phrases_begin_after_their_parts():
     """In scan 0 words are counted alone; a pair begins after both words are reached and closes after a cycle."""
     held = collocations.Slice(pc_array(["en"]), pc_array(["a b a b"]))
@@ -303,4 +315,6 @@ def test_table_of_frequent_hashes(spark):
 
 
 def pc_array(values):
+    import pyarrow as pa
+
     return pa.array(values, pa.string())
