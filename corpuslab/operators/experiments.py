@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.functions.rows import item_rows, list_rows
-from corpuslab.functions.tokens import BOS, TOKENIZERS, get_tokenizer, words_in_sequence, wrap
+from corpuslab.functions.rows import item_rows
+from corpuslab.functions.tokens import BOS, TOKENIZERS, get_tokenizer, words_in_sequence, words_of_characters
+from corpuslab.operators import pair_counts
 from corpuslab.operators.evaluate import perplexity_of
-from corpuslab.operators.sequences import next_token_pairs
 from corpuslab.session import cut_lineage
 
 
@@ -43,23 +43,13 @@ def compare_models(
 ) -> DataFrame:
     """Fit next-token tables of order 1 and 2 on ``train``, score train and ``val``.
 
-    All tokenizers go through one aggregation to tokens and one to distinct pairs, whose rows are summed where
-    they are counted, see ``_results``. One row per model and tokenizer.
+    All tokenizers are counted in one pass, see ``pair_losses``. One row per model and tokenizer.
     """
-    tokens = F.array(
-        *[
-            F.struct(F.lit(t).alias("tokenizer"), wrap(get_tokenizer(t)(F.col("text"))).alias("w"))
-            for t in tokenizers
-        ]
-    )
-    wrapped = item_rows(lines, ["split"], tokens, "t").select("split", "t.tokenizer", F.col("t.w").alias("tokens"))
-    train, val = F.col("split") == "train", F.col("split") == "val"
-    sides = _by_token(wrapped, {"n": train.cast("long"), "m": val.cast("long")})
-    pairs = next_token_pairs(wrapped).groupBy("tokenizer", "prev", "next").agg(
-        F.count_if(train).alias("n"), F.count_if(val).alias("m")
-    )
-    results = _results(pairs, sides, {"": ("n", "n")}, {"train": "n", "val": "m"}, alpha)
-    results = results.withColumnsRenamed({"n": "train_tokens", "m": "val_tokens", "train": "train_nll", "val": "val_nll"})
+    tokens = F.array(*[_tokens_of(t, lambda text, t=t: get_tokenizer(t)(text)) for t in tokenizers])
+    flat = item_rows(lines, ["split"], tokens, "t").select("split", "t.*")
+    part = F.when(F.col("split") == "train", 1).when(F.col("split") == "val", 0).otherwise(2)
+    rows = flat.select("tokenizer", "tokens", "text", part.alias("part"), F.lit(0.0).alias("weight"), F.lit(0).alias("words"))
+    results = pair_losses(rows, 1, alpha)
     return results.select(
         F.concat_ws("-", "model", "tokenizer").alias("run"),
         "model",
@@ -67,76 +57,69 @@ def compare_models(
         "vocab_size",
         "train_tokens",
         "val_tokens",
-        F.round(perplexity_of(F.col("train_nll") / F.col("train_tokens")), 6).alias("train_ppl"),
-        F.round(perplexity_of(F.col("val_nll") / F.col("val_tokens")), 6).alias("val_ppl"),
+        F.round(perplexity_of(F.col("train1") / F.col("train_tokens")), 6).alias("train_ppl"),
+        F.round(perplexity_of(F.col("val1") / F.col("val_tokens")), 6).alias("val_ppl"),
     )
 
 
-def _by_token(wrapped: DataFrame, values: dict[str, Column], per_line: dict[str, Column] | None = None) -> DataFrame:
-    """Sums of ``values`` over the places of each token, as one that goes before (``first``) and as one that follows.
-
-    ``per_line`` are added up once a line, with its last token. The table has a row per tokenizer, token and side, so it is
-    written.
-    """
-    per_line = per_line or {}
-    others = [c for c in wrapped.columns if c != "tokens"]
-    n = F.size("tokens")
-    rows = list_rows(wrapped, [*others, n.alias("size_")], "tokens", "token")
-    before, last = F.col("pos") < F.col("size_") - 1, F.col("pos") == F.col("size_") - 1
-    follows = F.col("pos") > 0
-    sums = [
-        F.coalesce(F.sum(F.when(side, v)), F.lit(0)).alias(f"{name}{c}")
-        for name, side in (("b_", before), ("f_", follows))
-        for c, v in values.items()
-    ]
-    once = [F.sum(F.when(last, v).otherwise(0)).alias(c) for c, v in per_line.items()]
-    return cut_lineage(
-        rows.groupBy("tokenizer", "token").agg(
-            *sums, *once, F.count_if(before).alias("b_rows"), F.count_if(follows).alias("f_rows")
-        )
+def _tokens_of(name: str, rule: Callable[[Column], Column], *others: Column) -> Column:
+    """A tokenizer's name with the tokens of ``text``; characters stay in the ``text``, which is their list already."""
+    in_text = name == "char"
+    none = F.lit(None).cast("array<string>")
+    return F.struct(
+        F.lit(name).alias("tokenizer"),
+        (none if in_text else rule(F.col("text"))).alias("tokens"),
+        (F.col("text") if in_text else F.lit(None).cast("string")).alias("text"),
+        *others,
     )
 
 
-def _results(
-    pairs: DataFrame, sides: DataFrame, fits: dict[str, tuple[str, str]], sums: dict[str, str], alpha: float
-) -> DataFrame:
-    """Total losses of both models per tokenizer: for each of ``fits`` and ``sums`` a column of both names together.
+def pair_losses(rows: DataFrame, shares: int, alpha: float) -> DataFrame:
+    """Total losses of both models, fitted on growing shares of the training lines, per tokenizer.
 
-    The loss of a pair is ``log(total + alpha * size) - log(n + alpha)``. The first part depends on the token before
-    only, so it is added up over ``sides`` (see ``_by_token``), the second over ``pairs``, which are summed as they
-    come from their aggregation: neither written, nor joined to the totals. Totals of ``sides`` are columns, too.
+    ``rows`` are a line's ``tokenizer`` and ``tokens`` (or ``text``, if those are its characters), its ``part``, 0 for
+    validation, 1 to ``shares`` for training and one more for lines that are in the vocabulary only, the ``weight`` of
+    each of its pairs and its ``words``; begin and end markers are put around the tokens here. Rows without a list do not count.
+
+    The loss of a pair is ``log(total + alpha * size) - log(n + alpha)``. The second part is added up over
+    distinct pairs, where they are summed (``pair_counts``). The first depends on the token before only, by
+    its total, and there are few different totals: sums per total wait for the size of the vocabulary. So lines are read and
+    cut into tokens once, and neither pairs nor tokens are written.
+
+    A row per model and tokenizer: ``vocab_size``, ``train_tokens``, ``val_tokens``, ``val_words``, and for each share ``e``
+    ``train{e}``, ``val{e}`` and ``weighted{e}``, over all training lines, over validation, and that by weights.
     """
-    values = [c[2:] for c in sides.columns if c.startswith("f_") and c != "f_rows"]
-    once = [c for c in sides.columns if c[:2] not in ("b_", "f_") and c not in ("tokenizer", "token")]
-    sizes = cut_lineage(
-        sides.groupBy("tokenizer").agg(
-            F.count_if(F.col("f_rows") > 0).alias("vocab_size"),
-            *[F.sum(f"f_{c}").alias(c) for c in values], *[F.sum(c).alias(c) for c in once],
-        )
+    found = cut_lineage(pair_counts.losses(rows, shares, alpha))
+    fits = range(1, shares + 1)
+    names = [(s, e) for e in fits for s in pair_counts.SUMS]
+    of = lambda kind: F.col("kind") == kind
+    logs = lambda kind: [F.sum(F.when(of(kind), F.col(f"{s}{e}"))).alias(f"log_{kind}_{s}{e}") for s, e in names]
+    follows = of(pair_counts.FOLLOWS)
+    sizes = found.groupBy("tokenizer").agg(
+        F.coalesce(F.sum(F.when(follows, F.col("n"))), F.lit(0)).alias("vocab_size"),
+        *[F.coalesce(F.sum(F.when(follows, F.col(f"n{e}"))), F.lit(0)).alias(f"n{e}") for e in fits],
+        F.coalesce(F.sum(F.when(follows, F.col("m"))), F.lit(0)).alias("val_tokens"),
+        F.coalesce(F.sum(F.when(follows, F.col("weight"))), F.lit(0.0)).alias("weight"),
+        F.coalesce(F.sum(F.when(of(pair_counts.LINES), F.col("m"))), F.lit(0)).alias("val_words"),
+        *logs(pair_counts.PAIRS), *logs(pair_counts.FOLLOWS),
     )
-    names = [(s, e) for e in fits for s in sums]
-    log_n = lambda e, prefix="": F.log(F.col(f"{prefix}{fits[e][0]}") + alpha)
-    known = sides.join(F.broadcast(sizes.select("tokenizer", "vocab_size", *[F.col(t).alias(f"all_{t}") for _, t in fits.values()])), "tokenizer")
     smooth = alpha * F.col("vocab_size")
-    over = known.groupBy("tokenizer").agg(
-        *[F.sum(F.col(f"b_{sums[s]}") * F.log(F.col(f"b_{fits[e][1]}") + smooth)).alias(f"bigram_{s}{e}") for s, e in names],
-        *[
-            F.sum(F.col(f"f_{sums[s]}") * (F.log(F.col(f"all_{fits[e][1]}") + smooth) - log_n(e, "f_"))).alias(f"unigram_{s}{e}")
-            for s, e in names
-        ],
+    totals = {"train": F.col(f"n{shares}"), "val": F.col("val_tokens"), "weighted": F.col("weight")}
+    before = found.where(of(pair_counts.BEFORE)).join(F.broadcast(sizes.select("tokenizer", "vocab_size")), "tokenizer")
+    over = before.groupBy("tokenizer").agg(
+        *[F.sum(F.when(F.col("fit") == e, F.col(f"{s}{e}") * F.log(F.col("total") + smooth))).alias(f"over_{s}{e}") for s, e in names]
     )
-    under = pairs.groupBy("tokenizer").agg(*[F.sum(F.col(sums[s]) * log_n(e)).alias(f"pair_{s}{e}") for s, e in names])
-    both = sizes.join(over, "tokenizer").join(under, "tokenizer")
 
-    def model(name: str, losses: list[Column]) -> Column:
-        return F.struct(F.lit(name).alias("model"), *losses)
+    def model(name: str, loss: Callable[[str, int], Column]) -> Column:
+        return F.struct(F.lit(name).alias("model"), *[loss(s, e).alias(f"{s}{e}") for s, e in names])
 
     models = F.array(
-        model("bigram", [(F.col(f"bigram_{s}{e}") - F.col(f"pair_{s}{e}")).alias(f"{s}{e}") for s, e in names]),
-        model("unigram", [F.col(f"unigram_{s}{e}").alias(f"{s}{e}") for s, e in names]),
+        model("bigram", lambda s, e: F.col(f"over_{s}{e}") - F.col(f"log_{pair_counts.PAIRS}_{s}{e}")),
+        model("unigram", lambda s, e: totals[s] * F.log(F.col(f"n{e}") + smooth) - F.col(f"log_{pair_counts.FOLLOWS}_{s}{e}")),
     )
-    return both.select("tokenizer", "vocab_size", *values, *once, F.explode(models).alias("x")).select(
-        "tokenizer", "vocab_size", *values, *once, "x.*"
+    counts = ["tokenizer", "vocab_size", F.col(f"n{shares}").alias("train_tokens"), "val_tokens", "val_words"]
+    return sizes.join(over, "tokenizer").select(*counts, F.explode(models).alias("x")).select(
+        "tokenizer", "vocab_size", "train_tokens", "val_tokens", "val_words", "x.*"
     )
 
 
@@ -147,19 +130,17 @@ MODES = {"char": "char", "space": "word", "word": "word", "byte-pair": "byte-lev
 def token_lists(learned: dict[str, Column]) -> Column:
     """Every tokenizer's list of a line's ``text``, with its number of words, as an array of structs.
 
-    Tokenizers that are column expressions read the text; the lists of ``learned`` ones are columns already.
+    Tokenizers that are column expressions read the text; the lists of ``learned`` ones are columns already. The
+    lists are without markers, see ``pair_losses``.
     """
-    lists = {name: rule(F.col("text")) for name, rule in TOKENIZERS.items()} | learned
-    return F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("tokenizer"),
-                wrap(found).alias("tokens"),
-                words_in_sequence(F.concat(F.array(F.lit(BOS)), found), MODES[name]).alias("words"),
-            )
-            for name, found in lists.items()
-        ]
-    )
+    rules = TOKENIZERS | {name: lambda _, found=found: found for name, found in learned.items()}
+
+    def words(name: str, rule: Callable[[Column], Column]) -> Column:
+        if name == "char":
+            return words_of_characters(F.col("text"))
+        return words_in_sequence(F.concat(F.array(F.lit(BOS)), rule(F.col("text"))), MODES[name])
+
+    return F.array(*[_tokens_of(name, rule, words(name, rule).alias("words")) for name, rule in rules.items()])
 
 
 def learning_curves(lines: DataFrame, lists: str, shares: int = 4, alpha: float = 1.0) -> DataFrame:
@@ -167,33 +148,26 @@ def learning_curves(lines: DataFrame, lists: str, shares: int = 4, alpha: float
 
     ``lines`` has ``split`` (``train`` or ``val``), ``share`` (1 to ``shares``, for training lines) and ``lists``,
     see ``token_lists``. Epoch ``e`` fits on the shares up to ``e``. All tokenizers, epochs and models are read
-    off one aggregation to tokens and one to distinct pairs: each has one count per epoch, and the words of its lines
-    divided by their pairs, which add up to words. The vocabulary is that of all lines.
+    off one pass over the lines, see ``pair_losses``. The words of a line are divided by its pairs as their weight,
+    so that they add up to words. The vocabulary is that of all lines.
 
     A row per model, tokenizer and epoch: ``val_ppl`` and ``train_ppl`` (over all training lines) per token;
     ``val_ppl_word_weighted`` weights each line's mean loss per token by its words,
     ``val_ppl_word_normalised`` divides the total loss by the total words.
     """
     epochs = range(1, shares + 1)
-    flat = item_rows(lines, ["split", "share"], lists, "t")
-    size = F.size("t.tokens")
-    flat = flat.select("split", "share", "t.tokenizer", (F.col("t.words") / (size - 1)).alias("per_pair"), "t.words", "t.tokens")
-    train, val = F.col("split") == "train", F.col("split") == "val"
-    whole = flat.select("split", "share", "tokenizer", "per_pair", "words", "tokens")
-    values = {f"n{e}": (train & (F.col("share") <= e)).cast("long") for e in epochs}
-    values |= {"m": val.cast("long"), "weight": F.when(val, F.col("per_pair")).otherwise(0.0)}
-    sides = _by_token(whole, values, {"words": F.when(val, F.col("words")).otherwise(0)})
-    pairs = next_token_pairs(flat.drop("words")).groupBy("tokenizer", "prev", "next").agg(
-        *[F.coalesce(F.sum(v), F.lit(0)).alias(c) for c, v in values.items()]
+    flat = item_rows(lines, ["split", "share"], lists, "t").select("split", "share", "t.*")
+    in_share = F.when(F.col("share") <= shares, F.greatest(F.col("share"), F.lit(1)))
+    part = F.coalesce(F.when(F.col("split") == "train", in_share).when(F.col("split") == "val", 0), F.lit(shares + 1))
+    pairs = F.coalesce(F.size("tokens"), F.length("text")) + 1
+    found = pair_losses(
+        flat.select("tokenizer", "tokens", "text", part.alias("part"), (F.col("words") / pairs).alias("weight"), "words"),
+        shares, alpha,
     )
-    fits = {str(e): (f"n{e}", f"n{e}") for e in epochs}
-    sums = {"train": f"n{shares}", "val": "m", "weighted": "weight"}
-    found = _results(pairs, sides, fits, sums, alpha)
-    found = found.withColumnsRenamed({f"n{shares}": "train_tokens", "m": "val_tokens", "words": "val_words"})
 
     by = ["model", "tokenizer", "vocab_size", "val_tokens", "val_words"]
     curve = F.array(
-        *[F.struct(F.lit(e).cast("long").alias("epoch"), *[F.col(f"{c}{e}").alias(c) for c in sums]) for e in epochs]
+        *[F.struct(F.lit(e).cast("long").alias("epoch"), *[F.col(f"{c}{e}").alias(c) for c in pair_counts.SUMS]) for e in epochs]
     )
     rows = found.select(*by, "train_tokens", F.explode(curve).alias("x"))
     ppl = lambda loss, by: F.round(perplexity_of(F.col(loss) / F.col(by)), 6)

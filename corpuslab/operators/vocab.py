@@ -40,8 +40,9 @@ def count_characters(rows: DataFrame, text: str = "text") -> DataFrame:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 texts = pc.drop_null(batch.column(0).slice(start, SLICE_ROWS)).to_pylist()
                 codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
-                found, freqs = np.unique(codes, return_counts=True)
-                counts.update(dict(zip(map(chr, found.tolist()), freqs.tolist())))
+                freqs = np.bincount(codes)
+                found = np.flatnonzero(freqs)
+                counts.update(dict(zip(map(chr, found.tolist()), freqs[found].tolist())))
             columns = [pa.array(counts, pa.string()), pa.array(counts.values(), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["token", "freq"])
 

@@ -1,12 +1,15 @@
 """Steps that must not grow faster than their input: same rows as before, less moved or worked out."""
 
 import random
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpuslab.functions import cleaning
-from corpuslab.operators import experiments, subword
+from corpuslab.operators import experiments, pair_counts, subword
 from corpuslab.plans import corpus, models
 
 
@@ -61,6 +64,83 @@ def test_pairs_of_tokens_are_not_written(spark, monkeypatch):
     assert found["bigram-word"].val_ppl == pytest.approx(((1 / 6) * (2 / 5) * (1 / 6) * (1 / 4)) ** -0.25, abs=1e-6)
 
 
+def test_lines_of_a_learning_curve_are_cut_once(spark):
+    """One pass over the lines gives all sums; before, tokens and pairs were derived from them in two."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def cut(text):
+        seen.add(1)
+        return text.split()
+
+    rows = [("train", 1, "a b a"), ("train", 2, ""), ("train", None, "d"), ("val", None, "b a c")]
+    lines = spark.createDataFrame(rows, "split string, share int, text string").repartition(2)
+    lists = experiments.token_lists({"byte-pair": cut("text")}).alias("lists")
+    curve = experiments.learning_curves(lines.select("split", "share", lists), "lists", 2)
+    found = {(r.model, r.tokenizer, r.epoch): r for r in curve.collect()}
+    # A line is read by its tokenizer for its list and for its words.
+    assert seen.value <= 2 * len(rows)
+    # A training line without a share is in the vocabulary only: a, b, c, d and <EOS>.
+    one = found["unigram", "byte-pair", 1]
+    assert [one[c] for c in ("vocab_size", "train_tokens", "val_tokens")] == [5, 5, 4]
+    # Share 1 is followed to: a 2, b 1, <EOS> 1, so 4; after <BOS>: a 1; after a: b 1, <EOS> 1; after b: a 1.
+    assert one.val_ppl == pytest.approx((2 * 3 * 1 * 2 / 9**4) ** -0.25, abs=1e-6)
+    assert found["bigram", "byte-pair", 1].val_ppl == pytest.approx(((1 / 6) * (2 / 6) * (1 / 7) * (1 / 5)) ** -0.25, abs=1e-6)
+    assert found["bigram", "char", 1].val_words == found["bigram", "space", 1].val_words == 3
+
+
+def test_packed_counts_are_those_of_pairs():
+    """Kept, packed, split by bucket and added up again, the sums of pairs and tokens are what counting one by one gives."""
+    rnd = random.Random(3)
+    lines = [[rnd.choice(["a", "b", "c", "é", "🙂", "<BOS>"]) for _ in range(rnd.randrange(6))] for _ in range(400)]
+    part, weight = np.array([rnd.randrange(4) for _ in lines]), np.array([rnd.random() for _ in lines])
+    weight[part != 0] = 0.0
+    expected = {kind: Counter() for kind in (pair_counts.PAIRS, pair_counts.BEFORE, pair_counts.FOLLOWS)}
+    for line, p, w in zip(lines, part, weight):
+        for x, y in zip(["<BOS>", *line], [*line, "<EOS>"]):
+            for kind, key in ((pair_counts.PAIRS, (x, y)), (pair_counts.BEFORE, x), (pair_counts.FOLLOWS, y)):
+                expected[kind][key, p] += 1
+                expected[kind][key, "weight"] += w
+    found = {kind: Counter() for kind in expected}
+    task, batches = pair_counts._Task("t", 2, 8), []
+    for start, stop in ((0, 5), (5, 12), (12, 200), (200, 400)):
+        lists = pa.array(lines[start:stop], pa.list_(pa.string()))
+        batches += task.count(lists, None, part[start:stop], weight[start:stop])
+    assert task.places.n > 0 and task.held[pair_counts.PAIRS].n > 0
+    batches += task.rest()
+    for row in pa.Table.from_batches(batches).to_pylist():
+        for key, sums in zip(*pair_counts._unpack(row["keys"], row["parts"], row["counts"], row["weights"], 2)):
+            for p, n in zip([0, 1, 2, 3, "weight"], sums):
+                found[row["kind"]][(row["bucket"], key), p] += n
+    for kind in expected:
+        sums = [sorted(n for n in c[kind].values() if n > 1e-12) for c in (found, expected)]
+        assert sums[0] == pytest.approx(sums[1])
+
+
+def test_words_are_merged_as_by_one_merge_after_the_other():
+    rnd = random.Random(4)
+    for _ in range(100):
+        symbols, merges = list("abcd"), {}
+        for rank in range(rnd.randrange(30)):
+            pair = rnd.choice(symbols), rnd.choice(symbols)
+            if pair not in merges:
+                merges[pair] = rank, "".join(pair)
+                symbols.append("".join(pair))
+        for _ in range(50):
+            word = [rnd.choice("abcdx") for _ in range(rnd.randrange(12))]
+            plain = list(word)
+            while found := [p for p in zip(plain, plain[1:]) if p in merges]:
+                best, done = min(found, key=merges.__getitem__), []
+                for symbol in plain:
+                    # Two symbols of a pair are merged from the left; what has been merged is no part of the pair.
+                    if done and (done[-1], symbol) == best:
+                        done[-1] = merges[best][1]
+                    else:
+                        done.append(symbol)
+                plain = done
+            assert subword._merge_word(word, merges) == plain
+
+
 @pytest.fixture
 def folder(spark, tmp_path):
     rows = [(i, "s", f"One line {i}, <b>http://x.org/</b>\n\nTwo (lines) @me of it.\n12") for i in range(20)] + [(20, None, None)]
