@@ -74,7 +74,7 @@ def _tokens_of(name: str, rule: Callable[[Column], Column], *others: Column) ->
     )
 
 
-def pair_losses(rows: DataFrame, shares: int, alpha: float) -> DataFrame:
+def pair_losses(rows: DataFrame, shares: int, alpha: float, scored: int | None = None) -> DataFrame:
     """Total losses of both models, fitted on growing shares of the training lines, per tokenizer.
 
     ``rows`` are a line's ``tokenizer`` and ``tokens`` (or ``text``, if those are its characters), its ``part``, 0 for
@@ -87,9 +87,11 @@ def pair_losses(rows: DataFrame, shares: int, alpha: float) -> DataFrame:
     cut into tokens once, and neither pairs nor tokens are written.
 
     A row per model and tokenizer: ``vocab_size``, ``train_tokens``, ``val_tokens``, ``val_words``, and for each share ``e``
-    ``train{e}``, ``val{e}`` and ``weighted{e}``, over all training lines, over validation, and that by weights.
+    ``train{e}`` and ``val{e}``, over the training lines of the first ``scored`` shares (all) and over validation, ``weighted{e}``, that by weights, and
+    ``train_weighted{e}``, the losses of all other lines by theirs.
     """
-    found = cut_lineage(pair_counts.losses(rows, shares, alpha))
+    scored = shares if scored is None else scored
+    found = cut_lineage(pair_counts.losses(rows, shares, alpha, scored))
     fits = range(1, shares + 1)
     names = [(s, e) for e in fits for s in pair_counts.SUMS]
     of = lambda kind: F.col("kind") == kind
@@ -99,12 +101,12 @@ def pair_losses(rows: DataFrame, shares: int, alpha: float) -> DataFrame:
         F.coalesce(F.sum(F.when(follows, F.col("n"))), F.lit(0)).alias("vocab_size"),
         *[F.coalesce(F.sum(F.when(follows, F.col(f"n{e}"))), F.lit(0)).alias(f"n{e}") for e in fits],
         F.coalesce(F.sum(F.when(follows, F.col("m"))), F.lit(0)).alias("val_tokens"),
-        F.coalesce(F.sum(F.when(follows, F.col("weight"))), F.lit(0.0)).alias("weight"),
+        *[F.coalesce(F.sum(F.when(follows, F.col(c))), F.lit(0.0)).alias(c) for c in ("weight", "train_weight")],
         F.coalesce(F.sum(F.when(of(pair_counts.LINES), F.col("m"))), F.lit(0)).alias("val_words"),
         *logs(pair_counts.PAIRS), *logs(pair_counts.FOLLOWS),
     )
     smooth = alpha * F.col("vocab_size")
-    totals = {"train": F.col(f"n{shares}"), "val": F.col("val_tokens"), "weighted": F.col("weight")}
+    totals = {"train": F.col(f"n{scored}"), "val": F.col("val_tokens"), "weighted": F.col("weight"), "train_weighted": F.col("train_weight")}
     before = found.where(of(pair_counts.BEFORE)).join(F.broadcast(sizes.select("tokenizer", "vocab_size")), "tokenizer")
     over = before.groupBy("tokenizer").agg(
         *[F.sum(F.when(F.col("fit") == e, F.col(f"{s}{e}") * F.log(F.col("total") + smooth))).alias(f"over_{s}{e}") for s, e in names]
@@ -160,8 +162,9 @@ def learning_curves(lines: DataFrame, lists: str, shares: int = 4, alpha: float
     in_share = F.when(F.col("share") <= shares, F.greatest(F.col("share"), F.lit(1)))
     part = F.coalesce(F.when(F.col("split") == "train", in_share).when(F.col("split") == "val", 0), F.lit(shares + 1))
     pairs = F.coalesce(F.size("tokens"), F.length("text")) + 1
+    weight = F.when(F.col("split") == "val", F.col("words") / pairs).otherwise(0.0)
     found = pair_losses(
-        flat.select("tokenizer", "tokens", "text", part.alias("part"), (F.col("words") / pairs).alias("weight"), "words"),
+        flat.select("tokenizer", "tokens", "text", part.alias("part"), weight.alias("weight"), "words"),
         shares, alpha,
     )
 

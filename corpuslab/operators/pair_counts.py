@@ -21,14 +21,15 @@ from corpuslab.functions.tokens import BOS, EOS
 
 #: What is summed under a key: pairs, tokens by what follows them, tokens by what goes before them, words of lines.
 PAIRS, BEFORE, FOLLOWS, LINES = range(4)
-SUMS = ("train", "val", "weighted")
+SUMS = ("train", "val", "weighted", "train_weighted")
 HELD = 400_000  # keys of a tokenizer and kind that a task holds before it hands them on
 PLACES = 1_000_000  # places of pairs that it holds where there are too many tokens for a table of all their pairs
 BUCKETS = 16  # per shuffle partition, so that a bucket is a small part of a task's share
 SEVERAL = 255  # stands for the part of a key that has been counted more than once
 HASH_KEYS = ("next-token pairs", "of a 128-bit key")
 ODD = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-PACKED = "tokenizer string, kind int, bucket int, keys binary, parts binary, counts binary, weights binary"
+PACKED_COLUMNS = ("keys", "parts", "counts", "weights", "train_weights")
+PACKED = "tokenizer string, kind int, bucket int, keys binary, parts binary, counts binary, weights binary, train_weights binary"
 
 
 def _hashes(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,49 +82,53 @@ def _merged(keys: np.ndarray, buckets: np.ndarray, values: np.ndarray) -> tuple[
 
 
 def _pack(tokenizer: str, kind: int, keys: np.ndarray, buckets: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    """A row per bucket, from sums with a column per part and one of weights."""
-    counts = values[:, :-1].astype(np.int64)
+    """A row per bucket, from sums with a column per part and two of weights."""
+    counts = values[:, :-2].astype(np.int64)
     several = counts.sum(axis=1) != 1
     parts = np.where(several, SEVERAL, counts.argmax(axis=1)).astype(np.uint8)
-    return _pack_rows(tokenizer, kind, keys, buckets, parts, counts[several], values[:, -1])
+    return _pack_rows(tokenizer, kind, keys, buckets, parts, counts[several], values[:, -2], values[:, -1])
 
 
 def _pack_rows(
-    tokenizer: str, kind: int, keys: np.ndarray, buckets: np.ndarray, parts: np.ndarray, counts: np.ndarray, weights: np.ndarray
+    tokenizer: str, kind: int, keys: np.ndarray, buckets: np.ndarray, parts: np.ndarray, counts: np.ndarray, *weights: np.ndarray
 ) -> pa.RecordBatch:
-    """A row per bucket. A key that was counted once needs no more than its part; weights go with keys of validation.
+    """A row per bucket. A key that was counted once needs no more than its part.
 
-    ``counts`` has rows for the other keys only, those with ``SEVERAL`` as part.
+    ``counts`` has rows for the other keys only, those with ``SEVERAL`` as part. The two ``weights``, of validation and of
+    other lines, go with keys that were counted there.
     """
     order = np.argsort(buckets.astype(np.uint16) if buckets.max() < 1 << 16 else buckets, kind="stable")
     several = parts == SEVERAL
-    weighed = parts == 0
-    weighed[several] = counts[:, 0] > 0
+    counted = [parts == 0, (parts != 0) & ~several]
+    counted[0][several], counted[1][several] = counts[:, 0] > 0, (counts[:, 1:] > 0).any(axis=1)
     counts = counts[(np.cumsum(several) - 1)[order][several[order]]]
-    keys, buckets, parts, weights, weighed = keys[order], buckets[order], parts[order], weights[order], weighed[order]
-    weights = weights[weighed] if weights.any() else weights[:0]
+    keys, buckets, parts, several = keys[order], buckets[order], parts[order], several[order]
     edges = np.flatnonzero(np.diff(buckets, prepend=-1, append=-1))
-    of_counts = np.concatenate([[0], np.cumsum(parts == SEVERAL)])[edges]
-    of_weights = np.concatenate([[0], np.cumsum(weighed)])[edges] if len(weights) else np.zeros_like(edges)
-    packed = [
-        [column[start:stop].tobytes() for start, stop in zip(at[:-1], at[1:])]
-        for column, at in ((keys, edges), (parts, edges), (counts, of_counts), (weights, of_weights))
-    ]
+    columns = [(keys, edges), (parts, edges), (counts, np.concatenate([[0], np.cumsum(several)])[edges])]
+    for weight, has in zip(weights, counted):
+        if weight.any():
+            has = has[order]
+            columns.append((weight[order][has], np.concatenate([[0], np.cumsum(has)])[edges]))
+        else:
+            columns.append((weight[:0], np.zeros_like(edges)))
+    packed = [[column[start:stop].tobytes() for start, stop in zip(at[:-1], at[1:])] for column, at in columns]
     n = len(edges) - 1
-    columns = [pa.array([tokenizer] * n), pa.array([kind] * n, pa.int32()), pa.array(buckets[edges[:-1]], pa.int32())]
+    keyed = [pa.array([tokenizer] * n), pa.array([kind] * n, pa.int32()), pa.array(buckets[edges[:-1]], pa.int32())]
     return pa.RecordBatch.from_arrays(
-        [*columns, *[pa.array(c, pa.binary()) for c in packed]], names=["tokenizer", "kind", "bucket", "keys", "parts", "counts", "weights"]
+        [*keyed, *[pa.array(c, pa.binary()) for c in packed]], names=["tokenizer", "kind", "bucket", *PACKED_COLUMNS]
     )
 
 
-def _unpack(keys: bytes, parts: bytes, counts: bytes, weights: bytes, shares: int) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(keys: bytes, parts: bytes, counts: bytes, weights: bytes, train_weights: bytes, shares: int) -> tuple[np.ndarray, np.ndarray]:
     keys, parts = np.frombuffer(keys, dtype=np.uint64), np.frombuffer(parts, dtype=np.uint8)
-    values = np.zeros((len(keys), shares + 3))
+    values = np.zeros((len(keys), shares + 4))
     once = np.flatnonzero(parts != SEVERAL)
     values[once, parts[once]] = 1
-    values[parts == SEVERAL, :-1] = np.frombuffer(counts, dtype=np.int64).reshape(-1, shares + 2)
+    values[parts == SEVERAL, :-2] = np.frombuffer(counts, dtype=np.int64).reshape(-1, shares + 2)
     if weights:
-        values[values[:, 0] > 0, -1] = np.frombuffer(weights)
+        values[values[:, 0] > 0, -2] = np.frombuffer(weights)
+    if train_weights:
+        values[(values[:, 1:-2] > 0).any(axis=1), -1] = np.frombuffer(train_weights)
     return keys, values
 
 
@@ -162,7 +167,7 @@ class _Places:
         return self.take(n) if self.n > PLACES else None
 
     def take(self, n: int) -> tuple | None:
-        """Keys, buckets, parts, counts and weights as ``_pack_rows`` takes them, with ``n`` parts."""
+        """Keys, buckets, parts, counts and both weights as ``_pack_rows`` takes them, with ``n`` parts."""
         if not self.n:
             return None
         keys, buckets, parts, weights = map(np.concatenate, zip(*self.rows))
@@ -177,16 +182,23 @@ class _Places:
         counted = several[number]
         place = (np.cumsum(several) - 1)[number[counted]]
         counts = np.bincount(place * n + parts[counted], minlength=int(several.sum()) * n).reshape(-1, n)
-        weights = np.add.reduceat(weights, starts) if weights.any() else np.zeros(len(starts))
-        return keys[starts], buckets[starts], np.where(several, SEVERAL, parts[starts]).astype(np.uint8), counts, weights
+        both = [np.add.reduceat(w, starts) if w.any() else np.zeros(len(starts)) for w in _by_side(parts, weights)]
+        return keys[starts], buckets[starts], np.where(several, SEVERAL, parts[starts]).astype(np.uint8), counts, *both
+
+
+def _by_side(parts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of validation and those of other lines, 0 elsewhere."""
+    return np.where(parts == 0, weights, 0.0), np.where(parts == 0, 0.0, weights)
 
 
 def _sums(numbers: np.ndarray, size: int, part: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers below ``size`` that occur, and their sums: a column per part and one of weights."""
-    values = np.empty((size, n + 1))
-    values[:, :-1] = np.bincount(numbers * n + part, minlength=size * n).reshape(-1, n)
-    values[:, -1] = np.bincount(numbers, weight, size)
-    used = np.flatnonzero(values[:, :-1].any(axis=1))
+    """The numbers below ``size`` that occur, and their sums: a column per part and two of weights."""
+    values = np.zeros((size, n + 2))
+    values[:, :n] = np.bincount(numbers * n + part, minlength=size * n).reshape(-1, n)
+    for column, side in enumerate(_by_side(part, weight), n):
+        if side.any():
+            values[:, column] = np.bincount(numbers, side, size)
+    used = np.flatnonzero(values[:, :n].any(axis=1))
     return used, values[used]
 
 
@@ -252,41 +264,41 @@ def _packed(rows: DataFrame, shares: int, buckets: int) -> DataFrame:
                 lists = (None, lines.column("text")) if in_text else (lines.column("tokens"), None)
                 if name not in tasks:
                     tasks[name] = _Task(name, shares, buckets)
-                yield from tasks[name].count(*lists, part, np.where(part == 0, weight, 0.0))
+                yield from tasks[name].count(*lists, part, weight)
         for task in tasks.values():
             yield from task.rest()
         for name, n in words.items():
-            values = np.zeros((1, shares + 3))
+            values = np.zeros((1, shares + 4))
             values[0, 0] = n
             yield _pack(name, LINES, np.zeros(1, np.uint64), np.zeros(1, np.int64), values)
 
     return rows.mapInArrow(run, PACKED)
 
 
-def losses(rows: DataFrame, shares: int, alpha: float) -> DataFrame:
+def losses(rows: DataFrame, shares: int, alpha: float, scored: int) -> DataFrame:
     """Sums over distinct pairs and tokens of all lines, see ``experiments.pair_losses``; a small table.
 
     For pairs and for tokens that follow: the number of keys ``n``, the totals ``n1``, … of the first shares, ``m``
-    and ``weight`` of validation, and ``train1``, ``val1``, ``weighted1``, …: counts times ``log(n{e} + alpha)``. For tokens
+    of validation, ``weight`` and ``train_weight``, and ``train1``, ``val1``, ``weighted1``, ``train_weighted1``, …: counts times ``log(n{e} + alpha)``. For tokens
     that go before: the counts ``train{e}``, … of all tokens that have one ``total`` in the fit ``fit``.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fits = range(1, shares + 1)
     names = [f"{s}{e}" for e in fits for s in SUMS]
-    counted = ["n", *[f"n{e}" for e in fits], "m"]
+    counted, weights = ["n", *[f"n{e}" for e in fits], "m"], ["weight", "train_weight"]
     given = rows.select(
         "tokenizer", "tokens", "text", F.col("part").cast("int"), F.col("weight").cast("double"), F.col("words").cast("long")
     )
     packed = _packed(given, shares, BUCKETS * parts).repartition(parts, "bucket").sortWithinPartitions("bucket", "tokenizer", "kind")
     schema = ", ".join(
-        ["tokenizer string, kind int, fit int, total long", *[f"{c} long" for c in counted], *[f"{c} double" for c in ("weight", *names)]]
+        ["tokenizer string, kind int, fit int, total long", *[f"{c} long" for c in counted], *[f"{c} double" for c in (*weights, *names)]]
     )
 
     def sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of the first shares, and what is summed: all training counts, validation counts, weights."""
+        """Counts of the first shares, and what is summed: training counts, validation counts, both weights."""
         grown = np.cumsum(values[:, 1 : shares + 1], axis=1)
-        return grown, np.stack([grown[:, -1], values[:, 0], values[:, -1]], axis=1)
+        return grown, np.stack([grown[:, scored - 1], values[:, 0], values[:, -2], values[:, -1]], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole: dict[tuple[str, int], np.ndarray] = {}
@@ -307,7 +319,7 @@ def losses(rows: DataFrame, shares: int, alpha: float) -> DataFrame:
 
         now, packs = (0, "", 0), []
         for batch in batches:
-            for bucket, name, kind, *packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "tokenizer", "kind", "keys", "parts", "counts", "weights"))):
+            for bucket, name, kind, *packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "tokenizer", "kind", *PACKED_COLUMNS))):
                 if now != (bucket, name, kind) and packs:
                     close(*now[1:], packs)
                     packs = []
@@ -317,7 +329,7 @@ def losses(rows: DataFrame, shares: int, alpha: float) -> DataFrame:
             close(*now[1:], packs)
         found = []
         for (name, kind), row in whole.items():
-            values = dict(zip([*counted, "weight", *names], row.tolist()))
+            values = dict(zip([*counted, *weights, *names], row.tolist()))
             found.append({"tokenizer": name, "kind": kind} | values | {c: int(values[c]) for c in counted})
         for (name, e), table in by_total.items():
             for total, row in zip(table.index.tolist(), table.to_numpy().tolist()):

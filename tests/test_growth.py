@@ -1,5 +1,6 @@
 """Steps that must not grow faster than their input: same rows as before, less moved or worked out."""
 
+import math
 import random
 from collections import Counter
 
@@ -8,8 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslab.functions import cleaning
-from corpuslab.operators import experiments, pair_counts, subword
+from corpuslab.functions import cleaning, tokens
+from corpuslab.operators import experiments, ngrams, pair_counts, sequences, subword
 from corpuslab.plans import corpus, models
 
 
@@ -89,18 +90,49 @@ def test_lines_of_a_learning_curve_are_cut_once(spark):
     assert found["bigram", "char", 1].val_words == found["bigram", "space", 1].val_words == 3
 
 
+def test_perplexity_moves_no_token_rows(spark, folder, monkeypatch):
+    """Losses are added up over distinct pairs: neither tokens nor their pairs are written or joined, and the sums stay those of batches."""
+    expected = {}
+    lines = [r for r in corpus.split_lines_by_position(spark, folder).collect() if r.split in ("train", "val")]
+    words = {i: r[0] for i, r in enumerate(spark.createDataFrame([(i, r.text) for i, r in enumerate(lines)], "i int, t string")
+             .orderBy("i").select(tokens.wrap(tokens.word_tokens(F.col("t")))).collect())}
+    counts, totals, seen = Counter(), Counter(), set()
+    for i, r in enumerate(lines):
+        for x, y in zip(words[i], words[i][1:]):
+            seen.add(y)
+            counts[x, y] += r.split == "train"
+            totals[x] += r.split == "train"
+    for split, size in (("train", 64), ("val", 16)):
+        order = sorted((i for i, r in enumerate(lines) if r.split == split), key=lambda i: (len(words[i]), lines[i].doc_id, lines[i].line_no))
+        nll, n_tokens, n_words, weighted = 0.0, 0, 0, 0.0
+        for start in range(0, len(order), size):
+            batch = [words[i] for i in order[start : start + size]]
+            loss = sum(math.log((totals[x] + len(seen)) / (counts[x, y] + 1)) for t in batch for x, y in zip(t, t[1:]))
+            n, w = sum(len(t) - 1 for t in batch), sum(len(t) - 2 for t in batch)
+            nll, n_tokens, n_words, weighted = nll + loss, n_tokens + n, n_words + w, weighted + loss / n * w
+        expected[split] = [-(-len(order) // size), n_tokens, n_words, *(round(math.exp(x), 6) for x in (nll / n_tokens, weighted / n_words, nll / n_words))]
+    written = []
+    for module in (models, ngrams, sequences, experiments):
+        if hasattr(module, "cut_lineage"):
+            monkeypatch.setattr(module, "cut_lineage", lambda df, cut=module.cut_lineage: written.append(df.columns) or cut(df))
+    found = models.perplexity(spark, folder)
+    assert not {"tokens", "prev", "next"} & {c for columns in written for c in columns}
+    names = ("n_batches", "n_tokens", "n_words", "ppl_token", "ppl_word_weighted", "ppl_word_normalised")
+    got = {r.split: [r[c] for c in names] for r in found.collect()}
+    assert {s: pytest.approx(v, abs=2e-6) for s, v in expected.items()} == got
+
+
 def test_packed_counts_are_those_of_pairs():
     """Kept, packed, split by bucket and added up again, the sums of pairs and tokens are what counting one by one gives."""
     rnd = random.Random(3)
     lines = [[rnd.choice(["a", "b", "c", "é", "🙂", "<BOS>"]) for _ in range(rnd.randrange(6))] for _ in range(400)]
     part, weight = np.array([rnd.randrange(4) for _ in lines]), np.array([rnd.random() for _ in lines])
-    weight[part != 0] = 0.0
     expected = {kind: Counter() for kind in (pair_counts.PAIRS, pair_counts.BEFORE, pair_counts.FOLLOWS)}
     for line, p, w in zip(lines, part, weight):
         for x, y in zip(["<BOS>", *line], [*line, "<EOS>"]):
             for kind, key in ((pair_counts.PAIRS, (x, y)), (pair_counts.BEFORE, x), (pair_counts.FOLLOWS, y)):
                 expected[kind][key, p] += 1
-                expected[kind][key, "weight"] += w
+                expected[kind][key, "train_weight" if p else "weight"] += w
     found = {kind: Counter() for kind in expected}
     task, batches = pair_counts._Task("t", 2, 8), []
     for start, stop in ((0, 5), (5, 12), (12, 200), (200, 400)):
@@ -109,8 +141,8 @@ def test_packed_counts_are_those_of_pairs():
     assert task.places.n > 0 and task.held[pair_counts.PAIRS].n > 0
     batches += task.rest()
     for row in pa.Table.from_batches(batches).to_pylist():
-        for key, sums in zip(*pair_counts._unpack(row["keys"], row["parts"], row["counts"], row["weights"], 2)):
-            for p, n in zip([0, 1, 2, 3, "weight"], sums):
+        for key, sums in zip(*pair_counts._unpack(row["keys"], row["parts"], row["counts"], row["weights"], row["train_weights"], 2)):
+            for p, n in zip([0, 1, 2, 3, "weight", "train_weight"], sums):
                 found[row["kind"]][(row["bucket"], key), p] += n
     for kind in expected:
         sums = [sorted(n for n in c[kind].values() if n > 1e-12) for c in (found, expected)]
