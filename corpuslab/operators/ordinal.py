@@ -62,10 +62,11 @@ def _offsets(
     )
 
 
-def place(rows: DataFrame, key: str, size: Column) -> tuple[DataFrame, int]:
+def place(rows: DataFrame, key: str, size: Column, tie: Column | None = None) -> tuple[DataFrame, int]:
     """Add ``start``, the global position of each row's first item; also the total.
 
-    Rows are ordered by their integer ``key``, null first, rows of one key by a hash of all their columns.
+    Rows are ordered by their integer ``key``, null first, rows of one key by a hash of all their columns, or by ``tie``,
+    which is worked out for these only.
     Only ``(key, size)`` goes through the running sum; the rows themselves are joined back once, and rows
     of one key are numbered where that join brings them together. Null is a key like any other: no row is lost.
     """
@@ -75,11 +76,17 @@ def place(rows: DataFrame, key: str, size: Column) -> tuple[DataFrame, int]:
     sizes = running_offsets(sums.filter(F.col(key).isNotNull()), key, "size")
     total = nulls + sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     starts = sizes.select(F.col(key).alias("key_"), (F.col("offset") + F.lit(nulls)).alias("start_"))
-    alike = Window.partitionBy(key).orderBy(F.xxhash64(*rows.columns))
-    before = F.sum(size.cast("long")).over(alike.rowsBetween(Window.unboundedPreceding, -1))
     placed = rows.join(starts, F.col(key) == F.col("key_"), "left")
+    if tie is None:
+        tie = F.xxhash64(*rows.columns)
+    else:
+        placed = placed.withColumn("alike_", F.count("*").over(Window.partitionBy(key)))
+        placed = placed.withColumn("tie_", F.when(F.col("alike_") > 1, tie))
+        tie = F.col("tie_")
+    alike = Window.partitionBy(key).orderBy(tie)
+    before = F.sum(size.cast("long")).over(alike.rowsBetween(Window.unboundedPreceding, -1))
     start = F.coalesce("start_", F.lit(0).cast("long")) + F.coalesce(before, F.lit(0).cast("long"))
-    return placed.withColumn("start", start).drop("key_", "start_"), int(total)
+    return placed.withColumn("start", start).drop("key_", "start_", "alike_", "tie_"), int(total)
 
 
 def global_rank(rows: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:

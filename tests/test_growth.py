@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslab.functions import cleaning, tokens
-from corpuslab.operators import experiments, ngrams, pair_counts, sequences, subword
+from corpuslab.operators import experiments, ngrams, ordinal, pair_counts, sequences, subword, vocab
 from corpuslab.plans import corpus, models
 
 
@@ -122,6 +122,38 @@ def test_perplexity_moves_no_token_rows(spark, folder, monkeypatch):
     assert {s: pytest.approx(v, abs=2e-6) for s, v in expected.items()} == got
 
 
+@pytest.mark.parametrize("alphabet, width, mode, bounds", [
+    ("ab é", 1, "random", ()), ("ab é", 1, "sequential", (0.1, 0.8, True)),
+    ("".join(map(chr, range(0x4E00, 0x4E00 + 400))), 2, "sequential", ()), ("a🙂", 4, "random", (3, -4)),
+])
+def test_streams_of_texts_give_the_batches_of_lists(spark, alphabet, width, mode, bounds):
+    """Texts move as a few bytes a character and become numbers at the end, repeated and null keys included."""
+    rnd = random.Random(9)
+    texts = [(rnd.choice([None, 1, 2, 3, 40]), "".join(rnd.choice(alphabet + "?") for _ in range(rnd.randrange(30)))) for _ in range(40)]
+    first = 70_000 if width == 4 else 1  # indexes beyond two bytes
+    known = spark.createDataFrame([(c, first + i) for i, c in enumerate(alphabet)], "token string, idx long")
+    packed = sequences.PackedCharacters(known)
+    assert packed.width == width
+    rows = spark.createDataFrame(texts, "doc_id long, ids string").select("doc_id", F.length("ids").alias("n"), "ids")
+    lists = rows.withColumn("ids", sequences.code_characters(F.col("ids"), known))
+    sizes = "doc_id", 3, 4, mode, 2, 7, *bounds
+    expected = sorted(map(tuple, sequences.batches(lists, *sizes).collect()))
+    assert expected and sorted(map(tuple, sequences.batches(rows, *sizes, packed=packed).collect())) == expected
+    whole = [sorted(map(tuple, sequences.slice_stream(r, "doc_id", 0.1, 0.9, True, packed=p).collect()), key=lambda r: r[1:])
+             for r, p in ((lists, None), (rows, packed))]
+    assert whole[0] == whole[1]
+
+
+def test_letters_are_not_written(spark, folder, monkeypatch):
+    written = []
+    for module in (models, vocab, ordinal):
+        if hasattr(module, "cut_lineage"):
+            monkeypatch.setattr(module, "cut_lineage", lambda df, cut=module.cut_lineage: written.append(df.columns) or cut(df))
+    found = models.random_subsequences(spark, folder)
+    assert written and not {"letters", "ids", "text"} & {c for columns in written for c in columns}
+    assert found.columns == ["batch", "row", "x_text", "y_text"]
+
+
 def test_packed_counts_are_those_of_pairs():
     """Kept, packed, split by bucket and added up again, the sums of pairs and tokens are what counting one by one gives."""
     rnd = random.Random(3)
