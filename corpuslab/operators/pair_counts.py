@@ -22,8 +22,8 @@ from corpuslab.functions.tokens import BOS, EOS
 #: What is summed under a key: pairs, tokens by what follows them, tokens by what goes before them, words of lines.
 PAIRS, BEFORE, FOLLOWS, LINES = range(4)
 SUMS = ("train", "val", "weighted", "train_weighted")
-HELD = 400_000  # keys of a tokenizer and kind that a task holds before it hands them on
-PLACES = 1_000_000  # places of pairs that it holds where there are too many tokens for a table of all their pairs
+HELD = 200_000  # keys of a tokenizer and kind that a task holds before it hands them on
+PLACES = 500_000  # places of pairs that it holds where there are too many tokens for a table of all their pairs
 BUCKETS = 16  # per shuffle partition, so that a bucket is a small part of a task's share
 SEVERAL = 255  # stands for the part of a key that has been counted more than once
 HASH_KEYS = ("next-token pairs", "of a 128-bit key")
