@@ -181,6 +181,19 @@ def test_packed_counts_are_those_of_pairs():
         assert sums[0] == pytest.approx(sums[1])
 
 
+def test_pieces_are_cut_from_distinct_parts(spark):
+    """The pattern of pieces ran over all of a text; it now runs over its distinct parts, with the same counts."""
+    rnd = random.Random(6)
+    signs = ["a", "b", "é", "7", "'s", "'", "'ll", "!", " ", "  ", "\t", "\x1c", "\x85", "\u00a0", "\u2003", "\u200b", "\u180e", "\u3000", "🙂", "Ⅷ"]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(25))) for _ in range(300)] + [None, "", " ", "it's  it's\t it's "]
+    lines = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = lines.select(F.explode(subword.byte_pieces(F.col("text"))).alias("piece")).groupBy("piece").count()
+    counts = subword.piece_counts(lines)
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, plain.collect()))
+    plan = plan_of(counts)
+    assert "Exchange hashpartitioning(part#" in plan.split("regexp_extract_all")[-1]
+
+
 def test_words_are_merged_as_by_one_merge_after_the_other():
     rnd = random.Random(4)
     for _ in range(100):
